@@ -17,6 +17,7 @@ def local_session(cores="*", **conf) -> SparkSession:
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", "12g")
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     for k, v in conf.items():

@@ -95,6 +95,21 @@ def running_max(df: DataFrame, keys, order_number, value, out, chunk: int = CHUN
             .drop("__chunk", "__in", "__prev"))
 
 
+def running_sum(df: DataFrame, keys, order_number, value, out, chunk: int = CHUNK) -> DataFrame:
+    """Running sum of ``value`` (this row included) within ``keys`` by the unique integer ``order_number``."""
+    piece = df.withColumn("__chunk", F.floor(F.col(order_number) / F.lit(chunk)).cast("long"))
+    w_in = (Window.partitionBy(*keys, "__chunk").orderBy(order_number)
+            .rowsBetween(Window.unboundedPreceding, 0))
+    w_prev = (Window.partitionBy(*keys).orderBy("__chunk")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    before = (piece.groupBy(*keys, "__chunk").agg(F.sum(value).alias("__s"))
+              .withColumn("__prev", F.coalesce(F.sum("__s").over(w_prev), F.lit(0))).drop("__s"))
+    return (piece.withColumn("__in", F.sum(value).over(w_in))
+            .join(before, [*keys, "__chunk"])
+            .withColumn(out, F.col("__in") + F.col("__prev"))
+            .drop("__chunk", "__in", "__prev"))
+
+
 def chunked_list(df: DataFrame, keys, pos, value, size: int = 1024) -> DataFrame:
     """Ordered lists cut into chunks of ``size`` positions: ``(keys, chunk, values)``.
 

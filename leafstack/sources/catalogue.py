@@ -4,13 +4,11 @@ A shard file is read by one task; the writer keeps shards bounded.  Everything
 after parsing is a table.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import stage
-from ..scale import rank_rows
+from ..scale import rank_rows, running_sum
 from ..schema import FLAG_PROPS, META_SHARD, TEXT_PROPS, TEXT_SHARD, TOC_SHARD
 
 # --- fixed values -----------------------------------------------------------
@@ -107,46 +105,35 @@ def meta_shards(items: DataFrame, threshold: int = META_SHARD) -> DataFrame:
     return ranked.select("book_id", "item_id", "ord", F.floor((F.col("n") + 1) / F.lit(threshold)).cast("int").alias("shard"))
 
 
-def _scan_piece(threshold: int):
-    """Greedy fill with reset over one ordered piece, for one start value."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n", kind="stable")
-        fill, shard, out = int(pdf["start"].iloc[0]), int(pdf["first"].iloc[0]), []
-        for size in pdf["size"]:
-            fill += size
-            out.append(shard)
-            if fill >= threshold:
-                shard, fill = shard + 1, 0
-        return pd.DataFrame({"book_id": pdf["book_id"], "key": pdf["key"], "shard": out, "n": pdf["n"], "fill": fill, "next": shard})
-
-    return run
-
-
-def greedy_shards(sizes: DataFrame, threshold: int, piece: int = 100_000, first_fill: int = 1) -> DataFrame:
+def greedy_shards(sizes: DataFrame, threshold: int, first_fill: int = 1) -> DataFrame:
     """Shard of every (book_id, key, ord, size) row: a shard closes when its sum reaches ``threshold``.
 
-    The fill depends on all earlier rows, so a book is walked piece by piece: each round
-    handles the next piece of every book at once and hands its fill to the next
-    piece.  No task ever holds more than one piece of compact rows.
+    Where a shard ends depends on where it starts, so the greedy fill is a pointer chain.
+    With prefix sums, the row that closes a shard started at any row is one rank away;
+    doubling these pointers finds the starts met from the first row in log2(shards)
+    rounds.  No task holds a whole book.
     """
-    ranked = stage(rank_rows(sizes, ["book_id"], ["ord", "key"], "n").withColumn("piece", F.floor(F.col("n") / piece)))
-    last = ranked.agg(F.max("piece")).first()[0]
-    carry, done = None, []
-    for p in range((last if last is not None else -1) + 1):
-        part = ranked.filter(F.col("piece") == p).select("book_id", "key", "n", "size")
-        if carry is None:
-            part = part.withColumn("start", F.lit(first_fill)).withColumn("first", F.lit(0))
-        else:
-            part = part.join(carry, "book_id")
-        walked = stage(part.groupBy("book_id").applyInPandas(
-            _scan_piece(threshold), "book_id string, key string, shard long, n long, fill long, next long"))
-        done.append(walked.select("book_id", "key", F.col("shard").cast("int").alias("shard")))
-        carry = walked.groupBy("book_id").agg(F.first("fill").alias("start"), F.first("next").alias("first"))
-    if not done:
-        return ranked.select("book_id", "key", F.lit(0).alias("shard")).limit(0)
-    return reduce(DataFrame.unionByName, done)
+    ranked = rank_rows(sizes.select("book_id", "key", "ord", "size"), ["book_id"], ["ord", "key"], "n")
+    sums = stage(running_sum(ranked.select("book_id", "key", "n", "size"), ["book_id"], "n", "size", "upto"))
+    goal = F.col("upto") - F.col("size") + F.lit(threshold) - F.when(F.col("n") == 0, first_fill).otherwise(0)
+    both = sums.select("book_id", "n", goal.alias("v"), F.lit(0).alias("side")).unionByName(
+        sums.select("book_id", "n", F.col("upto").alias("v"), F.lit(1).alias("side")))
+    # rows below the goal: rank among both sides minus the goals before (goals rise with n)
+    spot = rank_rows(both, ["book_id"], ["v", "side", "n"], "r").filter("side = 0")
+    jump = stage(spot.select("book_id", "n", (F.col("r") - F.col("n") + 1).alias("to")))
+    starts = stage(sums.filter("n = 0").select("book_id", "n"))
+    known = sums.select("book_id", "n")
+    while True:
+        new = starts.join(jump, ["book_id", "n"]).select("book_id", F.col("to").alias("n"))
+        new = stage(new.join(known, ["book_id", "n"], "left_semi").join(starts, ["book_id", "n"], "left_anti"))
+        if new.isEmpty():
+            break
+        starts = stage(starts.unionByName(new))
+        hop = jump.select("book_id", F.col("n").alias("to"), F.col("to").alias("__far"))
+        jump = stage(jump.join(hop, ["book_id", "to"]).select("book_id", "n", F.col("__far").alias("to")))
+    flagged = sums.join(starts.withColumn("__s", F.lit(1)), ["book_id", "n"], "left").withColumn("__s", F.coalesce("__s", F.lit(0)))
+    return (running_sum(flagged, ["book_id"], "n", "__s", "__k")
+            .select("book_id", "key", (F.col("__k") - 1).cast("int").alias("shard")))
 
 
 def toc_shards(edges: DataFrame, order: DataFrame, threshold: int = TOC_SHARD) -> DataFrame:
@@ -176,35 +163,25 @@ def entry_lines(items: DataFrame) -> DataFrame:
 
 
 def write_shards(lines: DataFrame, shards: DataFrame, name: str, out: str) -> None:
-    """Write ``out/<book>/tree/<name><n>.js``, each shard by one task.
+    """Write one wrapped script file per shard under ``out/book_id=<book>/<name>_shard=<n>/``.
 
-    ``lines``: (book_id, key, ord, line); ``shards``: (book_id, key, shard).  Rows are laid
-    out by (book, shard) and streamed in order, so a task holds one line at a time.
+    ``lines``: (book_id, key, ord, line); ``shards``: (book_id, key, shard).  A shard is
+    bounded, so it is laid out on one task and streamed in order through Spark's text writer.
     """
-    import os
-
-    head = WRAP_HEAD[name]
-    laid = (lines.join(shards, ["book_id", "key"]).select("book_id", "shard", "ord", "line")
-            .repartition("book_id", "shard").sortWithinPartitions("book_id", "shard", "ord"))
-
-    def dump(rows):
-        current, fh = None, None
-        for r in rows:
-            if (r.book_id, r.shard) != current:
-                if fh:
-                    fh.write("\n})")
-                    fh.close()
-                current = (r.book_id, r.shard)
-                folder = os.path.join(out, r.book_id, "tree")
-                os.makedirs(folder, exist_ok=True)
-                fh = open(os.path.join(folder, f"{name}{r.shard or ''}.js"), "w", encoding="utf-8", newline="\n")
-                fh.write(head + "{\n  ")
-            else:
-                fh.write(",\n  ")
-            fh.write(r.line)
-        if fh:
-            fh.write("\n})")
-            fh.close()
-
-    laid.foreachPartition(dump)
-
+    part = f"{name}_shard"
+    rows = lines.join(shards.withColumnRenamed("shard", part), ["book_id", "key"]).select("book_id", part, "ord", "line")
+    ends = rows.groupBy("book_id", part).agg(F.min("ord").alias("__first"))
+    body = rows.join(ends, ["book_id", part]).withColumn(
+        "line", F.concat(F.when(F.col("ord") == F.col("__first"), "  ").otherwise(", "), F.col("line")))
+    framed = (body.select("book_id", part, F.lit(1).alias("__k"), "ord", "line")
+              .unionByName(ends.select("book_id", part, F.lit(0).alias("__k"), F.lit(0).cast("long").alias("ord"), F.lit(WRAP_HEAD[name] + "{").alias("line")))
+              .unionByName(ends.select("book_id", part, F.lit(2).alias("__k"), F.lit(0).cast("long").alias("ord"), F.lit("})").alias("line"))))
+    (framed.repartition("book_id", part).sortWithinPartitions("book_id", part, "__k", "ord")
+     .select("book_id", part, "line").write.partitionBy("book_id", part).mode("overwrite").text(out))
+
+
+def read_written(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """Shards written by ``write_shards``: (book_id, shard, text, file)."""
+    raw = spark.read.text(f"{out}/book_id=*/{name}_shard=*", wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+    return raw.select(F.regexp_extract("file", r"book_id=([^/]*)/", 1).alias("book_id"),
+                      F.regexp_extract("file", rf"{name}_shard=([0-9]+)/", 1).cast("int").alias("shard"), F.col("value").alias("text"), "file")
