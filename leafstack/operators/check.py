@@ -9,6 +9,7 @@ from ..functions.mime import extension_of, path_is_html
 from ..functions.scalars import (
     human_size, icon_file, infer_create, infer_modify, item_id_of, normal_path, url_netloc, url_path, url_scheme,
 )
+from ..runtime import stage
 from ..scale import rank_rows
 from ..schema import (
     INDEX_EXTENSIONS, INDEX_OPTIONAL_TYPES, MTIME_TOLERANCE_SECONDS, ROOT, SPECIAL_IDS, SUPPORT_SUFFIXES,
@@ -169,8 +170,8 @@ def check_unindexed(items: DataFrame, files: DataFrame) -> DataFrame:
     """
     used = (items.filter(value("index") != "").select("book_id", F.col("index").alias("path")).distinct()
             .join(files.select("book_id", "path"), ["book_id", "path"], "left_semi"))
-    pages = (files.filter(extension_of("path").isin(*INDEX_EXTENSIONS)).select("book_id", "path").distinct()
-             .join(used, ["book_id", "path"], "left_anti"))
+    pages = stage(files.filter(extension_of("path").isin(*INDEX_EXTENSIONS)).select("book_id", "path").distinct()
+                  .join(used, ["book_id", "path"], "left_anti"))
 
     def support(df, at):
         return reduce(DataFrame.unionByName, [
@@ -187,7 +188,7 @@ def check_unindexed(items: DataFrame, files: DataFrame) -> DataFrame:
     segs = F.split(folder, "/")
     ups = F.concat(F.array(F.lit("")), F.when(folder == "", F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.size(segs)), lambda n: F.array_join(F.slice(segs, F.lit(1), n), "/"))))
-    above = pages.withColumn("folder", F.explode(ups))
+    above = stage(pages.withColumn("folder", F.explode(ups)))
     shut = above.join(closed, ["book_id", "folder"], "left_semi").select("book_id", "path")
     # the claiming index.html itself stays visible
     taken = (above.join(claimed, ["book_id", "folder"]).filter(F.col("path") != F.col("claim")).select("book_id", "path"))
@@ -308,6 +309,8 @@ def repair(items: DataFrame, edges: DataFrame, files: DataFrame, findings: DataF
     def on(name):
         return only is None or name in only
 
+    # read by every step below
+    findings = stage(findings)
     if on("invalid_id"):
         items = drop_items(items, findings, "invalid_id")
     if on("missing_index"):
@@ -315,13 +318,14 @@ def repair(items: DataFrame, edges: DataFrame, files: DataFrame, findings: DataF
     if on("missing_index_file"):
         items = drop_items(items, findings, "missing_index_file")
     if on("missing_date"):
-        items = fill_dates(items, files)
+        items = stage(fill_dates(items, files))
     if on("older_mtime"):
         items = raise_modify(items, files, findings)
-    tree = check_toc_owners(items, edges).unionByName(check_toc_references(items, edges))
-    unlisted = check_unlisted(items, edges)
+    items = stage(items)
+    tree = stage(check_toc_owners(items, edges).unionByName(check_toc_references(items, edges)))
+    unlisted = stage(check_unlisted(items, edges))
     if on("toc_invalid"):
-        edges = drop_invalid_toc(edges, tree)
+        edges = stage(drop_invalid_toc(edges, tree))
     if on("toc_unreachable"):
         edges = list_unlisted(edges, items, unlisted)
     return items, edges

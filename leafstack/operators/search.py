@@ -173,22 +173,29 @@ def date_bound(digits: Column, tz: str = "UTC") -> Column:
     Padded with zeros; month and day 0 count as 1; parts beyond their range carry
     over; results are clamped to the years 1..9999.
     """
-    t = F.rpad(digits, 17, "0")
+    def bind(value, fn):
+        # a lambda variable is evaluated once, however often it is used
+        return F.get(F.transform(F.array(value), fn), F.lit(0))
 
-    def part(start, size):
+    def part(t, start, size):
         return F.substring(t, start, size).try_cast("int")
 
-    month = F.greatest(part(5, 2), F.lit(1))
-    year = part(1, 4) + F.when(month > 12, F.floor(month / 12)).otherwise(0).cast("int")
-    month = F.when(month > 12, month % 12).otherwise(month)
-    first = F.try_make_timestamp(year, month, F.lit(1), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"))
-    day = F.greatest(part(7, 2), F.lit(1))
-    millis = ((((day - 1).cast("long") * 24 + part(9, 2)) * 60 + part(11, 2)) * 60 + part(13, 2)) * 1000 + part(15, 3)
-    moved = F.timestamp_millis(F.unix_millis(first) + millis)
-    utc = F.to_utc_timestamp(moved, tz)
-    return (F.when(year > 9999, ID_MAX).when(year < 1, ID_MIN)
-            .when(F.year(utc) > 9999, ID_MAX).when(F.year(utc) < 1, ID_MIN)
-            .otherwise(F.date_format(utc, "yyyyMMddHHmmssSSS")))
+    def finish(year, utc):
+        return (F.when(year > 9999, ID_MAX).when(year < 1, ID_MIN)
+                .when(F.year(utc) > 9999, ID_MAX).when(F.year(utc) < 1, ID_MIN)
+                .otherwise(F.date_format(utc, "yyyyMMddHHmmssSSS")))
+
+    def build(t):
+        month = F.greatest(part(t, 5, 2), F.lit(1))
+        year = part(t, 1, 4) + F.when(month > 12, F.floor(month / 12)).otherwise(0).cast("int")
+        month = F.when(month > 12, month % 12).otherwise(month)
+        first = F.try_make_timestamp(year, month, F.lit(1), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"))
+        day = F.greatest(part(t, 7, 2), F.lit(1))
+        seconds = (((day - 1).cast("long") * 24 + part(t, 9, 2)) * 60 + part(t, 11, 2)) * 60 + part(t, 13, 2)
+        moved = F.timestamp_millis(F.unix_millis(first) + seconds * 1000 + part(t, 15, 3))
+        return bind(year, lambda y: bind(F.to_utc_timestamp(moved, tz), lambda utc: finish(y, utc)))
+
+    return bind(F.rpad(digits, 17, "0"), build)
 
 
 def date_ranges(ranges: DataFrame, since: str = "since", until: str = "until", tz: str = "UTC") -> DataFrame:

@@ -4,10 +4,32 @@
 derivations as DuckDB common table expressions for the oracles.
 """
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import item_id_of
+from ..runtime import stage
+
+
+_STORED = {}
+
+
+def stored(fn):
+    """Keep a derived table as a stored one for the life of the Spark application.
+
+    Catalogue tables are files in real use; deriving them is not part of a query.
+    """
+
+    @wraps(fn)
+    def get(spark, sf):
+        key = (spark.sparkContext.applicationId, sf, fn.__name__)
+        if key not in _STORED:
+            _STORED[key] = stage(fn(spark, sf))
+        return _STORED[key]
+
+    return get
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,6 +52,7 @@ def documents(spark, sf) -> DataFrame:
             .join(_stamp(spark, sf, 1, "m"), "doc_id", "left").withColumn("type", kind))
 
 
+@stored
 def items(spark, sf) -> DataFrame:
     """One book per language; a folder per source, an item per document."""
     d = documents(spark, sf)
@@ -63,6 +86,7 @@ def items(spark, sf) -> DataFrame:
     return docs.unionByName(folders)
 
 
+@stored
 def edges(spark, sf) -> DataFrame:
     """root -> source folder -> document; some documents hidden, recycled or listed twice."""
     d = table(spark, sf, "documents").select("doc_id", "lang", "source")
@@ -89,6 +113,7 @@ def fulltext(spark, sf) -> DataFrame:
     return first.unionByName(second)
 
 
+@stored
 def files(spark, sf) -> DataFrame:
     """Data files of most items, unindexed extras, favicons."""
     it = items(spark, sf).filter("index <> ''").select("book_id", "index", "ord")
@@ -170,6 +195,7 @@ SQL["files"] = """files AS (
 
 # -- the star schema as one deep book ---------------------------------------------
 
+@stored
 def star_edges(spark, sf) -> DataFrame:
     """root > region > nation > customer > order; ``F`` orders recycled; back links customer > nation."""
     def e(df, parent, pos, child):
@@ -189,6 +215,7 @@ def star_edges(spark, sf) -> DataFrame:
                            F.concat(F.lit("N"), F.col("c_custkey") % 25))))
 
 
+@stored
 def star_items(spark, sf) -> DataFrame:
     """Regions, nations and customers as folders, orders as pages (every 97th order has no item)."""
     def i(df, letter, key, title, kind, create):
@@ -222,6 +249,7 @@ SQL["star_items"] = """star_items AS (
 
 # -- conversations as a tree with shared parents and cycles ------------------------
 
+@stored
 def talk_edges(spark, sf) -> DataFrame:
     """Answers hang under the turn before; every 10th conversation loops; every 7th is hidden as well."""
     t = table(spark, sf, "conversations").select("conv_id", "turn", "role")
@@ -242,6 +270,7 @@ def talk_edges(spark, sf) -> DataFrame:
             .unionByName(e(convs.filter("conv_id % 7 = 0"), F.lit("hidden"), F.col("conv_id"), conv)))
 
 
+@stored
 def talk_items(spark, sf) -> DataFrame:
     """Conversations are folders; turns are notes, bookmarks (system) or separators (empty titles)."""
     t = table(spark, sf, "conversations")
