@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import item_id_of, safe_filename, ts_of_item_id
 from ..runtime import stage
-from ..scale import rank_rows
+from ..scale import claim_slots, rank_rows
 from ..schema import RECYCLE, ROOT, SPECIAL_IDS
 from .graph import newly_unreachable, reachable
 from .tree import dense_positions
@@ -95,24 +95,15 @@ def check_new_items(items: DataFrame, new: DataFrame) -> DataFrame:
 def assign_ids(wanted: DataFrame, taken: DataFrame, base: str = "base_id", out: str = "item_id") -> DataFrame:
     """Next free millisecond id at or after ``base_id`` for every row of (book_id, seq, base_id).
 
-    Rows share nothing but their base: the k-th row of a base tries base + k ms.
-    Rows that hit a taken id, or an id another row holds, move on by one in the next round;
-    usually there is no second round.
+    Rows choose in ``seq`` order; ``taken`` holds the ids in use.
     """
-    todo = stage(rank_rows(wanted, ["book_id", base], ["seq"], "__k")
-                 .withColumn("__t", F.unix_millis(ts_of_item_id(base)) + F.col("__k")))
-    used = taken.select("book_id", F.col("item_id").alias(out)).distinct()
-    done = []
-    while True:
-        cur = todo.withColumn(out, F.date_format(F.timestamp_millis("__t"), "yyyyMMddHHmmssSSS"))
-        free = cur.join(used, ["book_id", out], "left_anti")
-        first = free.groupBy("book_id", out).agg(F.min("seq").alias("seq"))
-        won = stage(free.join(first, ["book_id", out, "seq"], "left_semi"))
-        done.append(won.select(*wanted.columns, out))
-        todo = stage(todo.join(won.select("book_id", "seq"), ["book_id", "seq"], "left_anti").withColumn("__t", F.col("__t") + 1))
-        if todo.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        used = used.unionByName(won.select("book_id", out))
+    def millis(c):
+        return F.unix_millis(ts_of_item_id(c))
+
+    rows = wanted.withColumn("__base", millis(base))
+    used = taken.select("book_id", millis("item_id").alias("slot")).filter("slot is not null")
+    return (claim_slots(rows, used, "__base", ["seq"], "__slot")
+            .withColumn(out, F.date_format(F.timestamp_millis("__slot"), "yyyyMMddHHmmssSSS")).select(*wanted.columns, out))
 
 
 def add_items(items: DataFrame, edges: DataFrame, new: DataFrame, target_parent: str | None = ROOT,

@@ -9,7 +9,7 @@ from ..functions.scalars import (
     icon_file, item_id_of, legacy_id_of, percent_decode, percent_encode, relative_path, ts_of_item_id, ts_of_legacy_id,
 )
 from ..runtime import stage
-from ..scale import rank_rows, running_max
+from ..scale import claim_slots
 from ..schema import INDEX_OPTIONAL_TYPES
 from .search import value
 
@@ -127,35 +127,17 @@ def legacy_winners(candidates: DataFrame) -> DataFrame:
 def assign_legacy_ids(items: DataFrame, now: str, tz: str = "UTC") -> DataFrame:
     """(book_id, item_id, legacy_id): first holders keep their second, the rest move to the next free one.
 
-    The rest choose in item order.  Every round each unplaced row asks for its next
-    second and a second goes to the earliest asker; a row placed in one round can be
-    displaced in a later one by an earlier row, which makes the outcome the one of
-    choosing strictly one after the other.  The k-th row of a second starts k seconds
-    later, since the earlier ones fill the seconds between; a row that meets a taken
-    run skips the whole run; a row that moves pushes the ones behind it.
+    The rest choose in item order, one after the other (see ``scale.claim_slots``); an
+    id that is no date starts at ``now``.
     """
     cand = stage(legacy_candidates(items, tz))
     fixed = stage(legacy_winners(cand))
     rest = cand.join(fixed.select("book_id", "item_id"), ["book_id", "item_id"], "left_anti")
-    group = ["book_id", "base"]
-    state = rank_rows(rest.withColumn("base", F.coalesce("candidate", F.lit(now))), group, ["ord", "item_id"], "k")
-    state = stage(state.withColumn("t0", F.unix_seconds(ts_of_legacy_id("base"))).withColumn("gap", F.lit(0).cast("long")))
-    # runs of taken seconds, each with the first free second after it
-    owned = fixed.filter(F.length("legacy_id") == 14).select("book_id", F.unix_seconds(ts_of_legacy_id("legacy_id")).alias("t")).distinct()
-    runs = rank_rows(owned, ["book_id"], ["t"], "__r").withColumn("__island", F.col("t") - F.col("__r"))
-    ends = runs.groupBy("book_id", "__island").agg((F.max("t") + 1).alias("__free"))
-    skip = stage(runs.join(ends, ["book_id", "__island"]).select("book_id", "t", "__free"))
-    while True:
-        asked = state.withColumn("t", F.col("t0") + F.col("k") + F.col("gap"))
-        best = asked.groupBy("book_id", "t").agg(F.min(F.struct("ord", "item_id")).alias("__best"))
-        judged = stage(asked.join(best, ["book_id", "t"]).join(skip, ["book_id", "t"], "left").withColumn(
-            "__move", F.when(F.col("__free").isNotNull(), F.col("__free") - F.col("t"))
-            .when(F.struct("ord", "item_id") > F.col("__best"), 1).otherwise(0)))
-        if judged.filter("__move > 0").isEmpty():
-            placed = judged.select("book_id", "item_id", F.date_format(F.timestamp_seconds("t"), "yyyyMMddHHmmss").alias("legacy_id"))
-            return fixed.select("book_id", "item_id", "legacy_id").unionByName(placed)
-        moved = judged.withColumn("__g", F.col("gap") + F.col("__move")).drop("t", "__best", "__free", "__move", "gap")
-        state = stage(running_max(moved, group, "k", "__g", "gap").drop("__g"))
+    rows = rest.select("book_id", "item_id", "ord", F.unix_seconds(ts_of_legacy_id(F.coalesce("candidate", F.lit(now)))).alias("base"))
+    taken = fixed.filter(F.length("legacy_id") == 14).select("book_id", F.unix_seconds(ts_of_legacy_id("legacy_id")).alias("slot"))
+    placed = claim_slots(rows, taken, "base", ["ord", "item_id"]).select(
+        "book_id", "item_id", F.date_format(F.timestamp_seconds("slot"), "yyyyMMddHHmmss").alias("legacy_id"))
+    return fixed.select("book_id", "item_id", "legacy_id").unionByName(placed)
 
 
 def icon_targets(items: DataFrame, id_map: DataFrame, data_dir: str = "data", tree_dir: str = "tree") -> DataFrame:

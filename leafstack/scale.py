@@ -122,6 +122,98 @@ def chunked_list(df: DataFrame, keys, pos, value, size: int = 1024) -> DataFrame
             .select(*keys, "chunk", F.transform("__l", lambda s: s["v"]).alias("values")))
 
 
+def count_upto(rows: DataFrame, value: str, marks: DataFrame, mark: str, out: str, inclusive: bool) -> DataFrame:
+    """Number of ``marks`` below (or up to) each row's ``value``, per book; a merge by rank, no range join."""
+    ours = rows.withColumn("__v", F.col(value)).withColumn("__side", F.lit(1 if inclusive else 0))
+    theirs = marks.select("book_id", F.col(mark).alias("__v"), F.lit(0 if inclusive else 1).alias("__side"))
+    merged = ours.withColumn("__m", F.lit(0)).unionByName(theirs.withColumn("__m", F.lit(1)), allowMissingColumns=True)
+    ranked = rank_rows(merged, ["book_id"], ["__v", "__side"], "__n")
+    counted = running_sum(ranked, ["book_id"], "__n", "__m", out)
+    return counted.filter("__m = 0").select(*rows.columns, out)
+
+
+# clusters of rows that compete for the same slots, up to this size, are settled inside one task
+CLUSTER_ROWS = 200_000
+
+
+def claim_slots(rows: DataFrame, taken: DataFrame, base: str, order, out: str = "slot") -> DataFrame:
+    """First come, first served: every row takes the first free integer at or after its ``base``.
+
+    ``rows``: book_id, ``base`` (bigint), order columns (unique together); ``taken``: (book_id,
+    slot).  Rows choose in ``order``.
+
+    Counted in free slots only, the set of slots used is a running maximum, and it
+    falls apart into busy stretches that do not touch each other.  Where all rows of a
+    stretch have one base, the k-th row takes its k-th slot.  Mixed stretches are
+    settled one per group by a heap; a mixed stretch too large for one task goes
+    through rounds of proposals instead.
+    """
+    marks = taken.select("book_id", F.col("slot").cast("long").alias("__t")).distinct()
+    crowded = not marks.isEmpty()
+    cur = rows.withColumn("__base", F.col(base).cast("long"))
+    if crowded:
+        cur = count_upto(cur, "__base", marks, "__t", "__below", inclusive=False)
+        cur = cur.withColumn("__base", F.col("__base") - F.col("__below")).drop("__below")
+    lined = rank_rows(cur, ["book_id"], ["__base", *order], "__n").withColumn("__d", F.col("__base") - F.col("__n"))
+    lined = stage(running_max(lined, ["book_id"], "__n", "__d", "__stretch")
+                  .withColumn("__at", F.col("__n") + F.col("__stretch")).drop("__d"))
+    sizes = (lined.groupBy("book_id", "__stretch")
+             .agg(F.count(F.lit(1)).alias("__size"), F.min("__at").alias("__from"), (F.min("__base") != F.max("__base")).alias("__mixed"))
+             .filter("__mixed"))
+    mixed = stage(lined.join(sizes, ["book_id", "__stretch"], "left"))
+    plain = mixed.filter("__mixed is null")
+    parts = [plain.select(*rows.columns, F.col("__at").alias("__slot"))]
+    fit = mixed.filter(F.col("__size") <= CLUSTER_ROWS)
+    if not fit.isEmpty():
+        parts.append(_settle_stretches(fit, rows.columns, list(order)))
+    big = mixed.filter(F.col("__size") > CLUSTER_ROWS)
+    if not big.isEmpty():
+        parts.append(_settle_by_rounds(big, rows.columns, list(order)))
+    done = reduce(DataFrame.unionByName, parts)
+    if not crowded:
+        return done.withColumnRenamed("__slot", out)
+    # back from free-slot numbers: add the taken slots passed on the way
+    holes = rank_rows(marks, ["book_id"], ["__t"], "__r").select("book_id", (F.col("__t") - F.col("__r")).alias("__h"))
+    back = count_upto(done, "__slot", holes, "__h", "__passed", inclusive=True)
+    return back.withColumn(out, F.col("__slot") + F.col("__passed")).select(*rows.columns, out)
+
+
+def _settle_stretches(rows: DataFrame, columns, order) -> DataFrame:
+    """Each slot of a stretch goes to the earliest waiting row."""
+    import heapq
+
+    def settle(pdf):
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        by_base = pdf["__base"].argsort(kind="stable").tolist()
+        bases = pdf["__base"].tolist()
+        slots, waiting, nxt = [0] * len(pdf), [], 0
+        for at in range(int(pdf["__from"].iloc[0]), int(pdf["__from"].iloc[0]) + len(pdf)):
+            while nxt < len(by_base) and bases[by_base[nxt]] <= at:
+                heapq.heappush(waiting, by_base[nxt])
+                nxt += 1
+            slots[heapq.heappop(waiting)] = at
+        pdf["__slot"] = slots
+        return pdf[[*columns, "__slot"]]
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in columns)
+    kept = rows.select(*columns, "__stretch", "__base", "__from")
+    return kept.groupBy("book_id", "__stretch").applyInPandas(settle, f"{fields}, __slot long").select(*columns, "__slot")
+
+
+def _settle_by_rounds(rows: DataFrame, columns, order) -> DataFrame:
+    """Every round each row asks for one slot and the earliest asker keeps it; a mover pushes the rows behind it."""
+    group, rank = ["book_id", "__base"], F.struct(*order)
+    state = stage(rank_rows(rows.select(*columns, "__base"), group, order, "__k").withColumn("__gap", F.lit(0).cast("long")))
+    while True:
+        asked = state.withColumn("__slot", F.col("__base") + F.col("__k") + F.col("__gap"))
+        best = asked.groupBy("book_id", "__slot").agg(F.min(rank).alias("__best"))
+        judged = stage(asked.join(best, ["book_id", "__slot"]).withColumn("__lost", (rank > F.col("__best")).cast("long")))
+        if judged.filter("__lost > 0").isEmpty():
+            return judged.select(*columns, "__slot")
+        moved = judged.withColumn("__g", F.col("__gap") + F.col("__lost")).drop("__slot", "__best", "__lost", "__gap")
+        state = stage(running_max(moved, group, "__k", "__g", "__gap").drop("__g"))
+
+
 def all_of(conds) -> Column:
     return reduce(lambda a, b: a & b, conds, F.lit(True))
 
