@@ -158,7 +158,7 @@ def claim_slots(rows: DataFrame, taken: DataFrame, base: str, order, out: str =
     lined = stage(running_max(lined, ["book_id"], "__n", "__d", "__stretch")
                   .withColumn("__at", F.col("__n") + F.col("__stretch")).drop("__d"))
     sizes = (lined.groupBy("book_id", "__stretch")
-             .agg(F.count(F.lit(1)).alias("__size"), F.min("__at").alias("__from"), (F.min("__base") != F.max("__base")).alias("__mixed"))
+             .agg(F.count(F.lit(1)).alias("__size"), F.min("__at").alias("__start"), (F.min("__base") != F.max("__base")).alias("__mixed"))
              .filter("__mixed"))
     mixed = stage(lined.join(sizes, ["book_id", "__stretch"], "left"))
     plain = mixed.filter("__mixed is null")
@@ -187,7 +187,7 @@ def _settle_stretches(rows: DataFrame, columns, order) -> DataFrame:
         by_base = pdf["__base"].argsort(kind="stable").tolist()
         bases = pdf["__base"].tolist()
         slots, waiting, nxt = [0] * len(pdf), [], 0
-        for at in range(int(pdf["__from"].iloc[0]), int(pdf["__from"].iloc[0]) + len(pdf)):
+        for at in range(int(pdf["__start"].iloc[0]), int(pdf["__start"].iloc[0]) + len(pdf)):
             while nxt < len(by_base) and bases[by_base[nxt]] <= at:
                 heapq.heappush(waiting, by_base[nxt])
                 nxt += 1
@@ -196,7 +196,7 @@ def _settle_stretches(rows: DataFrame, columns, order) -> DataFrame:
         return pdf[[*columns, "__slot"]]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in columns)
-    kept = rows.select(*columns, "__stretch", "__base", "__from")
+    kept = rows.select(*columns, "__stretch", "__base", "__start")
     return kept.groupBy("book_id", "__stretch").applyInPandas(settle, f"{fields}, __slot long").select(*columns, "__slot")
 
 
