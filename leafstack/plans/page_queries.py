@@ -22,7 +22,10 @@ from . import fixtures as fx
 from .fixtures import ctes, stored, table
 from .registry import query
 
-N = F.col("page_id")
+
+
+def number():
+    return F.col("page_id")
 
 
 def pages(spark, sf):
@@ -62,7 +65,7 @@ UNION ALL SELECT page_id, 2, 'img', 'b.png', 'image' FROM pages UNION ALL SELECT
 @query("J2_references", PARTS_SQL)
 def j2b(spark, sf):
     head = F.concat(F.lit('<!DOCTYPE html><html><head><link rel="shortcut icon" href="icon.png"></head><body><p>'), body(F.col("html")),
-                    F.lit('<img src="a'), N % 9, F.lit('.png" srcset="b.png 2x">'), F.when(N % 2 == 0, '<iframe src="f.html"></iframe>').otherwise(""))
+                    F.lit('<img src="a'), number() % 9, F.lit('.png" srcset="b.png 2x">'), F.when(number() % 2 == 0, '<iframe src="f.html"></iframe>').otherwise(""))
     refs = pg.references(pages(spark, sf).select("page_id", head.alias("html")), ["page_id"])
     return refs.select("page_id", "ord", "tag", "url", "kind")
 
@@ -71,7 +74,7 @@ def j2b(spark, sf):
 SELECT page_id, 0 AS ord, 'import' AS kind, 'base' || (page_id % 5) || '.css' AS url FROM pages UNION ALL SELECT page_id, 1, 'font', 'f.woff' FROM pages
 UNION ALL SELECT page_id, 2, 'background', 'bg ' || page_id || '.png' FROM pages""")
 def j3(spark, sf):
-    css = F.concat(F.lit('/* url(no.png) */ @import "base'), N % 5, F.lit('.css"; @namespace url(ns); @font-face { src: url(f.woff) } p:after { content: "url(no)" } p { background: url("bg\\20 '), N, F.lit('.png"); }'))
+    css = F.concat(F.lit('/* url(no.png) */ @import "base'), number() % 5, F.lit('.css"; @namespace url(ns); @font-face { src: url(f.woff) } p:after { content: "url(no)" } p { background: url("bg\\20 '), number(), F.lit('.png"); }'))
     return pg.css_references(pages(spark, sf).select("page_id", css.alias("css")), ["page_id"]).select("page_id", "ord", "kind", "url")
 
 
@@ -87,9 +90,9 @@ def j3b(spark, sf):
 SELECT page_id, CASE page_id % 5 WHEN 4 THEN NULL WHEN 3 THEN 10 ELSE page_id % 3 END AS seconds,
   CASE page_id % 5 WHEN 0 THEN 'p' || page_id || '.html' WHEN 1 THEN 'a b' WHEN 2 THEN '' WHEN 3 THEN url END AS target FROM pages""")
 def j4(spark, sf):
-    c = (F.when(N % 5 == 0, F.concat(N % 3, F.lit(" ; URL = p"), N, F.lit(".html ")))
-         .when(N % 5 == 1, F.concat(N % 3, F.lit(".5;url='a b'c"))).when(N % 5 == 2, (N % 3).cast("string"))
-         .when(N % 5 == 3, F.concat(F.lit("10,"), "url")).otherwise("url=x"))
+    c = (F.when(number() % 5 == 0, F.concat(number() % 3, F.lit(" ; URL = p"), number(), F.lit(".html ")))
+         .when(number() % 5 == 1, F.concat(number() % 3, F.lit(".5;url='a b'c"))).when(number() % 5 == 2, (number() % 3).cast("string"))
+         .when(number() % 5 == 3, F.concat(F.lit("10,"), "url")).otherwise("url=x"))
     seconds, target = pg.refresh_columns(c)
     return pages(spark, sf).select("page_id", seconds.alias("seconds"), target.alias("target"))
 
@@ -97,7 +100,7 @@ def j4(spark, sf):
 @query("J4_refreshes", """
 SELECT page_id, 0 AS ord, page_id % 4 AS seconds, 'x' || page_id || '.html' AS target, '' AS contexts FROM pages UNION ALL SELECT page_id, 1, 0, 'y.html', 'noscript' FROM pages""")
 def j4b(spark, sf):
-    html = F.concat(F.lit('<html><head><meta http-equiv="Refresh" content="'), N % 4, F.lit(";url=x"), N,
+    html = F.concat(F.lit('<html><head><meta http-equiv="Refresh" content="'), number() % 4, F.lit(";url=x"), number(),
                     F.lit('.html"><noscript><meta http-equiv="refresh" content="0;y.html"></noscript></head><body>'), body(F.col("html")))
     out = pg.refreshes(pages(spark, sf).select("page_id", html.alias("html")), ["page_id"])
     return out.select("page_id", "ord", "seconds", "target", F.array_join("contexts", ",").alias("contexts"))
@@ -107,10 +110,10 @@ def j4b(spark, sf):
 SELECT codec, count(*) AS n FROM (SELECT CASE page_id % 6 WHEN 0 THEN 'UTF-8-SIG' WHEN 1 THEN 'big5hkscs' WHEN 2 THEN 'windows-1252' WHEN 3 THEN 'UTF-8' WHEN 4 THEN 'x-unknown' ELSE 'UTF-16-LE' END AS codec FROM pages) GROUP BY 1""")
 def j5(spark, sf):
     bare = F.regexp_replace("html", '<meta charset="utf-8">', "")
-    meta = (F.when(N % 6 == 1, '<meta charset=Big5>').when(N % 6 == 2, '<meta http-equiv="Content-Type" content="text/html; charset=latin1">')
-            .when(N % 6 == 4, '<meta charset="x-unknown">').otherwise(""))
+    meta = (F.when(number() % 6 == 1, '<meta charset=Big5>').when(number() % 6 == 2, '<meta http-equiv="Content-Type" content="text/html; charset=latin1">')
+            .when(number() % 6 == 4, '<meta charset="x-unknown">').otherwise(""))
     html = F.concat(meta, bare)
-    mark = F.when(N % 6 == 0, F.unhex(F.lit("EFBBBF"))).when(N % 6 == 5, F.unhex(F.lit("FFFE"))).otherwise(F.unhex(F.lit("")))
+    mark = F.when(number() % 6 == 0, F.unhex(F.lit("EFBBBF"))).when(number() % 6 == 5, F.unhex(F.lit("FFFE"))).otherwise(F.unhex(F.lit("")))
     rows = pages(spark, sf).select(html.alias("html"), F.concat(mark, F.encode(html, "UTF-8")).alias("content"))
     return pg.charset_census(rows, content="content")
 
@@ -118,15 +121,15 @@ def j5(spark, sf):
 @stored
 def saved_pages(spark, sf):
     """Pages as different savers leave them."""
-    src = F.concat(F.lit("https://site.example.com/p/"), N)
+    src = F.concat(F.lit("https://site.example.com/p/"), number())
     title = F.concat(F.lit("<title>"), body(F.col("html")), F.lit("</title>"))
-    kind = N % 5
+    kind = number() % 5
     html = (F.when(kind == 0, F.concat(F.lit("<!-- saved from url=("), F.lpad(F.length(src), 4, "0"), F.lit(")"), src, F.lit(" --><html><head>"), title, F.lit("</head>")))
             .when(kind == 1, F.concat(F.lit("<html> <!--\n Page saved with SingleFile \n url: "), src, F.lit(" \n saved date: Tue Jan 02 2024 10:20:30 GMT+0800 (Taipei)\n--><head>"), title, F.lit("</head>")))
-            .when(kind == 2, F.concat(F.lit('<html><head><meta name="savepage-url" content="'), src, F.lit('"><meta name="savepage-title" content="T'), N,
+            .when(kind == 2, F.concat(F.lit('<html><head><meta name="savepage-url" content="'), src, F.lit('"><meta name="savepage-title" content="T'), number(),
                                      F.lit('"><meta name="savepage-date" content="Wed Jan 03 2024 01:02:03 GMT-0500 (EST)">'), title, F.lit("</head>")))
             .when(kind == 3, F.concat(F.lit("<html><!-- OriginalSrc: "), src, F.lit(' --><head><link rel="icon" href="i.png"></head>')))
-            .otherwise(F.concat(F.lit('<html data-scrapbook-id="2024010100000'), F.lpad(N % 10000, 4, "0"), F.lit('" data-scrapbook-type="note" data-scrapbook-title="N &amp; '), N,
+            .otherwise(F.concat(F.lit('<html data-scrapbook-id="2024010100000'), F.lpad(number() % 10000, 4, "0"), F.lit('" data-scrapbook-type="note" data-scrapbook-title="N &amp; '), number(),
                                 F.lit('"><head><svg><title>no</title></svg>'), title, F.lit("</head>"))))
     return pages(spark, sf).select("page_id", F.concat(html, F.lit("<body>"), body(F.col("html")), F.lit("</body></html>")).alias("html"))
 
@@ -151,15 +154,15 @@ r AS (SELECT *, CASE WHEN given = 'root' THEN 'reserved' WHEN k > 1 THEN 'used'
 n AS (SELECT page_id, strftime(TIMESTAMP '2024-02-01 00:00:00' + to_milliseconds(row_number() OVER (ORDER BY page_id) - 1), '%Y%m%d%H%M%S%g') AS fresh FROM r WHERE id IS NULL AND problem IS NULL)
 SELECT page_id, coalesce(id, fresh) AS item_id, problem FROM r LEFT JOIN n USING (page_id)""")
 def j7(spark, sf):
-    given = F.when(N % 4 == 0, F.concat(F.lit("G"), F.floor(N / 8))).when((N % 4 == 3) & (N % 20 == 3), "root")
-    path = F.when(N % 4 == 1, F.concat(F.lit("20230101000"), F.lpad(N % 1000000, 6, "0"), F.lit("/index.html"))).otherwise(F.concat(F.lit("page"), N, F.lit(".html")))
-    rows = pages(spark, sf).select(F.lit("b").alias("book_id"), N.alias("ord"), path.alias("path"), given.alias("given_id"))
+    given = F.when(number() % 4 == 0, F.concat(F.lit("G"), F.floor(number() / 8))).when((number() % 4 == 3) & (number() % 20 == 3), "root")
+    path = F.when(number() % 4 == 1, F.concat(F.lit("20230101000"), F.lpad(number() % 1000000, 6, "0"), F.lit("/index.html"))).otherwise(F.concat(F.lit("page"), number(), F.lit(".html")))
+    rows = pages(spark, sf).select(F.lit("b").alias("book_id"), number().alias("ord"), path.alias("path"), given.alias("given_id"))
     return pg.choose_ids(rows, fx.items(spark, sf), "20240201000000000").select(F.col("ord").alias("page_id"), "item_id", "problem")
 
 
 def uri(text):
-    return (F.when(N % 4 == 0, F.concat(F.lit("data:text/plain;charset=UTF-8;base64,"), F.replace(F.base64(F.encode(text, "UTF-8")), F.lit("\r\n"), F.lit(""))))
-            .when(N % 4 == 1, F.concat(F.lit("data:text/html;Charset=big5,a%20%ZZ%C3%A9"), N)).when(N % 4 == 2, F.lit("data:image/png;base64,AAAAA"))
+    return (F.when(number() % 4 == 0, F.concat(F.lit("data:text/plain;charset=UTF-8;base64,"), F.replace(F.base64(F.encode(text, "UTF-8")), F.lit("\r\n"), F.lit(""))))
+            .when(number() % 4 == 1, F.concat(F.lit("data:text/html;Charset=big5,a%20%ZZ%C3%A9"), number())).when(number() % 4 == 2, F.lit("data:image/png;base64,AAAAA"))
             .otherwise(F.lit("data:nothing")))
 
 
@@ -175,9 +178,9 @@ def j8(spark, sf):
 @stored
 def picture_pages(spark, sf):
     """Pages with a picture as data URI (one in twenty shared), an error and a normal reference."""
-    img = F.base64(F.encode(F.concat(F.lit("img"), N % 20), "UTF-8"))
+    img = F.base64(F.encode(F.concat(F.lit("img"), number() % 20), "UTF-8"))
     html = F.concat(F.lit('<html><body><img src="data:image/png;base64,'), img, F.lit('"><img src="data:oops"><a href="x.html">'), body(F.col("html")), F.lit("</a></body></html>"))
-    return pages(spark, sf).select(F.lit("b").alias("book_id"), "page_id", F.concat(F.lit("d"), N % 7, F.lit("/p"), N, F.lit(".html")).alias("path"), html.alias("html"))
+    return pages(spark, sf).select(F.lit("b").alias("book_id"), "page_id", F.concat(F.lit("d"), number() % 7, F.lit("/p"), number(), F.lit(".html")).alias("path"), html.alias("html"))
 
 
 @query("J9_externalised_pages", r"""
@@ -195,12 +198,12 @@ def d8(spark, sf):
 @stored
 def site(spark, sf):
     """(pages, files in one table): even pages frame the next one, and all show a picture and a style sheet."""
-    page = F.concat(F.lit('<html><body><img src="../img/'), N % 11, F.lit('.png"><a href="missing.html">m</a><a href="https://x.example.com/">e</a>'),
-                    F.when(N % 2 == 0, F.concat(F.lit('<frame src="p'), N + 1, F.lit('.html">'))).otherwise(""), body(F.col("html")), F.lit("</body></html>"))
+    page = F.concat(F.lit('<html><body><img src="../img/'), number() % 11, F.lit('.png"><a href="missing.html">m</a><a href="https://x.example.com/">e</a>'),
+                    F.when(number() % 2 == 0, F.concat(F.lit('<frame src="p'), number() + 1, F.lit('.html">'))).otherwise(""), body(F.col("html")), F.lit("</body></html>"))
     p = pages(spark, sf)
-    docs = p.select(F.lit("b").alias("book_id"), F.concat(F.lit("d/p"), N, F.lit(".html")).alias("path"), F.encode(page, "UTF-8").alias("content"))
-    pics = p.select(F.lit("b").alias("book_id"), F.concat(F.lit("img/"), N % 11, F.lit(".png")).alias("path"),
-                    F.encode(F.concat(F.lit("png"), N % 11), "UTF-8").alias("content")).distinct()
+    docs = p.select(F.lit("b").alias("book_id"), F.concat(F.lit("d/p"), number(), F.lit(".html")).alias("path"), F.encode(page, "UTF-8").alias("content"))
+    pics = p.select(F.lit("b").alias("book_id"), F.concat(F.lit("img/"), number() % 11, F.lit(".png")).alias("path"),
+                    F.encode(F.concat(F.lit("png"), number() % 11), "UTF-8").alias("content")).distinct()
     return docs.unionByName(pics)
 
 
@@ -228,8 +231,8 @@ def j10(spark, sf):
 SELECT type, charset, count(*) AS n FROM (SELECT CASE page_id % 4 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/xhtml+xml' WHEN 2 THEN 'image/png' END AS type,
   CASE page_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'big5' END AS charset FROM pages) GROUP BY 1, 2""")
 def j11(spark, sf):
-    h = (F.when(N % 4 == 0, 'Text/HTML; Charset="UTF-8"; q=1').when(N % 4 == 1, "application/xhtml+xml;charset=x; charset=Big5")
-         .when(N % 4 == 2, "image/png; =bad; charset=no").otherwise("nonsense"))
+    h = (F.when(number() % 4 == 0, 'Text/HTML; Charset="UTF-8"; q=1').when(number() % 4 == 1, "application/xhtml+xml;charset=x; charset=Big5")
+         .when(number() % 4 == 2, "image/png; =bad; charset=no").otherwise("nonsense"))
     return pg.content_type_census(pages(spark, sf).select(h.alias("header")))
 
 
@@ -251,8 +254,8 @@ def d11(spark, sf):
     extra = F.element_at(F.array(*[F.lit(x) for x in (
         '<link rel="stylesheet" href="chrome://scrapbook/skin/annotation.css">', '<link rel="stylesheet" href="chrome://scrapbook/skin/combine.css">',
         '<img src="chrome://scrapbook/skin/treenote.png">', '<span class="x linemarker-marked-line">', '<span data-sb-obj="inline">',
-        '<script data-scrapbook-elem="canvas-loader">')]), F.least(N % 7 + 1, F.lit(6)).cast("int"))
-    tail = F.when(N % 7 < 6, extra).when(N % 14 == 6, '<div data-scrapbook-shadowroot="{}">').otherwise("")
+        '<script data-scrapbook-elem="canvas-loader">')]), F.least(number() % 7 + 1, F.lit(6)).cast("int"))
+    tail = F.when(number() % 7 < 6, extra).when(number() % 14 == 6, '<div data-scrapbook-shadowroot="{}">').otherwise("")
     return lg.markup_census(pages(spark, sf).select(F.concat("html", tail).alias("html")))
 
 
@@ -262,11 +265,11 @@ def d11(spark, sf):
 WITH RECURSIVE r AS (SELECT page_id, 'p' || (page_id % 5) AS path FROM pages WHERE page_id % 25 = 0 UNION SELECT r.page_id, 'p' || ((CAST(substr(r.path, 2) AS INT) * 2 + 1) % 23) FROM r WHERE CAST(substr(r.path, 2) AS INT) <> 15)
 SELECT page_id, path FROM r WHERE path <> 'p22'""")
 def h5(spark, sf):
-    items = pages(spark, sf).filter("page_id % 25 = 0").select(F.lit("b").alias("book_id"), F.concat(F.lit("i"), N).alias("item_id"), "page_id")
+    items = pages(spark, sf).filter("page_id % 25 = 0").select(F.lit("b").alias("book_id"), F.concat(F.lit("i"), number()).alias("item_id"), "page_id")
     nums = items.select("book_id", "item_id", F.explode(F.sequence(F.lit(0), F.lit(22))).alias("k"))
     links = nums.filter("k <> 15").select("book_id", "item_id", F.concat(F.lit("p"), "k").alias("path"), F.concat(F.lit("p"), (F.col("k") * 2 + 1) % 23).alias("target"))
     files = nums.filter("k <> 22").select("book_id", "item_id", F.concat(F.lit("p"), "k").alias("path"))
-    seeds = items.select("book_id", "item_id", F.concat(F.lit("p"), N % 5).alias("path"))
+    seeds = items.select("book_id", "item_id", F.concat(F.lit("p"), number() % 5).alias("path"))
     out = ix.crawl(seeds, links, files)
     return out.select(F.expr("cast(substring(item_id, 2) as bigint)").alias("page_id"), "path")
 
@@ -276,8 +279,8 @@ WITH t AS (SELECT page_id, trim(regexp_replace('w ' || substr(regexp_replace(htm
 SELECT a.page_id, a.t || CASE WHEN b.t IS NOT NULL THEN ' ' || b.t ELSE '' END || ' end' || CASE WHEN b.t IS NOT NULL THEN '' ELSE '' END AS content
 FROM t a LEFT JOIN (SELECT page_id, t || ' end' AS t FROM t) b ON a.page_id % 2 = 0 AND b.page_id = a.page_id + 1 WHERE a.page_id % 2 = 0""")
 def h6(spark, sf):
-    html = F.concat(F.lit("<html><body>w "), body(F.col("html")), F.when(N % 2 == 0, F.concat(F.lit('<iframe src="p'), N + 1, F.lit('.html"></iframe>'))).otherwise(""), F.lit("<b>end</b></body></html>"))
-    rows = pages(spark, sf).select(F.lit("b").alias("book_id"), F.concat(F.lit("i"), F.floor(N / 10)).alias("item_id"), F.concat(F.lit("p"), N, F.lit(".html")).alias("path"), N.alias("ord"),
+    html = F.concat(F.lit("<html><body>w "), body(F.col("html")), F.when(number() % 2 == 0, F.concat(F.lit('<iframe src="p'), number() + 1, F.lit('.html"></iframe>'))).otherwise(""), F.lit("<b>end</b></body></html>"))
+    rows = pages(spark, sf).select(F.lit("b").alias("book_id"), F.concat(F.lit("i"), F.floor(number() / 10)).alias("item_id"), F.concat(F.lit("p"), number(), F.lit(".html")).alias("path"), number().alias("ord"),
                                    F.encode(html, "UTF-8").alias("content"))
     out = ix.inline_frames(ix.extract(rows))
     return out.select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("page_id"), "content")
@@ -442,7 +445,7 @@ def zip_up(ids: pd.Series, html: pd.Series) -> pd.Series:
 
 @stored
 def archives(spark, sf):
-    return pages(spark, sf).select(F.concat(F.lit("a"), N, F.when(N % 3 == 0, ".maff").otherwise(".htz")).alias("archive"), zip_up("page_id", "html").alias("content"))
+    return pages(spark, sf).select(F.concat(F.lit("a"), number(), F.when(number() % 3 == 0, ".maff").otherwise(".htz")).alias("archive"), zip_up("page_id", "html").alias("content"))
 
 
 ARCH = "z AS (SELECT page_id AS i, 'a' || page_id || CASE WHEN page_id % 3 = 0 THEN '.maff' ELSE '.htz' END AS archive FROM pages WHERE page_id % 10 <> 9)"
@@ -505,7 +508,7 @@ def pack_export(ids: pd.Series, titles: pd.Series) -> pd.Series:
 
 @stored
 def export_files(spark, sf):
-    return pages(spark, sf).select(F.concat(F.lit("e"), N).alias("archive"), pack_export("page_id", body(F.col("html"))).alias("content"))
+    return pages(spark, sf).select(F.concat(F.lit("e"), number()).alias("archive"), pack_export("page_id", body(F.col("html"))).alias("content"))
 
 
 @query("A11_exports_v2", """
@@ -539,7 +542,7 @@ def n1(spark, sf):
     def version(v, cond):
         html = F.concat(F.lit("<p>"), body(F.col("html")), F.lit(f" v{v}"))
         return pages(spark, sf).filter(cond).select(
-            F.lit("b").alias("book_id"), F.concat(F.lit("i"), N).alias("item_id"), F.lit("index.html").alias("path"),
+            F.lit("b").alias("book_id"), F.concat(F.lit("i"), number()).alias("item_id"), F.lit("index.html").alias("path"),
             F.lit(f"2024-01-0{v} 00:00:00").cast("timestamp").alias("mtime"), F.encode(html, "UTF-8").alias("content"))
 
     for v, cond in ((1, "true"), (2, "page_id % 2 = 0")):
