@@ -8,6 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import css
 from .pagescan import PageScan, squeeze_text
@@ -16,13 +17,13 @@ from .snippets import mark_text
 _FILENAME_STEPS = ((r"[\t\n\f\r]+", " "), (r"[\x00-\x1f\x7f-\x9f]+", ""), (r'[:"?*\\/|<>]', "_"), (r"^ +", ""), (r"[. ]+$", ""), (r"^\.", "_."))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def page_text(pages: pd.Series) -> pd.Series:
     """Visible text of a page."""
     return pages.map(lambda t: None if t is None else squeeze_text(" ".join(PageScan.of(t).pieces)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def highlight(texts: pd.Series, patterns: pd.Series) -> pd.Series:
     """Text with the hits of an array of regular expressions marked."""
     def one(t, ps):
@@ -61,7 +62,7 @@ class ZipMembers:
             return
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def page_unescape(texts: pd.Series) -> pd.Series:
     """All named and numeric character references decoded."""
     return texts.map(lambda t: None if t is None else html.unescape(t))

@@ -6,6 +6,7 @@ import zipfile
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import datauri
 from ..operators import check as ck
@@ -421,7 +422,7 @@ def a16(spark, sf):
     return fl.legacy_data_scan(files).select("legacy_id", "has_sitemap")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def zip_up(ids: pd.Series, html: pd.Series) -> pd.Series:
     """A small archive per page; every 10th is broken, every 3rd is a MAFF with an RDF index."""
     def one(i, text):
@@ -484,7 +485,7 @@ def m4(spark, sf):
     return ck.check_archives(items, health).select("item_id", "code")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack_export(ids: pd.Series, titles: pd.Series) -> pd.Series:
     """Export archives; some records are malformed, every 4th archive is version 1."""
     import json
