@@ -285,8 +285,8 @@ def charset_census(pages: DataFrame, **kw) -> DataFrame:
 
 def js_date_id(text: Column) -> Column:
     """``Mon Jan 01 2024 10:00:00 GMT+0800 (zone)`` -> 17-digit id."""
-    mon = F.regexp_extract(text, JS_DATE, 1)
-    num = F.coalesce(*[F.when(mon == MONTHS[i:i + 3], F.lit(f"{i // 3 + 1:02d}")) for i in range(0, 36, 3)])
+    at = F.position(F.regexp_extract(text, JS_DATE, 1), F.lit(MONTHS))
+    num = F.lpad(F.floor((at + 2) / 3).cast("string"), 2, "0")
     iso = F.concat(F.regexp_extract(text, JS_DATE, 3), F.lit("-"), num, F.lit("-"), F.regexp_extract(text, JS_DATE, 2),
                    F.lit(" "), F.regexp_extract(text, JS_DATE, 4), F.regexp_extract(text, JS_DATE, 5), F.lit(":"),
                    F.regexp_extract(text, JS_DATE, 6))

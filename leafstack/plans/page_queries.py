@@ -18,6 +18,7 @@ from ..runtime import ensure_checkpoint_dir
 from ..sources import archives as ar
 from ..sources import catalogue as cat
 from ..sources import files as fl
+from ..sources import rdf
 from ..streaming import streams as st
 from . import fixtures as fx
 from .fixtures import ctes, stored, table
@@ -525,6 +526,22 @@ def a12(spark, sf):
     return records.select("archive", "item_id", "tz_offset")
 
 
+@query("A15_legacy_rdf", """
+SELECT 'item' AS kind, strftime(o_orderdate, '%Y%m%d%H%M%S') || lpad(CAST(o_orderkey % 1000000000 AS VARCHAR), 9, '0') AS id, o_orderpriority AS detail FROM orders
+UNION ALL SELECT 'edge', strftime(o_orderdate, '%Y%m%d%H%M%S') || lpad(CAST(o_orderkey % 1000000000 AS VARCHAR), 9, '0'), CASE WHEN o_orderkey % 100 = 0 THEN 'root' ELSE '2000010100' || lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') END FROM orders""")
+def a15(spark, sf):
+    base = _folder(spark, "rdf")
+    o = table(spark, sf, "orders")
+    iid = F.concat(F.date_format("o_orderdate", "yyyyMMddHHmmss"), F.lpad((F.col("o_orderkey") % 1000000000).cast("string"), 9, "0"))
+    item = F.concat(F.lit('<RDF:Description RDF:about="urn:scrapbook:item'), iid, F.lit('" NS1:id="x" NS1:title="'), F.col("o_orderpriority"), F.lit('" NS1:type=""/>'))
+    up = F.when(F.col("o_orderkey") % 100 == 0, "root").otherwise(F.concat(F.lit("item2000010100"), F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0")))
+    seq = F.concat(F.lit('<RDF:Seq RDF:about="urn:scrapbook:'), up, F.lit('"><RDF:li RDF:resource="urn:scrapbook:item'), iid, F.lit('"/></RDF:Seq>'))
+    o.select(F.explode(F.array(item, seq)).alias("value")).write.text(f"{base}/rdf")
+    items = rdf.read_records(spark, f"{base}/rdf").select(F.lit("item").alias("kind"), F.col("legacy_id").alias("id"), F.col("props")["title"].alias("detail"))
+    edges = rdf.read_sequences(spark, f"{base}/rdf").select(F.lit("edge").alias("kind"), F.col("child_id").alias("id"), F.col("parent_id").alias("detail"))
+    return items.unionByName(edges)
+
+
 # -- streams ------------------------------------------------------------------------------------
 
 def _folder(spark, name):
