@@ -536,9 +536,14 @@ def a15(spark, sf):
     item = F.concat(F.lit('<RDF:Description RDF:about="urn:scrapbook:item'), iid, F.lit('" NS1:id="x" NS1:title="'), F.col("o_orderpriority"), F.lit('" NS1:type=""/>'))
     up = F.when(F.col("o_orderkey") % 100 == 0, "root").otherwise(F.concat(F.lit("item2000010100"), F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0")))
     seq = F.concat(F.lit('<RDF:Seq RDF:about="urn:scrapbook:'), up, F.lit('"><RDF:li RDF:resource="urn:scrapbook:item'), iid, F.lit('"/></RDF:Seq>'))
-    o.select(F.explode(F.array(item, seq)).alias("value")).write.text(f"{base}/rdf")
-    items = rdf.read_records(spark, f"{base}/rdf").select(F.lit("item").alias("kind"), F.col("legacy_id").alias("id"), F.col("props")["title"].alias("detail"))
-    edges = rdf.read_sequences(spark, f"{base}/rdf").select(F.lit("edge").alias("kind"), F.col("child_id").alias("id"), F.col("parent_id").alias("detail"))
+    # one catalogue file per 5000 order numbers
+    entries = o.select(F.floor(F.col("o_orderkey") / 5000).alias("book"), F.concat(item, F.lit("\n"), seq).alias("e"))
+    docs = entries.groupBy("book").agg(F.array_join(F.collect_list("e"), "\n").alias("body")).select("book", F.concat(F.lit(
+        '<?xml version="1.0"?>\n<RDF:RDF xmlns:NS1="http://amb.vis.ne.jp/mozilla/scrapbook-rdf#" xmlns:NC="http://home.netscape.com/NC-rdf#" '
+        'xmlns:RDF="http://www.w3.org/1999/02/22-rdf-syntax-ns#">\n'), "body", F.lit("\n</RDF:RDF>")).alias("value"))
+    docs.write.partitionBy("book").text(f"{base}/rdf")
+    items = rdf.read_records(spark, f"{base}/rdf/*").select(F.lit("item").alias("kind"), F.col("legacy_id").alias("id"), F.col("props")["title"].alias("detail"))
+    edges = rdf.read_sequences(spark, f"{base}/rdf/*").select(F.lit("edge").alias("kind"), F.col("child_id").alias("id"), F.col("parent_id").alias("detail"))
     return items.unionByName(edges)
 
 
