@@ -1,7 +1,7 @@
 """Page-corpus jobs, text index, catalogue files, archives and streams."""
 
 import io
-import tempfile
+import uuid
 import zipfile
 
 import pandas as pd
@@ -39,16 +39,19 @@ def body(html):
     return F.substring(F.regexp_replace(html, r"[^A-Za-z ]+", ""), 300, 40)
 
 
-@query("J1_fast_text", r"""
+TEXT_SQL = r"""
 WITH a AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?is)<title(?:\s[^>]*)?>.*?</title\s*>', ' ', 'g'), '(?is)<style(?:\s[^>]*)?>.*?</style\s*>', ' ', 'g'), '(?is)<script(?:\s[^>]*)?>.*?</script\s*>', ' ', 'g') AS h FROM a),
 c AS (SELECT page_id, regexp_replace(h, '(?s)<[^>]*>', ' ', 'g') AS h FROM b)
-SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\s\x{0B}\x{A0}]+', ' ', 'g')) AS text FROM c""")
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\s\x{0B}\x{A0}]+', ' ', 'g')) AS text FROM c"""
+
+
+@query("J1_fast_text", TEXT_SQL)
 def j1(spark, sf):
     return pages(spark, sf).select("page_id", pg.fast_text("html").alias("text"))
 
 
-@query("J1_full_text")
+@query("J1_full_text", TEXT_SQL)
 def j1b(spark, sf):
     parts = pg.page_parts(F.encode("html", "UTF-8"), F.lit("index.html"))
     return pages(spark, sf).withColumn("p", parts).select("page_id", pg.segments_text(F.col("p.segments")).alias("text"))
@@ -551,10 +554,8 @@ def a15(spark, sf):
 
 def _folder(spark, name):
     """A fresh folder beside the checkpoints, reachable by every executor."""
-    import uuid
     ensure_checkpoint_dir(spark)
-    base = spark.sparkContext.getCheckpointDir()
-    return f"{base}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=name)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 @query("N1_incremental_index", r"""

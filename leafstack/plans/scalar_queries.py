@@ -122,7 +122,9 @@ def i11(spark, sf):
     return d.select("doc_id", s.human_size(F.col("n_chars") * (F.lit(1) + F.col("doc_id") % 5 * 997)).alias("size"))
 
 
-@query("I12_relative_url")
+@query("I12_relative_url", ctes("items") + """, p AS (SELECT book_id, item_id, index, CASE WHEN index <> '' THEN index ELSE 'x y/' || title END AS page FROM items)
+SELECT book_id, item_id, '../../data/' || replace(url_encode(page), '%2F', '/') AS from_tree,
+  CASE WHEN contains(page, '/') THEN '../../tree/favicon/' ELSE '../tree/favicon/' END AS to_icons FROM p""")
 def i12(spark, sf):
     it = fx.items(spark, sf)
     page = F.concat(F.lit("data/"), F.when(F.col("index") != "", F.col("index")).otherwise(F.concat(F.lit("x y/"), F.col("title"))))
