@@ -249,9 +249,12 @@ def relative_url(path, start, path_is_dir: bool = True, start_is_dir: bool = Tru
     return percent_encode(rel)
 
 
-# common named entities, numeric forms left to the Python page parser; ``&amp;`` must come last
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-            ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+# common named entities; numeric forms are left to the page parser; ``&amp;`` must come last
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
+    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"), ("&hellip;", "…"),
+    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
+    ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&amp;", "&"))
 
 
 def unescape_entities(x) -> Column:

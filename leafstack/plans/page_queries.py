@@ -43,7 +43,7 @@ TEXT_SQL = r"""
 WITH a AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?is)<title(?:\s[^>]*)?>.*?</title\s*>', ' ', 'g'), '(?is)<style(?:\s[^>]*)?>.*?</style\s*>', ' ', 'g'), '(?is)<script(?:\s[^>]*)?>.*?</script\s*>', ' ', 'g') AS h FROM a),
 c AS (SELECT page_id, regexp_replace(h, '(?s)<[^>]*>', ' ', 'g') AS h FROM b)
-SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(h, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\s\x{0B}\x{A0}]+', ' ', 'g')) AS text FROM c"""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\s\x{0B}\x{A0}]+', ' ', 'g')) AS text FROM c"""
 
 
 @query("J1_fast_text", TEXT_SQL)

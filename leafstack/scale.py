@@ -20,6 +20,10 @@ def _cols(names):
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
 
+def _slice(number: str, width: int) -> Column:
+    return F.call_function("div", F.col(number).cast("long"), F.lit(width).cast("long"))
+
+
 def first_per(df: DataFrame, keys, order, keep=None) -> DataFrame:
     """One row per key: the one smallest by ``order``.
 
@@ -37,7 +41,7 @@ def rank_by_number(df: DataFrame, keys, number, out, ties=(), chunk: int = CHUNK
     Lazy.  ``number`` is cut into fixed-width chunks; only one row per chunk
     takes part in the running total, so a hub parent spreads over many tasks.
     """
-    piece = df.withColumn("__chunk", F.floor(F.col(number) / F.lit(chunk)).cast("long"))
+    piece = df.withColumn("__chunk", _slice(number, chunk))
     w_piece = Window.partitionBy(*keys, "__chunk").orderBy(F.col(number), *_cols(ties))
     w_prev = (Window.partitionBy(*keys).orderBy("__chunk")
               .rowsBetween(Window.unboundedPreceding, -1))
@@ -82,7 +86,7 @@ def group_ordinals(df: DataFrame, keys, order, out, total=None) -> DataFrame:
 
 def running_max(df: DataFrame, keys, order_number, value, out, chunk: int = CHUNK) -> DataFrame:
     """Running maximum of ``value`` within ``keys`` by the integer ``order_number``, two-level."""
-    piece = df.withColumn("__chunk", F.floor(F.col(order_number) / F.lit(chunk)).cast("long"))
+    piece = df.withColumn("__chunk", _slice(order_number, chunk))
     w_in = (Window.partitionBy(*keys, "__chunk").orderBy(order_number)
             .rowsBetween(Window.unboundedPreceding, 0))
     w_prev = (Window.partitionBy(*keys).orderBy("__chunk")
@@ -97,7 +101,7 @@ def running_max(df: DataFrame, keys, order_number, value, out, chunk: int = CHUN
 
 def running_sum(df: DataFrame, keys, order_number, value, out, chunk: int = CHUNK) -> DataFrame:
     """Running sum of ``value`` (this row included) within ``keys`` by the unique integer ``order_number``."""
-    piece = df.withColumn("__chunk", F.floor(F.col(order_number) / F.lit(chunk)).cast("long"))
+    piece = df.withColumn("__chunk", _slice(order_number, chunk))
     w_in = (Window.partitionBy(*keys, "__chunk").orderBy(order_number)
             .rowsBetween(Window.unboundedPreceding, 0))
     w_prev = (Window.partitionBy(*keys).orderBy("__chunk")
@@ -116,7 +120,7 @@ def chunked_list(df: DataFrame, keys, pos, value, size: int = 1024) -> DataFrame
     The concatenation of a key's chunks is its whole list; no row ever holds an
     unbounded group.  ``pos`` must be a dense 0-based position.
     """
-    return (df.withColumn("chunk", F.floor(F.col(pos) / F.lit(size)).cast("long"))
+    return (df.withColumn("chunk", _slice(pos, size))
             .groupBy(*keys, "chunk")
             .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))).alias("__l"))
             .select(*keys, "chunk", F.transform("__l", lambda s: s["v"]).alias("values")))
