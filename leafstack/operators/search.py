@@ -244,8 +244,7 @@ def select_books(df: DataFrame, spec: SearchSpec, books: DataFrame | None = None
         order = F.array_position(F.array(*[F.lit(b) for b in dict.fromkeys(spec.books)]), F.col("book_id"))
         df = df.withColumn("book_ord", order.cast("long"))
     elif books is not None:
-        # the list of books is configuration: a few rows, no matter how large the books are
-        df = df.join(F.broadcast(books.filter("not no_tree").select("book_id", "book_ord")), "book_id")
+        df = df.join(books.filter("not no_tree").select("book_id", "book_ord"), "book_id")
     else:
         df = df.withColumn("book_ord", F.lit(0).cast("long"))
     if spec.books_exclude:

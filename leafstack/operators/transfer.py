@@ -210,9 +210,14 @@ def import_exports(exports: DataFrame, items: DataFrame, edges: DataFrame, mode:
     ids = ok.select("book_id", "eid", "new_id", "action")
     cols = [c for c in items.columns if c not in ("book_id", "item_id", "ord")]
     top = items.groupBy("book_id").agg(F.max("ord").alias("__top"))
-    stored = ok.join(top, "book_id", "left").select(
-        "book_id", F.col("new_id").alias("item_id"), (F.coalesce("__top", F.lit(-1)) + 1 + F.col("ord")).alias("ord"),
-        *[F.col(c) if c in ok.columns else F.lit(None).cast(items.schema[c].dataType).alias(c) for c in cols])
+    # a replaced item keeps its place and its index path
+    old = items.select("book_id", F.col("item_id").alias("new_id"), F.col("ord").alias("__ord"), value("index").alias("__index"))
+    swap = F.col("action") == "replace"
+    rows = (ok.join(top, "book_id", "left").join(old, ["book_id", "new_id"], "left")
+            .withColumn("index", F.when(swap & (value("index") != ""), F.col("__index")).otherwise(F.col("index")))
+            .withColumn("ord", F.when(swap, F.col("__ord")).otherwise(F.coalesce("__top", F.lit(-1)) + 1 + F.col("ord"))))
+    stored = rows.select("book_id", F.col("new_id").alias("item_id"), "ord",
+                         *[F.col(c) if c in ok.columns else F.lit(None).cast(items.schema[c].dataType).alias(c) for c in cols])
     replaced = ok.filter("action = 'replace'").select(*KEY)
     kept = items.join(replaced, KEY, "left_anti")
     out_items = kept.unionByName(stored.select(*items.columns))

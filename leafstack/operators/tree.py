@@ -207,12 +207,14 @@ def static_index(edges: DataFrame, items: DataFrame, data_dir: str = "data", tre
                 .when((icon != "") & (url_scheme(icon) == ""), F.concat(base, icon)).otherwise(icon))
     title = F.when((kind != "separator") & (value("title") == ""), F.col("item_id")).otherwise(value("title"))
     level = (F.size("addr") - 1) * 2 - 1
+    marked = F.coalesce("marked", F.lit(False)) if "marked" in items.columns else F.lit(False)
+    comment = value("comment") if "comment" in items.columns else F.lit("")
     nodes = (rows.join(items, key)
              .select("book_id", "addr", "item_id", kind.alias("type"), title.alias("title"), href.alias("url"),
-                     icon_url.alias("icon"), source.alias("source"), level.alias("level"),
+                     icon_url.alias("icon"), source.alias("source"), marked.alias("marked"), comment.alias("comment"), level.alias("level"),
                      F.explode(F.array(F.struct(F.lit(0).alias("phase"), F.lit("start").alias("event")),
                                        F.struct(F.lit(3).alias("phase"), F.lit("end").alias("event")))).alias("__e"))
-             .select("book_id", "addr", "__e.*", "level", "item_id", "type", "title", "url", "icon", "source"))
+             .select("book_id", "addr", "__e.*", "level", "item_id", "type", "title", "url", "icon", "source", "marked", "comment"))
     none = F.lit(None).cast("string")
     boxes = (opened.select(
         "book_id", "addr",
@@ -220,7 +222,7 @@ def static_index(edges: DataFrame, items: DataFrame, data_dir: str = "data", tre
                           F.struct(F.lit(2).alias("phase"), F.lit("end-container").alias("event")))).alias("__e"),
         ((F.col("depth") - 1) * 2).alias("level"))
         .select("book_id", "addr", "__e.*", "level", none.alias("item_id"), none.alias("type"), none.alias("title"),
-                none.alias("url"), none.alias("icon"), none.alias("source")))
+                none.alias("url"), none.alias("icon"), none.alias("source"), none.cast("boolean").alias("marked"), none.alias("comment")))
     # closing events sort after everything below: pad their address with a value above all positions
     last = F.lit(9223372036854775807)
     sort_key = F.when(F.col("phase") >= 2, F.concat("addr", F.array(last, F.col("phase").cast("long")))).otherwise(

@@ -56,10 +56,8 @@ SELECT w.src, CASE WHEN w.circ THEN NULL ELSE w.at END AS final, w.circ AS circu
 WHERE w.circ OR NOT EXISTS (SELECT 1 FROM e WHERE e.src = w.at)""")
 def h4(spark, sf):
     p = table(spark, sf, "pages").select("page_id")
-    n = p.groupBy().agg(F.count(F.lit(1)).alias("n"))
-    i = F.col("page_id")
-    edges = (p.filter(i % 2 == 0).join(F.broadcast(n))
-             .select(i.alias("src"), F.when(i % 50 == 2, (i + 50) % 200).otherwise((i * 7 + 3) % F.col("n")).alias("dst")))
+    n, i = p.count(), F.col("page_id")
+    edges = p.filter(i % 2 == 0).select(i.alias("src"), F.when(i % 50 == 2, (i + 50) % 200).otherwise((i * 7 + 3) % n).alias("dst"))
     return gr.redirect_targets(edges).select("src", "final", "circular")
 
 
