@@ -28,8 +28,9 @@ def _roots(edges: DataFrame, roots) -> DataFrame:
             .withColumn("__r", F.explode(listed)).select("book_id", "__r.*"))
 
 
-def _hint(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _hint(df: DataFrame, rows: int, width: int = 1) -> DataFrame:
+    """Broadcast a counted side; ``width`` is the number of ids or positions a row carries."""
+    return F.broadcast(df) if rows * width <= BROADCAST_ROWS else df
 
 
 def reachable(edges: DataFrame, roots=SPECIAL_IDS, with_order: bool = False) -> DataFrame:
@@ -63,11 +64,12 @@ def _reach_ordered(edges: DataFrame, start: DataFrame) -> DataFrame:
     best = stage(start.groupBy(*key).agg(F.min(F.array("rank")).alias("addr")))
     frontier = best
     links = edges.select("book_id", F.col("parent_id").alias("item_id"), F.col("pos").cast("long").alias("pos"), "child_id")
+    depth = 0
     while True:
-        n = frontier.count()
+        n, depth = frontier.count(), depth + 1
         if n == 0:
             return best
-        step = (links.join(_hint(frontier, n), key)
+        step = (links.join(_hint(frontier, n, depth), key)
                 .select("book_id", F.col("child_id").alias("item_id"),
                         F.concat("addr", F.array("pos")).alias("addr"))
                 .groupBy(*key).agg(F.min("addr").alias("addr")))
@@ -102,7 +104,7 @@ def preorder(edges: DataFrame, roots=SPECIAL_IDS, expandable: DataFrame | None =
         n = frontier.filter("not cyc").count()
         if n == 0:
             break
-        up = _hint(frontier.filter("not cyc").withColumnRenamed("item_id", "__p"), n)
+        up = _hint(frontier.filter("not cyc").withColumnRenamed("item_id", "__p"), n, 2 * len(levels) + 2)
         step = (links.join(up, ["book_id", "__p"])
                 .select("book_id", F.col("child_id").alias("item_id"), F.col("__pos").alias("pos"),
                         F.concat("addr", F.array("__pos")).alias("addr"),
@@ -132,7 +134,7 @@ def expand_addresses(edges: DataFrame, addresses: DataFrame, recursive: bool = T
         if n == 0:
             break
         want = todo.withColumn("__pos", F.element_at("steps", F.col("depth") + 1)).withColumnRenamed("item_id", "__p")
-        step = stage(links.join(_hint(want, n), ["book_id", "__p", "__pos"]).select(
+        step = stage(links.join(_hint(want, n, 2 * len(found) + 2), ["book_id", "__p", "__pos"]).select(
             "book_id", "root_id", "steps", (F.col("depth") + 1).alias("depth"),
             F.col("child_id").alias("item_id"), F.concat("path", F.array("__p")).alias("path")))
         found.append(step.filter(F.col("depth") == F.size("steps")))
@@ -149,7 +151,7 @@ def expand_addresses(edges: DataFrame, addresses: DataFrame, recursive: bool = T
         n = open_.count()
         if n == 0:
             break
-        frontier = stage(links.join(_hint(open_.withColumnRenamed("item_id", "__p"), n), ["book_id", "__p"]).select(
+        frontier = stage(links.join(_hint(open_.withColumnRenamed("item_id", "__p"), n, 2 * len(levels) + 2), ["book_id", "__p"]).select(
             "book_id", "root_id", F.concat("steps", F.array("__pos")).alias("steps"),
             F.col("child_id").alias("item_id"), F.concat("path", F.array("__p")).alias("path")))
         levels.append(frontier)
