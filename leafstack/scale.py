@@ -68,6 +68,9 @@ def rank_rows(df: DataFrame, keys, order, out) -> DataFrame:
     runs = laid.groupBy(*keys, "__piece").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
     w = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
+    if not keys:
+        # one row per range partition
+        runs = F.broadcast(runs)
     on = reduce(lambda a, b: a & b,
                 [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "__piece"]])
     joined = laid.alias("l").join(runs.alias("r"), on)
