@@ -1,5 +1,9 @@
 """Named queries with their DuckDB counterparts."""
 
+from functools import wraps
+
+from ..runtime import ship
+
 QUERIES, ORACLES = {}, {}
 
 
@@ -9,7 +13,13 @@ def query(name: str, sql: str | None = None):
     def wrap(fn):
         if name in QUERIES:
             raise KeyError(name)
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def run(spark, sf):
+            ship(spark)
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -1,6 +1,8 @@
 """Session set-up, lineage cuts and size-checked broadcasts."""
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +26,24 @@ def local_session(cores="*", **conf) -> SparkSession:
         b = b.config(k.replace("__", "."), v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+_SHIPPED = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application, wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        target = tempfile.mkdtemp(prefix="leafstack-zip-")
+        archive = shutil.make_archive(f"{target}/leafstack", "zip", root_dir=package.parent, base_dir=package.name)
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; fall back to a temporary folder in local mode only."""
     sc = spark.sparkContext
