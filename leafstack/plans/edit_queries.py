@@ -109,15 +109,6 @@ def l4(spark, sf):
     return ed.link_items(fx.star_items(spark, sf), dense_star(spark, sf), order_picks(spark, sf, "seq % 40 = 1"), "C7").select("parent_id", "child_id", "pos")
 
 
-@query("L5_copy_items")
-def l5(spark, sf):
-    from ..operators.tree import dense_positions
-    e = dense_positions(fx.talk_edges(spark, sf))
-    picks = e.filter("parent_id = 'root' and pos % 5 = 0").select("book_id", F.col("pos").alias("seq"), "parent_id", "pos")
-    items, edges, ids = ed.copy_items(fx.talk_items(spark, sf), e, picks, "root", "20240201000000000")
-    return edges.select("parent_id", "pos", "child_id")
-
-
 # a third of the picked orders is listed twice, so it stays reachable
 BIN = """, bin0 AS (SELECT * FROM dense WHERE child_id LIKE 'O%' AND parent_id LIKE 'C%' AND CAST(substr(child_id, 2) AS BIGINT) % 30 = 2 AND child_id IN (SELECT item_id FROM star_items)),
 left_edges AS (SELECT d.parent_id, d.child_id, CAST(row_number() OVER (PARTITION BY d.parent_id ORDER BY d.pos) - 1 AS BIGINT) AS pos FROM dense d ANTI JOIN bin0 t ON t.parent_id = d.parent_id AND t.pos = d.pos),"""
@@ -213,6 +204,20 @@ occ AS (SELECT *, row_number() OVER (ORDER BY addr) - 1 AS n FROM talk_paths WHE
 STAMP = "strftime(TIMESTAMP '2024-02-01 00:00:00' + to_milliseconds({}), '%Y%m%d%H%M%S%g')"
 
 
+@query("L5_copy_items", EXPORT + f""",
+scope AS (SELECT item_id, min(addr[2:]) AS a FROM talk_paths WHERE pos IS NOT NULL AND addr[1] = 0 AND addr[2] % 5 = 0 AND item_id IN (SELECT item_id FROM talk_items) GROUP BY 1),
+ids AS (SELECT item_id, {STAMP.format('row_number() OVER (ORDER BY a) - 1')} AS nid FROM scope)
+SELECT parent_id, pos, child_id FROM dense
+UNION ALL SELECT p.nid, row_number() OVER (PARTITION BY p.nid ORDER BY d.pos, c.nid) - 1, c.nid FROM dense d JOIN ids p ON d.parent_id = p.item_id JOIN ids c ON d.child_id = c.item_id
+UNION ALL SELECT 'root', (SELECT count(*) FROM dense WHERE parent_id = 'root') + row_number() OVER (ORDER BY d.pos) - 1, i.nid FROM dense d JOIN ids i ON i.item_id = d.child_id WHERE d.parent_id = 'root' AND d.pos % 5 = 0""")
+def l5(spark, sf):
+    from ..operators.tree import dense_positions
+    e = dense_positions(fx.talk_edges(spark, sf))
+    picks = e.filter("parent_id = 'root' and pos % 5 = 0").select("book_id", F.col("pos").alias("seq"), "parent_id", "pos")
+    items, edges, ids = ed.copy_items(fx.talk_items(spark, sf), e, picks, "root", "20240201000000000")
+    return edges.select("parent_id", "pos", "child_id")
+
+
 @query("F5_export_ids", EXPORT + f"SELECT n, item_id, {STAMP.format('n')} AS ets, {STAMP.format('min(n) OVER (PARTITION BY item_id)')} AS eid FROM occ")
 def f5(spark, sf):
     return tf.export_manifest(fx.talk_items(spark, sf), fx.talk_edges(spark, sf), "20240201000000000").select("n", "item_id", "ets", "eid")
