@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Words everywhere in this package: maximal runs of anything but ASCII white space.  In Python
@@ -54,3 +54,39 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def only(df: DataFrame, **columns: Column) -> DataFrame:
     """Just these columns; whatever else `df` has, under whatever name, plays no part."""
     return df.select(*[c.alias(n) for n, c in columns.items()])
+
+
+# Columns that `ordered_sums` makes; input columns of these names are replaced.
+SUMS = ("__before", "__rank", "__total", "__salt", "__at", "__piece", "__p", "__v", "__n", "__v0", "__n0", "__upto", "__k")
+
+
+def ordered_sums(df: DataFrame, group, order, value: str, name: str) -> DataFrame:
+    """`df` with `__before` (sum of `value` in earlier rows of the group), `__rank` (their number) and `__total`.
+
+    Rows are range-partitioned by group and order together, so a hot group is cut along its order.
+    The ordered rows are written once; sums inside a partition then only need the totals of the
+    group's earlier partitions.  Rows that tie fall in some order, the same for all readers.
+    """
+    df = without(df, *SUMS)
+    sort = [F.col(f"`{c}`") for c in [*group, *order]] + [F.col("__salt")]
+    laid = written(df.withColumn("__salt", F.monotonically_increasing_id())  # equal keys still spread over partitions
+                   .repartitionByRange(*sort).sortWithinPartitions(*sort).drop("__salt")
+                   .withColumn("__at", F.monotonically_increasing_id())
+                   .withColumn("__piece", F.shiftright("__at", 33)), name)
+    keys = [F.col(f"`{g}`") for g in group]
+    earlier = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)  # a row per range partition
+    totals = (laid.groupBy(*keys, "__piece").agg(F.sum(value).alias("__v"), F.count(F.lit(1)).alias("__n"))
+              .select(*[k.alias(f"__g{i}") for i, k in enumerate(keys)], F.col("__piece").alias("__p"),
+                      F.sum("__v").over(Window.partitionBy(*keys)).alias("__total"),
+                      F.coalesce(F.sum("__v").over(earlier), F.lit(0)).alias("__v0"),
+                      F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n0")))
+    inside = Window.partitionBy(*keys, "__piece").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    on = F.col("__piece") == F.col("__p")
+    for i, k in enumerate(keys):
+        on = on & k.eqNullSafe(F.col(f"__g{i}"))
+    if not group:
+        totals = F.broadcast(totals)  # one row per range partition, however many rows there are
+    return (laid.withColumn("__upto", F.sum(value).over(inside)).withColumn("__k", F.row_number().over(inside))
+            .join(totals, on)
+            .select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__v0") + F.col("__upto") - F.col(value)).alias("__before"),
+                    (F.col("__n0") + F.col("__k") - 1).cast("long").alias("__rank"), "__total"))

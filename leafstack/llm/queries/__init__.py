@@ -1,3 +1,3 @@
 """All registered queries of this package."""
 
-from . import sharding  # noqa: F401
+from . import mixing, packing, sharding  # noqa: F401

@@ -5,10 +5,10 @@ the running total inside it, give every row its place on the byte axis, which is
 targets.  Only columns handed in take part, so a plan over (id, size) moves no text.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without, written
+from .common import SUMS, ordered_sums, without
 
 
 def assign_shards(df: DataFrame, shards: int = 16, size: str = "size", order=("doc_id",)) -> DataFrame:
@@ -21,28 +21,11 @@ def assign_shards(df: DataFrame, shards: int = 16, size: str = "size", order=("d
     are interchangeable.  An empty table gives no rows.  Input columns named like an output are
     replaced.
     """
-    df = without(df, "shard", "slot", "__at", "__piece", "__size")
-    sort = [F.col(f"`{c}`") for c in order] + [F.col("__salt")]
-    laid = (df.withColumn("__salt", F.monotonically_increasing_id())  # equal keys still spread over partitions
-            .repartitionByRange(*sort).sortWithinPartitions(*sort).drop("__salt")
-            .withColumn("__at", F.monotonically_increasing_id())
-            .withColumn("__piece", F.shiftright("__at", 33))
-            .withColumn("__size", F.greatest(F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)), F.lit(0)).cast("long")))
-    laid = written(laid, "shards")
-    # one row per range partition, so their number does not grow with the rows
-    before = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (laid.groupBy("__piece").agg(F.sum("__size").alias("__b"), F.count(F.lit(1)).alias("__n"))
-              .select("__piece", F.coalesce(F.sum("__b").over(before), F.lit(0)).alias("__b0"),
-                      F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"),
-                      F.sum("__b").over(Window.partitionBy()).alias("__all")))
-    inside = Window.partitionBy("__piece").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    middle = F.expr("2 * (__b0 + __upto) - __size")  # twice the row's middle, to stay in integers
-    placed = (laid.withColumn("__upto", F.sum("__size").over(inside)).withColumn("__k", F.row_number().over(inside))
-              .join(F.broadcast(totals), "__piece")
-              .withColumn("__mid", middle)
-              .withColumn("shard", F.when(F.col("__all") == 0, 0).otherwise(
-                  F.least(F.expr(f"__mid * {shards} div (2 * greatest(__all, 1))"), F.lit(shards - 1))).cast("int"))
-              .withColumn("__rank", F.col("__n0") + F.col("__k") - 1))
+    df = without(df, "shard", "slot", "__bytes", "__start", *SUMS)
+    sized = df.withColumn("__bytes", F.greatest(F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)), F.lit(0)).cast("long"))
+    # twice the row's middle, to stay in integers
+    placed = ordered_sums(sized, [], order, "__bytes", "shards").withColumn("shard", F.expr(
+        f"cast(if(__total = 0, 0, least((2 * __before + __bytes) * {shards} div (2 * greatest(__total, 1)), {shards - 1})) as int)"))
     # one row per shard
     starts = placed.groupBy("shard").agg(F.min("__rank").alias("__start"))
     return (placed.join(F.broadcast(starts), "shard")
