@@ -90,3 +90,23 @@ def ordered_sums(df: DataFrame, group, order, value: str, name: str) -> DataFram
             .join(totals, on)
             .select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__v0") + F.col("__upto") - F.col(value)).alias("__before"),
                     (F.col("__n0") + F.col("__k") - 1).cast("long").alias("__rank"), "__total"))
+
+
+# Bytes of text that a task works on at once.
+PIECE = 1 << 20
+
+
+def text_groups(batches):
+    """(texts as bytes, batch) for groups of rows of some PIECE bytes; the text, or binary, is the last column; null is empty."""
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1)
+        group, first, held = [], 0, 0
+        for i in range(batch.num_rows):
+            value = texts[i].as_py() or b""
+            group.append(value.encode() if isinstance(value, str) else value)
+            held += len(group[-1]) + 1
+            if held >= PIECE:
+                yield group, batch.slice(first, i + 1 - first)
+                group, first, held = [], i + 1, 0
+        if group:
+            yield group, batch.slice(first)

@@ -1,3 +1,3 @@
 """All registered queries of this package."""
 
-from . import mixing, packing, sharding  # noqa: F401
+from . import jpeg, languages, mixing, packing, sharding, simhash, substrings, topk, warc  # noqa: F401

@@ -38,8 +38,8 @@ def write_shards(df: DataFrame, path: str, shards: int = 16, text: str = "text",
     Only (key, size) is ranked.  The rows are then tagged by comparing their key with the first key
     of each shard, so text moves once, into its shard; rows that share a key stay together.
     """
-    sized = df.select(F.col(f"`{key}`").alias("__key"), (F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))) + 1).alias("__bytes"))
-    cuts = assign_shards(sized, shards, "__bytes", ("__key",)).groupBy("shard").agg(F.min("__key").alias("__first"))
+    sized = df.select(F.col(f"`{key}`").alias("__key"), (F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))) + 1).alias("bytes"))
+    cuts = assign_shards(sized, shards, "bytes", ("__key",)).groupBy("shard").agg(F.min("__key").alias("__first"))
     # at most `shards` keys
     firsts = [r["__first"] for r in cuts.filter("shard > 0 and __first is not null").collect()]
     tag = sum((F.when(F.col(f"`{key}`") >= F.lit(x), 1).otherwise(0) for x in firsts), F.lit(0))
