@@ -40,8 +40,8 @@ class Model:
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all trigrams with no two blanks in a row, and the number of the text of each."""
-    data = np.frombuffer(b"  ".join(texts).translate(_FOLD) + b"  ", np.uint8)
-    at = np.cumsum([0, *(len(t) + 2 for t in texts)])
+    data = np.frombuffer(b"  ".join([b"", *texts, b""]).translate(_FOLD), np.uint8)
+    at = np.cumsum([1, *(len(t) + 2 for t in texts)])  # the blank before a text is the text's
     wide = data.astype(np.uint32)
     blank = data == 32
     two = blank[:-1] & blank[1:]
@@ -141,7 +141,7 @@ def identify(rows: DataFrame, model: Model, text: str = "text", markup: bool = F
 
     whole = (heard.agg(*[F.sum(F.col("__post")[i]) for i in range(n)]).first() if n else ()) or ()
     everywhere = [((whole[i] or 0) / UNIT + 1) / (sum(x or 0 for x in whole) / UNIT + n) for i in range(n)]
-    for key, out in (("__host", "__hs"), ("__domain", "__ds"), ("__suffix", "__ss"), ("__declared", "__ls")):
+    for key, out in (("__host", "__hs"), ("__domain", "__ds"), ("__suffix", "__ss"), ("__declared", "__ls")) if n else ():
         side = beside(written(sums(key, out), "hints"), 64 + 8 * n)
         scored = scored.join(side, F.col(key) == F.col(f"{out}_key"), "left").drop(f"{out}_key")
 
