@@ -14,57 +14,114 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside, without, written
+from .common import beside, text_groups, without, written
 from .components import components
 
+# Hashes counted at once.
+BATCH = 1 << 16
 # Pairs of fingerprints compared at once, and the node size below which all pairs of a node pair are compared.
 PAIRS, LEAF = 1 << 21, 64
-# Fingerprints of one rotation that a task holds; only sets the number of tasks.
+# Fingerprints that a task holds; only sets the number of tasks.
 TASK_ROWS = 200_000
+# Bits of a block, and bits that fingerprints are dealt by where a block may differ.
+BLOCK, DEAL = 16, 8
+# For similar texts: bits in which the fingerprints of their word sets, and the 128-bit proofs of
+# their shingles, may differ.  Shingle sets of similarity 0.8 have a cosine of 0.889, an angle of
+# 0.152 of a half turn, and so differ in 19.5 of 128 bits, give or take 4.
+SET_BUDGET, PROOF_BUDGET = 7, 24
 
 
-def fingerprint_of(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """Bit k is set where over half the shingles' hashes have it; 0 for a text without words."""
-    parts = (text or "").encode().lower().split()
+def shingle_hashes(parts: list[bytes], words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every run of `words` words, joined by blanks; of the whole if there are fewer, of nothing if there is none."""
     if not parts:
-        return 0
-    n = max(len(parts) - words + 1, 1)
-    joined = b" ".join(parts)
+        return np.zeros(0, "<u8")
+    joined, hashed = b" ".join(parts), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    starts = np.concatenate(([0], ends[:-1] + 1))[:max(len(parts) - words + 1, 1)].tolist()
     ends = ends[min(words, len(parts)) - 1:].tolist()
-    hashed = xxhash.xxh64_intdigest
+    return np.array([hashed(joined[s:e], seed) for s, e in zip(starts, ends, strict=True)], "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """64 bits: those that are set in over half of the hashes; 0 for none."""
     total = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        h = np.array([hashed(joined[s:e], seed) for s, e in zip(starts[at:at + (1 << 16)], ends[at:at + (1 << 16)], strict=True)], "<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+    for at in range(0, len(h), BATCH):
+        total += np.unpackbits(h[at:at + BATCH].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
+
+
+def words_in(text: bytes) -> list[bytes]:
+    """The words, A-Z in lower case."""
+    return text.lower().split()
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
-    """`docs` without its text, with `fingerprint` long (the 64 bits, as a signed number)."""
-    docs = without(docs, "fingerprint")
+def fingerprint_of(text: str | None, words: int = 3) -> int:
+    """Bit k is set where over half the shingles' hashes have it; 0 for a text without words."""
+    return majority(shingle_hashes(words_in((text or "").encode()), words))
+
+
+def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, similar: int | None = None) -> DataFrame:
+    """`docs` without its text, with `fingerprint` long (the 64 bits, as a signed number).
+
+    With `similar`, also `word_set` long, of the distinct words, and `proof` (16 bytes), of the
+    distinct shingles of that many words.
+    """
+    more = ["word_set", "proof"] if similar else []
+    docs = without(docs, "fingerprint", *more)
     kept = [c for c in docs.columns if c != text]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("fingerprint", T.LongType())])
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("fingerprint", T.LongType())] + [
+        T.StructField(n, t) for n, t in (("word_set", T.LongType()), ("proof", T.BinaryType())) if more])
 
     def add(batches):
-        for batch in batches:
-            bits = np.array([fingerprint_of(t.as_py(), words) for t in batch.column(batch.num_columns - 1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bits)], names=schema.names)
+        for group, batch in text_groups(batches):
+            out = [[], [], []]
+            for data in group:
+                parts = words_in(data)
+                out[0].append(majority(shingle_hashes(parts, words)))
+                if more:
+                    h = np.unique(shingle_hashes(parts, similar))
+                    out[1].append(majority(shingle_hashes(list(dict.fromkeys(parts)), 1)))
+                    out[2].append(b"".join(majority(x).to_bytes(8, "little") for x in (h, spread(h))))
+            columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in out[:1 + bool(more)]] + ([pa.array(out[2], pa.binary())] if more else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
 
     return docs.select(*[F.col(f"`{c}`") for c in [*kept, text]]).mapInArrow(add, schema)
 
 
-def trie_links(f: np.ndarray, budget: int, exact: int):
-    """Pairs (i, j) of the sorted, distinct `f` (uint64) that share the first `exact` bits and differ in at most `budget`, in chunks."""
+def spread(h: np.ndarray) -> np.ndarray:
+    """Other 64 bits of the same hashes: a bijection that mixes them all."""
+    for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(k)
+    return h ^ (h >> np.uint64(31))
+
+
+def _oversize(alo, ahi, blo, bhi) -> list:
+    """The leaf pairs cut so that each has at most PAIRS pairs of fingerprints."""
+    out = []
+    for lo, hi, x, y in zip(alo.tolist(), ahi.tolist(), blo.tolist(), bhi.tolist(), strict=True):
+        rows = max(1, PAIRS // max(y - x, 1))
+        out += [(at, min(at + rows, hi), x, y) for at in range(lo, hi, rows)]
+    return out
+
+
+def trie_links(f: np.ndarray, budget: int, exact: int, first: int = 0, home: int | None = None):
+    """Pairs (i, j), i < j, of the sorted `f` (uint64) that differ in at most `budget` bits, in chunks.
+
+    Nodes below the first `exact` bits meet only themselves; with `home`, the node of that prefix
+    meets itself and all later ones.  Within the first BLOCK bits at most `first` may differ.
+    """
     if len(f) < 2:
         return
     head = f >> np.uint64(64 - exact) if exact else np.zeros(len(f), np.uint64)
     cut = np.flatnonzero(np.concatenate(([True], head[1:] != head[:-1], [True])))
     lo, hi = cut[:-1], cut[1:]
-    many = hi - lo > 1
-    lo, hi = lo[many], hi[many]
-    stack = [(exact, lo, hi, lo, hi, np.zeros(len(lo), np.int64))]
+    if home is None:
+        lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+        stack = [(exact, lo, hi, lo, hi, np.zeros(len(lo), np.int64))]
+    else:
+        err = np.bitwise_count(head[lo] ^ np.uint64(home)).astype(np.int64)
+        mine = np.full(len(lo), np.flatnonzero(err == 0)[0]) if (err == 0).any() else np.zeros(0, np.int64)
+        stack = [(exact, lo[mine], hi[mine], lo[:len(mine)], hi[:len(mine)], err[:len(mine)])]
     while stack:
         depth, alo, ahi, blo, bhi, err = stack.pop()
         if len(alo) > PAIRS // LEAF:  # keeps the frontier in bounds: go down with one half after the other
@@ -73,8 +130,13 @@ def trie_links(f: np.ndarray, budget: int, exact: int):
             stack.append((depth, alo[:half], ahi[:half], blo[:half], bhi[:half], err[:half]))
             continue
         leaf = (ahi - alo) * (bhi - blo) <= LEAF
-        if leaf.any():
-            a, b, na, nb = alo[leaf], blo[leaf], (ahi - alo)[leaf], (bhi - blo)[leaf]
+        if depth >= 64:
+            leaf[:] = True
+        parts = [(alo[leaf], ahi[leaf], blo[leaf], bhi[leaf])] if leaf.any() else []
+        if parts and int(((ahi - alo) * (bhi - blo))[leaf].sum()) > PAIRS + LEAF * len(alo):
+            parts = [tuple(np.array([v]) for v in x) for x in _oversize(*parts[0])]
+        for a, a_end, b, b_end in parts:
+            na, nb = a_end - a, b_end - b
             n = na * nb
             pair = np.repeat(np.arange(len(n)), n)
             off = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
@@ -88,17 +150,20 @@ def trie_links(f: np.ndarray, budget: int, exact: int):
         bit, below = np.uint64(1 << (63 - depth)), np.uint64((1 << (64 - depth)) - 1)
         amid = np.clip(np.searchsorted(f, (f[alo] & ~below) | bit), alo, ahi)
         bmid = np.clip(np.searchsorted(f, (f[blo] & ~below) | bit), blo, bhi)
-        own = alo == blo
-        pairs = [(alo, amid, blo, bmid, err, None), (amid, ahi, bmid, bhi, err, None),
-                 (alo, amid, bmid, bhi, err + 1, None), (amid, ahi, blo, bmid, err + 1, ~own)]
-        keep = [(x[1] > x[0]) & (x[3] > x[2]) & (x[4] <= budget) & (True if x[5] is None else x[5]) for x in pairs]
+        own, most = alo == blo, first if depth < BLOCK else budget
+        pairs = [(alo, amid, blo, bmid, err, True), (amid, ahi, bmid, bhi, err, True),
+                 (alo, amid, bmid, bhi, err + 1, True), (amid, ahi, blo, bmid, err + 1, ~own)]
+        keep = [(x[1] > x[0]) & (x[3] > x[2]) & (x[4] <= most) & x[5] for x in pairs]
         stack.append((depth + 1, *(np.concatenate([x[k][m] for x, m in zip(pairs, keep, strict=True)]) for k in range(5))))
 
 
-def spanning(f: np.ndarray, budget: int, exact: int) -> np.ndarray:
-    """For each fingerprint of the sorted `f` the index of its component's first one, by the links of `trie_links`."""
+def spanning(f: np.ndarray, links, agree=None) -> np.ndarray:
+    """For each of the fingerprints `f` the index of its component's first one, by the `links` for which agree(i, j)."""
     root = np.arange(len(f))
-    for i, j in trie_links(f, budget, exact):
+    for i, j in links:
+        if agree is not None:
+            well = agree(i, j)
+            i, j = i[well], j[well]
         while len(i):
             a, b = root[i], root[j]
             apart = a != b
@@ -109,34 +174,50 @@ def spanning(f: np.ndarray, budget: int, exact: int) -> np.ndarray:
     return root
 
 
-def near_links(bits: DataFrame, budget: int = 3) -> DataFrame:
-    """`bits` (distinct `fingerprint`) -> edges (a, b) that connect just what links within `budget` bits connect.
+def near_links(bits: DataFrame, budget: int = 3, proof_budget: int | None = None) -> DataFrame:
+    """`bits` (node, fingerprint, proof) -> edges (a, b) of nodes that connect just what the links connect.
 
-    A task turns the links it finds into one edge per fingerprint, so a dense group gives as many
-    rows as it has fingerprints and block, not its pairs.
+    Two nodes link whose fingerprints differ in at most `budget` bits and, with `proof_budget`, whose
+    proofs (16 bytes) differ in at most that many.  Of four blocks of BLOCK bits one has at most
+    budget // 4 of the differing bits, so for each block, rotated to the front, fingerprints are
+    dealt by their first bits; if those may differ, a fingerprint also visits the smaller prefixes
+    within reach.  A task turns the links it finds into one edge per fingerprint, so a dense group
+    gives as many rows as it has fingerprints and block, not its pairs.
     """
-    blocks, exact = budget + 1, 64 // (budget + 1)
-    rotated = bits.select(F.explode(F.array(*[
-        F.struct(F.lit(r).alias("turn"), F.expr(f"shiftleft(fingerprint, {r * exact}) | shiftrightunsigned(fingerprint, {64 - r * exact})" if r else "fingerprint").alias("f"))
-        for r in range(blocks)])).alias("x")).select("x.*")
-    tasks = max(1, -(-bits.count() * blocks // TASK_ROWS))
+    first = budget // 4
+    deal = BLOCK if not first else DEAL
+    masks = [0] if not first else [m for m in range(1 << deal) if m.bit_count() <= first]
+    turns = F.explode(F.array(*[F.struct(F.lit(r).alias("turn"), F.expr(
+        f"shiftleft(fingerprint, {r * BLOCK}) | shiftrightunsigned(fingerprint, {64 - r * BLOCK})" if r else "fingerprint").alias("f")) for r in range(4)]))
+    turned = bits.select("node", "proof", turns.alias("x")).select("node", "proof", "x.turn", "x.f")
+    dealt = (turned.withColumn("own", F.shiftrightunsigned("f", 64 - deal)).withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
+             .withColumn("key", F.col("own").bitwiseXOR(F.col("mask"))).filter("key <= own").select("turn", "key", "f", "node", "proof"))
+    # each mask but 0 keeps half of its rows
+    tasks = max(1, -(-bits.count() * 4 * (len(masks) + 1) // (2 * TASK_ROWS)))
 
     def join(batches):
-        turns, values = [], []
-        for batch in batches:
-            turns.append(batch.column(0).to_numpy())
-            values.append(batch.column(1).to_numpy())
-        if not turns:
+        table = pa.Table.from_batches(list(batches), schema=None) if (batches := list(batches)) else None
+        if table is None:
             return
-        turns, values = np.concatenate(turns), np.concatenate(values)
-        for r in range(blocks):
-            f = np.sort(values[turns == r].view(np.uint64))
-            root = spanning(f, budget, exact)
-            moved = np.flatnonzero(root != np.arange(len(f)))
-            back = [(x >> np.uint64(r * exact)) | (x << np.uint64(64 - r * exact)) if r else x for x in (f[root[moved]], f[moved])]
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in back], names=["a", "b"])
+        turn, key, f, node = (table.column(k).to_numpy() for k in range(4))
+        f = f.view(np.uint64)
+        proof = None if proof_budget is None else np.frombuffer(b"".join(table.column(4).to_pylist()), "<u8").reshape(-1, 2)
+        # without visitors all blocks of a turn are one trie
+        group = turn if not first else turn.astype(np.int64) << deal | key
+        order = np.lexsort((f, group))
+        group, f, node = group[order], f[order], node[order]
+        proof = proof[order] if proof is not None else None
+        cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            mine, own = slice(lo, hi), proof[lo:hi] if proof is not None else None
+            agree = None if own is None else lambda i, j, own=own: np.bitwise_count(own[i] ^ own[j]).sum(axis=1) <= proof_budget
+            root = spanning(f[mine], trie_links(f[mine], budget, deal, first, int(group[lo]) & (1 << deal) - 1 if first else None), agree)
+            moved = np.flatnonzero(root != np.arange(hi - lo))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(node[mine][root[moved]]), pa.array(node[mine][moved])], names=["a", "b"])
 
-    return rotated.repartition(max(tasks, 1), "turn", F.shiftrightunsigned("f", 64 - exact)).mapInArrow(join, "a long, b long")
+    by = ["turn", "key"]
+    return dealt.repartition(tasks, *by).mapInArrow(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
@@ -150,7 +231,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = without(docs, "component_id", "fingerprint", "__least", "__fp")
     marked = written(fingerprints(docs, text, words), "fingerprints")
     bits = written(marked.groupBy("fingerprint").agg(F.min(F.col(f"`{doc_id}`")).alias("__least")), "bits")
-    roots = components(near_links(bits.select("fingerprint"), budget))
+    nodes = bits.select(F.col("fingerprint").alias("node"), "fingerprint", F.lit(None).cast("binary").alias("proof"))
+    roots = components(near_links(nodes, budget))
     rooted = written(bits.join(roots, F.col("fingerprint") == F.col("node"), "left")
                      .select(F.col("fingerprint").alias("__fp"), "__least", F.coalesce("root", "fingerprint").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("__least").alias("component_id"))
@@ -159,18 +241,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             .select(*[F.col(f"`{c}`") for c in marked.columns], "component_id"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
-    """`docs` with one document of each component: that with the smallest id (null ids last, then the first row).
+def similar_documents(docs: DataFrame, label: str = "label", text: str = "text", words: int = 5) -> DataFrame:
+    """One row per document: `label` (unique long), and `component_id`, the smallest label its links reach.
+
+    Two texts link if their fingerprints of 3-word shingles differ in at most 3 bits, or if their
+    shingle sets of `words` words have a similarity of about 0.8 or more.  The trie for that is over
+    fingerprints of word sets, in which such texts differ by few bits (SET_BUDGET); a link must be
+    borne out by the 128-bit proof over the shingle sets (PROOF_BUDGET), which unlike texts never pass.
+    """
+    marked = written(fingerprints(docs.select(F.col(f"`{label}`").alias("label"), F.col(f"`{text}`").alias("text")), "text", 3, words), "signatures")
+    nodes = written(marked.groupBy("fingerprint", "word_set", "proof").agg(F.min("label").alias("node")), "nodes")
+    alike = near_links(nodes.select("node", F.col("word_set").alias("fingerprint"), "proof"), SET_BUDGET, PROOF_BUDGET)
+    bits = written(nodes.groupBy("fingerprint").agg(F.min("node").alias("node")), "bits")
+    same = nodes.select("fingerprint", F.col("node").alias("b")).join(bits, "fingerprint").filter("node <> b").select(F.col("node").alias("a"), "b")
+    close = near_links(bits.select("node", "fingerprint", F.lit(None).cast("binary").alias("proof")), 3)
+    roots = written(components(alike.unionByName(same).unionByName(close)), "roots")
+    rooted = written(nodes.join(roots, "node", "left").select("fingerprint", "word_set", "proof", F.coalesce("root", "node").alias("component_id")), "rooted")
+    return marked.join(rooted, ["fingerprint", "word_set", "proof"]).select("label", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
+    """`docs` with one document of each class of `similar_documents`: that with the smallest id (null ids last, then the first row).
 
     `docs` must be a stored table or another DataFrame that reads alike twice.  Texts are not
     shuffled while the rows to drop are few enough to be broadcast.
     """
     numbered = without(docs, "__row").withColumn("__row", F.monotonically_increasing_id())
-    narrow = numbered.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), "__row")
-    # the class of a row is that of its fingerprint, whatever its id
-    classes = written(near_duplicates(narrow.withColumn("label", F.col("__row")), "label", "text", words, budget)
-                      .select("component_id", "id", "__row"), "near")
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("__row"))
-    best = written(classes.groupBy("component_id").agg(F.min(order).getField("__row").alias("__best")), "best")
-    drop = written(classes.join(best, "component_id").filter("__row <> __best").select("__row"), "drop")
-    return numbered.join(beside(drop, 16), "__row", "left_anti").drop("__row")
+    classes = similar_documents(numbered.select(F.col("__row").alias("label"), F.col(f"`{text}`").alias("text")), "label", "text", words)
+    ids = numbered.select(F.col(f"`{doc_id}`").alias("id"), F.col("__row").alias("label"))
+    classes = written(ids.join(classes, "label"), "near")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("label"))
+    best = written(classes.groupBy("component_id").agg(F.min(order).getField("label").alias("best")), "best")
+    drop = written(classes.join(best, "component_id").filter("label <> best").select(F.col("label").alias("__row")), "drop")
+    return numbered.join(beside(drop, 16), "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ import xxhash
 
 from leafstack.llm.components import components
 from leafstack.llm.queries.simhash import op10_simhash_near_dedup
-from leafstack.llm.simhash import fingerprint_of, near_duplicates, one_of_each, spanning, trie_links
+from leafstack.llm.simhash import fingerprint_of, near_duplicates, near_links, one_of_each, similar_documents, spanning, trie_links
 
 SPACE = " \t\n\v\f\r"
 
@@ -85,10 +85,28 @@ def test_trie_finds_every_pair(seed):
     for exact in (0, 16):
         want = {(i, j) for i in range(len(f)) for j in range(i + 1, len(f))
                 if (int(f[i]) ^ int(f[j])).bit_count() <= 3 and (not exact or f[i] >> np.uint64(48) == f[j] >> np.uint64(48))}
-        got = [(int(a), int(b)) for i, j in trie_links(f, 3, exact) for a, b in zip(i, j, strict=True)]
+        got = [(int(a), int(b)) for i, j in trie_links(f, 3, exact, 3) for a, b in zip(i, j, strict=True)]
         assert len(got) == len(set(got)) and set(got) == want
-    root = spanning(f, 3, 0)
-    assert (root == spanning(f, 3, 0)).all() and (root[root] == root).all()
+    root = spanning(f, trie_links(f, 3, 0, 3))
+    assert (root[root] == root).all()
+    same = np.full(3000, f[0])
+    assert sum(len(i) for i, _ in trie_links(same, 3, 16)) == 3000 * 2999 // 2
+
+
+@pytest.mark.parametrize("budget", [3, 7])
+def test_dealt_links_connect_what_pairs_connect(spark, budget):
+    rng = random.Random(budget)
+    fps = [rng.getrandbits(64) for _ in range(150)]
+    for _ in range(500):
+        f = rng.choice(fps)
+        for k in rng.sample(range(64), rng.randint(0, budget + 1)):
+            f ^= 1 << k
+        fps.append(f)
+    fps = sorted(set(fps))
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(i, s, None) for i, s in enumerate(signed)], "node long, fingerprint long, proof binary")
+    roots = {r.node: r.root for r in components(near_links(df, budget)).collect()}
+    assert [roots.get(i, i) for i in range(len(fps))] == classes(list(range(len(fps))), fps, budget)
 
 
 def test_components(spark):
@@ -112,6 +130,25 @@ def test_one_of_each(spark):
     assert sorted(r.Component_Id for r in kept.collect()) in ([2, 6, 7], [3, 6, 7])
 
 
+def test_similar_documents(spark):
+    """Texts with a shingle similarity well over 0.8 link, those well under it do not."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8)))
+    texts, copies = [], []
+    for k in range(60):
+        base = [word() for _ in range(rng.randint(200, 800))]
+        near, far = base[:], base[:]
+        for i in rng.sample(range(len(base)), max(1, len(base) // 120)):
+            near[i] = word()
+        for i in rng.sample(range(len(base)), len(base) // 10):
+            far[i] = word()
+        texts += [" ".join(base), " ".join(near), " ".join(far)]
+    found = {r.label: r.component_id for r in similar_documents(spark.createDataFrame(list(enumerate(texts)), "label long, text string")).collect()}
+    assert len(found) == len(texts)
+    assert sum(found[3 * k + 1] == 3 * k for k in range(60)) >= 57
+    assert all(found[3 * k] == 3 * k and found[3 * k + 2] == 3 * k + 2 for k in range(60))
+
+
 def test_empty_and_other_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, fingerprint string, root int")
     out = near_duplicates(df)
