@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import rank_rows, running_sum
-from .common import WORD, beside, ordered_sums, without
+from .common import WORD, beside, ordered_sums, without, written
 
 LEAST_WEIGHT = 1e-6
 
@@ -66,11 +66,10 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     # 52 bits of a hash, never 0 or 1
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), words), 12) + 0.5) / float(1 << 52)
     keyed = docs.withColumns({"size": word_count(words), "__key": -F.log(uniform) / weight, "__row": F.monotonically_increasing_id()})
-    narrow = keyed.select(F.col(f"`{source}`").alias("source"), "size", "__key", "__row").filter("size > 0")
-    ordered = ordered_sums(narrow, ["source"], ["__key", "__row"], "size", "mix")
-    # all sources, also those without a word
-    sizes = keyed.groupBy(F.col(f"`{source}`").alias("source")).agg(F.lit(0).cast("long").alias("n"))
-    sizes = (sizes.unionByName(ordered.groupBy("source").agg(F.sum("size").alias("n"))).groupBy("source").agg(F.sum("n").alias("source_size")))
+    # texts are read here once, and once more for the result
+    narrow = written(keyed.select(F.col(f"`{source}`").alias("source"), "size", "__key", "__row"), "keys")
+    ordered = ordered_sums(narrow.filter("size > 0"), ["source"], ["__key", "__row"], "size", "mix")
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = (mix_targets(sizes, weights, share, cap)
             .withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
             .withColumn("__owed", F.floor(F.col("target") + 0.5).cast("long") - F.col("__epochs") * F.col("source_size")))
