@@ -2,8 +2,9 @@
 
 A cell of candidates keeps one list per dimension, sorted by component.  A query reads all lists in
 step from the end its sign asks for.  What it has read gives every candidate a lower and an upper
-bound; once so few candidates can still reach the k-th best lower bound, reading stops and their
-scores are resolved.  Each query meets every cell once and the cells' results are merged.
+bound; once few enough can still reach the k-th best lower bound, or the k-th best score among a
+fixed number of pilot candidates, reading stops and their scores are resolved.  Each query meets
+every cell once and the cells' results are merged.
 """
 
 import numpy as np
@@ -15,41 +16,48 @@ from .common import written
 
 SCALE = 256
 # Candidates of a cell: at least, so that sorting pays, and at most, so that a task holds them.
-LEAST_CELL, MOST_CELL = 4096, 1 << 17
-# Reading stops when so many candidates, for each of the k, are left to resolve.
+LEAST_CELL, MOST_CELL = 4096, 1 << 16
+# Reading stops when so many candidates for each of the k, or a third of all, are left to resolve.
 LEFT = 16
+# Candidates that every query is scored against first: their k-th best is a lower bound from the start.
+PILOT = 2048
 
 
 class Cell:
-    """Sorted lists over the rows of `matrix` (whole numbers as float64)."""
+    """Sorted lists over the rows of `matrix` (whole numbers as float64): the values of each, and the step at which it shows each row."""
 
     def __init__(self, matrix: np.ndarray):
         self.matrix = matrix
         order = np.argsort(-matrix, axis=0, kind="stable")
-        self.lists = np.ascontiguousarray(order.T)
         self.values = np.ascontiguousarray(np.take_along_axis(matrix, order, axis=0).T)
+        self.step = np.empty(matrix.shape, np.int32)
+        np.put_along_axis(self.step, order, np.arange(len(matrix), dtype=np.int32)[:, None], axis=0)
+        self.shown, self.flags = np.empty(matrix.shape), np.empty(matrix.shape)  # room for one query at a time
 
-    def best(self, query: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of all that may be among the `k` best, ties included; row `own` does not count."""
+    def best(self, query: np.ndarray, k: int, own: int = -1, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and scores of all that may be among the `k` best, ties included; row `own` does not count, nor what is below `floor`."""
         n, dims = self.matrix.shape
         weights = np.zeros(dims)
         weights[:min(dims, len(query))] = query[:dims]
-        used = np.flatnonzero(weights)
         rows = np.arange(n)
-        if len(used) and n > LEFT * k:
-            depth, w = 32, weights[used][:, None]
-            rising = (w < 0)[:, 0]
-            last = np.where(rising, self.values[used, 0], self.values[used, -1])[:, None] * w
+        if weights.any() and n > LEFT * k:
+            rising = weights < 0  # these lists are read from their other end
+            last = np.where(rising, self.values[:, 0], self.values[:, -1]) * weights
+            # What a row that no list has shown yet can reach at each depth; it takes part while that is not
+            # below the floor.  Bounds start to tell half as deep again.
+            unseen = np.maximum(weights, 0) @ self.values + (np.minimum(weights, 0) @ self.values)[::-1]
+            depth = max(int(1.6 * np.searchsorted(-unseen, -floor, side="right")) + 1, 32) if floor > -np.inf else 32
             while depth < n:
-                at = np.where(rising[:, None], np.arange(n - 1, n - 1 - depth, -1), np.arange(depth))
-                gain = self.values[used[:, None], at] * w
-                seen, front = self.lists[used[:, None], at].ravel(), gain[:, -1:]
-                upper = front.sum() + np.bincount(seen, (gain - front).ravel(), n)
-                lower = last.sum() + np.bincount(seen, (gain - last).ravel(), n)
+                front = np.where(rising, self.values[:, n - depth], self.values[:, depth - 1]) * weights
+                seen = (self.step < np.where(rising, n - depth, depth)) ^ rising
+                known = np.multiply(self.matrix, seen, out=self.shown) @ weights
+                np.copyto(self.flags, seen)
+                told = self.flags @ np.stack((front, last), axis=1)
+                upper, lower = known + front.sum() - told[:, 0], known + last.sum() - told[:, 1]
                 if own >= 0:
                     upper[own] = lower[own] = -np.inf
-                rows = np.flatnonzero(upper >= np.partition(lower, n - k)[n - k])
-                if len(rows) <= LEFT * k:
+                rows = np.flatnonzero(upper >= max(floor, np.partition(lower, n - k)[n - k]))
+                if len(rows) <= max(LEFT * k, n // 3):
                     break
                 depth *= 2
             else:
@@ -90,10 +98,20 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: str = "vec_id % 50 = 0", vec
     # as few cells as keep all cores busy, and as many as bound a task's memory
     n, cores = whole.count(), vectors.sparkSession.sparkContext.defaultParallelism
     cells = max(-(-n // MOST_CELL), min(-(-n // LEAST_CELL), 4 * cores), 1)
+    pilot = whole.limit(PILOT).select("row", "x").toArrow()  # a bounded number; which ones does not change the result
+    pilot = vectors.sparkSession.sparkContext.broadcast((pilot.column(0).to_numpy(), _matrix(pilot.column(1).combine_chunks()))) if pilot.num_rows else None
     rows = whole.select(F.expr(f"int(pmod(xxhash64(row), {cells}))").alias("cell"), F.lit(0).alias("kind"), "row", "vec_id", "x")
     # queries are copied to every cell, not candidates to every query
     asks = whole.filter("asks").select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(1).alias("kind"), "row", "vec_id", "x")
 
+    def floors(row_ids, queries):
+        """The k-th best pilot score of each query, its own row left out."""
+        ids, matrix = pilot.value
+        wide = min(matrix.shape[1], queries.shape[1])
+        scores = queries[:, :wide] @ matrix[:, :wide].T
+        scores[row_ids[:, None] == ids[None, :]] = -np.inf
+        return np.partition(scores, -k, axis=1)[:, -k] if len(ids) >= k else np.full(len(queries), -np.inf)
+
     def search(batches):
         now, held, cell, keys, ids = None, [], None, None, None
         for batch in batches:
@@ -117,8 +135,9 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: str = "vec_id % 50 = 0", vec
                     continue
                 asked = part.slice(first)
                 found = []
-                for row, query in zip(asked.column(2).to_pylist(), _matrix(asked.column(4)), strict=True):
-                    near, score = cell.best(query, k, own.get(row, -1))
+                asking, queries = asked.column(2).to_numpy(), _matrix(asked.column(4))
+                for row, query, floor in zip(asking.tolist(), queries, floors(asking, queries).tolist(), strict=True):
+                    near, score = cell.best(query, k, own.get(row, -1), floor)
                     best = np.lexsort((ids[near], -score))[:k]
                     found.append((np.full(len(best), row), ids[near[best]], score[best].astype(np.int64)))
                 out = [np.concatenate(c) for c in zip(*found, strict=True)]
