@@ -2,31 +2,29 @@
 
 import base64
 import binascii
-import re
 from urllib.parse import unquote_to_bytes
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FORM = re.compile(r"^data:([^,]*?)(;base64)?,([^#]*)", re.I)
 _JAVA_FORM = r"(?i)^data:([^,]*?)(;base64)?,([^#]*)"
 
 
 def parse(uri: str):
-    """(bytes, mime, parameters); None when malformed."""
-    m = _FORM.search(uri)
-    if not m:
+    """(bytes, mime, parameters); None when malformed.  Of a repeated parameter the last one holds."""
+    scheme, _, rest = uri.partition(":")
+    media, comma, data = rest.partition(",")
+    if scheme.lower() != "data" or not comma:
         return None
-    mime, *params = m.group(1).split(";")
-    pairs = [p.split("=", 1) for p in params if "=" in p]
-    if m.group(2):
-        try:
-            payload = base64.b64decode(m.group(3))
-        except binascii.Error:
-            return None
-    else:
-        payload = unquote_to_bytes(m.group(3))
-    return payload, mime, {k.lower(): v for k, v in pairs}
+    mime, *fields = media.split(";")
+    coded = bool(fields) and fields[-1].lower() == "base64"
+    data = data.partition("#")[0]
+    try:
+        payload = base64.b64decode(data) if coded else unquote_to_bytes(data)
+    except binascii.Error:
+        return None
+    named = [f.partition("=") for f in (fields[:-1] if coded else fields)]
+    return payload, mime, {name.lower(): value for name, equals, value in named if equals}
 
 
 def _percent_bytes(data: Column) -> Column:
@@ -55,10 +53,11 @@ def columns(uri) -> dict:
     b64 = F.regexp_extract(uri, _JAVA_FORM, 2) != ""
     data = F.regexp_extract(uri, _JAVA_FORM, 3)
     form = uri.rlike(_JAVA_FORM)
-    pairs = F.filter(F.slice(F.split(media, ";"), F.lit(2), F.lit(1000)), lambda p: p.contains("="))
-    params = F.map_from_entries(F.array_distinct(F.transform(
-        pairs, lambda p: F.struct(F.lower(F.substring_index(p, "=", 1)).alias("k"),
-                                  F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1).alias("v")))))
+    fields = F.split(media, ";")
+    pairs = F.transform(F.filter(F.slice(fields, F.lit(2), F.size(fields)), lambda p: p.contains("=")), lambda p: F.struct(
+        F.lower(F.substring_index(p, "=", 1)).alias("k"), F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1).alias("v")))
+    # the last of a repeated parameter holds
+    params = F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"])))
     payload = F.when(form, F.when(b64, _base64_bytes(data)).otherwise(_percent_bytes(data)))
     return {
         "mime": F.when(form, F.get(F.split(media, ";"), F.lit(0))),

@@ -271,12 +271,18 @@ def escape_html(x) -> Column:
     return out
 
 
-POSTIT_PAGE = r"(?s)^.*?<pre>\n?([^<]*(?:<(?!/pre>)[^<]*)*)\n</pre>.*$"
-
-
 def postit_text(page) -> Column:
-    """Note text of a post-it page; a page without the frame is returned as it is."""
-    return unescape_entities(F.regexp_replace(_c(page), POSTIT_PAGE, "$1"))
+    """Note text of a post-it page; a page without the frame is returned as it is.
+
+    The frame is the first <pre> whose text, up to the next </pre>, ends with a line feed.
+    """
+    page = _c(page)
+    parts = F.split(page, "</pre>")
+    framed = F.filter(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: x.contains("<pre>") & x.endswith("\n"))
+    frame = F.get(framed, F.lit(0))
+    start = F.instr(frame, "<pre>") + F.lit(5)
+    note = F.regexp_replace(F.substr(frame, start, F.length(frame) - start), r"\A\n", "")
+    return unescape_entities(F.when(frame.isNotNull(), note).otherwise(page))
 
 
 def postit_title(text) -> Column:

@@ -75,7 +75,7 @@ def from_legacy(rows: DataFrame, modified: DataFrame | None = None, tz: str = "U
     create = F.when(get("create") != "", stamp(get("create"))).otherwise(stamp(F.col("legacy_id")))
     modify = F.when(get("modify") != "", stamp(get("modify"))).otherwise(F.coalesce("__m", create))
     resource = get("icon").startswith(RESOURCE_BASE)
-    dest = percent_decode(F.substring(get("icon"), len(RESOURCE_BASE) + 1, 10000))
+    dest = percent_decode(F.substr(get("icon"), F.lit(len(RESOURCE_BASE) + 1)))
     start = F.when(index.isNotNull(), F.concat(F.lit("data/"), F.col("legacy_id"))).otherwise("data")
     # old books keep their data in a "data" folder; icons are rewritten relative to the page
     icon = (F.when(resource, percent_encode(relative_path(dest, start)))
@@ -162,9 +162,9 @@ def icon_targets(items: DataFrame, id_map: DataFrame, data_dir: str = "data", tr
     out = rows.join(hit, key, "left")
     enc = percent_encode
     target = (F.when(F.col("file").isNull(), value("icon"))
-              .when(F.col("file").startswith(cache), F.concat(F.lit(f"{RESOURCE_BASE}icon/"), enc(F.substring("file", len(cache) + 1, 10000))))
+              .when(F.col("file").startswith(cache), F.concat(F.lit(f"{RESOURCE_BASE}icon/"), enc(F.substr(F.col("file"), F.lit(len(cache) + 1)))))
               .when(F.col("owner").isNotNull(), F.concat(F.lit(f"{RESOURCE_BASE}data/"), "owner", F.lit("/"),
                                                         enc(F.expr("substring(file, length(folder) + 2)"))))
-              .when(F.col("file").startswith(f"{data_dir}/"), F.concat(F.lit(f"{RESOURCE_BASE}data/"), enc(F.substring("file", len(data_dir) + 2, 10000))))
+              .when(F.col("file").startswith(f"{data_dir}/"), F.concat(F.lit(f"{RESOURCE_BASE}data/"), enc(F.substr(F.col("file"), F.lit(len(data_dir) + 2)))))
               .otherwise(F.concat(F.lit(RESOURCE_BASE), enc(F.col("file")))))
     return out.select(*key, "icon", "file", target.alias("legacy_icon"))

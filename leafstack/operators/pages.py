@@ -481,20 +481,21 @@ def _quote_bytes(content: Column) -> Column:
         s.rlike(r"^[A-Za-z0-9_.\-~/]"), s).otherwise(F.concat(F.lit("%"), F.hex(F.encode(s, "ISO-8859-1"))))), "")
 
 
-def embed(pages: DataFrame, files: DataFrame, max_depth: int = 64) -> DataFrame:
+def embed(pages: DataFrame, files: DataFrame) -> DataFrame:
     """Pages with their resources inside as data URIs.
 
     ``pages``: book_id, path, html; ``files``: book_id, path, content.  Framed pages are
     embedded pages themselves.  The frame tree of every page is expanded by joins, one
     level per round; an ancestor met again becomes a circular URN.  Then levels are
-    folded from the deepest up.  A tree deeper than ``max_depth`` is an error.
+    folded from the deepest up.  As no page is met twice on a path,
+    the rounds end with the deepest nesting.
     """
     key = ["book_id", "root", "addr"]
     docs = files.select("book_id", F.col("path").alias("doc"), F.decode("content", "UTF-8").alias("html"))
     level = stage(pages.select("book_id", F.col("path").alias("root"), F.array().cast("array<int>").alias("addr"),
                                F.col("path").alias("doc"), F.array("path").alias("chain"), "html"))
     levels = []
-    for depth in range(max_depth + 1):
+    while not level.isEmpty():
         refs = references(level.withColumn("chain_text", F.to_json("chain")), [*key, "doc", "chain_text"], "html")
         refs = refs.withColumn("chain", F.from_json("chain_text", "array<string>")).drop("chain_text")
         joined = join_resources(refs, files, path="doc")
@@ -507,10 +508,8 @@ def embed(pages: DataFrame, files: DataFrame, max_depth: int = 64) -> DataFrame:
             "book_id", "root", F.concat("addr", F.array("ord")).alias("addr"), F.col("target").alias("doc"),
             F.concat("chain", F.array("target")).alias("chain"))
         level = stage(kids.join(docs, ["book_id", "doc"]).select("book_id", "root", "addr", "doc", "chain", "html"))
-        if level.isEmpty():
-            break
-    else:
-        raise ValueError(f"frames are nested deeper than {max_depth}")
+    if not levels:
+        return level.select("book_id", F.col("root").alias("path"), "html")
     done = None
     for level, refs in reversed(levels):
         at = F.concat("addr", F.array("ord"))

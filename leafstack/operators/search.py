@@ -214,12 +214,15 @@ def match_date_ranges(items: DataFrame, ranges: DataFrame, column: str = "create
     (month) with the exact bounds as a residual filter.  Long and open ranges are
     matched on coarser slots, so that no range expands to more than about 600 keys.
     """
-    def month_key(digits):
-        # 13 slots a year: never decreasing in the text order of the ids, whatever their month digits
-        c = F.col(digits)
+    def month_key(date):
+        # 13 slots a year: never decreasing in the text order of the dates, whatever their month digits.  What
+        # is no digit, or missing, counts as the nearest digit.
+        digits = F.regexp_extract(date, "^[0-9]*", 0)
+        after = F.substr(F.col(date), F.length(digits) + 1, F.lit(1))
+        c = F.when(after > "9", F.rpad(digits, 6, "9")).otherwise(F.rpad(digits, 6, "0"))
         return F.substring(c, 1, 4).cast("int") * 13 + F.least(F.substring(c, 5, 2).cast("int"), F.lit(12))
 
-    ids = items.filter(F.coalesce(F.col(column), F.lit("")).rlike("^[0-9]{17}$"))
+    ids = items.filter(F.coalesce(F.col(column), F.lit("")) != "")
     spread = (ranges.withColumn("__a", month_key("lo")).withColumn("__b", month_key("hi"))
               .filter(F.col("__a") <= F.col("__b"))
               .withColumn("__width", F.when(F.col("__b") - F.col("__a") <= 600, 1)
@@ -227,8 +230,8 @@ def match_date_ranges(items: DataFrame, ranges: DataFrame, column: str = "create
               .withColumn("__key", F.explode(F.sequence(F.floor(F.col("__a") / F.col("__width")),
                                                         F.floor(F.col("__b") / F.col("__width"))))))
     month = month_key(column)
-    widths = F.explode(F.array(F.lit(1), F.lit(12), F.lit(1200)))
-    keyed = (ids.withColumn("__width", widths)
+    occur = [r["__width"] for r in spread.select("__width").distinct().collect()] or [1]  # three at most
+    keyed = (ids.withColumn("__width", F.explode(F.array(*[F.lit(w) for w in sorted(occur)])))
              .withColumn("__key", F.floor(month / F.col("__width"))))
     joined = keyed.join(spread, ["__width", "__key"])
     return (joined.filter(F.col(column).between(F.col("lo"), F.col("hi")))

@@ -145,7 +145,8 @@ def m2(spark, sf):
 SELECT lang AS book_id, 'D' || doc_id AS item_id, 'warn' AS severity, 'empty_toc_list' AS code FROM documents WHERE length(text) - length(replace(text, chr(10), '')) = 0""")
 def m3(spark, sf):
     d = table(spark, sf, "documents")
-    lines = F.slice(F.split("text", "\n"), F.lit(2), F.lit(100000))
+    parts = F.split("text", "\n")
+    lines = F.slice(parts, F.lit(2), F.size(parts))
     lists = d.select(F.col("lang").alias("book_id"), F.concat(F.lit("D"), "doc_id").alias("parent_id"), lines.alias("children"))
     return ck.check_empty_lists(lists).select("book_id", "item_id", "severity", "code")
 

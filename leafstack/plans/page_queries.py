@@ -596,7 +596,7 @@ def n3(spark, sf):
     base = _folder(spark, "dedup")
     e = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     rows = e.select(F.lit("b").alias("book_id"), F.concat(F.lit("u"), "user_id").alias("eid"), F.col("ts").cast("timestamp").alias("exported_at"))
-    return _run_stream(st.dedup_imports(rows, delay="60 days").select("eid"), base)
+    return _run_stream(st.dedup_imports(rows).select("eid"), base)
 
 
 @query("N4_change_feed", "SELECT DISTINCT 'u' || user_id AS item_id FROM events WHERE event_type = 'purchase'")

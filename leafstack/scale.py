@@ -129,12 +129,15 @@ def chunked_list(df: DataFrame, keys, pos, value, size: int = 1024) -> DataFrame
             .select(*keys, "chunk", F.transform("__l", lambda s: s["v"]).alias("values")))
 
 
-def count_upto(rows: DataFrame, value: str, marks: DataFrame, mark: str, out: str, inclusive: bool) -> DataFrame:
-    """Number of ``marks`` below (or up to) each row's ``value``, per book; a merge by rank, no range join."""
+def count_upto(rows: DataFrame, value: str, marks: DataFrame, mark: str, out: str, inclusive: bool, ties=()) -> DataFrame:
+    """Number of ``marks`` below (or up to) each row's ``value``, per book; a merge by rank, no range join.
+
+    ``ties`` are columns of ``rows`` that tell rows of one value apart, so that those spread over partitions.
+    """
     ours = rows.withColumn("__v", F.col(value)).withColumn("__side", F.lit(1 if inclusive else 0))
     theirs = marks.select("book_id", F.col(mark).alias("__v"), F.lit(0 if inclusive else 1).alias("__side"))
     merged = ours.withColumn("__m", F.lit(0)).unionByName(theirs.withColumn("__m", F.lit(1)), allowMissingColumns=True)
-    ranked = rank_rows(merged, ["book_id"], ["__v", "__side"], "__n")
+    ranked = rank_rows(merged, ["book_id"], ["__v", "__side", *ties], "__n")
     counted = running_sum(ranked, ["book_id"], "__n", "__m", out)
     return counted.filter("__m = 0").select(*rows.columns, out)
 
@@ -159,7 +162,7 @@ def claim_slots(rows: DataFrame, taken: DataFrame, base: str, order, out: str =
     crowded = not marks.isEmpty()
     cur = rows.withColumn("__base", F.col(base).cast("long"))
     if crowded:
-        cur = count_upto(cur, "__base", marks, "__t", "__below", inclusive=False)
+        cur = count_upto(cur, "__base", marks, "__t", "__below", inclusive=False, ties=order)
         cur = cur.withColumn("__base", F.col("__base") - F.col("__below")).drop("__below")
     lined = rank_rows(cur, ["book_id"], ["__base", *order], "__n").withColumn("__d", F.col("__base") - F.col("__n"))
     lined = stage(running_max(lined, ["book_id"], "__n", "__d", "__stretch")
@@ -181,7 +184,7 @@ def claim_slots(rows: DataFrame, taken: DataFrame, base: str, order, out: str =
         return done.withColumnRenamed("__slot", out)
     # back from free-slot numbers: add the taken slots passed on the way
     holes = rank_rows(marks, ["book_id"], ["__t"], "__r").select("book_id", (F.col("__t") - F.col("__r")).alias("__h"))
-    back = count_upto(done, "__slot", holes, "__h", "__passed", inclusive=True)
+    back = count_upto(done, "__slot", holes, "__h", "__passed", inclusive=True, ties=order)
     return back.withColumn(out, F.col("__slot") + F.col("__passed")).select(*rows.columns, out)
 
 

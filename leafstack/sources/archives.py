@@ -75,7 +75,7 @@ def with_implicit_dirs(rows: DataFrame) -> DataFrame:
 def list_members(rows: DataFrame, folder: str = "", recursive: bool = False) -> DataFrame:
     """Entries in (or below) a folder of every archive that has it, names relative to it."""
     base = folder.rstrip("/") + "/" if folder.rstrip("/") else ""
-    inside = with_implicit_dirs(rows).filter(F.col("member").startswith(base)).withColumn("name", F.substring("member", len(base) + 1, 10000))
+    inside = with_implicit_dirs(rows).filter(F.col("member").startswith(base)).withColumn("name", F.substr(F.col("member"), F.lit(len(base) + 1)))
     inside = inside.filter("name <> ''")
     if not recursive:
         inside = inside.filter(~F.col("name").contains("/"))

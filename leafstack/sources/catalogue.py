@@ -156,7 +156,12 @@ def script_safe(json: Column) -> Column:
 def entry_lines(items: DataFrame) -> DataFrame:
     """(book_id, key, ord, line): ``"id": {...}`` lines of meta files."""
     names = [n for n in (*TEXT_PROPS, *FLAG_PROPS) if n in items.columns]
-    doc = F.to_json(F.struct(*names))
+    # flags that are not set, and properties that are null, are not written: empty metadata stay {}
+    doc = F.to_json(F.struct(*[F.when(F.col(n), True).alias(n) if n in FLAG_PROPS else F.col(n) for n in names]))
+    if "extra" in items.columns:
+        more = F.to_json(F.coalesce("extra", F.create_map().cast("map<string,string>")))
+        doc = F.when(more == "{}", doc).when(doc == "{}", more).otherwise(
+            F.concat(F.regexp_replace(doc, r"\}$", ","), F.regexp_replace(more, r"^\{", "")))
     return items.select("book_id", F.col("item_id").alias("key"), "ord",
                         script_safe(F.concat(F.to_json(F.struct(F.col("item_id").alias("k"))), F.lit(""))).alias("__k"), script_safe(doc).alias("value")).select(
         "book_id", "key", "ord", F.concat(F.regexp_extract("__k", r'^\{"k":(.*)\}$', 1), F.lit(": "), "value").alias("line"))

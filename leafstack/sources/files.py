@@ -40,7 +40,7 @@ def directory_listing(files: DataFrame, folder: str = "", recursive: bool = Fals
     """Entries in (or below) one folder, names relative to it."""
     everything = with_folders(files, by)
     base = folder.rstrip("/") + "/" if folder else ""
-    inside = everything.filter(F.col("path").startswith(base)).withColumn("name", F.substring("path", len(base) + 1, 10000))
+    inside = everything.filter(F.col("path").startswith(base)).withColumn("name", F.substr(F.col("path"), F.lit(len(base) + 1)))
     if not recursive:
         inside = inside.filter(~F.col("name").contains("/"))
     return inside.select(*by, "name", "type", "size", "mtime")

@@ -56,9 +56,13 @@ def standing_search(items: DataFrame, spec: SearchSpec) -> DataFrame:
     return items.filter(spec.to_column())
 
 
-def dedup_imports(exports: DataFrame, event_time: str = "exported_at", delay: str = "1 day") -> DataFrame:
-    """First record per export id within the watermark delay."""
-    return exports.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["book_id", "eid"])
+def dedup_imports(exports: DataFrame) -> DataFrame:
+    """First record per export id.
+
+    An import remembers every id it has seen, so no watermark lets ids go or drops late rows; the
+    state is one row per id (use the RocksDB state store for many).
+    """
+    return exports.dropDuplicates(["book_id", "eid"])
 
 
 def change_feed(changes: DataFrame, refresh, checkpoint: str):

@@ -8,7 +8,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from leafstack.functions import css, datauri, scalars
-from leafstack.functions.charset import codec_name, decode_bytes, label_table
+from leafstack.functions.charset import LABELS, codec_name, decode_bytes
 from leafstack.functions.pagescan import PageScan, refresh_parts
 from leafstack.functions.registry import register
 from leafstack.functions.snippets import mark_text
@@ -68,7 +68,7 @@ def test_data_uris(spark):
 
 
 def test_charsets():
-    table = label_table()
+    table = LABELS
     assert table["latin1"] == "windows-1252" and table["iso88599"] == "windows-1254" and table["koi8"] == "KOI8-R" and table["tis-620"] == "windows-874"
     assert (codec_name("BIG5"), codec_name("x-none"), codec_name("x-user-defined")) == ("big5hkscs", "x-none", None)
     assert decode_bytes("é".encode("latin-1"), "iso-8859-1", html=False) == "é"
