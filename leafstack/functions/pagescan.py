@@ -4,6 +4,7 @@ A small per-row helper for Arrow-batched tasks; Spark does the partitioning.
 """
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 # --- fixed values -----------------------------------------------------------
@@ -64,6 +65,7 @@ class PageScan(HTMLParser):
         self.pieces = []        # visible text, split at element borders
         self.fresh = True       # next data starts a new piece
         self.refs = []          # (tag, attr, url, kind, piece position)
+        self.places = []        # of each: where its tag starts, the tag's text, and its range in the attribute's value
         self.refreshes = []     # (seconds, target, contexts)
         self.srcdocs = []       # (piece position, html)
         self.title = None
@@ -165,9 +167,10 @@ class PageScan(HTMLParser):
         elif tag in ("a", "area") and context != "svg":
             self._ref(tag, "href", attr.get("href"), "inert")
 
-    def _ref(self, tag, name, url, kind):
+    def _ref(self, tag, name, url, kind, within=None):
         if url is not None:
             self.refs.append((tag, name, url, kind, len(self.pieces)))
+            self.places.append((self.getpos(), self.get_starttag_text(), within))
 
     def _html_refs(self, tag, attr):
         if tag == "base" and attr.get("href") is not None:
@@ -181,7 +184,7 @@ class PageScan(HTMLParser):
                 self._ref(tag, name, value, kind)
             elif name == "srcset" and tag in SRCSET_TAGS and value:
                 for m in SRCSET_URL.finditer(value):
-                    self._ref(tag, name, m.group(1), "image")
+                    self._ref(tag, name, m.group(1), "image", m.span(1))
             elif name == "src" and tag == "input" and (attr.get("type") or "").lower() == "image":
                 self._ref(tag, name, value, "image")
 
@@ -212,3 +215,48 @@ class PageScan(HTMLParser):
     def live_refreshes(self):
         """Targets of refreshes outside the contexts where they never work."""
         return [t for _, t, ctx in self.refreshes if t and not REFRESH_FORBIDDEN & set(ctx)]
+
+
+# name and, if given, value of an attribute within a start tag
+_ATTRIBUTE = re.compile(r"""([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+
+
+def _value_span(tag_text: str, name: str):
+    """(start, end, value) of the first attribute of that name, quotes included in the span; None without a value."""
+    start = re.match(r"<[^\s/>]*", tag_text).end()
+    for m in _ATTRIBUTE.finditer(tag_text, start):
+        if m.group(1).lower() == name:
+            raw = m.group(2)
+            if raw is None:
+                return None
+            plain = raw[1:-1] if raw[:1] in ("'", '"') and len(raw) > 1 else raw
+            return m.start(2), m.end(2), unescape(plain)
+    return None
+
+
+def rewrite_references(html: str, values: dict) -> str:
+    """The page with new values for some of its references, by their number in ``PageScan.refs``.
+
+    Values are replaced where they stand, once, and nothing else of the page changes.
+    """
+    scan = PageScan.of(html)
+    lines = [0, *(m.end() for m in re.finditer("\n", html))]
+    changes = {}
+    for number, new in values.items():
+        (line, column), tag_text, within = scan.places[number]
+        changes.setdefault((lines[line - 1] + column, scan.refs[number][1]), (tag_text, []))[1].append((within, new))
+    edits = []
+    for (at, name), (tag_text, parts) in changes.items():
+        span = _value_span(tag_text, name)
+        if span is None:
+            continue
+        start, end, value = span
+        for within, new in sorted(parts, key=lambda x: x[0] or (0, 0), reverse=True):
+            lo, hi = within or (0, len(value))
+            value = value[:lo] + new + value[hi:]
+        edits.append((at + start, at + end, '"' + value.replace("&", "&amp;").replace('"', "&quot;") + '"'))
+    out, done = [], 0
+    for start, end, text in sorted(edits):
+        out += [html[done:start], text]
+        done = end
+    return "".join([*out, html[done:]])

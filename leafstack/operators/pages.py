@@ -4,6 +4,7 @@ Native expressions where the pattern allows; full markup goes through one Arrow
 batch per task.  Nothing here looks at more than one page at a time.
 """
 
+import json
 from urllib.parse import unquote, urljoin, urlsplit
 
 import pandas as pd
@@ -15,9 +16,9 @@ from ..functions import charset as charsets
 from ..functions import datauri
 from ..functions.css import css_urls
 from ..functions.mime import extension_dimension, guess, is_compressible, is_html, is_svg, with_mime
-from ..functions.pagescan import PageScan, squeeze_text
+from ..functions.pagescan import PageScan, rewrite_references, squeeze_text
 from ..functions.scalars import (
-    blank_to_null, escape_html, infer_title, item_id_of, normal_path, percent_decode, squeeze, ts_of_item_id, unescape_entities,
+    blank_to_null, infer_title, item_id_of, normal_path, percent_decode, squeeze, ts_of_item_id, unescape_entities,
 )
 from ..runtime import stage
 from ..schema import SPECIAL_IDS
@@ -197,7 +198,8 @@ def _rows(pages: DataFrame, key, cols, extra: str, one) -> DataFrame:
                         out[k].append(v)
                     for k, v in zip(names, row):
                         out[k].append(v)
-            yield pd.DataFrame(out, columns=[*key, *names])
+            if out[names[0]]:  # an empty frame has no array types
+                yield pd.DataFrame(out, columns=[*key, *names])
 
     return ins.mapInPandas(run, f"{fields}, {extra}")
 
@@ -425,23 +427,26 @@ def externalize(pages: DataFrame, key, html: str = "html"):
     parsed = refs.select(*key, "ord", "url", cols["mime"].alias("mime"), cols["payload"].alias("payload"))
     named = stage(payload_names(parsed))
     new = F.when(F.col("payload").isNotNull(), F.col("name")).otherwise(F.concat(F.lit(ERROR_URN), "url"))
-    swaps = (named.groupBy(*key).agg(F.collect_set(F.struct(F.col("url").alias("a"), new.alias("b"))).alias("__swaps")))
-    out = pages.join(swaps, list(key), "left").withColumn(html, _swap_all(F.col(html), F.col("__swaps"))).drop("__swaps")
+    swaps = named.groupBy(*key).agg(_changes(F.col("ord"), new))
+    out = pages.join(swaps, list(key), "left").withColumn(html, _rewritten(F.col(html))).drop("__swaps")
     good = named.filter("payload is not null")
     return out, payload_store(good, order=(*key, "ord")), named.drop("payload")
 
 
-def _swap_all(text: Column, swaps: Column) -> Column:
-    """Replace quoted reference values; both the plain and the entity-escaped spelling."""
-    empty = F.array().cast("array<struct<a:string,b:string>>")
+def _changes(number: Column, new: Column) -> Column:
+    """Aggregate of the new values of a page's references, by their number, as ``__swaps``."""
+    return F.to_json(F.collect_list(F.struct(number.alias("n"), new.alias("v")))).alias("__swaps")
 
-    def one(acc, s):
-        for q in ('"', "'"):
-            for a in (s["a"], escape_html(s["a"])):
-                acc = F.replace(acc, F.concat(F.lit(q), a, F.lit(q)), F.concat(F.lit(q), s["b"], F.lit(q)))
-        return acc
 
-    return F.aggregate(F.coalesce(swaps, empty), text, one)
+def _rewritten(html: Column) -> Column:
+    """The page with the values of ``__swaps`` in their places; only pages that have some are parsed."""
+
+    @F.pandas_udf("string")
+    def rewrite(pages: pd.Series, swaps: pd.Series) -> pd.Series:
+        return pd.Series([rewrite_references(page, {x["n"]: x["v"] for x in json.loads(s)}) if s and page is not None else page
+                          for page, s in zip(pages, swaps)], dtype=object)
+
+    return F.when(F.col("__swaps").isNull(), html).otherwise(rewrite(html, F.col("__swaps")))
 
 
 def resolve_references(refs: DataFrame, path: str = "path") -> DataFrame:
@@ -528,9 +533,8 @@ def embed(pages: DataFrame, files: DataFrame) -> DataFrame:
                .when(F.col("status") == "missing", F.concat(missing, F.col("url")))
                .when(F.col("__inner").isNotNull(), inner_uri)
                .otherwise(data_uri(F.col("content"), F.col("mime"))))
-        swaps = (rows.filter(F.col("kind") != "base").groupBy(*key)
-                 .agg(F.collect_set(F.struct(F.col("url").alias("a"), new.alias("b"))).alias("__swaps")))
-        done = stage(level.join(swaps, key, "left").withColumn("html", _swap_all(F.col("html"), F.col("__swaps")))
+        swaps = rows.withColumn("__new", new).filter((F.col("kind") != "base") & (F.col("__new") != F.col("url"))).groupBy(*key).agg(_changes(F.col("ord"), F.col("__new")))
+        done = stage(level.join(swaps, key, "left").withColumn("html", _rewritten(F.col("html")))
                      .select(*key, "doc", "html"))
     return done.select("book_id", F.col("root").alias("path"), "html")
 

@@ -73,15 +73,17 @@ def c7(spark, sf):
     return show(ck.check_unlisted(bad_items(spark, sf), bad_edges(spark, sf)))
 
 
-@query("C8_unindexed_files", ctes("items", "files") + r""",
-used AS (SELECT DISTINCT i.book_id, i.index AS path FROM items i JOIN files f ON f.book_id = i.book_id AND f.path = i.index WHERE i.index <> ''),
+C8_CTES = r"""used AS (SELECT DISTINCT i.book_id, i.index AS path FROM {items} i JOIN files f ON f.book_id = i.book_id AND f.path = i.index WHERE i.index <> ''),
 pages AS (SELECT DISTINCT book_id, path FROM files WHERE regexp_matches(lower(path), '\.(html|htz|maff|htm|xhtml|xht|svg)$') EXCEPT SELECT * FROM used),
 shut AS (SELECT book_id, regexp_replace(path, '/index.html$', '') AS d FROM used WHERE path LIKE '%/index.html'
   UNION SELECT book_id, regexp_replace(path, '\.[^./]*$', '') || s FROM (SELECT * FROM pages UNION SELECT * FROM used WHERE path NOT LIKE '%/index.html'), (VALUES ('.files'), ('_files')) v(s) WHERE lower(path) LIKE '%.htm%'),
-claim AS (SELECT book_id, path, regexp_replace(path, '/index.html$', '') AS d FROM pages WHERE path LIKE '%/index.html')
-SELECT p.book_id, p.path, 'warn' AS severity, 'unindexed_file' AS code FROM pages p
+claim AS (SELECT book_id, path, regexp_replace(path, '/index.html$', '') AS d FROM pages WHERE path LIKE '%/index.html')"""
+C8_SQL = r"""SELECT p.book_id, CAST(NULL AS VARCHAR) AS item_id, p.path, 'warn' AS severity, 'unindexed_file' AS code FROM pages p
 WHERE NOT EXISTS (SELECT 1 FROM shut s WHERE s.book_id = p.book_id AND starts_with(p.path, s.d || '/'))
-  AND NOT EXISTS (SELECT 1 FROM claim c WHERE c.book_id = p.book_id AND c.path <> p.path AND starts_with(p.path, c.d || '/'))""")
+  AND NOT EXISTS (SELECT 1 FROM claim c WHERE c.book_id = p.book_id AND c.path <> p.path AND starts_with(p.path, c.d || '/'))"""
+
+
+@query("C8_unindexed_files", ctes("items", "files") + ", " + C8_CTES.replace("{items}", "items") + " SELECT book_id, path, severity, code FROM (" + C8_SQL + ")")
 def c8(spark, sf):
     return ck.check_unindexed(fx.items(spark, sf), fx.files(spark, sf)).select("book_id", "path", "severity", "code")
 
@@ -159,18 +161,21 @@ UNION ALL SELECT book_id, item_id, icon, CASE WHEN icon LIKE 'https:%' THEN 'war
   FROM bad_items WHERE icon LIKE 'https:%' OR icon LIKE '/%'""")
 
 
-def findings(spark, sf, files=None):
-    """Every finding but the unindexed files, which have their own query."""
-    it, e, f = bad_items(spark, sf), bad_edges(spark, sf), fx.files(spark, sf)
-    return ck.run_checks(it, e, f).filter("code <> 'unindexed_file'")
+ALL_SQL += " UNION ALL " + C8_SQL
+ALL_CTES = ctes("items", "edges", "files") + BAD_SQL + ", " + C8_CTES.replace("{items}", "bad_items")
+
+
+def findings(spark, sf):
+    """Every finding of the checks over items, tree and files."""
+    return ck.run_checks(bad_items(spark, sf), bad_edges(spark, sf), fx.files(spark, sf))
 
 
-@query("L11_all_checks", ctes("items", "edges", "files") + BAD_SQL + " " + ALL_SQL)
+@query("L11_all_checks", ALL_CTES + " " + ALL_SQL)
 def l11(spark, sf):
     return show(findings(spark, sf))
 
 
-@query("D2_finding_counts", ctes("items", "edges", "files") + BAD_SQL + ", found AS (" + ALL_SQL + """)
+@query("D2_finding_counts", ALL_CTES + ", found AS (" + ALL_SQL + """)
 SELECT book_id, code, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warn') AS warnings FROM found GROUP BY 1, 2""")
 def d2(spark, sf):
     return ck.finding_counts(findings(spark, sf), ["book_id", "code"])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import item_id_of
-from ..runtime import stage
+from ..runtime import keep
 
 
 _STORED = {}
@@ -26,7 +26,7 @@ def stored(fn):
     def get(spark, sf):
         key = (spark.sparkContext.applicationId, sf, fn.__name__)
         if key not in _STORED:
-            _STORED[key] = stage(fn(spark, sf))
+            _STORED[key] = keep(fn(spark, sf))
         return _STORED[key]
 
     return get

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as gr
 from ..operators import tree as tr
+from ..scale import rank_rows
 from ..schema import SPECIAL_IDS
 from . import fixtures as fx
 from .fixtures import ctes, table
@@ -75,13 +76,12 @@ def f3(spark, sf):
 
 
 @query("F2_unique_names", """
-WITH t AS (SELECT l_returnflag AS scope, CAST(l_suppkey AS VARCHAR) AS base, l_orderkey * 10 + l_linenumber AS n FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey * 10 + l_linenumber ORDER BY l_partkey, l_suppkey, l_returnflag) = 1)
+WITH t AS (SELECT l_returnflag AS scope, CAST(l_suppkey AS VARCHAR) AS base, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity, l_extendedprice, l_shipdate) - 1 AS n FROM lineitem)
 SELECT scope, n, CASE WHEN k = 1 THEN base ELSE base || '(' || (k - 1) || ')' END AS name FROM (SELECT *, row_number() OVER (PARTITION BY scope, base ORDER BY n) AS k FROM t)""")
 def f2(spark, sf):
-    li = table(spark, sf, "lineitem")
-    n = (F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    rows = (li.groupBy(n.alias("n")).agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag")).alias("r"))
-            .select(F.col("r.l_returnflag").alias("scope"), F.col("r.l_suppkey").cast("string").alias("base"), "n"))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_extendedprice", "l_shipdate"]
+    rows = rank_rows(table(spark, sf, "lineitem").select(*order), [], order, "n").select(
+        F.col("l_returnflag").alias("scope"), F.col("l_suppkey").cast("string").alias("base"), "n")
     return tr.unique_names(rows, ["scope"], "base", "n", "name").select("scope", "n", "name")
 
 

@@ -35,8 +35,8 @@ def pages(spark, sf):
 
 
 def body(html):
-    """Start of the article text, free of markup characters."""
-    return F.substring(F.regexp_replace(html, r"[^A-Za-z ]+", ""), 300, 40)
+    """The whole page, free of markup characters."""
+    return F.regexp_replace(html, r"[^A-Za-z ]+", "")
 
 
 TEXT_SQL = r"""
@@ -140,7 +140,7 @@ def saved_pages(spark, sf):
 
 
 @query("J6_page_metadata", r"""
-WITH t AS (SELECT page_id, 'https://site.example.com/p/' || page_id AS src, substr(regexp_replace(html, '[^A-Za-z ]+', '', 'g'), 300, 40) AS title FROM pages)
+WITH t AS (SELECT page_id, 'https://site.example.com/p/' || page_id AS src, regexp_replace(html, '[^A-Za-z ]+', '', 'g') AS title FROM pages)
 SELECT page_id, CASE WHEN page_id % 5 = 4 THEN '2024010100000' || lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0') END AS given_id, CASE page_id % 5 WHEN 4 THEN 'note' ELSE '' END AS type,
   CASE page_id % 5 WHEN 2 THEN 'T' || page_id WHEN 3 THEN CAST(page_id AS VARCHAR) WHEN 4 THEN 'N & ' || page_id ELSE title END AS title,
   CASE page_id % 5 WHEN 1 THEN '20240102022030000' WHEN 2 THEN '20240103060203000' ELSE '' END AS "create", CASE WHEN page_id % 5 <> 4 THEN src END AS source,
@@ -172,7 +172,7 @@ def uri(text):
 
 
 @query("J8_data_uris", """
-WITH p AS (SELECT page_id, substr(regexp_replace(html, '[^A-Za-z ]+', '', 'g'), 300, 40) AS t FROM pages)
+WITH p AS (SELECT page_id, regexp_replace(html, '[^A-Za-z ]+', '', 'g') AS t FROM pages)
 SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/html' WHEN 2 THEN 'image/png' END AS mime, CASE page_id % 4 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'big5' END AS charset,
   CASE page_id % 4 WHEN 0 THEN sha1(t) WHEN 1 THEN sha1('a %ZZé' || page_id) END AS digest FROM p""")
 def j8(spark, sf):
@@ -190,7 +190,7 @@ def picture_pages(spark, sf):
 
 @query("J9_externalised_pages", r"""
 SELECT page_id, '<html><body><img src="' || sha1('img' || (page_id % 20)) || '.png"><img src="urn:scrapbook:convert:error:url:data:oops"><a href="x.html">' ||
-  substr(regexp_replace(html, '[^A-Za-z ]+', '', 'g'), 300, 40) || '</a></body></html>' AS html FROM pages""")
+  regexp_replace(html, '[^A-Za-z ]+', '', 'g') || '</a></body></html>' AS html FROM pages""")
 def j9(spark, sf):
     return pg.externalize(picture_pages(spark, sf), ["page_id"])[0].select("page_id", "html")
 
@@ -267,10 +267,10 @@ def d11(spark, sf):
 # -- text index -------------------------------------------------------------------------
 
 @query("H5_item_crawl", """
-WITH RECURSIVE r AS (SELECT page_id, 'p' || (page_id % 5) AS path FROM pages WHERE page_id % 25 = 0 UNION SELECT r.page_id, 'p' || ((CAST(substr(r.path, 2) AS INT) * 2 + 1) % 23) FROM r WHERE CAST(substr(r.path, 2) AS INT) <> 15)
+WITH RECURSIVE r AS (SELECT page_id, 'p' || (page_id % 5) AS path FROM pages UNION SELECT r.page_id, 'p' || ((CAST(substr(r.path, 2) AS INT) * 2 + 1) % 23) FROM r WHERE CAST(substr(r.path, 2) AS INT) <> 15)
 SELECT page_id, path FROM r WHERE path <> 'p22'""")
 def h5(spark, sf):
-    items = pages(spark, sf).filter("page_id % 25 = 0").select(F.lit("b").alias("book_id"), F.concat(F.lit("i"), number()).alias("item_id"), "page_id")
+    items = pages(spark, sf).select(F.lit("b").alias("book_id"), F.concat(F.lit("i"), number()).alias("item_id"), "page_id")
     nums = items.select("book_id", "item_id", F.explode(F.sequence(F.lit(0), F.lit(22))).alias("k"))
     links = nums.filter("k <> 15").select("book_id", "item_id", F.concat(F.lit("p"), "k").alias("path"), F.concat(F.lit("p"), (F.col("k") * 2 + 1) % 23).alias("target"))
     files = nums.filter("k <> 22").select("book_id", "item_id", F.concat(F.lit("p"), "k").alias("path"))
@@ -280,7 +280,7 @@ def h5(spark, sf):
 
 
 @query("H6_inlined_frames", r"""
-WITH t AS (SELECT page_id, trim(regexp_replace('w ' || substr(regexp_replace(html, '[^A-Za-z ]+', '', 'g'), 300, 40), ' +', ' ', 'g')) AS t FROM pages)
+WITH t AS (SELECT page_id, trim(regexp_replace('w ' || regexp_replace(html, '[^A-Za-z ]+', '', 'g'), ' +', ' ', 'g')) AS t FROM pages)
 SELECT a.page_id, a.t || CASE WHEN b.t IS NOT NULL THEN ' ' || b.t ELSE '' END || ' end' || CASE WHEN b.t IS NOT NULL THEN '' ELSE '' END AS content
 FROM t a LEFT JOIN (SELECT page_id, t || ' end' AS t FROM t) b ON a.page_id % 2 = 0 AND b.page_id = a.page_id + 1 WHERE a.page_id % 2 = 0""")
 def h6(spark, sf):
@@ -340,7 +340,7 @@ def shard_files(spark, sf):
     d = table(spark, sf, "documents")
     k = F.col("doc_id")
     doc = F.concat(F.lit('"D'), k % 700, F.lit('":'),
-                   F.when(k % 90 == 0, "null").otherwise(F.to_json(F.struct(F.substring("text", 1, 20).alias("title"), "source", (k % 2 == 0).alias("marked")))))
+                   F.when(k % 90 == 0, "null").otherwise(F.to_json(F.struct(F.col("text").alias("title"), "source", (k % 2 == 0).alias("marked")))))
     rows = d.select("lang", F.floor(k / 500).alias("shard"), k, doc.alias("doc"))
     text = (rows.groupBy("lang", "shard").agg(F.array_sort(F.collect_list(F.struct("doc_id", "doc"))).alias("l"))
             .withColumn("value", F.concat(F.lit("/* note */\nscrapbook.meta({"), F.array_join(F.transform("l", lambda s: s["doc"]), ",\n"), F.lit("})"))))
@@ -443,7 +443,7 @@ def zip_up(ids: pd.Series, html: pd.Series) -> pd.Series:
                 if i % 4:
                     zh.writestr("index.html", text)
                 zh.writestr("sub/", "")
-                zh.writestr("sub/deep/a.txt", text[:100])
+                zh.writestr("sub/deep/a.txt", text)
         return buf.getvalue()
     return pd.Series([one(int(i), t) for i, t in zip(ids, html)])
 
@@ -559,7 +559,7 @@ def _folder(spark, name):
 
 
 @query("N1_incremental_index", r"""
-SELECT page_id, trim(regexp_replace(substr(regexp_replace(html, '[^A-Za-z ]+', '', 'g'), 300, 40), ' +', ' ', 'g')) || CASE WHEN page_id % 2 = 0 THEN ' v2' ELSE ' v1' END AS content FROM pages""")
+SELECT page_id, trim(regexp_replace(regexp_replace(html, '[^A-Za-z ]+', '', 'g'), ' +', ' ', 'g')) || CASE WHEN page_id % 2 = 0 THEN ' v2' ELSE ' v1' END AS content FROM pages""")
 def n1(spark, sf):
     base = _folder(spark, "index")
 
@@ -582,12 +582,12 @@ def _run_stream(df, base, mode="append"):
     return df.sparkSession.read.schema(df.schema).parquet(f"{base}/out")
 
 
-@query("N2_standing_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND NOT contains(lower(substr(text, 1, 40)), 'on')")
+@query("N2_standing_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND NOT contains(lower(source), '1')")
 def n2(spark, sf):
     base = _folder(spark, "search")
     d = spark.readStream.schema(table(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    rows = d.select("doc_id", F.col("text").alias("content"), F.substring("text", 1, 40).alias("title"))
-    spec = SearchSpec(rules={"content": Rule([Term("the")]), "title": Rule([], [Term("on")])})
+    rows = d.select("doc_id", F.col("text").alias("content"), F.col("source").alias("title"))
+    spec = SearchSpec(rules={"content": Rule([Term("the")]), "title": Rule([], [Term("1")])})
     return _run_stream(st.standing_search(rows, spec).select("doc_id"), base)
 
 

@@ -199,11 +199,10 @@ def c3(spark, sf):
 
 
 @query("G1_stable_multi_sort", FULL_SQL + """
-SELECT book_id, item_id, path, row_number() OVER (ORDER BY CASE book_id WHEN 'fr' THEN 1 ELSE 2 END, modify DESC, title, addr, path) AS n
-FROM hits WHERE book_id IN ('fr', 'es')""")
+SELECT book_id, item_id, path, row_number() OVER (ORDER BY CASE book_id WHEN 'fr' THEN 1 WHEN 'es' THEN 2 WHEN 'en' THEN 3 ELSE 4 END, modify DESC, title, addr, path) AS n FROM hits""")
 def g1(spark, sf):
     from ..scale import rank_rows
-    spec = SearchSpec(books=("fr", "es"), sorts=(("title", False), ("modify", True)))
+    spec = SearchSpec(books=("fr", "es", "en", "de"), sorts=(("title", False), ("modify", True)))
     out = se.search(fx.items(spark, sf), fx.edges(spark, sf), fx.fulltext(spark, sf), spec)
     ranked = rank_rows(out.drop("content"), [], se.sort_columns(spec), "n")
     return ranked.select("book_id", "item_id", "path", (F.col("n") + 1).alias("n"))

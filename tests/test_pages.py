@@ -123,6 +123,29 @@ def test_embed_and_externalize(spark):
     assert [(r["name"], bytes(r["content"])) for r in store.collect()] == [(name, b"PNG")]
 
 
+def test_references_are_rewritten_where_they_stand(spark):
+    page = """<p title='p.png'>say "p.png" &amp; more</p>
+<IMG
+  SRCSET="p.png 2x, no.png 3x, p.png 4x" alt="p.png"><img src=p.png><img data-src='x' src = 'p.png' src="other"><a href=\"q.html?a=1&amp;b='2'\">"p.png"</a>"""
+    files = spark.createDataFrame([("k", "p.png", bytearray(b"PNG"))], "book_id string, path string, content binary")
+    pages = spark.createDataFrame([("k", "a.html", page), ("k", "b.html", None), ("k", "c.html", "no references")], "book_id string, path string, html string")
+    out = {r["path"]: r["html"] for r in pg.embed(pages, files).collect()}
+    pic, gone = "data:image/png;base64," + base64.b64encode(b"PNG").decode(), "urn:scrapbook:converter:error:url:no.png"
+    assert out["a.html"] == f"""<p title='p.png'>say "p.png" &amp; more</p>
+<IMG
+  SRCSET="{pic} 2x, {gone} 3x, {pic} 4x" alt="p.png"><img src="{pic}"><img data-src='x' src = "{pic}" src="other"><a href="urn:scrapbook:converter:error:url:q.html?a=1&amp;b='2'">"p.png"</a>"""
+    assert out["c.html"] == "no references"
+
+
+def test_nested_frames_embed(spark):
+    n = 7
+    rows = [("k", f"p{i}.html", f'<iframe src="p{i + 1}.html"></iframe>' if i < n else "end") for i in range(n + 1)]
+    pages = spark.createDataFrame(rows[:1], "book_id string, path string, html string")
+    assert all(r[2] == pg.rewrite_references(r[2], {}) for r in rows)
+    files = spark.createDataFrame([(b, p, bytearray(t.encode())) for b, p, t in rows[:4]], "book_id string, path string, content binary")
+    assert "p4.html" in pg.embed(pages, files).first()["html"]
+
+
 def test_shards_round_trip(spark, tmp_path):
     items = spark.createDataFrame([("b", f"i{n}", n, f"t {n}", n % 2 == 0) for n in range(7)], "book_id string, item_id string, ord long, title string, marked boolean")
     out = str(tmp_path / "tree")
