@@ -93,11 +93,11 @@ def ordered_sums(df: DataFrame, group, order, value: str, name: str) -> DataFram
 
 
 # Bytes of text that a task works on at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
-def text_groups(batches):
-    """(texts as bytes, batch) for groups of rows of some PIECE bytes; the text, or binary, is the last column; null is empty."""
+def text_groups(batches, size: int = PIECE):
+    """(texts as bytes, batch) for groups of rows of some `size` bytes; the text, or binary, is the last column; null is empty."""
     for batch in batches:
         texts = batch.column(batch.num_columns - 1)
         group, first, held = [], 0, 0
@@ -105,7 +105,7 @@ def text_groups(batches):
             value = texts[i].as_py() or b""
             group.append(value.encode() if isinstance(value, str) else value)
             held += len(group[-1]) + 1
-            if held >= PIECE:
+            if held >= size:
                 yield group, batch.slice(first, i + 1 - first)
                 group, first, held = [], i + 1, 0
         if group:

@@ -7,7 +7,7 @@ from ..runtime import ship
 QUERIES, ORACLES = {}, {}
 
 # Text handed to a Python worker at once; without it a batch has 10,000 texts of whatever length.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
 
 
 def prepare(spark) -> None:

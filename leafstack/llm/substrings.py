@@ -25,7 +25,7 @@ BYTES_PER_CELL, ROWS = 8, 2
 LEAST_CELLS, MAX_CELLS = 1 << 17, 1 << 30
 BLOCK = 1 << 16
 # Text hashed at once, anchors that a task holds, and windows in an output batch.
-PIECE, HELD, BATCH = 1 << 20, 1 << 20, 1 << 16
+PIECE, HELD, BATCH = 1 << 18, 1 << 18, 1 << 16
 
 BASE = 0x9E3779B97F4A7C15
 SPACES = np.zeros(256, bool)
@@ -89,7 +89,7 @@ class Windows:
 
     def __init__(self, texts: list[bytes], window: int):
         gram = min(GRAM, window)
-        self.data = b"\n".join(texts) + b"\n"
+        self.data, self.joined = b"\n".join(texts) + b"\n", None
         at = np.cumsum([0, *(len(t) + 1 for t in texts)])
         starts, ends, hashes = words_of(self.data)
         self.first = np.searchsorted(starts, at)  # word numbers at which the texts begin
@@ -112,8 +112,9 @@ class Windows:
 
     def digests(self, starts: np.ndarray, window: int) -> np.ndarray:
         """128-bit hashes of the words of the windows at `starts`, as two columns."""
-        joined = b" ".join(self.data.split())
-        end = np.cumsum(self.size + 1) - 1
+        if self.joined is None:
+            self.joined = b" ".join(self.data.split())
+        joined, end = self.joined, np.cumsum(self.size + 1) - 1
         begin = (end - self.size)[starts].tolist()
         end = end[starts + window - 1].tolist()
         digest = xxhash.xxh3_128_digest
