@@ -60,23 +60,26 @@ def reachable(edges: DataFrame, roots=SPECIAL_IDS, with_order: bool = False) ->
 
 
 def _reach_ordered(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Each round stages what it found better, and only that; the best of all rounds is taken at the end."""
     key = ["book_id", "item_id"]
-    best = stage(start.groupBy(*key).agg(F.min(F.array("rank")).alias("addr")))
-    frontier = best
-    links = edges.select("book_id", F.col("parent_id").alias("item_id"), F.col("pos").cast("long").alias("pos"), "child_id")
-    depth = 0
+
+    def best(df):
+        return df.groupBy(*key).agg(F.min("addr").alias("addr"))
+
+    frontier = stage(best(start.select(*key, F.array("rank").alias("addr"))))
+    parts, links, depth = [frontier], edges.select("book_id", F.col("parent_id").alias("item_id"), F.col("pos").cast("long").alias("pos"), "child_id"), 0
     while True:
         n, depth = frontier.count(), depth + 1
         if n == 0:
-            return best
-        step = (links.join(_hint(frontier, n, depth), key)
-                .select("book_id", F.col("child_id").alias("item_id"),
-                        F.concat("addr", F.array("pos")).alias("addr"))
-                .groupBy(*key).agg(F.min("addr").alias("addr")))
-        old = best.withColumnRenamed("addr", "__old")
-        frontier = stage(step.join(old, key, "left")
+            return best(reduce(DataFrame.unionByName, parts))
+        step = stage(best(links.join(_hint(frontier, n, depth), key)
+                          .select("book_id", F.col("child_id").alias("item_id"), F.concat("addr", F.array("pos")).alias("addr"))))
+        met = reduce(DataFrame.unionByName, parts).join(step.select(*key), key, "left_semi")
+        frontier = stage(step.join(best(met).withColumnRenamed("addr", "__old"), key, "left")
                          .filter(F.col("__old").isNull() | (F.col("addr") < F.col("__old"))).drop("__old"))
-        best = stage(best.unionByName(frontier).groupBy(*key).agg(F.min("addr").alias("addr")))
+        parts.append(frontier)
+        if len(parts) > 32:
+            parts = [stage(best(reduce(DataFrame.unionByName, parts)))]
 
 
 def newly_unreachable(before: DataFrame, after: DataFrame, roots=SPECIAL_IDS) -> DataFrame:

@@ -106,8 +106,13 @@ class SearchSpec:
         """Rules that need no page text: usable before the text is joined."""
         return all_of(self._rule(n, r) for n, r in self.rules.items() if not self._needs_text(n))
 
-    def text_predicate(self) -> Column:
-        return all_of(self._rule(n, r) for n, r in self.rules.items() if self._needs_text(n))
+    def text_predicate(self, told: dict | None = None) -> Column:
+        """``told``: columns that say whether the content alone meets a rule, by the rule's name."""
+        return all_of(self._rule(n, r, (told or {}).get(n)) for n, r in self.rules.items() if self._needs_text(n))
+
+    def content_rules(self) -> dict:
+        """Rules that read page text."""
+        return {n: r for n, r in self.rules.items() if "content" in (self.default_fields if n is None else (n,))}
 
     def to_column(self) -> Column:
         """All rules as one predicate, cheap metadata tests first."""
@@ -117,9 +122,11 @@ class SearchSpec:
         fields = self.default_fields if name is None else (name,)
         return bool({"content", "file"} & set(fields))
 
-    def _rule(self, name, rule: Rule) -> Column:
+    def _rule(self, name, rule: Rule, told: Column | None = None) -> Column:
         if name is None:
-            return any_of(text_all(value(f), rule) for f in self.default_fields)
+            return any_of(told if f == "content" and told is not None else text_all(value(f), rule) for f in self.default_fields)
+        if name == "content" and told is not None:
+            return told
         if name in OR_FIELDS:
             return text_any(value(name), rule)
         if name in DATE_FIELDS:
@@ -265,7 +272,8 @@ def in_scope(edges: DataFrame, spec: SearchSpec, with_order: bool = True) -> Dat
 
 def with_text(items: DataFrame, fulltext: DataFrame) -> DataFrame:
     """One row per item and text file; an item without text keeps one row with an empty path."""
-    text = fulltext.select("book_id", "item_id", "path", F.col("ord").alias("text_ord"), "content")
+    text = fulltext.withColumnRenamed("ord", "text_ord").select(
+        "book_id", "item_id", "path", "text_ord", *[c for c in fulltext.columns if c == "content" or c.startswith("__told")])
     return (items.join(text, ["book_id", "item_id"], "left")
             .withColumn("path", F.coalesce("path", F.lit("")))
             .withColumn("text_ord", F.coalesce("text_ord", F.lit(0).cast("long"))))
@@ -289,13 +297,21 @@ def search(items: DataFrame, edges: DataFrame, fulltext: DataFrame, spec: Search
     pool = select_books(items, spec, books).filter(spec.item_predicate())
     scoped_edges = select_books(edges, spec, books).select("book_id", "parent_id", "pos", "child_id")
     scope = in_scope(scoped_edges, spec).withColumnRenamed("addr", "visit")
-    hits = with_text(pool.join(scope, ["book_id", "item_id"]), fulltext).filter(spec.text_predicate())
+    # what a rule wants of the text is settled where the text is read
+    rules = spec.content_rules()
+    text, told = fulltext.select("book_id", "item_id", "path", "ord", "content"), {}
+    for i, (name, rule) in enumerate(rules.items()):
+        text = text.withColumn(f"__told{i}", text_all(value("content"), rule))
+        told[name] = F.coalesce(F.col(f"__told{i}"), text_all(F.lit(""), rule))
+    by_content = any(n == "content" for n, _ in spec.sorts)
+    if spec.limit is not None and not by_content:
+        text = text.drop("content")
+    flags = [f"__told{i}" for i in range(len(rules))]
+    hits = with_text(pool.join(scope, ["book_id", "item_id"]), text).filter(spec.text_predicate(told)).drop(*flags)
     order = sort_columns(spec)
     if spec.limit is not None:
-        keep = [c for c in hits.columns if c != "content"]
-        by_content = any(n == "content" for n, _ in spec.sorts)
         if not by_content:
-            top = hits.select(*keep).orderBy(*order).limit(spec.limit)
+            top = hits.orderBy(*order).limit(spec.limit)
             text = fulltext.select("book_id", "item_id", "path", "content")
             hits = top.join(text, ["book_id", "item_id", "path"], "left")
         else:

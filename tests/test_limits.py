@@ -61,3 +61,18 @@ def test_entry_lines_keep_unknown_properties(spark):
                                   "book_id string, item_id string, ord long, title string, marked boolean, extra map<string,string>")
     lines = [r.line for r in cat.entry_lines(items).orderBy("ord").collect()]
     assert lines == ['"i": {"title":"t","foo":"b\\"ar"}', '"j": {"a":"1"}', '"k": {}', '"l": {"title":"x}","marked":true}']
+
+
+def test_page_text_stays_on_its_side(spark):
+    """With a limit no page text goes through an exchange before the hits are known."""
+    from leafstack.operators.search import Rule, SearchSpec, Term, search
+    from leafstack.plans import fixtures as fx
+
+    sf = "/root/testdata/sf0.001"
+    spec = SearchSpec(rules={None: Rule([Term("the")], [Term("zz")])}, sorts=(("title", False),), limit=5)
+    out = search(fx.items(spark, sf), fx.edges(spark, sf), fx.fulltext(spark, sf), spec)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line or "Join Inner" in line]
+    assert joins and out.count() == 5
+    top = plan[plan.index("GlobalLimit"):]
+    assert not any("content#" in line and ("Join" in line or "Sort" in line) for line in top.splitlines())
