@@ -25,11 +25,14 @@ def test_held_out_accuracy(spark, model):
     assert sum(r.truth == r.language for r in out) / len(out) > 0.99
 
 
-def test_query_on_pages(spark):
+def test_query(spark):
     out = op3_language_id(spark, SF)
     rows = out.collect()
-    assert len(rows) == 250 and out.columns == ["page_id", "language", "confidence", "text_language", "declared", "host"]
-    assert sum(r.language == r.declared for r in rows) > 0.97 * len(rows)
+    assert out.columns == ["doc_id", "page_id", "language", "confidence", "text_language", "declared", "host", "kept"]
+    pages, docs = [r for r in rows if r.page_id is not None], [r for r in rows if r.doc_id is not None]
+    assert len(pages) == 250 and len(docs) == 1000 and len(rows) == 1250
+    for part in (pages, docs):
+        assert sum(r.language == r.declared for r in part) > 0.97 * len(part) and all(r.kept for r in part)
     assert sorted(map(str, rows)) == sorted(map(str, op3_language_id(spark, SF).collect()))
 
 
