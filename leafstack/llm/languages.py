@@ -179,8 +179,8 @@ def identify(rows: DataFrame, model: Model, text: str = "text", markup: bool = F
 
 
 def speak(rows: DataFrame, model: Model, text: str = "text", **hints) -> DataFrame:
-    """`rows` whose language could be told; those answered 'und' go."""
-    marked = identify(without(rows, "__row").withColumn("__row_id", F.monotonically_increasing_id()).select("__row_id", *rows.columns), model, text, **hints)
-    drop = written(marked.filter("language = 'und'").select("__row_id"), "und")
+    """`rows` whose language could be told; those answered 'und' go.  A column named `__row_id` is left out."""
+    rows = without(rows, "__row", "__row_id")
     numbered = rows.withColumn("__row_id", F.monotonically_increasing_id())
-    return numbered.join(beside(drop, 16), "__row_id", "left_anti").drop("__row_id")
+    drop = written(identify(numbered, model, text, **hints).filter("language = 'und'").select("__row_id"), "und")
+    return numbered.join(beside(drop, 16), "__row_id", "left_anti").select(*[F.col(f"`{c}`") for c in rows.columns])

@@ -70,7 +70,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     narrow = written(keyed.select(F.col(f"`{source}`").alias("source"), "size", "__key", "__row"), "keys")
     ordered = ordered_sums(narrow.filter("size > 0"), ["source"], ["__key", "__row"], "size", "mix")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = (mix_targets(sizes, weights, share, cap)
+    plan = (written(mix_targets(sizes, weights, share, cap), "targets")
             .withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
             .withColumn("__owed", F.floor(F.col("target") + 0.5).cast("long") - F.col("__epochs") * F.col("source_size")))
     plan = plan.withColumn("__owed", F.greatest(F.lit(0), F.least("__owed", "source_size")))
