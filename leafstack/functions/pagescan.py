@@ -31,9 +31,8 @@ REF_ATTRS = {
     ("th", "background"): "image", ("td", "background"): "image",
 }
 SRCSET_TAGS = {"img", "source"}
-REFRESH = re.compile(
-    r"^[\t\n\f\r ]*(?P<time>\d+)(?:\.[\d.]*)?"
-    r"(?:(?=[\t\n\f\r ;,])[\t\n\f\r ]*[;,]?[\t\n\f\r ]*(?:url[\t\n\f\r ]*=[\t\n\f\r ]*)?(?P<target>.*))?$", re.I)
+# seconds and target of a refresh; the same in Python and Java
+REFRESH = r"(?i)^[\t\n\f\r ]*(\d+)(?:\.[\d.]*)?(?:(?=[\t\n\f\r ;,])[\t\n\f\r ]*[;,]?[\t\n\f\r ]*(?:url[\t\n\f\r ]*=[\t\n\f\r ]*)?(.*))?$"
 SRCSET_URL = re.compile(r"\s*([^ ,][^ ]*[^ ,])\s*(?: [^ ,]+)?\s*(?:,|$)")
 # ----------------------------------------------------------------------------
 
@@ -46,13 +45,13 @@ def squeeze_text(text: str) -> str:
 
 def refresh_parts(content: str):
     """Refresh content -> (seconds, target); (None, None) when it is not a refresh."""
-    m = REFRESH.search(content or "")
+    m = re.search(REFRESH, content or "")
     if not m:
         return None, None
-    target = m.group("target") or ""
+    target = m.group(2) or ""
     if target[:1] in ("'", '"'):
         target = target[1:].split(target[0], 1)[0]
-    return int(m.group("time")), target.strip("\t\n\f\r ")
+    return int(m.group(1)), target.strip("\t\n\f\r ")
 
 
 class PageScan(HTMLParser):

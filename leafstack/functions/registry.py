@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 from . import css
 from .pagescan import PageScan, squeeze_text
+from .scalars import FILENAME_STEPS
 from .snippets import mark_text
 
-_FILENAME_STEPS = ((r"[\t\n\f\r]+", " "), (r"[\x00-\x1f\x7f-\x9f]+", ""), (r'[:"?*\\/|<>]', "_"), (r"^ +", ""), (r"[. ]+$", ""), (r"^\.", "_."))
 
 
 @F.pandas_udf(T.StringType())
@@ -80,7 +80,7 @@ def register(spark: SparkSession) -> None:
         int(substr(id, 1, 4)), int(substr(id, 5, 2)), int(substr(id, 7, 2)), int(substr(id, 9, 2)), int(substr(id, 11, 2)),
         cast(concat(substr(id, 13, 2), '.', substr(id, 15, 3)) as decimal(8, 6))) END""")
     expr = "name"
-    for rx, to in _FILENAME_STEPS:
+    for rx, to in FILENAME_STEPS:
         expr = f"regexp_replace({expr}, r'{rx}', '{to}')"
     expr = f"regexp_replace({expr}, r'(?i)^(CON|PRN|AUX|NUL|COM\\d|LPT\\d)((?:\\..+)?)$', '$1_$2')"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION safe_filename(name STRING) RETURNS STRING RETURN coalesce(nullif({expr}, ''), '_')")

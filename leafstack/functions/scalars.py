@@ -125,13 +125,14 @@ def infer_title(source) -> Column:
     return F.when(url_scheme(src) != "", blank_to_null(name))
 
 
+# Replacements in a file name, in this order.
+FILENAME_STEPS = ((r"[\t\n\f\r]+", " "), (r"[\x00-\x1f\x7f-\x9f]+", ""), (r'[:"?*\\/|<>]', "_"), (r"^ +", ""), (r"[. ]+$", ""), (r"^\.", "_."))
+
+
 def safe_filename(name, force_ascii: bool = False) -> Column:
-    fn = F.regexp_replace(_c(name), r"[\t\n\f\r]+", " ")
-    fn = F.regexp_replace(fn, r"[\x00-\x1F\x7F\x80-\x9F]+", "")
-    fn = F.regexp_replace(fn, r'[:"?*\\/|<>]', "_")
-    fn = F.regexp_replace(fn, r"^ +", "")
-    fn = F.regexp_replace(fn, r"[. ]+$", "")
-    fn = F.regexp_replace(fn, r"^\.", "_.")
+    fn = _c(name)
+    for pattern, by in FILENAME_STEPS:
+        fn = F.regexp_replace(fn, pattern, by)
     fn = F.regexp_replace(fn, RESERVED_DEVICE_NAME, "$1_$2")
     if force_ascii:
         # only non-ASCII characters, blanks and quotes change under the wide safe set

@@ -16,7 +16,7 @@ from ..functions import charset as charsets
 from ..functions import datauri
 from ..functions.css import css_urls
 from ..functions.mime import extension_dimension, guess, is_compressible, is_html, is_svg, with_mime
-from ..functions.pagescan import PageScan, rewrite_references, squeeze_text
+from ..functions.pagescan import REFRESH, PageScan, rewrite_references, squeeze_text
 from ..functions.scalars import (
     blank_to_null, infer_title, item_id_of, normal_path, percent_decode, squeeze, ts_of_item_id, unescape_entities,
 )
@@ -34,6 +34,7 @@ CIRCULAR_URN, SKIP_URN = "urn:scrapbook:convert:circular:url:", "urn:scrapbook:c
 HIDDEN_BLOCKS = ("title", "style", "script", "template", "iframe", "object", "applet", "audio", "video", "canvas",
                  "noframes", "noscript", "noembed", "textarea", "svg", "math")
 HTTP_TOKEN = r"[!#$%&'*+.0-9A-Z^_`a-z|~-]+"
+HTTP_PARAMETER = r"""[\t ]*;[\t ]*([!#$%&'*+.0-9A-Z^_`a-z|~-]+)=([^\t ;"]*(?:(?:"[^"]*(?:\.[^"]*)*")[^\t ;"]*)*)"""
 # ----------------------------------------------------------------------------
 
 
@@ -243,14 +244,12 @@ def refreshes(pages: DataFrame, key, html: str = "html") -> DataFrame:
 def refresh_columns(content) -> tuple:
     """(seconds, target) of a refresh content value, native; null seconds when it is none."""
     c = F.col(content) if isinstance(content, str) else content
-    ws = r"[\t\n\f\r ]*"
-    rx = rf"(?i)^{ws}(\d+)(?:\.[\d.]*)?(?:(?=[\t\n\f\r ;,]){ws}[;,]?{ws}(?:url{ws}={ws})?(.*))?$"
-    target = F.regexp_extract(c, rx, 2)
+    target = F.regexp_extract(c, REFRESH, 2)
     quoted = F.when(target.startswith('"'), F.regexp_extract(target, r'^"([^"]*)', 1)).when(
         target.startswith("'"), F.regexp_extract(target, r"^'([^']*)", 1)).otherwise(target)
     trimmed = F.regexp_replace(quoted, r"^[\t\n\f\r ]+|[\t\n\f\r ]+$", "")
-    hit = c.rlike(rx)
-    return F.when(hit, F.regexp_extract(c, rx, 1).try_cast("long")), F.when(hit, trimmed)
+    hit = c.rlike(REFRESH)
+    return F.when(hit, F.regexp_extract(c, REFRESH, 1).try_cast("long")), F.when(hit, trimmed)
 
 
 def redirect_edges(refresh_rows: DataFrame, key, path: str = "path") -> DataFrame:
@@ -378,12 +377,10 @@ def content_type_columns(header) -> tuple:
     c = F.col(header) if isinstance(header, str) else header
     kind = F.regexp_extract(c, f"^({HTTP_TOKEN}/{HTTP_TOKEN})", 1)
     rest = F.substring(c, F.length(kind) + 1, F.length(c))
-    quoted = r'(?:"[^"]*(?:\.[^"]*)*")'
-    param = rf"[\t ]*;[\t ]*({HTTP_TOKEN})=([^\t ;\"]*(?:{quoted}[^\t ;\"]*)*)"
     # only the unbroken run of parameters after the type counts
-    run = F.regexp_extract(rest, rf"^((?:{param})*)", 1)
-    keys = F.regexp_extract_all(run, F.lit(param), F.lit(1))
-    vals = F.regexp_extract_all(run, F.lit(param), F.lit(2))
+    run = F.regexp_extract(rest, rf"^((?:{HTTP_PARAMETER})*)", 1)
+    keys = F.regexp_extract_all(run, F.lit(HTTP_PARAMETER), F.lit(1))
+    vals = F.regexp_extract_all(run, F.lit(HTTP_PARAMETER), F.lit(2))
     pairs = F.zip_with(keys, vals, lambda k, v: F.struct(
         F.lower(k).alias("k"), F.when(v.startswith('"'), F.regexp_replace(v, r'^"|.$', "")).otherwise(v).alias("v")))
     # a repeated key keeps its last value
