@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def stages(spark):
     """Input of the first stage and output of each, as written tables."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(9001, None, "en", "src0", 0), (9002, "", "en", None, 0), (9003, "12345 !!! 67", "en", "src1", 12), (9004, "ещё один текст на другом языке " * 9, "en", "src1", 279)], docs.schema)
+    odd = spark.createDataFrame([(9001, None, "en", "src0", 0), (9002, "", "en", None, 0), (9003, "12345 !!! 67", "en", "src1", 12), (9004, "ещё один текст на другом языке " * 9, None, "src1", 279)], docs.schema)
     out = [docs.unionByName(odd)]
     out[0] = cp.written(out[0], "input")
     for name, stage in cp.STAGES:
