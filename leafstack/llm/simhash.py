@@ -25,10 +25,14 @@ PAIRS, LEAF = 1 << 21, 64
 TASK_ROWS = 200_000
 # Bits of a block, and bits that fingerprints are dealt by where a block may differ.
 BLOCK, DEAL = 16, 8
-# For similar texts: bits in which the fingerprints of their word sets, and the 128-bit proofs of
-# their shingles, may differ.  Shingle sets of similarity 0.8 have a cosine of 0.889, an angle of
-# 0.152 of a half turn, and so differ in 19.5 of 128 bits, give or take 4.
-SET_BUDGET, PROOF_BUDGET = 7, 24
+# For similar texts: bands of least hashes and hashes of a band.  Sets of similarity s share a band
+# with probability 1 - (1 - s^4)^24, at 0.8 all but 3 of a million.
+BANDS, BAND = 24, 4
+# Two sets are similar if 5 x common shingles >= 4 x shingles of both.
+COMMON, BOTH = 5, 4
+# Before shingles are read: 128-bit sketches of sets of similarity 0.8 differ in 19.5 bits, give or
+# take 4; sets of fewer shingles than FEW are always compared.
+SKETCH_BUDGET, FEW = 44, 64
 
 
 def shingle_hashes(parts: list[bytes], words: int, seed: int = 42) -> np.ndarray:
@@ -60,34 +64,67 @@ def fingerprint_of(text: str | None, words: int = 3) -> int:
     return majority(shingle_hashes(words_in((text or "").encode()), words))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, similar: int | None = None) -> DataFrame:
-    """`docs` without its text, with `fingerprint` long (the 64 bits, as a signed number).
+def least_hashes(h: np.ndarray) -> np.ndarray:
+    """BANDS numbers, each a hash of the least values of the hashes `h` under BAND multiplications."""
+    if not len(h):
+        return np.zeros(BANDS, np.int64)
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), BATCH >> 4):
+        part = h[at:at + (BATCH >> 4)]
+        for k, m in enumerate(MULTIPLIERS):
+            least[k] = min(least[k], (part * m).min())
+    return np.array([xxhash.xxh64_intdigest(least[k * BAND:(k + 1) * BAND].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
 
-    With `similar`, also `word_set` long, of the distinct words, and `proof` (16 bytes), of the
-    distinct shingles of that many words.
-    """
-    more = ["word_set", "proof"] if similar else []
-    docs = without(docs, "fingerprint", *more)
+
+def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
+    """`docs` without its text, with `fingerprint` long (the 64 bits, as a signed number)."""
+    docs = without(docs, "fingerprint")
     kept = [c for c in docs.columns if c != text]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("fingerprint", T.LongType())] + [
-        T.StructField(n, t) for n, t in (("word_set", T.LongType()), ("proof", T.BinaryType())) if more])
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("fingerprint", T.LongType())])
 
     def add(batches):
         for group, batch in text_groups(batches):
-            out = [[], [], []]
-            for data in group:
-                parts = words_in(data)
-                out[0].append(majority(shingle_hashes(parts, words)))
-                if more:
-                    h = np.unique(shingle_hashes(parts, similar))
-                    out[1].append(majority(shingle_hashes(list(dict.fromkeys(parts)), 1)))
-                    out[2].append(b"".join(majority(x).to_bytes(8, "little") for x in (h, spread(h))))
-            columns = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in out[:1 + bool(more)]] + ([pa.array(out[2], pa.binary())] if more else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
+            bits = pa.array(np.array([majority(shingle_hashes(words_in(data), words)) for data in group], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], bits], names=schema.names)
 
     return docs.select(*[F.col(f"`{c}`") for c in [*kept, text]]).mapInArrow(add, schema)
 
 
+def least_hashes(h: np.ndarray) -> np.ndarray:
+    """BANDS numbers, each a hash of the least values of the hashes `h` under BAND multiplications."""
+    if not len(h):
+        return np.zeros(BANDS, np.int64)
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), BATCH >> 4):
+        part = h[at:at + (BATCH >> 4)]
+        for k, m in enumerate(MULTIPLIERS):
+            least[k] = min(least[k], (part * m).min())
+    return np.array([xxhash.xxh64_intdigest(least[k * BAND:(k + 1) * BAND].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, label: str, text: str, words: int) -> DataFrame:
+    """`label` of each document and its distinct shingles of `words` words.
+
+    These are `set_key` (16 bytes, equal for equal sets), `bands` (see least_hashes), `sketch0` and
+    `sketch1` (128 bits), `size`, their number, and `shingles`, their hashes cut to 40 bits, in order.
+    """
+    names = ["label", "set_key", "bands", "sketch0", "sketch1", "size", "shingles"]
+    types = [pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+    def add(batches):
+        for group, batch in text_groups(batches):
+            rows = []
+            for data in group:
+                h = np.unique(shingle_hashes(words_in(data), words))
+                sketch = np.array([majority(x) for x in (h, spread(h))], np.uint64).view(np.int64).tolist()
+                cut = np.unique(h >> np.uint64(24))
+                rows.append((xxhash.xxh3_128_digest(h.tobytes()), least_hashes(h).tolist(), *sketch, len(cut), packed(cut)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=names)
+
+    return (docs.select(F.col(f"`{label}`").cast("long").alias("label"), F.col(f"`{text}`").alias("text"))
+            .mapInArrow(add, "label long, set_key binary, bands array<long>, sketch0 long, sketch1 long, size int, shingles binary"))
+
+
 def spread(h: np.ndarray) -> np.ndarray:
     """Other 64 bits of the same hashes: a bijection that mixes them all."""
     for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
@@ -95,6 +132,21 @@ def spread(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+# Odd numbers, by which least hashes are taken.
+MULTIPLIERS = spread(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def packed(h: np.ndarray) -> bytes:
+    """The numbers, of 40 bits, as five bytes each."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _oversize(alo, ahi, blo, bhi) -> list:
     """The leaf pairs cut so that each has at most PAIRS pairs of fingerprints."""
     out = []
@@ -241,23 +293,63 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             .select(*[F.col(f"`{c}`") for c in marked.columns], "component_id"))
 
 
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The `pairs` (a, b) whose sets of shingles, by `sets` (node, shingles), are similar; every pair is compared whole."""
+    both = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = sets.select("node", "shingles").join(beside(both, 16), "node", "left_semi")
+    left, right = (needed.select(F.col("node").alias(c), F.col("shingles").alias(f"__{c}")) for c in ("a", "b"))
+
+    def compare(batches):
+        for batch in batches:
+            a, b = batch.column(2), batch.column(3)
+            keep = []
+            for x, y in zip(a, b, strict=True):
+                x, y = unpacked(x.as_py()), unpacked(y.as_py())
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(COMMON * common >= BOTH * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "__a", "__b").mapInArrow(compare, "a long, b long")
+
+
+def similar_links(nodes: DataFrame) -> DataFrame:
+    """`nodes` (node, bands, sketch0, sketch1, size, shingles) -> edges (a, b) that connect just what similar pairs connect.
+
+    Candidates share a band.  First each node is compared with the smallest one of its bands, which
+    settles a dense group by one comparison per node; then all pairs of a band that are not yet
+    connected and whose sizes and sketches do not rule it out.
+    """
+    cells = written(nodes.select("node", F.explode("bands").alias("cell")), "cells")
+    heads = written(cells.groupBy("cell").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell", "head"), "heads")
+    shared = written(cells.join(heads, "cell"), "shared")
+    star = written(shared.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    links = written(alike(star, nodes), "star_links")
+    roots = components(links)
+    tags = nodes.select("node", "sketch0", "sketch1", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = written(shared.select("cell", "node").join(tags, "node"), "placed")
+    split = placed.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most and n > 2").select("cell")
+    mixed = written(placed.join(split, "cell", "left_semi"), "mixed")
+    x, y = (mixed.select("cell", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "sketch0", "sketch1", "size", "root")]) for s in ("x", "y"))
+    bits = " + ".join(f"bit_count(x_sketch{k} ^ y_sketch{k})" for k in (0, 1))
+    near = f"x_root < y_root and {COMMON} * x_size >= {BOTH} * y_size and {COMMON} * y_size >= {BOTH} * x_size and (least(x_size, y_size) < {FEW} or {bits} <= {SKETCH_BUDGET})"
+    rest = x.join(y, "cell").filter(near).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    rest = written(rest.join(star, ["a", "b"], "left_anti"), "rest")
+    return links.unionByName(alike(rest, nodes))
+
+
 def similar_documents(docs: DataFrame, label: str = "label", text: str = "text", words: int = 5) -> DataFrame:
     """One row per document: `label` (unique long), and `component_id`, the smallest label its links reach.
 
-    Two texts link if their fingerprints of 3-word shingles differ in at most 3 bits, or if their
-    shingle sets of `words` words have a similarity of about 0.8 or more.  The trie for that is over
-    fingerprints of word sets, in which such texts differ by few bits (SET_BUDGET); a link must be
-    borne out by the 128-bit proof over the shingle sets (PROOF_BUDGET), which unlike texts never pass.
+    Two texts link if their shingle sets of `words` words have a similarity of 0.8 or more, counted
+    over the whole sets.  Of pairs of similarity 0.8 the candidates (BANDS) leave out 3 in a million,
+    of closer ones fewer.
     """
-    marked = written(fingerprints(docs.select(F.col(f"`{label}`").alias("label"), F.col(f"`{text}`").alias("text")), "text", 3, words), "signatures")
-    nodes = written(marked.groupBy("fingerprint", "word_set", "proof").agg(F.min("label").alias("node")), "nodes")
-    alike = near_links(nodes.select("node", F.col("word_set").alias("fingerprint"), "proof"), SET_BUDGET, PROOF_BUDGET)
-    bits = written(nodes.groupBy("fingerprint").agg(F.min("node").alias("node")), "bits")
-    same = nodes.select("fingerprint", F.col("node").alias("b")).join(bits, "fingerprint").filter("node <> b").select(F.col("node").alias("a"), "b")
-    close = near_links(bits.select("node", "fingerprint", F.lit(None).cast("binary").alias("proof")), 3)
-    roots = written(components(alike.unionByName(same).unionByName(close)), "roots")
-    rooted = written(nodes.join(roots, "node", "left").select("fingerprint", "word_set", "proof", F.coalesce("root", "node").alias("component_id")), "rooted")
-    return marked.join(rooted, ["fingerprint", "word_set", "proof"]).select("label", "component_id")
+    marked = written(shingle_sets(docs, label, text, words), "signatures")
+    nodes = written(marked.groupBy("set_key").agg(F.min("label").alias("node")), "nodes")
+    sets = marked.withColumnRenamed("label", "node").join(beside(nodes.select("node"), 16), "node", "left_semi")
+    roots = written(components(similar_links(sets)), "roots")
+    rooted = written(nodes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id")), "rooted")
+    return marked.select("label", "set_key").join(rooted, "set_key").select("label", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:

@@ -153,3 +153,49 @@ def test_empty_and_other_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, fingerprint string, root int")
     out = near_duplicates(df)
     assert out.columns == ["doc_id", "root", "fingerprint", "component_id"] and out.collect() == []
+
+
+def shingle_sets(texts, words=5):
+    parts = [t.lower().split() for t in texts]
+    return [{tuple(p[i:i + words]) for i in range(len(p) - words + 1)} for p in parts]
+
+
+@pytest.mark.parametrize("kind", ["edits", "block"])
+def test_similarity_is_counted(spark, kind):
+    """Pairs of similarity 0.8 and more link, others do not, wherever the difference lies."""
+    rng = random.Random(17)
+    common = [f"w{k}" for k in range(3000)]
+    word = lambda: common[int(3000 * rng.random() ** 3)]
+    texts = []
+    for _ in range(250):
+        base = [word() for _ in range(rng.randint(100, 1500))]
+        share = rng.uniform(0.74, 0.93)
+        if kind == "block":
+            copy = base + [word() for _ in range(round(len(base) * (1 / share - 1)))]
+        else:
+            copy = base[:]
+            for i in rng.sample(range(len(base)), round(len(base) * (1 - share) / 10)):
+                copy[i] = word() + "x"
+        texts += [" ".join(base), " ".join(copy)]
+    sets = shingle_sets(texts)
+    found = {r.label: r.component_id for r in similar_documents(spark.createDataFrame(list(enumerate(texts)), "label long, text string")).collect()}
+    want = [5 * len(sets[k] & sets[k + 1]) >= 4 * len(sets[k] | sets[k + 1]) for k in range(0, 500, 2)]
+    got = [found[k] == found[k + 1] for k in range(0, 500, 2)]
+    assert 100 < sum(want) < 240 and got == want
+
+
+def test_similar_in_a_mixed_band(spark):
+    """Links between members of a band of which neither is its smallest."""
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(400)]
+    texts = [" ".join(base + [f"t{v}x{k}" for k in range(n)]) for v, n in enumerate((95, 0, 60, 100, 130, 20, 80, 110))]
+    texts += [" ".join(f"o{rng.random()}" for _ in range(50))]
+    sets = shingle_sets(texts)
+    found = {r.label: r.component_id for r in similar_documents(spark.createDataFrame(list(enumerate(texts)), "label long, text string")).collect()}
+    up = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    up[i] = up[j] = min(up[i], up[j])
+    assert [found[i] for i in range(len(texts))] == up and len(set(up)) > 2
