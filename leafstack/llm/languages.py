@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import beside, text_groups, without, written
 
 BUCKETS = 1 << 16
-# Rows that the model is fitted on (a bound, not a share), rows that a language needs among them, and languages at most.
+# Rows that the model is fitted on (a bound, not a share, dealt to the languages alike), rows that a language needs, and languages at most.
 FIT_ROWS, LANGUAGE_ROWS, MAX_LANGUAGES = 20_000, 5, 64
 # A text counts as at most this many trigrams, as neighbouring ones are not independent.
 TEXT_GRAMS = 100
@@ -25,6 +25,8 @@ HOST_ROWS, HINT_ROWS = 20, 1
 # Below this posterior, or this log likelihood per trigram against a uniform one, there is no answer.
 LEAST_POSTERIOR, LEAST_GAIN = 0.5, 0.0
 UNIT = 1_000_000
+# Values of the hash that rows are drawn by.
+DRAWS = 1 << 40
 
 # Letters as they are, in lower case; all other ASCII is a blank; bytes of other characters stay.
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32) for b in range(256))
@@ -51,16 +53,19 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(labelled: DataFrame, text: str = "text", language: str = "lang", rows: int = FIT_ROWS) -> Model:
-    """A model from about `rows` labelled rows, drawn by a hash of their text; every row counts alike at any size.
+    """A model from about `rows` labelled rows; every language has an equal quota of them, and all its rows if it has fewer.
 
-    Rows with null text or label play no part.  Languages with under LANGUAGE_ROWS drawn rows, or
-    beyond the MAX_LANGUAGES most frequent, are not modelled.
+    Rows are drawn by a hash of their `doc_id`, if there is one, and text.  Rows with null text or
+    label play no part.  Languages with under LANGUAGE_ROWS rows in all, at any size of the input,
+    or beyond the MAX_LANGUAGES most frequent, are not modelled.
     """
-    known = labelled.select(F.col(f"`{language}`").alias("lang"), F.col(f"`{text}`").alias("text")).filter("lang is not null and text is not null")
-    total = known.count()
-    drawn = known.filter(F.expr(f"pmod(xxhash64(text, 1), {UNIT})") < F.lit(min(1.0, rows / max(total, 1)) * UNIT))
-    frequent = drawn.groupBy("lang").count().filter(F.col("count") >= LANGUAGE_ROWS).orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    names = sorted(r["lang"] for r in frequent)
+    ids = [F.col("doc_id")] if "doc_id" in labelled.columns else []
+    known = labelled.select(F.col(f"`{language}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.pmod(F.xxhash64(*ids, F.col(f"`{text}`"), F.lit(1)), F.lit(DRAWS)).alias("draw")).filter("lang is not null and text is not null")
+    frequent = known.groupBy("lang").count().filter(F.col("count") >= LANGUAGE_ROWS).orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    names, below = sorted(r["lang"] for r in frequent), F.lit(0)
+    for r in frequent:
+        below = F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, rows / len(frequent) / r["count"]) * DRAWS))).otherwise(below)
+    drawn = known.filter(F.col("draw") < below)
 
     def count(batches):
         sums = {}
@@ -74,7 +79,7 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", rows: i
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n.astype("<i8").tobytes()], pa.binary())], names=["lang", "n"])
 
     # at most 8 x MAX_LANGUAGES rows of one table each
-    parts = drawn.filter(F.col("lang").isin(names)).select("lang", "text").repartition(8).mapInArrow(count, "lang string, n binary")
+    parts = drawn.select("lang", "text").repartition(8).mapInArrow(count, "lang string, n binary")
     table = np.zeros((len(names), BUCKETS))
     for r in parts.toLocalIterator():
         table[names.index(r["lang"])] += np.frombuffer(r["n"], "<i8")
@@ -106,7 +111,8 @@ def identify(rows: DataFrame, model: Model, text: str = "text", markup: bool = F
     `host` and `declared` are string columns ('' or null: no such hint); with `markup` the tags of
     the text are dropped first.  `language` is 'und' where no text or too little speaks for any
     language: no trigram, a posterior under LEAST_POSTERIOR, or trigrams no likelier in the best
-    language than by chance.  Null text is empty.  A row's own text does not count in its host prior.
+    language than by chance.  In the last case a declared language is the answer, and so is one that is
+    not modelled wherever the text is not told; `confidence` is then 0.  Null text is empty.  A row's own text does not count in its host prior.
     All sums are of whole millionths, so reruns agree.  Any number of hosts may be there, and any
     host may have most rows.  `rows` must read alike twice; an empty table gives no rows; input
     columns named like an output are replaced.
@@ -127,10 +133,10 @@ def identify(rows: DataFrame, model: Model, text: str = "text", markup: bool = F
             weighed = gains * (count * TEXT_GRAMS / (count + TEXT_GRAMS))
             post = np.exp(weighed - weighed.max(axis=0, initial=-np.inf, keepdims=True)) if n else weighed
             post = np.rint(post / post.sum(axis=0, keepdims=True) * UNIT).astype(np.int64) if n else post
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(weighed.T.round(6)), pa.list_(pa.float64())), pa.array(list(post.T), pa.list_(pa.int64())), pa.array((count > 0) & (best > LEAST_GAIN))], names=fields)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(weighed.T.round(6)), pa.list_(pa.float64())), pa.array(list(post.T), pa.list_(pa.int64())), pa.array(count > 0), pa.array((count > 0) & (best > LEAST_GAIN))], names=fields)
 
-    fields = ["__row", "__host", "__declared", "__weighed", "__post", "__heard"]
-    scored = written(hints.mapInArrow(score, "__row long, __host string, __declared string, __weighed array<double>, __post array<long>, __heard boolean"), "languages")
+    fields = ["__row", "__host", "__declared", "__weighed", "__post", "__letters", "__heard"]
+    scored = written(hints.mapInArrow(score, "__row long, __host string, __declared string, __weighed array<double>, __post array<long>, __letters boolean, __heard boolean"), "languages")
     scored = (scored.withColumn("__suffix", F.regexp_extract("__host", r"\.([^.]+)$", 1)).withColumn("__domain", F.regexp_extract("__host", r"([^.]+\.[^.]+)$", 1)))
     heard = scored.filter("__heard")
 
@@ -170,8 +176,11 @@ def identify(rows: DataFrame, model: Model, text: str = "text", markup: bool = F
                   .withColumn("text_language", F.when(F.col("__heard"), F.get(names, F.array_position("__weighed", F.array_max("__weighed")).cast("int") - 1)).otherwise("und")))
     else:
         scored = scored.withColumns({"confidence": F.lit(0.0), "__best": F.lit("und"), "text_language": F.lit("und")})
+    told = F.col("__heard") & (F.col("confidence") >= LEAST_POSTERIOR)
+    labelled = ~told & F.col("__letters") & (F.col("__declared") != "") & (~F.col("__heard") | ~F.col("__declared").isin(list(model.languages)))
     answer = scored.select(
-        "__row", F.when(F.col("__heard") & (F.col("confidence") >= LEAST_POSTERIOR), F.col("__best")).otherwise("und").alias("language"), "confidence", "text_language",
+        "__row", F.when(told, F.col("__best")).when(labelled, F.col("__declared")).otherwise("und").alias("language"),
+        F.when(labelled, 0.0).otherwise(F.col("confidence")).alias("confidence"), "text_language",
         F.nullif("__declared", F.lit("")).alias("declared"), F.nullif("__host", F.lit("")).alias("host"))
     kept = without(rows, *outputs, "__row")
     kept = kept if kept.columns else rows.select()

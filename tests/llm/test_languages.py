@@ -105,3 +105,20 @@ def test_edges(spark, model):
     assert {r.language for r in L.identify(df, nothing).collect()} == {"und"}
     kept = L.speak(spark.createDataFrame([("the of and thand onth", 1), ("123", 2), (None, 3), ("the of and thand onth", 1)], "text string, n int"), model)
     assert sorted(r.n for r in kept.collect()) == [1, 1]
+
+
+RUSSIAN = "ещё один текст на другом языке "
+
+
+def test_a_language_is_modelled_at_any_size(spark):
+    rows = [(i, f"the of and thand onth {i}", "en") for i in range(3000)] + [(9000 + i, RUSSIAN * 3, "ru") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert L.fit(df, rows=200).languages == ("en", "ru")
+
+
+def test_labelled_rows_without_a_model_stay(spark, model):
+    rows = [(1, RUSSIAN * 9, "ru"), (2, RUSSIAN * 9, None), (3, RUSSIAN * 9, "en"), (4, "12 !", "ru"), (5, "the of and thand onth " * 5, "en")]
+    df = spark.createDataFrame(rows, "k long, text string, d string")
+    got = {r.k: (r.language, r.confidence > 0) for r in L.identify(df, model, declared=F.col("d")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "ru", 2: "und", 3: "en", 4: "und", 5: "en"} and not got[1][1] and got[5][1]
+    assert sorted(r.k for r in L.speak(df, model, declared=F.col("d")).collect()) == [1, 3, 5]
