@@ -7,7 +7,8 @@ where the aligned words cover enough of its template.
 """
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -112,34 +113,41 @@ class Template:
             self.count[w] = self.count.get(w, 0) + 1
         self.need = max(1, -(-int(1000 * COVERAGE) * len(self.words) // 1000))  # words to cover
 
+        # words that occur once, by which copies are placed
+        self.single = {w: k for k, w in enumerate(self.words) if self.count[w] == 1}
+
     def finds(self, words: list[bytes], there: set) -> list[tuple[int, int, int]]:
         """(matched, first word, last word + 1) of all non-overlapping finds, best first.
 
         Windows of twice the template, half a template apart, so that any stretch of its length lies
-        whole in one, are aligned if they hold enough of its words.
+        whole in one, are aligned if they hold enough of its words.  Where copies follow each other
+        such windows hold words twice, so windows of the template's length are aligned too, at every
+        place where a quarter of the single words would put a copy.
         """
         size = len(self.words)
         if sum(n for w, n in self.count.items() if w in there) < self.need:
             return []
         hits = [k for k, w in enumerate(words) if w in self.count]
-        step, out, tried = max(1, size // 2), [], set()
-        for hit in hits:
-            for begin in (hit // step * step - step, hit // step * step):
-                begin = max(begin, 0)
-                if begin in tried:
-                    continue
-                tried.add(begin)
-                window = words[begin:begin + 2 * size]
-                inside = set(window)
-                if sum(n for w, n in self.count.items() if w in inside) < self.need:
-                    continue
-                pairs = align(window, self.words)
-                if len(pairs) >= self.need:
-                    out.append((len(pairs), begin + pairs[0][0], begin + pairs[-1][0] + 1))
-        best = []
+        step = max(1, size // 2)
+        tries = {(max(at, 0), 2 * size) for hit in hits for at in (hit // step * step - step, hit // step * step)}
+        votes = Counter(hit - self.single[words[hit]] for hit in hits if words[hit] in self.single)
+        tries |= {(max(at, 0), size + min(at, 0)) for at, n in votes.items() if 4 * n >= len(self.single)}
+        out = set()
+        for begin, length in tries:
+            window = words[begin:begin + length]
+            inside = set(window)
+            if sum(n for w, n in self.count.items() if w in inside) < self.need:
+                continue
+            pairs = align(window, self.words)
+            if len(pairs) >= self.need:
+                out.add((len(pairs), begin + pairs[0][0], begin + pairs[-1][0] + 1))
+        best, begins, ends = [], [], []  # the last two in text order
         for m in sorted(out, key=lambda m: (-m[0], m[2] - m[1], m[1])):
-            if all(m[2] <= b[1] or m[1] >= b[2] for b in best):
+            at = bisect_left(begins, m[1])
+            if (at == 0 or ends[at - 1] <= m[1]) and (at == len(begins) or m[2] <= begins[at]):
                 best.append(m)
+                begins.insert(at, m[1])
+                ends.insert(at, m[2])
         return best
 
 
@@ -148,10 +156,19 @@ def scan_text(data: bytes, templates: list[Template]) -> list[tuple[str, float,
     lower = data.lower()
     words = WORDS.findall(lower)
     there = set(words)
-    found = [(t, *m) for t in templates for m in t.finds(words, there)]
-    if not found:
+    finds = [sorted((a, b, n) for n, a, b in t.finds(words, there)) for t in templates]
+    if not any(finds):
         return []
-    found = [x for x in found if not any(y[2] <= x[2] and x[3] <= y[3] and y[1] > x[1] for y in found)]
+
+    def within(n, a, b):
+        """Whether a find of more words holds words a to b; finds of one template do not overlap."""
+        for own in finds:
+            at = bisect_right(own, (a, len(words) + 1, 0)) - 1
+            if at >= 0 and own[at][1] >= b and own[at][2] > n:
+                return True
+        return False
+
+    found = [(t, n, a, b) for t, own in zip(templates, finds, strict=True) for a, b, n in own if not within(n, a, b)]
     spans = [m.span() for m in WORDS.finditer(lower)]
     return [(t.name, round(n / len(t.words), 4), n, spans[a][0], spans[b - 1][1]) for t, n, a, b in sorted(found, key=lambda x: (x[2], x[0].name))]
 

@@ -94,3 +94,16 @@ def test_edges(spark):
 def test_own_templates(spark, name):
     df = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "k long, text string")
     assert [r.license for r in scan_licenses(df, templates={"own": "alpha beta gamma delta"}).collect()] == ["own"]
+
+
+@pytest.mark.parametrize("name", sorted(TEMPLATES))
+def test_runs_of_copies(name):
+    """Every copy of a run is found, wherever the run starts."""
+    ready, text = [Template(name, TEMPLATES[name])], TEMPLATES[name]
+    size = len(ready[0].words)
+    for copies in (3, 50):
+        for offset in range(size + 1) if copies == 3 else (0, 1, size // 2, size - 1):
+            data = "bla " * offset + (text + " ") * copies + "blub" * (offset % 2)
+            got = scan_text(data.encode(), ready)
+            assert len(got) == copies and all(g[1] == 1.0 for g in got)
+            assert [g[3] for g in got] == [4 * offset + k * (len(text) + 1) for k in range(copies)] or text[0] == '"'
