@@ -34,9 +34,26 @@ TEMPLATES = {
         "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
         "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution."),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission."),
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that "
+        "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU Affero General Public License for more details."),
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "GPL-2.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+        "Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that "
+        "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU General Public License for more details."),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
@@ -46,12 +63,46 @@ TEMPLATES = {
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
         "copyright notice and this permission notice appear in all copies."),
+    "LGPL-2.1-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This program is distributed in the hope that "
+        "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU Lesser General Public License for more details."),
+    "LGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that "
+        "it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+        "GNU Lesser General Public License for more details."),
     "MIT": "Released under the MIT License.",
     "MIT-full": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
         "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
         "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
         "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+}
+
+# Telling words: a find has them all, one after the other, with nothing between.
+TELLING = {
+    "AGPL-3.0-header": ["GNU Affero General Public License", "either version 3 of"],
+    "Apache-2.0": ["Apache License Version 2.0"],
+    "Apache-2.0-header": ["Apache License Version 2.0"],
+    "CC-BY-4.0": ["CC BY 4.0"],
+    "CC-BY-NC-4.0": ["CC BY NC 4.0"],
+    "CC-BY-SA-4.0": ["CC BY SA 4.0"],
+    "BSD-3-Clause": ["Neither the name of", "endorse or promote"],
+    "GPL-2.0-header": ["GNU General Public License", "either version 2 of"],
+    "GPL-3.0": ["GNU General Public License version 3"],
+    "GPL-3.0-header": ["GNU General Public License", "either version 3 of"],
+    "LGPL-2.1-header": ["GNU Lesser General Public License", "either version 2.1 of"],
+    "LGPL-3.0-header": ["GNU Lesser General Public License", "either version 3 of"],
+    "MIT": ["MIT License"],
+    "MPL-2.0-header": ["Mozilla Public License v 2.0"],
 }
 
 
@@ -113,9 +164,16 @@ class Template:
             self.count[w] = self.count.get(w, 0) + 1
         self.need = max(1, -(-int(1000 * COVERAGE) * len(self.words) // 1000))  # words to cover
 
+        phrases = [WORDS.findall(p.lower().encode()) for p in TELLING.get(name, ())]
+        self.telling = [(k, len(p)) for p in phrases for k in range(len(self.words)) if self.words[k:k + len(p)] == p]
         # words that occur once, by which copies are placed
         self.single = {w: k for k, w in enumerate(self.words) if self.count[w] == 1}
 
+    def tells(self, pairs: list[tuple[int, int]]) -> bool:
+        """Whether every telling run of words is aligned with a run of the text."""
+        place = {k: at for at, k in pairs}
+        return all(k in place and all(place.get(k + i) == place[k] + i for i in range(n)) for k, n in self.telling)
+
     def finds(self, words: list[bytes], there: set) -> list[tuple[int, int, int]]:
         """(matched, first word, last word + 1) of all non-overlapping finds, best first.
 
@@ -139,7 +197,7 @@ class Template:
             if sum(n for w, n in self.count.items() if w in inside) < self.need:
                 continue
             pairs = align(window, self.words)
-            if len(pairs) >= self.need:
+            if len(pairs) >= self.need and self.tells(pairs):
                 out.add((len(pairs), begin + pairs[0][0], begin + pairs[-1][0] + 1))
         best, begins, ends = [], [], []  # the last two in text order
         for m in sorted(out, key=lambda m: (-m[0], m[2] - m[1], m[1])):

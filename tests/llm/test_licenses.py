@@ -107,3 +107,18 @@ def test_runs_of_copies(name):
             got = scan_text(data.encode(), ready)
             assert len(got) == copies and all(g[1] == 1.0 for g in got)
             assert [g[3] for g in got] == [4 * offset + k * (len(text) + 1) for k in range(copies)] or text[0] == '"'
+
+
+def test_neighbours_keep_their_names():
+    """Notices that differ by few words, known or not, never get a neighbour's name."""
+    ready = [Template(n, t) for n, t in TEMPLATES.items()]
+    names = lambda t: [g[0] for g in scan_text(t.encode(), ready)]
+    gpl = TEMPLATES["GPL-3.0-header"]
+    assert names(gpl.replace("version 3", "version 2")) == ["GPL-2.0-header"]
+    assert names(gpl.replace("GNU General", "GNU Affero General")) == ["AGPL-3.0-header"]
+    assert names(gpl.replace("GNU General", "GNU Lesser General")) == ["LGPL-3.0-header"]
+    assert names(gpl.replace("version 3", "version 2.1").replace("GNU General", "GNU Lesser General")) == ["LGPL-2.1-header"]
+    assert names(gpl.replace("version 3", "version 4")) == [] == names(gpl.replace("GNU General", "GNU Library General"))
+    assert names(TEMPLATES["BSD-3-Clause"]) == ["BSD-3-Clause"] and names(TEMPLATES["BSD-2-Clause"]) == ["BSD-2-Clause"]
+    assert names("This work is licensed under the GNU Affero General Public License, version 3.") == []
+    assert names("This work is licensed under the GNU General Public License, version 2.") == []
