@@ -1,3 +1,3 @@
 """All registered queries of this package."""
 
-from . import jpeg, languages, licenses, merkle, mixing, negatives, packing, sharding, simhash, substrings, topk, warc  # noqa: F401
+from . import ctw, jpeg, languages, licenses, merkle, mixing, negatives, packing, sharding, simhash, substrings, topk, warc  # noqa: F401
