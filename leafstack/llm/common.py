@@ -28,9 +28,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Folders of all tables written so far.
+TABLES = []
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these written tables, which nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        TABLES.remove(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts the lineage, keeps column pruning, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/leafstack-{name}-{uuid.uuid4().hex}"
+    TABLES.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -46,6 +59,11 @@ def beside(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if small(df, row_bytes) else df
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that tell texts apart, null as empty: the same on every reading, unlike a row's number."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """`df` without columns of these names in any case: an operator's own columns replace those of its input."""
     taken = {n.lower() for n in names}

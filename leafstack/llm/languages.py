@@ -12,12 +12,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import beside, text_groups, without, written
+from .common import beside, text_groups, text_key, without, written
 
 BUCKETS = 1 << 16
-# Rows that the model is fitted on (a bound, not a share, dealt to the languages alike), rows that a language needs, and languages at most.
-FIT_ROWS, LANGUAGE_ROWS, MAX_LANGUAGES = 20_000, 5, 64
+# Rows that the model is fitted on (a bound, not a share, dealt to the languages alike, but at least LANGUAGE_ROWS each), and rows that a language needs.
+FIT_ROWS, LANGUAGE_ROWS = 20_000, 5
 # A text counts as at most this many trigrams, as neighbouring ones are not independent.
 TEXT_GRAMS = 100
 # Strength of the smoothing: rows' worth of the level above, and rows added to every hint.
@@ -57,15 +58,15 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", rows: i
 
     Rows are drawn by a hash of their `doc_id`, if there is one, and text.  Rows with null text or
     label play no part.  Languages with under LANGUAGE_ROWS rows in all, at any size of the input,
-    or beyond the MAX_LANGUAGES most frequent, are not modelled.
+    are not modelled; all others are, however many: a language takes a quarter megabyte.
     """
     ids = [F.col("doc_id")] if "doc_id" in labelled.columns else []
     known = labelled.select(F.col(f"`{language}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.pmod(F.xxhash64(*ids, F.col(f"`{text}`"), F.lit(1)), F.lit(DRAWS)).alias("draw")).filter("lang is not null and text is not null")
-    frequent = known.groupBy("lang").count().filter(F.col("count") >= LANGUAGE_ROWS).orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    names, below = sorted(r["lang"] for r in frequent), F.lit(0)
-    for r in frequent:
-        below = F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, rows / len(frequent) / r["count"]) * DRAWS))).otherwise(below)
-    drawn = known.filter(F.col("draw") < below)
+    frequent = known.groupBy("lang").count().filter(F.col("count") >= LANGUAGE_ROWS).orderBy("lang").collect()
+    names, quota = [r["lang"] for r in frequent], max(rows / max(len(frequent), 1), LANGUAGE_ROWS)
+    index = {name: k for k, name in enumerate(names)}
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], int(min(1.0, quota / r["count"]) * DRAWS)) for r in frequent], "lang string, below long")
+    drawn = known.join(F.broadcast(shares), "lang").filter("draw < below")
 
     def count(batches):
         sums = {}
@@ -78,11 +79,11 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", rows: i
         for lang, n in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n.astype("<i8").tobytes()], pa.binary())], names=["lang", "n"])
 
-    # at most 8 x MAX_LANGUAGES rows of one table each
+    # at most 8 rows of one table each for a language
     parts = drawn.select("lang", "text").repartition(8).mapInArrow(count, "lang string, n binary")
     table = np.zeros((len(names), BUCKETS))
     for r in parts.toLocalIterator():
-        table[names.index(r["lang"])] += np.frombuffer(r["n"], "<i8")
+        table[index[r["lang"]]] += np.frombuffer(r["n"], "<i8")
     share = (table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
     return Model(tuple(names), (np.log(share) + np.log(BUCKETS)).astype(np.float32))
 
@@ -106,7 +107,7 @@ def declared_of(html: Column) -> Column:
 
 
 def identify(rows: DataFrame, model: Model, text: str = "text", markup: bool = False, host: Column | None = None, declared: Column | None = None) -> DataFrame:
-    """`rows` with `language`, `confidence` (its posterior), `text_language`, and the hints used.
+    """`rows` without their text, with `language`, `confidence` (its posterior), `text_language`, and the hints used.
 
     `host` and `declared` are string columns ('' or null: no such hint); with `markup` the tags of
     the text are dropped first.  `language` is 'und' where no text or too little speaks for any
@@ -114,15 +115,15 @@ def identify(rows: DataFrame, model: Model, text: str = "text", markup: bool = F
     language than by chance.  In the last case a declared language is the answer, and so is one that is
     not modelled wherever the text is not told; `confidence` is then 0.  Null text is empty.  A row's own text does not count in its host prior.
     All sums are of whole millionths, so reruns agree.  Any number of hosts may be there, and any
-    host may have most rows.  `rows` must read alike twice; an empty table gives no rows; input
-    columns named like an output are replaced.
+    host may have most rows.  Each row goes through once, with its other columns, so `rows` may come
+    in any order and partitioning at each reading; an empty table gives no rows; input columns named
+    like an output are replaced.
     """
     outputs = ("language", "confidence", "text_language", "declared", "host")
+    kept = without(rows, *outputs, text, "__host", "__declared", "__weighed", "__post", "__letters", "__heard").columns
+    asked = rows.select(*[F.col(f"`{c}`") for c in kept], *[F.coalesce(h if h is not None else F.lit(""), F.lit("")).alias(n) for h, n in ((host, "__host"), (declared, "__declared"))], F.col(f"`{text}`").alias("__text"))
     n, names = len(model.languages), F.array(*[F.lit(x) for x in model.languages]) if model.languages else F.array().cast("array<string>")
     gain = rows.sparkSession.sparkContext.broadcast(model)
-    hints = rows.select(
-        F.monotonically_increasing_id().alias("__row"), F.coalesce(host if host is not None else F.lit(""), F.lit("")).alias("__host"),
-        F.coalesce(declared if declared is not None else F.lit(""), F.lit("")).alias("__declared"), F.col(f"`{text}`").alias("__text"))
 
     def score(batches):
         for group, batch in text_groups(batches):
@@ -133,10 +134,13 @@ def identify(rows: DataFrame, model: Model, text: str = "text", markup: bool = F
             weighed = gains * (count * TEXT_GRAMS / (count + TEXT_GRAMS))
             post = np.exp(weighed - weighed.max(axis=0, initial=-np.inf, keepdims=True)) if n else weighed
             post = np.rint(post / post.sum(axis=0, keepdims=True) * UNIT).astype(np.int64) if n else post
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(weighed.T.round(6)), pa.list_(pa.float64())), pa.array(list(post.T), pa.list_(pa.int64())), pa.array(count > 0), pa.array((count > 0) & (best > LEAST_GAIN))], names=fields)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(weighed.T.round(6)), pa.list_(pa.float64())), pa.array(list(post.T), pa.list_(pa.int64())), pa.array(count > 0), pa.array((count > 0) & (best > LEAST_GAIN))], names=fields)
 
-    fields = ["__row", "__host", "__declared", "__weighed", "__post", "__letters", "__heard"]
-    scored = written(hints.mapInArrow(score, "__row long, __host string, __declared string, __weighed array<double>, __post array<long>, __letters boolean, __heard boolean"), "languages")
+    schema = T.StructType(asked.schema.fields[:-1] + [T.StructField("__weighed", T.ArrayType(T.DoubleType())), T.StructField("__post", T.ArrayType(T.LongType())),
+                                                                   T.StructField("__letters", T.BooleanType()), T.StructField("__heard", T.BooleanType())])
+    fields = schema.names
+    scored = written(asked.mapInArrow(score, schema), "languages")
+    gain.destroy()
     scored = (scored.withColumn("__suffix", F.regexp_extract("__host", r"\.([^.]+)$", 1)).withColumn("__domain", F.regexp_extract("__host", r"([^.]+\.[^.]+)$", 1)))
     heard = scored.filter("__heard")
 
@@ -178,18 +182,18 @@ def identify(rows: DataFrame, model: Model, text: str = "text", markup: bool = F
         scored = scored.withColumns({"confidence": F.lit(0.0), "__best": F.lit("und"), "text_language": F.lit("und")})
     told = F.col("__heard") & (F.col("confidence") >= LEAST_POSTERIOR)
     labelled = ~told & F.col("__letters") & (F.col("__declared") != "") & (~F.col("__heard") | ~F.col("__declared").isin(list(model.languages)))
-    answer = scored.select(
-        "__row", F.when(told, F.col("__best")).when(labelled, F.col("__declared")).otherwise("und").alias("language"),
+    return scored.select(
+        *[F.col(f"`{c}`") for c in kept], F.when(told, F.col("__best")).when(labelled, F.col("__declared")).otherwise("und").alias("language"),
         F.when(labelled, 0.0).otherwise(F.col("confidence")).alias("confidence"), "text_language",
         F.nullif("__declared", F.lit("")).alias("declared"), F.nullif("__host", F.lit("")).alias("host"))
-    kept = without(rows, *outputs, "__row")
-    kept = kept if kept.columns else rows.select()
-    return kept.withColumn("__row", F.monotonically_increasing_id()).join(answer, "__row").drop("__row")
 
 
 def speak(rows: DataFrame, model: Model, text: str = "text", **hints) -> DataFrame:
-    """`rows` whose language could be told; those answered 'und' go.  A column named `__row_id` is left out."""
-    rows = without(rows, "__row", "__row_id")
-    numbered = rows.withColumn("__row_id", F.monotonically_increasing_id())
-    drop = written(identify(numbered, model, text, **hints).filter("language = 'und'").select("__row_id"), "und")
-    return numbered.join(beside(drop, 16), "__row_id", "left_anti").select(*[F.col(f"`{c}`") for c in rows.columns])
+    """`rows` whose language could be told; those answered 'und' go.
+
+    An answer hangs on the text and the hints alone, so rows are told apart by those.
+    """
+    key = F.unhex(F.md5(F.concat_ws("\x00", *[F.coalesce(hints.get(h, F.lit("")), F.lit("")) for h in ("host", "declared")], F.hex(text_key(F.col(f"`{text}`")))).cast("binary")))
+    keyed = rows.withColumn("__told", key)
+    drop = written(identify(keyed, model, text, **hints).filter("language = 'und'").select("__told").distinct(), "und")
+    return keyed.join(beside(drop, 48), "__told", "left_anti").select(*[F.col(f"`{c}`") for c in rows.columns])

@@ -55,9 +55,8 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     source's words are its target, rounded.  `quality` names a column of weights (null or not
     positive: the least weight); without it letters count.  Null text has no words and is never
     taken; a null source is a source.  Keys come from (seed, id, text) alone, so reruns agree;
-    rows equal in all of that tie and are taken in the order of `docs`, which must be a stored
-    table or another DataFrame that reads alike twice.  An empty table gives no rows.  Input
-    columns named like an output are replaced; others stay.
+    rows equal in all of that tie, and any of them may be taken first.  An empty table gives no
+    rows.  Input columns named like an output are replaced; others stay.
     """
     docs = without(docs, "size", "source_size", "target", "taken", "__key", "__row", "__src", "__full", "__pick")
     words = F.coalesce(F.col(f"`{text}`"), F.lit(""))
@@ -65,9 +64,9 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     weight = F.when(weight > LEAST_WEIGHT, weight).otherwise(LEAST_WEIGHT)
     # 52 bits of a hash, never 0 or 1
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), words), 12) + 0.5) / float(1 << 52)
-    keyed = docs.withColumns({"size": word_count(words), "__key": -F.log(uniform) / weight, "__row": F.monotonically_increasing_id()})
-    # texts are read here once, and once more for the result
-    narrow = written(keyed.select(F.col(f"`{source}`").alias("source"), "size", "__key", "__row"), "keys")
+    # rows are numbered once, and the numbers are written with them
+    keyed = written(docs.withColumns({"size": word_count(words), "__key": -F.log(uniform) / weight, "__row": F.monotonically_increasing_id()}), "keyed")
+    narrow = keyed.select(F.col(f"`{source}`").alias("source"), "size", "__key", "__row")
     ordered = ordered_sums(narrow.filter("size > 0"), ["source"], ["__key", "__row"], "size", "mix")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = (written(mix_targets(sizes, weights, share, cap), "targets")

@@ -6,7 +6,7 @@ segment tree over remaining room finds that window.  Blocks live within a task,
 shuffled and a repeated task packs alike.
 """
 
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -75,9 +75,13 @@ def best_fit(lengths, capacity: int) -> list[list[int]]:
     return windows
 
 
+# Fixed value of the public vocabulary: its added token.
+ADDED = {"<|endoftext|>": 50256}
+
+
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str | None):
-    """Byte-level BPE from a rank file; without one, that of the public 50k vocabulary."""
+    """Byte-level BPE from a rank file; without one, that of the public 50k vocabulary, whose one added token is cut out of texts first."""
     import base64
 
     import public_tokenizers
@@ -85,7 +89,7 @@ def encoder(vocabulary: str | None):
 
     with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={} if vocabulary else ADDED)
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 2048, end_id: int = 1, vocabulary: str | None = None) -> DataFrame:
@@ -93,7 +97,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
 
     Columns: the id, `start` and `length` of the piece in its document's ids, `ids` (little-endian
     unsigned 32-bit), `doc_tokens`, `sequence_id` and `offset` of the piece in its sequence.  A
-    document's ids are those of its whole text, then `end_id`.  Null and empty text give that one
+    document's ids are those of its whole text, then `end_id`; where the text has the string of the
+    public vocabulary's added token, it is that token, as in its JSON file.  Null and empty text give that one
     id.  Documents up to `window` are never cut, longer ones only into full windows and a rest.  A
     null id stays null, equal rows are packed one by one, an empty table gives no rows; other
     columns play no part.  `sequence_id` is unique, not dense.
@@ -104,7 +109,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
     names = schema.names
 
     def packed(batches):
-        encode, sequence = encoder(vocabulary).encode_ordinary, (TaskContext.get().partitionId()) << 40
+        encode, sequence = partial(encoder(vocabulary).encode, allowed_special="all"), (TaskContext.get().partitionId()) << 40
         held, held_tokens = [], 0  # (id, start, ids, doc_tokens)
         rows, rows_bytes = [], 0
 

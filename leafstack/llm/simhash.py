@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside, text_groups, without, written
+from .common import beside, text_groups, text_key, without, written
 from .components import components
 
 # Hashes counted at once.
@@ -30,9 +30,9 @@ BLOCK, DEAL = 16, 8
 BANDS, BAND = 24, 4
 # Two sets are similar if 5 x common shingles >= 4 x shingles of both.
 COMMON, BOTH = 5, 4
-# Before shingles are read: 128-bit sketches of sets of similarity 0.8 differ in 19.5 bits, give or
-# take 4; sets of fewer shingles than FEW are always compared.
-SKETCH_BUDGET, FEW = 44, 64
+# Before shingles are read: two bits of each least hash make a sketch of SKETCH longs.  Sketches of
+# sets of similarity 0.8 differ in 19 bits, give or take 5, whatever the sets' sizes.
+SKETCH, SKETCH_BUDGET = 2 * BANDS * BAND // 64, 50
 
 
 def shingle_hashes(parts: list[bytes], words: int, seed: int = 42) -> np.ndarray:
@@ -64,18 +64,6 @@ def fingerprint_of(text: str | None, words: int = 3) -> int:
     return majority(shingle_hashes(words_in((text or "").encode()), words))
 
 
-def least_hashes(h: np.ndarray) -> np.ndarray:
-    """BANDS numbers, each a hash of the least values of the hashes `h` under BAND multiplications."""
-    if not len(h):
-        return np.zeros(BANDS, np.int64)
-    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), BATCH >> 4):
-        part = h[at:at + (BATCH >> 4)]
-        for k, m in enumerate(MULTIPLIERS):
-            least[k] = min(least[k], (part * m).min())
-    return np.array([xxhash.xxh64_intdigest(least[k * BAND:(k + 1) * BAND].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
-
-
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
     """`docs` without its text, with `fingerprint` long (the 64 bits, as a signed number)."""
     docs = without(docs, "fingerprint")
@@ -91,38 +79,50 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFra
 
 
 def least_hashes(h: np.ndarray) -> np.ndarray:
-    """BANDS numbers, each a hash of the least values of the hashes `h` under BAND multiplications."""
+    """The least values of the hashes `h` under BANDS x BAND multiplications, 0 for none."""
     if not len(h):
-        return np.zeros(BANDS, np.int64)
+        return np.zeros(BANDS * BAND, np.uint64)
     least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(h), BATCH >> 4):
         part = h[at:at + (BATCH >> 4)]
         for k, m in enumerate(MULTIPLIERS):
             least[k] = min(least[k], (part * m).min())
-    return np.array([xxhash.xxh64_intdigest(least[k * BAND:(k + 1) * BAND].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
+    return least
+
+
+def bands_of(least: np.ndarray) -> list[int]:
+    """A number for each band of least hashes."""
+    return np.array([xxhash.xxh64_intdigest(least[k * BAND:(k + 1) * BAND].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
 
 
-def shingle_sets(docs: DataFrame, label: str, text: str, words: int) -> DataFrame:
-    """`label` of each document and its distinct shingles of `words` words.
+def sketch_of(least: np.ndarray) -> list[int]:
+    """Two bits of each least hash."""
+    two = spread(least).view(np.uint8).reshape(-1, 8)[:, 0]
+    return np.packbits(np.concatenate((two & 1, two >> 1 & 1))).view("<i8").tolist()
 
-    These are `set_key` (16 bytes, equal for equal sets), `bands` (see least_hashes), `sketch0` and
-    `sketch1` (128 bits), `size`, their number, and `shingles`, their hashes cut to 40 bits, in order.
+
+def shingle_sets(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """`docs` without its text, with each document's distinct shingles of `words` words.
+
+    These are `set_key` (16 bytes, equal for equal sets), `bands` and `sketch` of the least hashes,
+    `size`, their number, and `shingles`, their hashes cut to 40 bits, in order.
     """
-    names = ["label", "set_key", "bands", "sketch0", "sketch1", "size", "shingles"]
-    types = [pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    kept = [c for c in docs.columns if c != text]
+    schema = T.StructType([docs.schema[c] for c in kept] + [
+        T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())),
+        T.StructField("size", T.IntegerType()), T.StructField("shingles", T.BinaryType())])
+    types = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
     def add(batches):
         for group, batch in text_groups(batches):
             rows = []
             for data in group:
                 h = np.unique(shingle_hashes(words_in(data), words))
-                sketch = np.array([majority(x) for x in (h, spread(h))], np.uint64).view(np.int64).tolist()
-                cut = np.unique(h >> np.uint64(24))
-                rows.append((xxhash.xxh3_128_digest(h.tobytes()), least_hashes(h).tolist(), *sketch, len(cut), packed(cut)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=names)
+                least, cut = least_hashes(h), np.unique(h >> np.uint64(24))
+                rows.append((xxhash.xxh3_128_digest(h.tobytes()), bands_of(least), sketch_of(least), len(cut), packed(cut)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=schema.names)
 
-    return (docs.select(F.col(f"`{label}`").cast("long").alias("label"), F.col(f"`{text}`").alias("text"))
-            .mapInArrow(add, "label long, set_key binary, bands array<long>, sketch0 long, sketch1 long, size int, shingles binary"))
+    return docs.select(*[F.col(f"`{c}`") for c in [*kept, text]]).mapInArrow(add, schema)
 
 
 def spread(h: np.ndarray) -> np.ndarray:
@@ -313,28 +313,45 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame) -> DataFrame:
-    """`nodes` (node, bands, sketch0, sketch1, size, shingles) -> edges (a, b) that connect just what similar pairs connect.
+    """`nodes` (node, bands, sketch, size, shingles) -> edges (a, b) that connect just what similar pairs connect.
 
-    Candidates share a band.  First each node is compared with the smallest one of its bands, which
-    settles a dense group by one comparison per node; then all pairs of a band that are not yet
-    connected and whose sizes and sketches do not rule it out.
+    Candidates share a band, and their sizes and sketches do not rule them out.  First each node is
+    compared with the smallest one of its bands, which settles a dense group by one comparison per
+    node; then all pairs of a band that are not yet connected.
     """
+    sketch = [f"s{k}" for k in range(SKETCH)]
+    tags = written(nodes.select("node", "size", *[F.col("sketch")[k].alias(n) for k, n in enumerate(sketch)]), "tags")
+
+    def possible(x, y):
+        bits = " + ".join(f"bit_count({x}{n} ^ {y}{n})" for n in sketch)
+        return f"{COMMON} * {x}size >= {BOTH} * {y}size and {COMMON} * {y}size >= {BOTH} * {x}size and {bits} <= {SKETCH_BUDGET}"
+
     cells = written(nodes.select("node", F.explode("bands").alias("cell")), "cells")
     heads = written(cells.groupBy("cell").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell", "head"), "heads")
     shared = written(cells.join(heads, "cell"), "shared")
-    star = written(shared.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    links = written(alike(star, nodes), "star_links")
+    star = shared.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    sides = [tags.select(*[F.col(c).alias(f"{s}_{c}") for c in tags.columns]) for s in ("x", "y")]
+    star = (star.join(sides[0], F.col("a") == F.col("x_node")).join(sides[1], F.col("b") == F.col("y_node"))
+            .filter(possible("x_", "y_")).select("a", "b"))
+    links = written(alike(written(star, "star"), nodes), "star_links")
     roots = components(links)
-    tags = nodes.select("node", "sketch0", "sketch1", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = written(shared.select("cell", "node").join(tags, "node"), "placed")
+    rooted = tags.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = written(shared.select("cell", "node").join(rooted, "node"), "placed")
+    # two rows are a star's one pair
     split = placed.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most and n > 2").select("cell")
     mixed = written(placed.join(split, "cell", "left_semi"), "mixed")
-    x, y = (mixed.select("cell", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "sketch0", "sketch1", "size", "root")]) for s in ("x", "y"))
-    bits = " + ".join(f"bit_count(x_sketch{k} ^ y_sketch{k})" for k in (0, 1))
-    near = f"x_root < y_root and {COMMON} * x_size >= {BOTH} * y_size and {COMMON} * y_size >= {BOTH} * x_size and (least(x_size, y_size) < {FEW} or {bits} <= {SKETCH_BUDGET})"
-    rest = x.join(y, "cell").filter(near).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    rest = written(rest.join(star, ["a", "b"], "left_anti"), "rest")
-    return links.unionByName(alike(rest, nodes))
+    x, y = (mixed.select("cell", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", *sketch, "root")]) for s in ("x", "y"))
+    rest = x.join(y, "cell").filter(f"x_root < y_root and {possible('x_', 'y_')}").select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    return links.unionByName(alike(written(rest, "rest"), nodes))
+
+
+def _components(marked: DataFrame) -> DataFrame:
+    """`marked` (label, set_key and the other columns of shingle_sets) -> (label, component_id)."""
+    nodes = written(marked.groupBy("set_key").agg(F.min("label").alias("node")), "nodes")
+    sets = (marked.select(F.col("label").alias("node"), "bands", "sketch", "size", "shingles").join(beside(nodes.select("node"), 16), "node", "left_semi"))
+    roots = written(components(similar_links(sets)), "roots")
+    rooted = written(nodes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id")), "rooted")
+    return marked.select("label", "set_key").join(rooted, "set_key").select("label", "component_id")
 
 
 def similar_documents(docs: DataFrame, label: str = "label", text: str = "text", words: int = 5) -> DataFrame:
@@ -344,25 +361,29 @@ def similar_documents(docs: DataFrame, label: str = "label", text: str = "text",
     over the whole sets.  Of pairs of similarity 0.8 the candidates (BANDS) leave out 3 in a million,
     of closer ones fewer.
     """
-    marked = written(shingle_sets(docs, label, text, words), "signatures")
-    nodes = written(marked.groupBy("set_key").agg(F.min("label").alias("node")), "nodes")
-    sets = marked.withColumnRenamed("label", "node").join(beside(nodes.select("node"), 16), "node", "left_semi")
-    roots = written(components(similar_links(sets)), "roots")
-    rooted = written(nodes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id")), "rooted")
-    return marked.select("label", "set_key").join(rooted, "set_key").select("label", "component_id")
+    asked = docs.select(F.col(f"`{label}`").cast("long").alias("label"), F.col(f"`{text}`").alias("text"))
+    return _components(written(shingle_sets(asked, "text", words), "signatures"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """`docs` with one document of each class of `similar_documents`: that with the smallest id (null ids last, then the first row).
+    """`docs` with one document of each class of `similar_documents`: that with the smallest id (null ids last).
 
-    `docs` must be a stored table or another DataFrame that reads alike twice.  Texts are not
-    shuffled while the rows to drop are few enough to be broadcast.
+    Rows are told apart by id and text, so `docs` may come in any order and partitioning at each
+    reading; of rows that have both in common any one stays.  Null, empty and wordless texts are one
+    class.  An empty table gives no rows.  Texts are not shuffled while the rows to drop are few
+    enough to be broadcast; but rows with id and text in common are grouped.
     """
-    numbered = without(docs, "__row").withColumn("__row", F.monotonically_increasing_id())
-    classes = similar_documents(numbered.select(F.col("__row").alias("label"), F.col(f"`{text}`").alias("text")), "label", "text", words)
-    ids = numbered.select(F.col(f"`{doc_id}`").alias("id"), F.col("__row").alias("label"))
-    classes = written(ids.join(classes, "label"), "near")
+    own = without(docs, "__told").columns
+    told = F.concat_ws("\x00", F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), F.col(f"`{doc_id}`").isNull().cast("string"), F.hex(text_key(F.col(f"`{text}`"))))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in own], F.unhex(F.md5(told.cast("binary"))).alias("__told"))
+    # the labels are written with the signatures, and the texts are not labelled again
+    asked = keyed.select(F.monotonically_increasing_id().alias("label"), F.col(f"`{doc_id}`").alias("id"), F.col("__told").alias("told"), F.col(f"`{text}`").alias("text"))
+    marked = written(shingle_sets(asked, "text", words), "signatures")
+    classes = written(marked.select("label", "id", "told").join(_components(marked), "label"), "near")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("label"))
-    best = written(classes.groupBy("component_id").agg(F.min(order).getField("label").alias("best")), "best")
-    drop = written(classes.join(best, "component_id").filter("label <> best").select(F.col("label").alias("__row")), "drop")
-    return numbered.join(beside(drop, 16), "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    best = classes.groupBy("component_id").agg(F.min_by("told", order).alias("best"))
+    judged = written(classes.join(best, "component_id").groupBy("told").agg(F.max(F.col("told") == F.col("best")).alias("stays"), F.count(F.lit(1)).alias("n"))
+                     .filter("not stays or n > 1"), "judged")
+    one = beside(judged.filter("stays").select(F.col("told").alias("__told")), 48)
+    twins = keyed.join(one, "__told", "left_semi").groupBy("__told").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in own])).alias("__r")).select("__r.*")
+    return keyed.join(beside(judged.select(F.col("told").alias("__told")), 48), "__told", "left_anti").select(*[F.col(f"`{c}`") for c in own]).unionByName(twins)

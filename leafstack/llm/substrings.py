@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside, text_groups, without, written
+from .common import beside, text_groups, text_key, without, written
 
 GRAM = 8
 # Cells of the sketch: one for this many bytes of text, in ROWS rows of a power of two.
@@ -184,19 +184,19 @@ def maybe_repeated(values: np.ndarray, twice: np.ndarray, bits: int) -> np.ndarr
 
 
 def repeated_spans(texts: DataFrame, window: int = 35) -> DataFrame:
-    """`texts` (row long, unique; text) -> (row, whole boolean, spans array<struct<lo int, hi int>>).
+    """`texts` (text) -> (key binary, whole boolean, spans array<struct<lo int, hi int>>).
 
-    One row for each text with a repeated window: `spans` are the runs of windows (first and last
-    start word) that start anywhere else too, in the same text or another.  `whole` marks texts of
-    which there are copies: only one of them takes part in the passes, and all of its windows are
-    repeated.  `texts` must read alike twice.
+    One row for each text with a repeated window, by its `text_key`: `spans` are the runs of windows
+    (first and last start word) that start anywhere else too, in the same text or another.  `whole`
+    marks texts of which there are copies: one of them takes part in the passes, and all of its
+    windows are repeated.
     """
     # shorter texts have no window
     long_enough = F.octet_length("text") >= 2 * window - 1
-    keyed = texts.filter(long_enough).select("row", F.unhex(F.md5("text")).alias("digest"))
-    groups = written(keyed.groupBy("digest").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies")
-    copied = written(keyed.join(beside(groups.drop("n"), 48), "digest").select("row", (F.col("row") != F.col("first")).alias("later")), "copied")
-    once = texts.filter(long_enough).join(beside(copied.filter("later").select("row"), 16), "row", "left_anti").select("row", "text")
+    keyed = texts.filter(long_enough).select(text_key(F.col("text")).alias("key"), "text")
+    copied = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "copied")
+    firsts = written(keyed.join(beside(copied, 48), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "firsts")
+    once = keyed.join(beside(copied, 48), "key", "left_anti").unionByName(firsts)
 
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     size = min(max(total // BYTES_PER_CELL, LEAST_CELLS), MAX_CELLS)
@@ -208,23 +208,24 @@ def repeated_spans(texts: DataFrame, window: int = 35) -> DataFrame:
             w = Windows(group, window)
             start = w.start[maybe_repeated(w.least, twice.value, bits)]
             text = np.searchsorted(w.first, start, side="right") - 1
-            rows = batch.column(0).to_numpy()[text]
             for k in range(0, len(start), BATCH):
                 part = slice(k, k + BATCH)
                 high_low = w.digests(start[part], window)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                    rows[part], (start - w.first[text]).astype(np.int32)[part], high_low[:, 0].copy(), high_low[:, 1].copy())], names=["row", "pos", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[part])), *(pa.array(x) for x in (
+                    (start - w.first[text]).astype(np.int32)[part], high_low[:, 0].copy(), high_low[:, 1].copy()))], names=["key", "pos", "h1", "h2"])
 
-    found = written(once.mapInArrow(windows, "row long, pos int, h1 long, h2 long"), "windows")
+    found = written(once.mapInArrow(windows, "key binary, pos int, h1 long, h2 long"), "windows")
     repeated = written(found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated")
-    hits = found.join(repeated, ["h1", "h2"], "left_semi").select("row", "pos")
-    runs = (hits.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("row").orderBy("pos")))
-            .groupBy("row", "run").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-            .groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
-    whole = copied.select("row", F.lit(True).alias("whole"), F.array().cast("array<struct<lo:int,hi:int>>").alias("spans"))
+    hits = found.join(repeated, ["h1", "h2"], "left_semi").select("key", "pos")
     # of a copied text only `whole` counts
-    runs = runs.join(copied.filter("not later").select("row"), "row", "left_anti")
-    return whole.unionByName(runs.select("row", F.lit(False).alias("whole"), "spans"))
+    hits = hits.join(beside(copied, 48), "key", "left_anti")
+    runs = (hits.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("key").orderBy("pos")))
+            .groupBy("key", "run").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+            .groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    whole = copied.select("key", F.lit(True).alias("whole"), F.array().cast("array<struct<lo:int,hi:int>>").alias("spans"))
+    out = written(whole.unionByName(runs.select("key", F.lit(False).alias("whole"), "spans")), "spans")
+    twice.destroy()
+    return out
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35) -> DataFrame:
@@ -232,15 +233,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35) -> Dat
 
     Every word is removed that lies in a window whose words also start anywhere else, as judged on
     the input.  `kept_text` has the other words, unchanged, joined by one space.  Null text has no
-    words.  Windows may overlap their repeats; equal rows repeat each other.  `docs` must be a
-    stored table or another DataFrame that reads alike twice; an empty table gives no rows, input
-    columns named like an output are replaced.
+    words.  Windows may overlap their repeats; equal rows repeat each other.  Rows are told apart by
+    their texts alone, so `docs` may come in any order and partitioning at each reading; an empty
+    table gives no rows, input columns named like an output are replaced.
     """
-    docs = without(docs, "n_words", "n_removed", "kept_text", "__row", "__whole", "__spans", "__text")
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    spans = written(repeated_spans(numbered.select(F.col("__row").alias("row"), F.col("__text").alias("text")), window), "spans")
-    side = spans.select(F.col("row").alias("__row"), F.col("whole").alias("__whole"), F.col("spans").alias("__spans"))
-    joined = numbered.join(beside(side, 64), "__row", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__whole", "__spans", "__text")
+    docs = without(docs, "n_words", "n_removed", "kept_text", "__key", "__whole", "__spans", "__text")
+    filled = docs.withColumn("__text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    spans = repeated_spans(filled.select(F.col("__text").alias("text")), window)
+    side = spans.select(F.col("key").alias("__key"), F.col("whole").alias("__whole"), F.col("spans").alias("__spans"))
+    joined = filled.withColumn("__key", text_key(F.col("__text"))).join(beside(side, 96), "__key", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__whole", "__spans", "__text")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def apply(batches):

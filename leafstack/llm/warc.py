@@ -158,13 +158,13 @@ def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "
     and the others are revisits of it; all others are responses.  Tasks stream to files whose names
     hold the attempt, and only finished attempts get into the manifest, so repeated or lost tasks do
     no harm.  Only digests that occur twice are joined back; texts move only if those are too many to broadcast.
-    `pages` must be a stored table or read alike twice; an empty table gives an empty manifest;
-    other columns play no part.
+    Rows are numbered once, and the numbers are written with them.  An empty table gives an empty
+    manifest; other columns play no part.
     """
     folder = f"{(folder or shared_folder(pages.sparkSession)).rstrip('/')}/warc-{uuid.uuid4().hex}"
     payload = F.coalesce(F.col(f"`{html}`"), F.lit(""))
-    keyed = pages.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{page_id}`").alias("page"), F.col(f"`{url}`").alias("url"),
-                         payload.alias("payload"), F.unhex(F.sha1(payload.cast("binary"))).alias("sha1"))
+    keyed = written(pages.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{page_id}`").alias("page"), F.col(f"`{url}`").alias("url"),
+                                 payload.alias("payload"), F.unhex(F.sha1(payload.cast("binary"))).alias("sha1")), "pages")
     order = F.struct(F.col("page").isNull().alias("none"), F.col("page").alias("page"), F.col("row").alias("row"))
     firsts = written(keyed.filter(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
                      .filter("n > 1").select("sha1", F.col("first.page").alias("first_page"), F.col("first.row").alias("first_row")), "firsts")

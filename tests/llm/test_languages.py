@@ -84,8 +84,8 @@ def test_fusion_against_formulas(spark, model):
 
 def test_a_hint_decides_a_short_text(spark, model):
     rows = [("de la " * 3, f"h.example.{s}", s) for s in ("fr", "es")] + [("ouéaieuxlepa éelleç mentoi " * 9, "h.example.fr", "fr")] * 30 + [("ciónasadoñ cióngaque osdoboga " * 9, "h.example.es", "es")] * 30
-    df = spark.createDataFrame(rows, "text string, h string, d string").withColumn("k", F.monotonically_increasing_id())
-    got = L.identify(df, model, host=F.col("h"), declared=F.col("d")).filter("text like 'de la%'").collect()
+    df = spark.createDataFrame(rows, "text string, h string, d string").withColumn("t", F.col("text"))
+    got = L.identify(df, model, host=F.col("h"), declared=F.col("d")).filter("t like 'de la%'").collect()
     assert {r.declared: r.language for r in got} == {"fr": "fr", "es": "es"}
 
 
@@ -98,7 +98,7 @@ def test_markup_and_addresses(spark):
 def test_edges(spark, model):
     empty = spark.createDataFrame([], "text string, language int, page long")
     out = L.identify(empty, model)
-    assert out.columns[:2] == ["text", "page"] and out.collect() == []
+    assert out.columns[:2] == ["page", "language"] and out.collect() == []
     nothing = L.fit(spark.createDataFrame([], "text string, lang string"))
     assert nothing.languages == ()
     df = spark.createDataFrame([("a b", 1), (None, 2)], "text string, n int")
@@ -122,3 +122,18 @@ def test_labelled_rows_without_a_model_stay(spark, model):
     got = {r.k: (r.language, r.confidence > 0) for r in L.identify(df, model, declared=F.col("d")).collect()}
     assert {k: v[0] for k, v in got.items()} == {1: "ru", 2: "und", 3: "en", 4: "und", 5: "en"} and not got[1][1] and got[5][1]
     assert sorted(r.k for r in L.speak(df, model, declared=F.col("d")).collect()) == [1, 3, 5]
+
+
+def test_any_number_of_languages(spark):
+    """Eighty invented languages, of six labelled rows each."""
+    rng = np.random.default_rng(8)
+    alphabet = np.array([chr(c) for c in range(0x430, 0x450)] + list("abcdefghijklmnopqrstuvwxyz"))
+    rows = []
+    for k in range(80):
+        syllables = ["".join(rng.choice(alphabet, 3)) for _ in range(12)]
+        rows += [(k * 10 + j, " ".join("".join(rng.choice(syllables, 2)) for _ in range(60)), f"x{k:02d}") for j in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df.filter("doc_id % 10 < 6"))
+    assert len(model.languages) == 80
+    got = L.identify(df.filter("doc_id % 10 >= 6"), model).collect()
+    assert sum(r.language == r.lang for r in got) > 0.97 * 160

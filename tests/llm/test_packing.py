@@ -13,11 +13,10 @@ from leafstack.llm.queries.packing import op1_packing
 @pytest.fixture(scope="module")
 def reference_ids():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
-TEXTS = [None, "", " ", "<|endoftext|> a", "naïve — ☃ 𝄞   x", "a" * 3000, "\n \t" * 2000, "word " * 2047, "word " * 9000] + [f"text no {i} it's {'so ' * (i * 7 % 900)}" for i in range(400)]
+TEXTS = [None, "", " ", "<|endoftext|> a", "x <|endoftext|><|endoftext|>  y <|endoftext",  "naïve — ☃ 𝄞   x", "a" * 3000, "\n \t" * 2000, "word " * 2047, "word " * 9000] + [f"text no {i} it's {'so ' * (i * 7 % 900)}" for i in range(400)]
 
 
 def test_query(spark, documents, reference_ids):

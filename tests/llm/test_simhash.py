@@ -199,3 +199,21 @@ def test_similar_in_a_mixed_band(spark):
                 if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                     up[i] = up[j] = min(up[i], up[j])
     assert [found[i] for i in range(len(texts))] == up and len(set(up)) > 2
+
+
+def test_small_sets_are_compared_too(spark):
+    """Sets of few shingles, at and under 0.8, beside texts that share one line with all."""
+    rng = random.Random(5)
+    line = " ".join(f"c{k}" for k in range(12))
+    texts = []
+    for k in range(120):
+        n = rng.randint(9, 24)
+        base = [f"u{k}x{j}" for j in range(n)]
+        texts += [" ".join(base), " ".join(base + [f"v{k}x{j}" for j in range(rng.randint(1, 6))]), line + " " + " ".join(f"o{k}x{j}" for j in range(rng.randint(4, 20)))]
+    sets = shingle_sets(texts)
+    found = {r.label: r.component_id for r in similar_documents(spark.createDataFrame(list(enumerate(texts)), "label long, text string")).collect()}
+    want = [5 * len(sets[k] & sets[k + 1]) >= 4 * len(sets[k] | sets[k + 1]) for k in range(0, 360, 3)]
+    assert 20 < sum(want) < 110 and [found[k] == found[k + 1] for k in range(0, 360, 3)] == want
+    alone = [k for k in range(2, 360, 3) if found[k] == k]
+    near = [k for k in range(2, 360, 3) if not any(j != k and 5 * len(sets[k] & sets[j]) >= 4 * len(sets[k] | sets[j]) for j in range(2, 360, 3))]
+    assert set(near) <= set(alone)
