@@ -129,21 +129,27 @@ def chunked_list(df: DataFrame, keys, pos, value, size: int = 1024) -> DataFrame
             .select(*keys, "chunk", F.transform("__l", lambda s: s["v"]).alias("values")))
 
 
-def count_upto(rows: DataFrame, value: str, marks: DataFrame, mark: str, out: str, inclusive: bool, ties=()) -> DataFrame:
-    """Number of ``marks`` below (or up to) each row's ``value``, per book; a merge by rank, no range join.
+def count_upto(rows: DataFrame, value: str, marks: DataFrame, mark: str, out: str, inclusive: bool, ties=(), keys=("book_id",)) -> DataFrame:
+    """Number of ``marks`` below (or up to) each row's ``value``, per key; a merge by rank, no range join.
 
     ``ties`` are columns of ``rows`` that tell rows of one value apart, so that those spread over partitions.
     """
     ours = rows.withColumn("__v", F.col(value)).withColumn("__side", F.lit(1 if inclusive else 0))
-    theirs = marks.select("book_id", F.col(mark).alias("__v"), F.lit(0 if inclusive else 1).alias("__side"))
+    theirs = marks.select(*keys, F.col(mark).alias("__v"), F.lit(0 if inclusive else 1).alias("__side"))
     merged = ours.withColumn("__m", F.lit(0)).unionByName(theirs.withColumn("__m", F.lit(1)), allowMissingColumns=True)
-    ranked = rank_rows(merged, ["book_id"], ["__v", "__side", *ties], "__n")
-    counted = running_sum(ranked, ["book_id"], "__n", "__m", out)
+    ranked = rank_rows(merged, list(keys), ["__v", "__side", *ties], "__n")
+    counted = running_sum(ranked, list(keys), "__n", "__m", out)
     return counted.filter("__m = 0").select(*rows.columns, out)
 
 
-# clusters of rows that compete for the same slots, up to this size, are settled inside one task
-CLUSTER_ROWS = 200_000
+# Rows that compete for the same slots are halved until so many are left, which one task settles.
+LEAF_ROWS = 1 << 14
+
+
+def leftmost_slots(rows: DataFrame, keys, base: str, ties, out: str, stretch: str = "__top") -> DataFrame:
+    """The slots that the rows of each key use together: whatever their order, the n-th by base takes n + max(base - n) so far, its ``stretch``."""
+    lined = rank_rows(rows, keys, [base, *ties], "__n").withColumn("__d", F.col(base) - F.col("__n"))
+    return running_max(lined, keys, "__n", "__d", stretch).withColumn(out, F.col("__n") + F.col(stretch)).drop("__d", "__n")
 
 
 def claim_slots(rows: DataFrame, taken: DataFrame, base: str, order, out: str = "slot") -> DataFrame:
@@ -152,11 +158,12 @@ def claim_slots(rows: DataFrame, taken: DataFrame, base: str, order, out: str =
     ``rows``: book_id, ``base`` (bigint), order columns (unique together); ``taken``: (book_id,
     slot).  Rows choose in ``order``.
 
-    Counted in free slots only, the set of slots used is a running maximum, and it
-    falls apart into busy stretches that do not touch each other.  Where all rows of a
-    stretch have one base, the k-th row takes its k-th slot.  Mixed stretches are
-    settled one per group by a heap; a mixed stretch too large for one task goes
-    through rounds of proposals instead.
+    Counted in free slots only, the set of slots used is a running maximum, and it falls apart into
+    busy stretches that do not touch each other.  Where all rows of a stretch have one base, the k-th
+    row takes its k-th slot.  Other stretches are halved by order: the earlier half does not depend
+    on the later one, and which slots it takes together is a running maximum again; counted in the
+    slots that it leaves, the later half is a problem of its own.  So the rounds grow with the
+    logarithm of a stretch's rows.
     """
     marks = taken.select("book_id", F.col("slot").cast("long").alias("__t")).distinct()
     crowded = not marks.isEmpty()
@@ -164,64 +171,85 @@ def claim_slots(rows: DataFrame, taken: DataFrame, base: str, order, out: str =
     if crowded:
         cur = count_upto(cur, "__base", marks, "__t", "__below", inclusive=False, ties=order)
         cur = cur.withColumn("__base", F.col("__base") - F.col("__below")).drop("__below")
-    lined = rank_rows(cur, ["book_id"], ["__base", *order], "__n").withColumn("__d", F.col("__base") - F.col("__n"))
-    lined = stage(running_max(lined, ["book_id"], "__n", "__d", "__stretch")
-                  .withColumn("__at", F.col("__n") + F.col("__stretch")).drop("__d"))
+    lined = stage(leftmost_slots(cur, ["book_id"], "__base", order, "__at", "__stretch"))
     sizes = (lined.groupBy("book_id", "__stretch")
-             .agg(F.count(F.lit(1)).alias("__size"), F.min("__at").alias("__start"), (F.min("__base") != F.max("__base")).alias("__mixed"))
-             .filter("__mixed"))
+             .agg(F.count(F.lit(1)).alias("__size"), (F.min("__base") != F.max("__base")).alias("__mixed")).filter("__mixed"))
     mixed = stage(lined.join(sizes, ["book_id", "__stretch"], "left"))
-    plain = mixed.filter("__mixed is null")
-    parts = [plain.select(*rows.columns, F.col("__at").alias("__slot"))]
-    fit = mixed.filter(F.col("__size") <= CLUSTER_ROWS)
-    if not fit.isEmpty():
-        parts.append(_settle_stretches(fit, rows.columns, list(order)))
-    big = mixed.filter(F.col("__size") > CLUSTER_ROWS)
-    if not big.isEmpty():
-        parts.append(_settle_by_rounds(big, rows.columns, list(order)))
-    done = reduce(DataFrame.unionByName, parts)
+    done = mixed.filter("__mixed is null").select(*rows.columns, F.col("__at").alias("__slot"))
+    most = mixed.filter("__mixed").agg(F.max("__size")).first()[0]
+    if most:
+        done = done.unionByName(_settle_stretches(mixed.filter("__mixed"), most, rows.columns, list(order)))
     if not crowded:
         return done.withColumnRenamed("__slot", out)
-    # back from free-slot numbers: add the taken slots passed on the way
-    holes = rank_rows(marks, ["book_id"], ["__t"], "__r").select("book_id", (F.col("__t") - F.col("__r")).alias("__h"))
-    back = count_upto(done, "__slot", holes, "__h", "__passed", inclusive=True, ties=order)
-    return back.withColumn(out, F.col("__slot") + F.col("__passed")).select(*rows.columns, out)
-
-
-def _settle_stretches(rows: DataFrame, columns, order) -> DataFrame:
-    """Each slot of a stretch goes to the earliest waiting row."""
+    return _past(done, _holes(marks, ["book_id"], "__t"), ["book_id"], "__slot", order).withColumnRenamed("__slot", out)
+
+
+def _holes(marks: DataFrame, keys, mark: str) -> DataFrame:
+    """Taken slots by the number of free ones before them."""
+    return rank_rows(marks, keys, [mark], "__r").select(*keys, (F.col(mark) - F.col("__r")).alias("__h"))
+
+
+def _past(rows: DataFrame, holes: DataFrame, keys, slot: str, ties) -> DataFrame:
+    """``slot`` from its number among the free slots: add the taken ones passed on the way."""
+    counted = count_upto(rows, slot, holes, "__h", "__passed", inclusive=True, ties=ties, keys=keys)
+    return counted.withColumn(slot, F.col(slot) + F.col("__passed")).drop("__passed")
+
+
+def halvings(rows: int, leaf: int | None = None) -> int:
+    """Rounds that it takes to cut so many rows into leaves."""
+    leaf, out = leaf or LEAF_ROWS, 0
+    while rows > leaf:
+        rows, out = -(-rows // 2), out + 1
+    return out
+
+
+def _settle_stretches(rows: DataFrame, most: int, columns, order) -> DataFrame:
+    """Slots of mixed stretches, of at most ``most`` rows each: halved by order, settled, and counted back."""
+    stretch = ["book_id", "__stretch"]
+    # __part: the halves a row went through, later ones as 1; __turn: its place in its part
+    state = rank_rows(rows.select(*columns, "__stretch", "__base", "__size"), stretch, order, "__turn").withColumn("__part", F.lit(0).cast("long"))
+    keys, gaps = [*stretch, "__part"], []
+    for _ in range(halvings(most)):
+        state = stage(state.withColumn("__half", F.call_function("div", F.col("__size") + 1, F.lit(2).cast("long"))).withColumn("__later", (F.col("__turn") >= F.col("__half")).cast("long")))
+        used = leftmost_slots(state.filter("__later = 0").select(*keys, "__base", *order), keys, "__base", order, "__t").select(*keys, "__t")
+        used = stage(used)
+        late = count_upto(state.filter("__later = 1"), "__base", used, "__t", "__below", inclusive=False, ties=order, keys=keys)
+        late = late.withColumn("__base", F.col("__base") - F.col("__below")).withColumn("__turn", F.col("__turn") - F.col("__half")).withColumn("__size", F.col("__size") - F.col("__half"))
+        early = state.filter("__later = 0").withColumn("__size", F.least("__size", "__half"))
+        gaps.append(stage(_holes(used, keys, "__t")))
+        state = (early.unionByName(late.drop("__below")).withColumn("__part", 2 * F.col("__part") + F.col("__later")).drop("__half", "__later"))
+    placed = stage(_settle_leaves(state, keys, columns, order))
+    for holes in reversed(gaps):
+        # only later halves passed the slots of the earlier ones
+        late = placed.filter("__part % 2 = 1").withColumn("__part", F.shiftright("__part", 1))
+        early = placed.filter("__part % 2 = 0").withColumn("__part", F.shiftright("__part", 1))
+        placed = stage(early.unionByName(_past(late, holes, keys, "__slot", order)))
+    return placed.select(*columns, "__slot")
+
+
+def _settle_leaves(rows: DataFrame, keys, columns, order) -> DataFrame:
+    """In each part each slot goes to the earliest row that waits for one; a part has at most LEAF_ROWS rows."""
     import heapq
 
     def settle(pdf):
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values("__turn", kind="stable").reset_index(drop=True)
         by_base = pdf["__base"].argsort(kind="stable").tolist()
         bases = pdf["__base"].tolist()
-        slots, waiting, nxt = [0] * len(pdf), [], 0
-        for at in range(int(pdf["__start"].iloc[0]), int(pdf["__start"].iloc[0]) + len(pdf)):
+        slots, waiting, nxt, at = [0] * len(pdf), [], 0, 0
+        for _ in range(len(pdf)):
+            if not waiting:
+                at = max(at, bases[by_base[nxt]])
             while nxt < len(by_base) and bases[by_base[nxt]] <= at:
                 heapq.heappush(waiting, by_base[nxt])
                 nxt += 1
             slots[heapq.heappop(waiting)] = at
+            at += 1
         pdf["__slot"] = slots
-        return pdf[[*columns, "__slot"]]
+        return pdf[[*columns, "__stretch", "__part", "__slot"]]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in columns)
-    kept = rows.select(*columns, "__stretch", "__base", "__start")
-    return kept.groupBy("book_id", "__stretch").applyInPandas(settle, f"{fields}, __slot long").select(*columns, "__slot")
-
-
-def _settle_by_rounds(rows: DataFrame, columns, order) -> DataFrame:
-    """Every round each row asks for one slot and the earliest asker keeps it; a mover pushes the rows behind it."""
-    group, rank = ["book_id", "__base"], F.struct(*order)
-    state = stage(rank_rows(rows.select(*columns, "__base"), group, order, "__k").withColumn("__gap", F.lit(0).cast("long")))
-    while True:
-        asked = state.withColumn("__slot", F.col("__base") + F.col("__k") + F.col("__gap"))
-        best = asked.groupBy("book_id", "__slot").agg(F.min(rank).alias("__best"))
-        judged = stage(asked.join(best, ["book_id", "__slot"]).withColumn("__lost", (rank > F.col("__best")).cast("long")))
-        if judged.filter("__lost > 0").isEmpty():
-            return judged.select(*columns, "__slot")
-        moved = judged.withColumn("__g", F.col("__gap") + F.col("__lost")).drop("__slot", "__best", "__lost", "__gap")
-        state = stage(running_max(moved, group, "__k", "__g", "__gap").drop("__g"))
+    kept = rows.select(*columns, "__stretch", "__part", "__base", "__turn")
+    return kept.groupBy(*keys).applyInPandas(settle, f"{fields}, __stretch long, __part long, __slot long")
 
 
 def all_of(conds) -> Column:

@@ -1,8 +1,11 @@
 """Inputs beyond limits that earlier versions had."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from leafstack import scale
 from leafstack.functions import datauri
 from leafstack.functions.scalars import postit_text
 from leafstack.operators.search import date_ranges, match_date_ranges
@@ -56,6 +59,50 @@ def test_ties_take_slots_in_order(spark):
     assert got == free[:300]
 
 
+def first_come(rows, taken):
+    """Slots of (ord, base) rows, one after the other."""
+    used, out, up = set(taken), {}, {}
+
+    def free(s):
+        trail = []
+        while s in up or s in used:
+            trail.append(s)
+            s = up.get(s, s + 1)
+        for x in trail:
+            up[x] = s
+        return s
+
+    for k, base in sorted(rows):
+        out[k] = free(base)
+        used.add(out[k])
+    return out
+
+
+@pytest.mark.parametrize("leaf", [1, 40])
+def test_mixed_slots_by_halving(spark, monkeypatch, leaf):
+    monkeypatch.setattr(scale, "LEAF_ROWS", leaf)
+    rng = random.Random(leaf)
+    n = 150 if leaf == 40 else 10
+    data = [(b, i, 1000 + rng.randrange(n // 3)) for b in "ab" for i in range(n)]
+    rows = spark.createDataFrame(data, "book_id string, ord int, base long")
+    taken = spark.createDataFrame([("a", 1000 + 5 * i) for i in range(30)], "book_id string, slot long")
+    got = {(r.book_id, r.ord): r.slot for r in claim_slots(rows, taken, "base", ["ord"]).collect()}
+    for b, used in (("a", {1000 + 5 * i for i in range(30)}), ("b", set())):
+        want = first_come([(o, s) for x, o, s in data if x == b], used)
+        assert {o: s for (x, o), s in got.items() if x == b} == want
+
+
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    rounds = []
+    real = scale._holes
+    monkeypatch.setattr(scale, "_holes", lambda *a: rounds.append(1) or real(*a))
+    rows = spark.range(100_000).select(F.lit("b").alias("book_id"), F.col("id").alias("ord"), (F.pmod(F.xxhash64("id"), F.lit(40)) * 7).alias("base"))
+    taken = spark.createDataFrame([], "book_id string, slot long")
+    got = {r.ord: r.slot for r in claim_slots(rows, taken, "base", ["ord"]).collect()}
+    assert got == first_come([(r.ord, r.base) for r in rows.collect()], set())
+    assert len(rounds) == 3 and [scale.halvings(x) for x in (1 << 14, 1 << 15, 10**9)] == [0, 1, 16]
+
+
 def test_entry_lines_keep_unknown_properties(spark):
     items = spark.createDataFrame([("b", "i", 1, "t", None, {"foo": 'b"ar'}), ("b", "j", 2, None, False, {"a": "1"}), ("b", "k", 3, None, False, None), ("b", "l", 4, "x}", True, None)],
                                   "book_id string, item_id string, ord long, title string, marked boolean, extra map<string,string>")

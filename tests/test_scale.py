@@ -44,9 +44,9 @@ def test_running_values(spark):
     assert rows_of(scale.running_max(df, ["k"], "n", "v", "o", chunk=16), "k", "n", "o") == sorted(want_m)
 
 
-@pytest.mark.parametrize("cluster_rows", [200_000, 1])
-def test_slots_are_first_come_first_served(spark, monkeypatch, cluster_rows):
-    monkeypatch.setattr(scale, "CLUSTER_ROWS", cluster_rows)
+@pytest.mark.parametrize("leaf_rows", [200_000, 20])
+def test_slots_are_first_come_first_served(spark, monkeypatch, leaf_rows):
+    monkeypatch.setattr(scale, "LEAF_ROWS", leaf_rows)
     rng = random.Random(3)
     rows = [(f"b{rng.randrange(2)}", rng.randrange(60), i) for i in range(120)]
     taken = [(f"b{b}", t) for b in range(2) for t in range(0, 70, 3)]
