@@ -40,11 +40,11 @@ def removed(spark: SparkSession, paths: list[str]) -> None:
         TABLES.remove(path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts the lineage, keeps column pruning, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/leafstack-{name}-{uuid.uuid4().hex}"
     TABLES.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,6 +16,7 @@ broadcast or goes to the driver.
 
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,9 @@ from .common import text_groups, without, written
 
 DEPTH = 4
 # Text of a chunk, and bytes worked on at once.
-CHUNK, PIECE = 32 << 20, 1 << 20
+CHUNK, PIECE = 64 << 20, 1 << 20
 # Different grams or words that a task holds before it sends them.
-HELD = 1 << 21
+HELD = 1 << 20
 # Scores are sums of whole billionths, so that they do not depend on the order of adding.
 UNIT = 1_000_000_000
 END = b"\n"
@@ -181,7 +182,7 @@ def _prepared(docs: DataFrame, train: Column, text: str) -> tuple[DataFrame, lis
                 chunk, held = chunk + 1, 0
 
     asked = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(train, F.lit(True)).alias("__train"), F.col(f"`{text}`").alias("__data"))
-    return written(asked.mapInArrow(prepare, schema), "texts"), kept
+    return written(asked.mapInArrow(prepare, schema), "texts", "zstd"), kept
 
 
 def _seen(texts: DataFrame, depth: int) -> DataFrame:
@@ -228,7 +229,7 @@ def _seen(texts: DataFrame, depth: int) -> DataFrame:
         if held:
             yield from send()
 
-    return written(texts.select("__chunk", "__train", "__data").mapInArrow(count, "chunk long, gram long, word binary, n long"), "seen")
+    return written(texts.select("__chunk", "__train", "__data").mapInArrow(count, "chunk long, gram long, word binary, n long"), "seen", "zstd")
 
 
 def _by_cell(batches):
@@ -297,15 +298,15 @@ def with_scores(docs: DataFrame, train: Column, text: str = "text", depth: int =
     known, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     total, base = known + ends, np.log10(known + ends + distinct + (ends > 0) + 1)
 
-    nothing = {"row": F.lit(None).cast("long"), "data": F.lit(None).cast("binary"), "gram": F.lit(None).cast("long"), "word": F.lit(None).cast("binary"), "value": F.lit(None).cast("long")}
+    # by kind: 0 a gram and its value, 1 a word and its count, 2 a text and its row
+    def rows(df, kind, key, number, data):
+        return df.select("chunk", F.lit(kind).alias("kind"), key.cast("long").alias("key"), number.cast("long").alias("number"), data.cast("binary").alias("data"))
 
-    def rows(df, kind, **own):
-        return df.select("chunk", F.lit(kind).alias("kind"), *[own.get(n, c).alias(n) for n, c in nothing.items()])
-
-    gram_rows = rows(seen.filter("gram is not null").select("chunk", "gram").join(values, "gram"), 0, gram=F.col("gram"), value=F.col("value"))
-    word_rows = rows(seen.filter("word is not null").select("chunk", "word").join(words, "word"), 1, word=F.col("word"), value=F.col("c"))
-    text_rows = rows(texts.withColumn("chunk", F.col("__chunk")), 2, row=F.col("__row"), data=F.col("__data"))
-    met = gram_rows.unionByName(word_rows).unionByName(text_rows).repartition(max(chunks, 1), "chunk").sortWithinPartitions("chunk", "kind", "gram")
+    gram_rows = rows(seen.filter("gram is not null").select("chunk", "gram").join(values, "gram"), 0, F.col("gram"), F.col("value"), F.lit(None))
+    # a word that is not sent has count 0
+    word_rows = rows(seen.filter("word is not null").select("chunk", "word").join(words.filter("c > 0"), "word"), 1, F.lit(None), F.col("c"), F.col("word"))
+    text_rows = rows(texts.withColumn("chunk", F.col("__chunk")), 2, F.col("__row"), F.lit(None), F.col("__data"))
+    met = gram_rows.unionByName(word_rows).unionByName(text_rows).repartition(max(chunks, 1), "chunk").sortWithinPartitions("chunk", "kind", "key")
 
     def score(batches):
         now, keys, codes, counts = None, [], [], {}
@@ -319,15 +320,15 @@ def with_scores(docs: DataFrame, train: Column, text: str = "text", depth: int =
                     now, keys, codes, counts = chunk[lo], [], [], {}
                 part = batch.slice(lo, hi - lo)
                 if kind[lo] == 0:
-                    keys.append(part.column(4).to_numpy().astype(np.uint64)), codes.append(part.column(6).to_numpy())
+                    keys.append(part.column(2).to_numpy().astype(np.uint64)), codes.append(part.column(3).to_numpy())
                 elif kind[lo] == 1:
-                    counts.update(zip(part.column(5).to_pylist(), part.column(6).to_pylist(), strict=True))
+                    counts.update(zip(part.column(4).to_pylist(), part.column(3).to_pylist(), strict=True))
                 else:
                     keys, codes = [np.concatenate(keys)], [np.concatenate(codes)]
                     yield from told(part, keys[0], codes[0], counts)
 
     def told(batch, keys, codes, counts):
-        for group, part in text_groups([batch.select([2, 3])]):
+        for group, part in text_groups([batch.select([2, 4])]):
             if len(group) == 1:
                 scores = [sum(int(codes[np.searchsorted(keys, code)].sum()) for code in long_grams(group[0], depth))]
             else:
@@ -338,7 +339,7 @@ def with_scores(docs: DataFrame, train: Column, text: str = "text", depth: int =
                 n, heard, logs = 1, int(ends_known), float(np.log10(end_count + 1))
                 for piece in pieces(data):
                     own = piece.split()
-                    c = np.fromiter(map(counts.__getitem__, own), np.int64, len(own))
+                    c = np.fromiter(map(counts.get, own, repeat(0)), np.int64, len(own))
                     n, heard, logs = n + len(own), heard + int((c > 0).sum()), logs + float(np.log10(c + 1).sum())
                 lines.append((n, heard, logs - n * base))
             n, heard, logs = zip(*lines, strict=True)
