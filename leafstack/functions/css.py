@@ -23,41 +23,61 @@ def _character(value: int) -> str:
 
 def unescape(text: str) -> str:
     """The value of a string or URL token: escapes stand for a code point, a character, or, before a line end, for nothing."""
-    first, *rest = text.split("\\")
-    out, verbatim = [first], False
-    for part in rest:
-        if verbatim:  # the backslash before this part was itself escaped
-            out.append(part)
-            verbatim = False
-        elif not part:
+    out, at = [], 0
+    while (back := text.find("\\", at)) >= 0:
+        out.append(text[at:back])
+        at = back + 1
+        digits = at
+        while digits < min(len(text), at + 6) and text[digits] in _HEX:
+            digits += 1
+        if digits > at:
+            out.append(_character(int(text[at:digits], 16)))
+            at = digits + (text[digits:digits + 1] == " ")
+        elif at == len(text):
             out.append("\\")
-            verbatim = True
+        elif text[at] in "\r\n\f":
+            at += 2 if text[at:at + 2] == "\r\n" else 1
         else:
-            n = 0
-            while n < min(len(part), 6) and part[n] in _HEX:
-                n += 1
-            if n:
-                tail = part[n + 1:] if part[n:n + 1] == " " else part[n:]
-                out.append(_character(int(part[:n], 16)) + tail)
-            else:
-                out.append(part[2:] if part[:2] == "\r\n" else part[1:] if part[0] in "\r\n\f" else part)
-    return "".join(out)
+            out.append(text[at])
+            at += 1
+    return "".join([*out, text[at:]])
 
 
-def css_urls(text: str):
-    """(kind, url) of every rewritable URL: ``import``, ``font`` or ``background``."""
+def css_places(text: str):
+    """(kind, url, start, end) of every rewritable URL: its kind is ``import``, ``font`` or ``background``, its place that of the value, quotes included."""
     out, in_face = [], False
     for m in _SCAN.finditer(text or ""):
-        g = m.groupdict()
-        if g["istr"] is not None or g["iq"] is not None:
-            out.append(("import", unescape((g["istr"] or g["iq"])[1:-1])))
-        elif g["ib"] is not None:
-            out.append(("import", g["ib"]))
-        elif g["face"]:
+        if m["face"]:
             in_face = True
-        elif g["close"]:
+        elif m["close"]:
             in_face = False
-        elif g["uq"] is not None or g["ub"] is not None:
-            url = unescape(g["uq"][1:-1]) if g["uq"] is not None else g["ub"]
-            out.append(("font" if in_face else "background", url))
+        for name, kind in (("istr", "import"), ("iq", "import"), ("ib", "import"), ("uq", "font" if in_face else "background"), ("ub", "font" if in_face else "background")):
+            if m[name] is not None:
+                url = m[name] if name.endswith("b") else unescape(m[name][1:-1])
+                out.append((kind, url, *m.span(name)))
     return out
+
+
+def css_urls(text: str):
+    """(kind, url) of every rewritable URL, in order."""
+    return [(kind, url) for kind, url, _, _ in css_places(text)]
+
+
+def css_string(value: str) -> str:
+    """A string token with this value."""
+    return '"' + re.sub(r'["\\]', r"\\\g<0>", value).replace("\n", "\\a ").replace("\r", "\\d ").replace("\f", "\\c ") + '"'
+
+
+def replaced(text: str, edits) -> str:
+    """The text with (start, end, new) put in place."""
+    out, done = [], 0
+    for start, end, new in sorted(edits):
+        out += [text[done:start], new]
+        done = end
+    return "".join([*out, text[done:]])
+
+
+def rewrite_css(text: str, values: dict) -> str:
+    """The sheet with new values for some of its URLs, by their number; nothing else of it changes."""
+    places = css_places(text)
+    return replaced(text, [(places[n][2], places[n][3], css_string(new)) for n, new in values.items()])

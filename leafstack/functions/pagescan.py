@@ -7,6 +7,8 @@ import re
 from html import unescape
 from html.parser import HTMLParser
 
+from .css import css_places, css_string, replaced
+
 # --- fixed values -----------------------------------------------------------
 TEXT_EXCLUDED = {
     "title", "style", "script", "template", "frame", "iframe", "object", "applet", "audio", "video",
@@ -65,6 +67,9 @@ class PageScan(HTMLParser):
         self.fresh = True       # next data starts a new piece
         self.refs = []          # (tag, attr, url, kind, piece position)
         self.places = []        # of each: where its tag starts, the tag's text, and its range in the attribute's value
+        self.base = None        # href of the first base element
+        self.bases = 0
+        self.sheet = None       # place and text of an open style element
         self.refreshes = []     # (seconds, target, contexts)
         self.srcdocs = []       # (piece position, html)
         self.title = None
@@ -95,6 +100,8 @@ class PageScan(HTMLParser):
             self.excluded += 1
         if tag == "title" and not self.title_done and not TITLE_EXCLUDED & set(self.open):
             self.title_on, self.title = True, ""
+        if tag == "style" and not {"template", "math"} & set(self.open):
+            self.sheet = None, ""
 
     def handle_startendtag(self, tag, attrs):
         # "/>" closes foreign elements only; HTML elements stay open
@@ -104,6 +111,8 @@ class PageScan(HTMLParser):
 
     def handle_endtag(self, tag):
         self.fresh = True
+        if tag == "style":
+            self._end_sheet()
         if tag not in self.open:
             return
         while self.open:
@@ -116,7 +125,22 @@ class PageScan(HTMLParser):
             if top == tag:
                 return
 
+    def close(self):
+        super().close()
+        self._end_sheet()
+
+    def _end_sheet(self):
+        """The URLs of a style element, by their places in it."""
+        if self.sheet is not None and self.sheet[0] is not None:
+            place, text = self.sheet
+            for kind, url, lo, hi in css_places(text):
+                self.refs.append(("style", "", url, kind, len(self.pieces)))
+                self.places.append((place, text, (lo, hi)))
+        self.sheet = None
+
     def handle_data(self, data):
+        if self.sheet is not None:
+            self.sheet = self.sheet[0] or self.getpos(), self.sheet[1] + data
         if self.title_on:
             self.title += data
         if self.open and data.strip():
@@ -154,6 +178,14 @@ class PageScan(HTMLParser):
         context = next((t for t in self.open if t in ("template", "svg", "math")), "html")
         if tag in ("template", "svg", "math") and context == "html":
             context = tag
+        if context in ("html", "svg") and attr.get("style"):
+            for kind, url, lo, hi in css_places(attr["style"]):
+                if kind == "background":
+                    self._ref(tag, "style", url, kind, (lo, hi))
+        if tag == "base":
+            self.bases += 1
+            if self.bases == 1:
+                self.base = attr.get("href")
         if context == "svg":
             for name in ("href", "xlink:href"):
                 self._ref(tag, name, attr.get(name), "svg")
@@ -240,22 +272,21 @@ def rewrite_references(html: str, values: dict) -> str:
     """
     scan = PageScan.of(html)
     lines = [0, *(m.end() for m in re.finditer("\n", html))]
-    changes = {}
+    changes, edits = {}, []
     for number, new in values.items():
         (line, column), tag_text, within = scan.places[number]
-        changes.setdefault((lines[line - 1] + column, scan.refs[number][1]), (tag_text, []))[1].append((within, new))
-    edits = []
+        at, name = lines[line - 1] + column, scan.refs[number][1]
+        if name == "style":
+            new = css_string(new)
+        if name:
+            changes.setdefault((at, name), (tag_text, []))[1].append((within, new))
+        elif html.startswith(tag_text, at):  # a style element
+            edits.append((at + within[0], at + within[1], css_string(new)))
     for (at, name), (tag_text, parts) in changes.items():
         span = _value_span(tag_text, name)
         if span is None:
             continue
         start, end, value = span
-        for within, new in sorted(parts, key=lambda x: x[0] or (0, 0), reverse=True):
-            lo, hi = within or (0, len(value))
-            value = value[:lo] + new + value[hi:]
+        value = replaced(value, [(*(within or (0, len(value))), new) for within, new in parts])
         edits.append((at + start, at + end, '"' + value.replace("&", "&amp;").replace('"', "&quot;") + '"'))
-    out, done = [], 0
-    for start, end, text in sorted(edits):
-        out += [html[done:start], text]
-        done = end
-    return "".join([*out, html[done:]])
+    return replaced(html, edits)

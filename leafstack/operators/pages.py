@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import charset as charsets
 from ..functions import datauri
-from ..functions.css import css_urls
+from ..functions.css import css_urls, rewrite_css
 from ..functions.mime import extension_dimension, guess, is_compressible, is_html, is_svg, with_mime
 from ..functions.pagescan import REFRESH, PageScan, rewrite_references, squeeze_text
 from ..functions.scalars import (
@@ -206,13 +206,18 @@ def _rows(pages: DataFrame, key, cols, extra: str, one) -> DataFrame:
 
 
 def references(pages: DataFrame, key, html: str = "html") -> DataFrame:
-    """All references of a page: (key, ord, tag, attr, url, kind), style text and attributes left to ``css_references``."""
+    """All references of a page: (key, ord, tag, attr, url, kind, base).
+
+    Those of style elements (attr '') and ``style`` attributes are of kind import, font or
+    background.  ``base`` is the href of the page's first base element, null if it has none.
+    """
 
     def one(text):
-        for i, (tag, attr, url, kind, _) in enumerate(PageScan.of(text).refs):
-            yield i, tag, attr, url, kind
+        scan = PageScan.of(text)
+        for i, (tag, attr, url, kind, _) in enumerate(scan.refs):
+            yield i, tag, attr, url, kind, scan.base
 
-    return _rows(pages, list(key), [html], "ord int, tag string, attr string, url string, kind string", one)
+    return _rows(pages, list(key), [html], "ord int, tag string, attr string, url string, kind string, base string", one)
 
 
 def css_references(sheets: DataFrame, key, css: str = "css") -> DataFrame:
@@ -435,33 +440,42 @@ def _changes(number: Column, new: Column) -> Column:
     return F.to_json(F.collect_list(F.struct(number.alias("n"), new.alias("v")))).alias("__swaps")
 
 
-def _rewritten(html: Column) -> Column:
-    """The page with the values of ``__swaps`` in their places; only pages that have some are parsed."""
+def _rewritten(html: Column, sheet: Column | None = None) -> Column:
+    """The page, or style sheet, with the values of ``__swaps`` in their places; only those that have some are parsed."""
 
     @F.pandas_udf("string")
-    def rewrite(pages: pd.Series, swaps: pd.Series) -> pd.Series:
-        return pd.Series([rewrite_references(page, {x["n"]: x["v"] for x in json.loads(s)}) if s and page is not None else page
-                          for page, s in zip(pages, swaps)], dtype=object)
+    def rewrite(pages: pd.Series, swaps: pd.Series, sheets: pd.Series) -> pd.Series:
+        return pd.Series([(rewrite_css if css else rewrite_references)(page, {x["n"]: x["v"] for x in json.loads(s)}) if s and page is not None else page
+                          for page, s, css in zip(pages, swaps, sheets)], dtype=object)
 
-    return F.when(F.col("__swaps").isNull(), html).otherwise(rewrite(html, F.col("__swaps")))
+    return F.when(F.col("__swaps").isNull(), html).otherwise(rewrite(html, F.col("__swaps"), F.lit(False) if sheet is None else sheet))
 
 
 def resolve_references(refs: DataFrame, path: str = "path") -> DataFrame:
-    """Add ``target``: file path a relative reference names; null for other URLs."""
-    url = F.col("url")
-    clean = percent_decode(F.regexp_replace(url, r"(?s)[?#].*$", ""))
-    outside = url.rlike(r"^([A-Za-z][A-Za-z0-9+.\-]*:|//|/)") | (clean == "")
-    folder = F.regexp_replace(F.col(path), r"[^/]*$", "")
-    return refs.withColumn("target", F.when(~outside, normal_path(F.concat(folder, clean))))
+    """Add ``target``: file path a relative reference names; null for other URLs.
+
+    A page's ``base``, if there is such a column, is resolved first, and references start from it; a
+    reference without a path names the base itself, if that is another file.
+    """
+    url, beyond = F.col("url"), r"^([A-Za-z][A-Za-z0-9+.\-]*:|//|/)"
+
+    def place(u):
+        return percent_decode(F.regexp_replace(u, r"(?s)[?#].*$", ""))
+
+    base = F.coalesce(F.col("base"), F.lit("")) if "base" in refs.columns else F.lit("")
+    start = F.concat(F.regexp_replace(F.col(path), r"[^/]*$", ""), place(base))
+    clean = F.when(place(url) != "", F.concat(F.regexp_replace(start, r"[^/]*$", ""), place(url))).when(place(base) != "", start)
+    outside = url.rlike(beyond) | base.rlike(beyond) | clean.isNull()
+    return refs.withColumn("target", F.when(~outside, normal_path(clean)))
 
 
 def join_resources(refs: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
     """References with the bytes and MIME type of their file.
 
-    ``files``: book_id, path, content.  ``status``: found, self, missing, or external.
+    ``files``: book_id, path and, if wanted, content.  ``status``: found, self, missing, or external.
     """
     r = resolve_references(refs, path)
-    f = files.select("book_id", F.col("path").alias("target"), "content", F.lit(True).alias("__hit"))
+    f = files.withColumnRenamed("path", "target").withColumn("__hit", F.lit(True))
     out = with_mime(r.join(f, ["book_id", "target"], "left"), "target")
     status = (F.when(F.col("target").isNull(), "external").when(F.col("target") == F.col(path), "self")
               .when(F.col("__hit").isNotNull(), "found").otherwise("missing"))
@@ -486,30 +500,37 @@ def _quote_bytes(content: Column) -> Column:
 def embed(pages: DataFrame, files: DataFrame) -> DataFrame:
     """Pages with their resources inside as data URIs.
 
-    ``pages``: book_id, path, html; ``files``: book_id, path, content.  Framed pages are
-    embedded pages themselves.  The frame tree of every page is expanded by joins, one
-    level per round; an ancestor met again becomes a circular URN.  Then levels are
-    folded from the deepest up.  As no page is met twice on a path,
-    the rounds end with the deepest nesting.
+    ``pages``: book_id, path, html; ``files``: book_id, path, content.  Framed pages, linked style
+    sheets and those that they import are embedded documents themselves, whose URLs are rewritten
+    where they stand; so are URLs in style elements and attributes.  The tree of documents of every
+    page is expanded by joins, one level per round; an ancestor met again becomes a circular URN.
+    Then levels are folded from the deepest up.  As no document is met twice on a path, the rounds
+    end with the deepest nesting.  File names travel between the rounds, bytes are joined once a
+    level, per file and not per reference.
     """
     key = ["book_id", "root", "addr"]
     docs = files.select("book_id", F.col("path").alias("doc"), F.decode("content", "UTF-8").alias("html"))
     level = stage(pages.select("book_id", F.col("path").alias("root"), F.array().cast("array<int>").alias("addr"),
-                               F.col("path").alias("doc"), F.array("path").alias("chain"), "html"))
+                               F.col("path").alias("doc"), F.array("path").alias("chain"), F.lit(False).alias("sheet"), "html"))
     levels = []
+    named = files.select("book_id", "path")
     while not level.isEmpty():
-        refs = references(level.withColumn("chain_text", F.to_json("chain")), [*key, "doc", "chain_text"], "html")
+        asked = level.withColumn("chain_text", F.to_json("chain"))
+        of = [*key, "doc", "chain_text"]
+        refs = references(asked.filter("not sheet"), of, "html").drop("tag", "attr").unionByName(
+            css_references(asked.filter("sheet"), of, "html").withColumn("base", F.lit(None).cast("string")))
         refs = refs.withColumn("chain", F.from_json("chain_text", "array<string>")).drop("chain_text")
-        joined = join_resources(refs, files, path="doc")
-        nested = (F.col("kind") == "frame") & is_html(F.col("mime")) | is_svg(F.col("mime"))
+        joined = join_resources(refs, named, path="doc")
+        styles = F.col("kind").isin("style", "import")
+        nested = styles | (F.col("kind") == "frame") & is_html(F.col("mime")) | is_svg(F.col("mime"))
         again = nested & F.array_contains("chain", F.col("target"))
         joined = stage(joined.withColumn("nested", nested & ~again & (F.col("status") == "found"))
                        .withColumn("circular", again & (F.col("status") != "self")))
         levels.append((level, joined))
         kids = joined.filter("nested").select(
             "book_id", "root", F.concat("addr", F.array("ord")).alias("addr"), F.col("target").alias("doc"),
-            F.concat("chain", F.array("target")).alias("chain"))
-        level = stage(kids.join(docs, ["book_id", "doc"]).select("book_id", "root", "addr", "doc", "chain", "html"))
+            F.concat("chain", F.array("target")).alias("chain"), styles.alias("sheet"))
+        level = stage(kids.join(docs, ["book_id", "doc"]).select("book_id", "root", "addr", "doc", "chain", "sheet", "html"))
     if not levels:
         return level.select("book_id", F.col("root").alias("path"), "html")
     done = None
@@ -521,9 +542,11 @@ def embed(pages: DataFrame, files: DataFrame) -> DataFrame:
                              ["book_id", "root", "__at"], "left")
         else:
             rows = rows.withColumn("__inner", F.lit(None).cast("string"))
+        whole = files.select("book_id", F.col("path").alias("target"), "content")
+        rows = rows.join(whole, ["book_id", "target"], "left")
         inner_uri = F.concat(F.lit("data:"), F.col("mime"), F.lit(","), _quote_bytes(F.encode("__inner", "UTF-8")))
         fragment = F.regexp_extract("url", r"(?s)((?:\?[^#]*)?(?:#.*)?)$", 1)
-        missing = F.when((F.col("kind") == "frame") & is_html(F.col("mime")), F.lit(ERROR_URN)).otherwise(F.lit(FILE_ERROR_URN))
+        missing = F.when((F.col("kind") == "frame") & is_html(F.col("mime")) | F.col("kind").isin("style", "import"), F.lit(ERROR_URN)).otherwise(F.lit(FILE_ERROR_URN))
         new = (F.when(F.col("status") == "external", F.col("url"))
                .when(F.col("status") == "self", fragment)
                .when(F.col("circular"), F.concat(F.lit(CIRCULAR_URN), "url"))
@@ -531,7 +554,7 @@ def embed(pages: DataFrame, files: DataFrame) -> DataFrame:
                .when(F.col("__inner").isNotNull(), inner_uri)
                .otherwise(data_uri(F.col("content"), F.col("mime"))))
         swaps = rows.withColumn("__new", new).filter((F.col("kind") != "base") & (F.col("__new") != F.col("url"))).groupBy(*key).agg(_changes(F.col("ord"), F.col("__new")))
-        done = stage(level.join(swaps, key, "left").withColumn("html", _rewritten(F.col("html")))
+        done = stage(level.join(swaps, key, "left").withColumn("html", _rewritten(F.col("html"), F.col("sheet")))
                      .select(*key, "doc", "html"))
     return done.select("book_id", F.col("root").alias("path"), "html")
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+from urllib.parse import quote
 import io
 import zipfile
 
@@ -194,3 +195,36 @@ def test_sql_functions(spark):
     assert tuple(row) == ("a b", 'x<mark class="kw0">a</mark>x', "a_b_", "20240102030405678")
     assert [r["url"] for r in spark.sql("SELECT * FROM page_refs('<img src=\"u.png\">')").collect()] == ["u.png"]
     assert [r["url"] for r in spark.sql("SELECT * FROM css_urls('a{background:url(v.png)}')").collect()] == ["v.png"]
+
+
+def test_css_is_rewritten_where_it_stands():
+    sheet = """/* url(a) */ @import 'b\\'c.css' x; @import url(d.css); @font-face { src: url( "f.woff" ) } p { background: URL(g\\(.png) } q::after { content: "url(h)" }"""
+    assert css.rewrite_css(sheet, {}) == sheet
+    assert [u for _, u in css.css_urls(sheet)] == ["b'c.css", "d.css", "f.woff", "g\\(.png"]
+    assert css.rewrite_css(sheet, {0: 'x"y', 3: "a\\b\n"}) == sheet.replace("'b\\'c.css'", '"x\\"y"').replace("g\\(.png", '"a\\\\b\\a "')
+    assert [css.unescape(x) for x in ("a\\62 c", "\\\\n", "x\\", "a\\\nb", "\\0", "\\110000 z", "\\a\\b")] == ["abc", "\\n", "x\\", "ab", "\ufffd", "\ufffdz", "\n\x0b"]
+
+
+def test_style_sheets_embed(spark):
+    page = """<base href="sub/"><link rel=stylesheet href="a.css"><style>@import "b.css"; i { background: url('p.png') }</style>
+<p style='background: url(p.png); x: "&amp;"' title="url(p.png)">url(p.png)</p><template><style>u{background:url(p.png)}</style></template><link rel="stylesheet" href="no.css">"""
+    files = [("sub/a.css", b"@import url(deep/c.css); b { background: url(p.png) }"), ("sub/b.css", b"@import 'a.css'; @import 'b.css';"), ("sub/deep/c.css", b'@import "../a.css"; u { background: url(../p.png) }'), ("sub/p.png", b"PNG"), ("p.png", b"WRONG")]
+    files = spark.createDataFrame([("k", p, bytearray(c)) for p, c in files], "book_id string, path string, content binary")
+    pages = spark.createDataFrame([("k", "x.html", page)], "book_id string, path string, html string")
+    pic = '"data:image/png;base64,' + base64.b64encode(b"PNG").decode() + '"'
+    data = lambda text: '"data:text/css,' + quote(text) + '"'
+    c = f'@import "urn:scrapbook:convert:circular:url:../a.css"; u {{ background: url({pic}) }}'
+    a = f"@import url({data(c)}); b {{ background: url({pic}) }}"
+    # a sheet that imports itself refers to itself alone
+    b = f'@import {data(a)}; @import "";'
+    want = page.replace('href="a.css"', f"href={data(a)}").replace('"b.css"', data(b)).replace("url('p.png')", f"url({pic})").replace("""'background: url(p.png); x: "&amp;"'""", '"' + f'background: url({pic}); x: "&"'.replace("&", "&amp;").replace('"', "&quot;") + '"')
+    want = want.replace('href="no.css"', 'href="urn:scrapbook:convert:error:url:no.css"')
+    assert pg.embed(pages, files).first()["html"] == want
+
+
+def test_data_uris_leave_styles(spark):
+    page = '<style>b{background:url(data:image/png;base64,UE5H)}</style><i style="background:url(data:text/plain,x)">'
+    back, store, _ = pg.externalize(spark.createDataFrame([(1, page)], "id int, html string"), ["id"])
+    png, txt = (hashlib.sha1(x).hexdigest() for x in (b"PNG", b"x"))
+    assert back.first()["html"] == f'<style>b{{background:url("{png}.png")}}</style><i style="background:url(&quot;{txt}.txt&quot;)">'
+    assert store.count() == 2
