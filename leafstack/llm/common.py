@@ -1,8 +1,11 @@
 """Helpers shared by the operators: written tables, size-checked broadcasts, column names, words."""
 
+import ctypes
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -115,8 +118,23 @@ def ordered_sums(df: DataFrame, group, order, value: str, name: str) -> DataFram
 PIECE = 1 << 18
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and an executor may hold several."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim is not None:
+        trim(0)
+
+
 def text_groups(batches, size: int = PIECE):
     """(texts as bytes, batch) for groups of rows of some `size` bytes; the text, or binary, is the last column; null is empty."""
+    try:
+        yield from _text_groups(batches, size)
+    finally:
+        give_back()
+
+
+def _text_groups(batches, size: int):
     for batch in batches:
         texts = batch.column(batch.num_columns - 1)
         group, first, held = [], 0, 0

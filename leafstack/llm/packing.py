@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import give_back
+
 # Documents and tokens that a task packs together; bounds its memory.
 BLOCK_DOCUMENTS = 8192
 BLOCK_TOKENS = 8 << 20
@@ -166,5 +168,6 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
                     yield from flush()
         close(True)
         yield from flush()
+        give_back()
 
     return docs.mapInArrow(packed, schema)

@@ -302,7 +302,7 @@ def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def compare(batches):
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
-            keep = []
+            keep = []  # sets of one pair at a time
             for x, y in zip(a, b, strict=True):
                 x, y = unpacked(x.as_py()), unpacked(y.as_py())
                 common = len(np.intersect1d(x, y, assume_unique=True))
