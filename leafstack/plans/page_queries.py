@@ -64,13 +64,14 @@ def j2(spark, sf):
 
 
 PARTS_SQL = """SELECT page_id, 0 AS ord, 'link' AS tag, 'icon.png' AS url, 'icon' AS kind FROM pages UNION ALL SELECT page_id, 1, 'img', 'a' || (page_id % 9) || '.png', 'image' FROM pages
-UNION ALL SELECT page_id, 2, 'img', 'b.png', 'image' FROM pages UNION ALL SELECT page_id, 3, 'iframe', 'f.html', 'frame' FROM pages WHERE page_id % 2 = 0"""
+UNION ALL SELECT page_id, 2, 'img', 'b.png', 'image' FROM pages UNION ALL SELECT page_id, 3, 'iframe', 'f.html', 'frame' FROM pages WHERE page_id % 2 = 0
+UNION ALL SELECT page_id, CAST(u.n + 3 - page_id % 2 AS INTEGER), 'a', replace(u.url, '&amp;', '&'), 'link' FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*?\\shref="([^"]*)"', 1) AS urls FROM pages), unnest(urls) WITH ORDINALITY AS u(url, n)"""
 
 
 @query("J2_references", PARTS_SQL)
 def j2b(spark, sf):
-    head = F.concat(F.lit('<!DOCTYPE html><html><head><link rel="shortcut icon" href="icon.png"></head><body><p>'), body(F.col("html")),
-                    F.lit('<img src="a'), number() % 9, F.lit('.png" srcset="b.png 2x">'), F.when(number() % 2 == 0, '<iframe src="f.html"></iframe>').otherwise(""))
+    head = F.concat(F.lit('<!DOCTYPE html><html><head><link rel="shortcut icon" href="icon.png"></head><body><p>'),
+                    F.lit('<img src="a'), number() % 9, F.lit('.png" srcset="b.png 2x">'), F.when(number() % 2 == 0, '<iframe src="f.html"></iframe>').otherwise(""), F.col("html"))
     refs = pg.references(pages(spark, sf).select("page_id", head.alias("html")), ["page_id"])
     return refs.select("page_id", "ord", "tag", "url", "kind")
 
@@ -106,7 +107,7 @@ def j4(spark, sf):
 SELECT page_id, 0 AS ord, page_id % 4 AS seconds, 'x' || page_id || '.html' AS target, '' AS contexts FROM pages UNION ALL SELECT page_id, 1, 0, 'y.html', 'noscript' FROM pages""")
 def j4b(spark, sf):
     html = F.concat(F.lit('<html><head><meta http-equiv="Refresh" content="'), number() % 4, F.lit(";url=x"), number(),
-                    F.lit('.html"><noscript><meta http-equiv="refresh" content="0;y.html"></noscript></head><body>'), body(F.col("html")))
+                    F.lit('.html"><noscript><meta http-equiv="refresh" content="0;y.html"></noscript></head><body>'), F.col("html"))
     out = pg.refreshes(pages(spark, sf).select("page_id", html.alias("html")), ["page_id"])
     return out.select("page_id", "ord", "seconds", "target", F.array_join("contexts", ",").alias("contexts"))
 
@@ -172,44 +173,54 @@ def uri(text):
 
 
 @query("J8_data_uris", """
-WITH p AS (SELECT page_id, regexp_replace(html, '[^A-Za-z ]+', '', 'g') AS t FROM pages)
+WITH p AS (SELECT page_id, html AS t FROM pages)
 SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/html' WHEN 2 THEN 'image/png' END AS mime, CASE page_id % 4 WHEN 0 THEN 'UTF-8' WHEN 1 THEN 'big5' END AS charset,
   CASE page_id % 4 WHEN 0 THEN sha1(t) WHEN 1 THEN sha1('a %ZZé' || page_id) END AS digest FROM p""")
 def j8(spark, sf):
-    c = datauri.columns(uri(body(F.col("html"))))
+    c = datauri.columns(uri(F.col("html")))
     return pages(spark, sf).select("page_id", c["mime"].alias("mime"), c["params"]["charset"].alias("charset"), F.sha1(c["payload"]).alias("digest"))
 
 
 @stored
 def picture_pages(spark, sf):
-    """Pages with a picture as data URI (one in twenty shared), an error and a normal reference."""
+    """Whole pages beside a picture as data URI (one in twenty shared), twice, an error and a normal reference."""
     img = F.base64(F.encode(F.concat(F.lit("img"), number() % 20), "UTF-8"))
-    html = F.concat(F.lit('<html><body><img src="data:image/png;base64,'), img, F.lit('"><img src="data:oops"><a href="x.html">'), body(F.col("html")), F.lit("</a></body></html>"))
+    html = F.concat(F.lit("<html><style>b{background:url(data:image/png;base64,"), img, F.lit(')}</style><body><img src="data:image/png;base64,'), img,
+                    F.lit('"><img src="data:oops"><a href="x.html">'), F.col("html"), F.lit("</a></body></html>"))
     return pages(spark, sf).select(F.lit("b").alias("book_id"), "page_id", F.concat(F.lit("d"), number() % 7, F.lit("/p"), number(), F.lit(".html")).alias("path"), html.alias("html"))
 
 
 @query("J9_externalised_pages", r"""
-SELECT page_id, '<html><body><img src="' || sha1('img' || (page_id % 20)) || '.png"><img src="urn:scrapbook:convert:error:url:data:oops"><a href="x.html">' ||
-  regexp_replace(html, '[^A-Za-z ]+', '', 'g') || '</a></body></html>' AS html FROM pages""")
+SELECT page_id, '<html><style>b{background:url("' || sha1('img' || (page_id % 20)) || '.png")}</style><body><img src="' || sha1('img' || (page_id % 20)) ||
+  '.png"><img src="urn:scrapbook:convert:error:url:data:oops"><a href="x.html">' || html || '</a></body></html>' AS html FROM pages""")
 def j9(spark, sf):
     return pg.externalize(picture_pages(spark, sf), ["page_id"])[0].select("page_id", "html")
 
 
-@query("D8_payload_store", "SELECT sha1('img' || (page_id % 20)) || '.png' AS name, count(*) AS uses FROM pages GROUP BY 1")
+@query("D8_payload_store", "SELECT sha1('img' || (page_id % 20)) || '.png' AS name, 'img' || (page_id % 20) AS content, 'image/png' AS mime, 2 * count(*) AS uses FROM pages GROUP BY 1, 2")
 def d8(spark, sf):
-    return pg.externalize(picture_pages(spark, sf), ["page_id"])[1].select("name", "uses")
+    return pg.externalize(picture_pages(spark, sf), ["page_id"])[1].select("name", F.decode("content", "UTF-8").alias("content"), "mime", "uses")
 
 
 @stored
 def site(spark, sf):
-    """(pages, files in one table): even pages frame the next one, and all show a picture and a style sheet."""
-    page = F.concat(F.lit('<html><body><img src="../img/'), number() % 11, F.lit('.png"><a href="missing.html">m</a><a href="https://x.example.com/">e</a>'),
-                    F.when(number() % 2 == 0, F.concat(F.lit('<frame src="p'), number() + 1, F.lit('.html">'))).otherwise(""), body(F.col("html")), F.lit("</body></html>"))
+    """(pages, files in one table): whole pages beside a linked and an imported style sheet and a picture; even pages frame the next one.
+
+    The three sheets import each other in a circle.
+    """
+    k = number()
+    page = F.concat(F.lit('<html><head><link rel="stylesheet" href="../css/s'), k % 3, F.lit('.css"><style>@import "../css/s'), (k + 1) % 3,
+                    F.lit('.css";</style></head><body style="background: url(../img/'), k % 11, F.lit('.png)"><a href="missing.html">m</a><a href="https://x.example.com/">e</a>'),
+                    F.when(k % 2 == 0, F.concat(F.lit('<frame src="p'), k + 1, F.lit('.html">'))).otherwise(""), F.col("html"), F.lit("</body></html>"))
     p = pages(spark, sf)
-    docs = p.select(F.lit("b").alias("book_id"), F.concat(F.lit("d/p"), number(), F.lit(".html")).alias("path"), F.encode(page, "UTF-8").alias("content"))
-    pics = p.select(F.lit("b").alias("book_id"), F.concat(F.lit("img/"), number() % 11, F.lit(".png")).alias("path"),
-                    F.encode(F.concat(F.lit("png"), number() % 11), "UTF-8").alias("content")).distinct()
-    return docs.unionByName(pics)
+
+    def files(path, text):
+        return p.select(F.lit("b").alias("book_id"), path.alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+    sheet = F.concat(F.lit('@import "s'), (k + 1) % 3, F.lit('.css"; b { background: url(../img/'), k % 3, F.lit(".png) }"))
+    return (files(F.concat(F.lit("d/p"), k, F.lit(".html")), page)
+            .unionByName(files(F.concat(F.lit("img/"), k % 11, F.lit(".png")), F.concat(F.lit("png"), k % 11)).distinct())
+            .unionByName(files(F.concat(F.lit("css/s"), k % 3, F.lit(".css")), sheet).distinct()))
 
 
 def site_pages(spark, sf):
@@ -218,7 +229,9 @@ def site_pages(spark, sf):
 
 @query("C16_page_resources", """
 SELECT page_id, '../img/' || (page_id % 11) || '.png' AS url, 'found' AS status, 'image/png' AS mime, to_base64(encode('png' || (page_id % 11))) AS data FROM pages
+UNION ALL SELECT page_id, '../css/s' || ((page_id + x) % 3) || '.css', 'found', 'text/css', NULL FROM pages, range(2) r(x)
 UNION ALL SELECT page_id, 'missing.html', 'missing', 'text/html', NULL FROM pages UNION ALL SELECT page_id, 'https://x.example.com/', 'external', 'application/octet-stream', NULL FROM pages
+UNION ALL SELECT page_id, replace(unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\shref="([^"]*)"', 1)), '&amp;', '&'), 'external', 'application/octet-stream', NULL FROM pages
 UNION ALL SELECT page_id, 'p' || (page_id + 1) || '.html', CASE WHEN page_id + 1 < (SELECT count(*) FROM pages) THEN 'found' ELSE 'missing' END, 'text/html', NULL FROM pages WHERE page_id % 2 = 0""")
 def c16(spark, sf):
     refs = pg.references(site_pages(spark, sf), ["book_id", "path"])
@@ -227,7 +240,20 @@ def c16(spark, sf):
     return j.select(F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("page_id"), "url", "status", "mime", data.alias("data"))
 
 
-@query("J10_embedded_pages")
+EMBED_SQL = """
+WITH pic AS (SELECT i, 'data:image/png;base64,' || to_base64(encode('png' || i)) AS u FROM range(11) r(i)),
+t3 AS (SELECT j, '@import "urn:scrapbook:convert:circular:url:s' || j || '.css"; b { background: url("' || u || '") }' AS t FROM range(3) r(j) JOIN pic ON i = (j + 2) % 3),
+t2 AS (SELECT j, '@import "data:text/css,' || replace(url_encode(t), '%2F', '/') || '"; b { background: url("' || u || '") }' AS t FROM t3 JOIN pic ON i = (j + 1) % 3),
+t1 AS (SELECT j, '@import "data:text/css,' || replace(url_encode(t), '%2F', '/') || '"; b { background: url("' || u || '") }' AS t FROM t2 JOIN pic ON i = j),
+sheet AS (SELECT j, 'data:text/css,' || replace(url_encode(t), '%2F', '/') AS u FROM t1),
+own AS (SELECT page_id, '<html><head><link rel="stylesheet" href="' || a.u || '"><style>@import "' || b.u || '";</style></head><body style="background: url(&quot;' || pic.u ||
+          '&quot;)"><a href="urn:scrapbook:converter:error:url:missing.html">m</a><a href="https://x.example.com/">e</a>' AS head, html || '</body></html>' AS tail
+        FROM pages JOIN sheet a ON a.j = page_id % 3 JOIN sheet b ON b.j = (page_id + 1) % 3 JOIN pic ON pic.i = page_id % 11)
+SELECT 'd/p' || o.page_id || '.html' AS path, o.head || CASE WHEN o.page_id % 2 = 1 THEN '' ELSE '<frame src="' || CASE WHEN f.page_id IS NULL THEN 'urn:scrapbook:convert:error:url:p' || (o.page_id + 1) || '.html'
+  ELSE 'data:text/html,' || replace(url_encode(f.head || f.tail), '%2F', '/') END || '">' END || o.tail AS html FROM own o LEFT JOIN own f ON f.page_id = o.page_id + 1"""
+
+
+@query("J10_embedded_pages", EMBED_SQL)
 def j10(spark, sf):
     return pg.embed(site_pages(spark, sf), site(spark, sf)).select("path", "html")
 
