@@ -330,7 +330,11 @@ def f6(spark, sf):
     return lg.legacy_winners(lg.legacy_candidates(stamped(spark, sf))).select("book_id", "item_id", "legacy_id")
 
 
-@query("F6_legacy_ids")
+@query("F6_legacy_ids", "WITH " + SECONDS + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY book_id, substr(item_id, 1, 14) ORDER BY ord, item_id) = 1 AND item_id LIKE '2%' AS first FROM ev),
+n AS (SELECT *, row_number() OVER (PARTITION BY book_id, item_id LIKE 'z%' ORDER BY ord) - 1 AS k FROM r WHERE NOT first)
+SELECT book_id, item_id, substr(item_id, 1, 14) AS legacy_id FROM r WHERE first UNION ALL
+SELECT book_id, item_id, strftime(make_timestamp((CASE WHEN item_id LIKE 'z%' THEN 1706745600 ELSE 1704067240 END + k) * 1000000), '%Y%m%d%H%M%S') FROM n""")
 def f6b(spark, sf):
     return lg.assign_legacy_ids(stamped(spark, sf), now="20240201000000")
 
