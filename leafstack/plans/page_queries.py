@@ -323,7 +323,7 @@ def dated_text(spark, sf):
     return fx.fulltext(spark, sf).select("book_id", "item_id", "path", "ord", F.length("content").alias("n")).join(ev, "item_id")
 
 
-@query("C11_refresh_classes", ctes("items", "fulltext", "files") + """,
+C11_SQL = ctes("items", "fulltext", "files") + """,
 ft AS (SELECT f.*, e.ts AS src FROM fulltext f JOIN events e ON f.item_id = 'D' || e.event_id), hw AS (SELECT book_id, max(src) - INTERVAL 10 DAY AS m FROM ft GROUP BY 1),
 it AS (SELECT * FROM items WHERE ord % 10 <> 9), pool AS (SELECT coalesce(i.book_id, c.book_id) AS book_id, coalesce(i.item_id, c.item_id) AS item_id, i.item_id IS NOT NULL AS has_meta, i.index, c.item_id IS NOT NULL AS cached, fi.mtime, hw.m
   FROM it i FULL JOIN (SELECT DISTINCT book_id, item_id FROM ft) c ON c.book_id = i.book_id AND c.item_id = i.item_id LEFT JOIN files fi ON fi.book_id = i.book_id AND fi.path = i.index LEFT JOIN hw ON hw.book_id = coalesce(i.book_id, c.book_id)),
@@ -331,14 +331,21 @@ st AS (SELECT *, CASE WHEN NOT has_meta OR index = '' OR mtime IS NULL THEN 'pur
 asked AS (SELECT DISTINCT book_id, item_id, path FROM (SELECT book_id, item_id, 'index.html' AS path FROM it WHERE index LIKE '%.htz' OR index LIKE '%/index.html' UNION ALL SELECT book_id, item_id, item_id || '.html' FROM it WHERE index LIKE '%.html' AND index NOT LIKE '%/%' UNION ALL SELECT book_id, item_id, path FROM ft))
 SELECT book_id, item_id, '' AS path, whole AS action FROM st WHERE whole IS NOT NULL
 UNION ALL SELECT a.book_id, a.item_id, a.path, CASE WHEN a.path = 'page2.html' THEN 'purge_path' WHEN c.path IS NOT NULL AND s.mtime <= s.m THEN 'skip' ELSE 'extract' END FROM asked a JOIN st s ON s.book_id = a.book_id AND s.item_id = a.item_id AND s.whole IS NULL
-  LEFT JOIN ft c ON c.book_id = a.book_id AND c.item_id = a.item_id AND c.path = a.path""")
+  LEFT JOIN ft c ON c.book_id = a.book_id AND c.item_id = a.item_id AND c.path = a.path"""
+
+
+@query("C11_refresh_classes", C11_SQL)
 def c11(spark, sf):
+    return ix.classify(**refresh_tables(spark, sf)).select("book_id", "item_id", "path", "action")
+
+
+def refresh_tables(spark, sf):
+    """What the refresh classes are told from."""
     items, text, files = fx.items(spark, sf).filter("ord % 10 <> 9"), dated_text(spark, sf), fx.files(spark, sf)
-    paths = ix.index_paths(items)
     own = files.join(items.select("book_id", "item_id", F.col("index").alias("path")), ["book_id", "path"]).select("book_id", "item_id", "mtime")
     inside = own.withColumn("path", F.explode(F.array(F.lit("index.html"), F.concat("item_id", F.lit(".html")))))
     mark = ix.high_water(text).withColumn("last_modified", F.col("last_modified") - F.expr("interval 10 days"))
-    return ix.classify(items, text, files, inside, paths, mark).select("book_id", "item_id", "path", "action")
+    return {"items": items, "fulltext": text, "index_files": files, "page_files": inside, "paths": ix.index_paths(items), "mark": mark}
 
 
 @query("A10_index_paths", ctes("items") + """
@@ -584,21 +591,24 @@ def _folder(spark, name):
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-@query("N1_incremental_index", r"""
-SELECT page_id, trim(regexp_replace(regexp_replace(html, '[^A-Za-z ]+', '', 'g'), ' +', ' ', 'g')) || CASE WHEN page_id % 2 = 0 THEN ' v2' ELSE ' v1' END AS content FROM pages""")
+@query("N1_incremental_index", "WITH t AS (" + TEXT_SQL + r""")
+SELECT page_id, text || CASE WHEN page_id % 4 = 1 THEN ' v3' WHEN page_id % 2 = 0 THEN ' v2' ELSE ' v1' END AS content FROM t WHERE page_id % 5 <> 0 AND page_id % 7 <> 0""")
 def n1(spark, sf):
+    """Whole pages in three versions; then some pages and items are gone, and a late row of one comes in.  The index is compacted twice."""
     base = _folder(spark, "index")
 
-    def version(v, cond):
-        html = F.concat(F.lit("<p>"), body(F.col("html")), F.lit(f" v{v}"))
+    def version(v, cond, content=None, path="index.html"):
+        html = F.encode(F.concat("html", F.lit(f" v{v}")), "UTF-8") if content is None else F.lit(None).cast("binary")
         return pages(spark, sf).filter(cond).select(
-            F.lit("b").alias("book_id"), F.concat(F.lit("i"), number()).alias("item_id"), F.lit("index.html").alias("path"),
-            F.lit(f"2024-01-0{v} 00:00:00").cast("timestamp").alias("mtime"), F.encode(html, "UTF-8").alias("content"))
+            F.lit("b").alias("book_id"), F.concat(F.lit("i"), number()).alias("item_id"), F.lit(path).alias("path"),
+            F.lit(f"2024-01-0{v} 00:00:00").cast("timestamp").alias("mtime"), html.alias("content"))
 
-    for v, cond in ((1, "true"), (2, "page_id % 2 = 0")):
-        rows = version(v, cond)
+    arrivals = [version(1, "true"), version(2, "page_id % 2 = 0"), version(4, "page_id % 5 = 0", "gone").unionByName(version(4, "page_id % 7 = 0", "gone", "")), version(3, "page_id % 4 = 1")]
+    for k, rows in enumerate(arrivals):
         rows.write.mode("append").parquet(f"{base}/in")
         st.index_stream(st.page_stream(spark, f"{base}/in", rows.schema), f"{base}/out", f"{base}/ckpt").awaitTermination()
+        if k % 2:
+            st.compact(spark, f"{base}/out")
     return st.read_index(spark, f"{base}/out").select(F.expr("cast(substring(item_id, 2) as bigint)").alias("page_id"), "content")
 
 
@@ -625,15 +635,12 @@ def n3(spark, sf):
     return _run_stream(st.dedup_imports(rows).select("eid"), base)
 
 
-@query("N4_change_feed", "SELECT DISTINCT 'u' || user_id AS item_id FROM events WHERE event_type = 'purchase'")
+@query("N4_change_feed", "SELECT * FROM (" + C11_SQL + ") WHERE item_id IN (SELECT 'D' || doc_id FROM documents WHERE doc_id % 3 = 0)")
 def n4(spark, sf):
+    """Refresh actions of every third document's item, as changes come in."""
     base = _folder(spark, "feed")
-    e = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    rows = e.filter("event_type = 'purchase'").select(F.lit("b").alias("book_id"), F.concat(F.lit("u"), "user_id").alias("item_id"))
-
-    def refresh(ids, batch_id):
-        ids.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
-
-    st.change_feed(rows, refresh, f"{base}/ckpt").awaitTermination()
-    return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out").select("item_id").distinct()
+    changed = spark.readStream.schema(table(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    rows = changed.filter("doc_id % 3 = 0").select(F.concat(F.lit("D"), "doc_id").alias("item_id")).join(fx.items(spark, sf).select("book_id", "item_id"), "item_id")
+    st.refresh_feed(rows, lambda batch_id: refresh_tables(spark, sf), f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return st.read_actions(spark, f"{base}/out").select("book_id", "item_id", "path", "action")
 
