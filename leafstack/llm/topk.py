@@ -1,10 +1,11 @@
 """Exact top-k search by inner product, with no random access until the end.
 
 A cell of candidates keeps one list per dimension, sorted by component.  A query reads all lists in
-step from the end its sign asks for.  What it has read gives every candidate a lower and an upper
-bound; once few enough can still reach the k-th best lower bound, or the k-th best score among a
-fixed number of pilot candidates, reading stops and their scores are resolved.  Each query meets
-every cell once and the cells' results are merged.
+step, each from the end that its weight's sign asks for.  What it has read gives every candidate a
+lower and an upper bound; a candidate whose upper bound falls below the k-th best lower bound is out
+for good.  Reading stops when no outsider can qualify any more, that is when only k candidates are
+left, or more that tie to the end; only then are their scores resolved.  Each query meets every cell
+once and the cells' results are merged.
 """
 
 import numpy as np
@@ -15,12 +16,21 @@ from pyspark.sql import functions as F
 from .common import written
 
 SCALE = 256
-# Candidates of a cell: at least, so that sorting pays, and at most, so that a task holds them.
-LEAST_CELL, MOST_CELL = 4096, 1 << 16
-# Reading stops when so many candidates for each of the k, or a third of all, are left to resolve.
-LEFT = 16
-# Candidates that every query is scored against first: their k-th best is a lower bound from the start.
-PILOT = 2048
+# Candidates of a cell: at least, so that sorting pays; and the bytes of its matrix at most.
+LEAST_CELL, CELL_BYTES = 4096, 16 << 20
+
+
+# Rows at both ends of every list whose bounds are followed from the start.
+HEADS = 4
+
+
+def depths(n: int) -> list[int]:
+    """Where a reader of lists of `n` stops to compare bounds: a 32nd, an 8th, half, 7 eighths, then each time half of the rest."""
+    out, left = [n // 32, n // 8, n // 2], n // 4
+    while left > 1:
+        left //= 2
+        out.append(n - left)
+    return sorted({d for d in out if d > 0} | {n})
 
 
 class Cell:
@@ -32,38 +42,48 @@ class Cell:
         self.values = np.ascontiguousarray(np.take_along_axis(matrix, order, axis=0).T)
         self.step = np.empty(matrix.shape, np.int32)
         np.put_along_axis(self.step, order, np.arange(len(matrix), dtype=np.int32)[:, None], axis=0)
-        self.shown, self.flags = np.empty(matrix.shape), np.empty(matrix.shape)  # room for one query at a time
+        self.heads = np.unique(np.concatenate((order[:HEADS], order[-HEADS:])))
+        self.depth = 0  # to which the last query read
 
-    def best(self, query: np.ndarray, k: int, own: int = -1, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of all that may be among the `k` best, ties included; row `own` does not count, nor what is below `floor`."""
+    def best(self, query: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and scores of the `k` best, ties included; row `own` does not count."""
         n, dims = self.matrix.shape
         weights = np.zeros(dims)
         weights[:min(dims, len(query))] = query[:dims]
-        rows = np.arange(n)
-        if weights.any() and n > LEFT * k:
-            rising = weights < 0  # these lists are read from their other end
-            last = np.where(rising, self.values[:, 0], self.values[:, -1]) * weights
-            # What a row that no list has shown yet can reach at each depth; it takes part while that is not
-            # below the floor.  Bounds start to tell half as deep again.
-            unseen = np.maximum(weights, 0) @ self.values + (np.minimum(weights, 0) @ self.values)[::-1]
-            depth = max(int(1.6 * np.searchsorted(-unseen, -floor, side="right")) + 1, 32) if floor > -np.inf else 32
-            while depth < n:
-                front = np.where(rising, self.values[:, n - depth], self.values[:, depth - 1]) * weights
-                seen = (self.step < np.where(rising, n - depth, depth)) ^ rising
-                known = np.multiply(self.matrix, seen, out=self.shown) @ weights
-                np.copyto(self.flags, seen)
-                told = self.flags @ np.stack((front, last), axis=1)
-                upper, lower = known + front.sum() - told[:, 0], known + last.sum() - told[:, 1]
-                if own >= 0:
-                    upper[own] = lower[own] = -np.inf
-                rows = np.flatnonzero(upper >= max(floor, np.partition(lower, n - k)[n - k]))
-                if len(rows) <= max(LEFT * k, n // 3):
-                    break
-                depth *= 2
-            else:
-                rows = np.arange(n)
-        rows = rows[rows != own]
-        return rows, self.matrix[rows] @ weights
+        lists = np.flatnonzero(weights)
+        values, weigh, rising = self.values[lists], weights[lists], weights[lists] < 0  # those are read from their other end
+        last = np.where(rising, values[:, 0], values[:, -1]) * weigh
+
+        def read(rows):
+            """Components and steps of these rows in the lists that count."""
+            return tuple(x[rows] if len(lists) == dims else x[np.ix_(rows, lists)] for x in (self.matrix, self.step))
+
+        def bounds(part, step, front):
+            seen = (step < np.where(rising, n - self.depth, self.depth)) ^ rising
+            told = seen.astype(float) @ np.stack((front, last), axis=1)
+            known = (part * seen) @ weigh
+            return known + last.sum() - told[:, 1], known + front.sum() - told[:, 0]
+
+        def kth(lower):
+            return np.partition(lower, len(lower) - k)[len(lower) - k] if len(lower) >= k else -np.inf
+
+        heads = read(self.heads[self.heads != own])
+        left = np.delete(np.arange(n), own) if own >= 0 else np.arange(n)
+        held = None
+        for self.depth in depths(n) if len(lists) else ():
+            if len(left) <= k:
+                break
+            front = np.where(rising, values[:, n - self.depth], values[:, self.depth - 1]) * weigh
+            # while a row that no list has shown could still qualify, reading goes on at once
+            if held is None and self.depth < n and front.sum() > kth(bounds(*heads, front)[0]):
+                continue
+            held = held or read(left)
+            lower, upper = bounds(*held, front)
+            # sums of whole numbers, so bounds are exact
+            able = np.flatnonzero(upper >= kth(lower))
+            if len(able) < len(left):
+                left, held = left[able], tuple(x[able] for x in held)
+        return left, self.matrix[left] @ weights
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -96,22 +116,13 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: str = "vec_id % 50 = 0", vec
     whole = written(taken.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.coalesce("asks", F.lit(False)).alias("asks"),
                                  F.transform(x, lambda c: F.floor(c.cast("double") * SCALE)).alias("x")), "vectors")
     # as few cells as keep all cores busy, and as many as bound a task's memory
-    n, cores = whole.count(), vectors.sparkSession.sparkContext.defaultParallelism
-    cells = max(-(-n // MOST_CELL), min(-(-n // LEAST_CELL), 4 * cores), 1)
-    pilot = whole.limit(PILOT).select("row", "x").toArrow()  # a bounded number; which ones does not change the result
-    pilot = vectors.sparkSession.sparkContext.broadcast((pilot.column(0).to_numpy(), _matrix(pilot.column(1).combine_chunks()))) if pilot.num_rows else None
+    n, wide = whole.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    cores, most = vectors.sparkSession.sparkContext.defaultParallelism, max(CELL_BYTES // (8 * max(wide or 1, 1)), 1)
+    cells = max(-(-n // most), min(-(-n // LEAST_CELL), 4 * cores), 1)
     rows = whole.select(F.expr(f"int(pmod(xxhash64(row), {cells}))").alias("cell"), F.lit(0).alias("kind"), "row", "vec_id", "x")
     # queries are copied to every cell, not candidates to every query
     asks = whole.filter("asks").select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(1).alias("kind"), "row", "vec_id", "x")
 
-    def floors(row_ids, queries):
-        """The k-th best pilot score of each query, its own row left out."""
-        ids, matrix = pilot.value
-        wide = min(matrix.shape[1], queries.shape[1])
-        scores = queries[:, :wide] @ matrix[:, :wide].T
-        scores[row_ids[:, None] == ids[None, :]] = -np.inf
-        return np.partition(scores, -k, axis=1)[:, -k] if len(ids) >= k else np.full(len(queries), -np.inf)
-
     def search(batches):
         now, held, cell, keys, ids = None, [], None, None, None
         for batch in batches:
@@ -136,8 +147,8 @@ def top_k(vectors: DataFrame, k: int = 5, is_query: str = "vec_id % 50 = 0", vec
                 asked = part.slice(first)
                 found = []
                 asking, queries = asked.column(2).to_numpy(), _matrix(asked.column(4))
-                for row, query, floor in zip(asking.tolist(), queries, floors(asking, queries).tolist(), strict=True):
-                    near, score = cell.best(query, k, own.get(row, -1), floor)
+                for row, query in zip(asking.tolist(), queries, strict=True):
+                    near, score = cell.best(query, k, own.get(row, -1))
                     best = np.lexsort((ids[near], -score))[:k]
                     found.append((np.full(len(best), row), ids[near[best]], score[best].astype(np.int64)))
                 out = [np.concatenate(c) for c in zip(*found, strict=True)]
