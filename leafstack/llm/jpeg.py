@@ -21,6 +21,8 @@ from .common import text_groups, without
 
 # Blocks between restart markers, and blocks in a row at most.
 RESTART, WIDEST = 8, 8191
+# Blocks coded at once (whole rounds of the eight restart markers), and segments of a long scan decoded at once.
+RUN, LANES = 1 << 13, 1 << 11
 # Fixed Huffman tables: symbols by code length.  Letters (7 bits) and other ASCII (6) are the usual case.
 DC_LENGTHS = {s: 4 for s in range(12)}
 AC_LENGTHS = {0x07: 1, 0x06: 2, 0x08: 4, 0x04: 5, 0x00: 5} | {
@@ -75,10 +77,40 @@ def grid(blocks: int) -> tuple[int, int]:
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """A JPEG for each payload, whose length is a positive multiple of 64; a comment has the length."""
+    """A JPEG for each payload, whose length is a positive multiple of 64; a comment has the length.
+
+    Long payloads are coded RUN blocks at a time, so memory does not grow with them but for the bytes themselves.
+    """
     shapes = [grid(len(p) // 64) for p in payloads]
-    size = np.array([a * d for a, d in shapes])
-    blocks = np.frombuffer(b"".join(p.ljust(64 * n, b"\0") for p, n in zip(payloads, size.tolist(), strict=True)), np.uint8).reshape(-1, 64).astype(np.int64)
+    scans = [[] for _ in payloads]
+    held = []
+
+    def code():
+        for (k, _), scan in zip(held, _coded([b for _, b in held]), strict=True):
+            scans[k].append(scan)
+        held.clear()
+
+    for k, (payload, (across, down)) in enumerate(zip(payloads, shapes, strict=True)):
+        for at in range(0, across * down, RUN):
+            n = min(RUN, across * down - at)
+            held.append((k, np.frombuffer(payload[64 * at:64 * (at + n)].ljust(64 * n, b"\0"), np.uint8).reshape(-1, 64)))
+            if sum(len(b) for _, b in held) >= RUN:
+                code()
+    if held:
+        code()
+    files = []
+    for payload, (across, down), scan in zip(payloads, shapes, scans, strict=True):
+        head = (b"\xff\xd8" + _segment(0xFE, b"bytes=%d" % len(payload)) + _segment(0xDB, b"\0" + b"\1" * 64)
+                + _segment(0xC0, struct.pack(">BHHB3B", 8, 8 * down, 8 * across, 1, 1, 0x11, 0)) + _segment(0xC4, b"\x00" + _DC_BODY)
+                + _segment(0xC4, b"\x10" + _AC_BODY) + _segment(0xDD, struct.pack(">H", RESTART)) + _segment(0xDA, bytes([1, 1, 0, 0, 63, 0])))
+        files.append(head + b"\xff\xd7".join(scan) + b"\xff\xd9")
+    return files
+
+
+def _coded(parts: list[np.ndarray]) -> list[bytes]:
+    """The scan of each array of blocks, beginning with a restart."""
+    size = np.array([len(p) for p in parts])
+    blocks = np.concatenate(parts).astype(np.int64)
     first = np.cumsum(size) - size
     number = np.arange(len(blocks)) - np.repeat(first, size)  # of the block in its image
     fresh = number % RESTART == 0
@@ -135,14 +167,8 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     marker = place[ends[inner]] + 1 + full[ends[inner]]
     out[marker], out[marker + 1] = 0xFF, 0xD0 + (number[fresh][inner] // RESTART & 7)
     image_end = [int(place[e] + repeat[e]) for e in ends[~inner]]
-    raw, files, lo = out.tobytes(), [], 0
-    for payload, (across, down), hi in zip(payloads, shapes, image_end, strict=True):
-        head = (b"\xff\xd8" + _segment(0xFE, b"bytes=%d" % len(payload)) + _segment(0xDB, b"\0" + b"\1" * 64)
-                + _segment(0xC0, struct.pack(">BHHB3B", 8, 8 * down, 8 * across, 1, 1, 0x11, 0)) + _segment(0xC4, b"\x00" + _DC_BODY)
-                + _segment(0xC4, b"\x10" + _AC_BODY) + _segment(0xDD, struct.pack(">H", RESTART)) + _segment(0xDA, bytes([1, 1, 0, 0, 63, 0])))
-        files.append(head + raw[lo:hi] + b"\xff\xd9")
-        lo = hi
-    return files
+    raw = out.tobytes()
+    return [raw[lo:hi] for lo, hi in zip([0, *image_end], image_end, strict=False)]
 
 
 # ---------------------------------------------------------------- reading
@@ -230,11 +256,30 @@ def decode(files: list[bytes]) -> list[tuple[Image, np.ndarray]]:
         alike.setdefault((layout, m.restart), []).append(k)
     out = [None] * len(files)
     for (layout, restart), own in alike.items():
+        for k in [k for k in own if restart and images[k].scan[1] - images[k].scan[0] > LANES * RESTART * 64]:
+            own.remove(k)
+            out[k] = (images[k], _long_scan(files[k][slice(*images[k].scan)], int(np.prod(images[k].mcus())), layout, restart))
         for k, blocks in zip(own, _scans([files[k][slice(*images[k].scan)] for k in own], [int(np.prod(images[k].mcus())) for k in own], layout, restart), strict=True):
             out[k] = (images[k], blocks)
     return out
 
 
+def _long_scan(scan: bytes, mcus: int, layout, restart: int) -> np.ndarray:
+    """Blocks of one scan, LANES segments at a time."""
+    data = np.frombuffer(scan, np.uint8)
+    mark = np.flatnonzero(data[:-1] == 0xFF)
+    cuts = mark[data[mark + 1] & 0xF8 == 0xD0]
+    begin, end = np.concatenate(([0], cuts + 2)), np.concatenate((cuts, [len(data)]))
+    if len(begin) != -(-mcus // restart):
+        raise ValueError("segments do not match the restart interval")
+    out = np.empty((mcus * len(layout), 64), np.int16)
+    for lo in range(0, len(begin), LANES):
+        hi = min(lo + LANES, len(begin))
+        first, last = lo * restart, min(hi * restart, mcus)
+        out[first * len(layout):last * len(layout)] = _scans([scan[begin[lo]:end[hi - 1]]], [last - first], layout, restart)[0]
+    return out
+
+
 def _scans(scans: list[bytes], mcus: list[int], layout, restart: int) -> list[np.ndarray]:
     """Blocks of scans that share tables and layout; the lanes are all their segments."""
     data = np.frombuffer(b"".join(scans), np.uint8)
@@ -341,7 +386,9 @@ def payload_of(text: bytes) -> bytes:
 def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with `media`: a JPEG whose coefficients are the text's UTF-8 bytes, filled up with zeros to a positive multiple of 64.
 
-    Null text is empty; equal texts give equal media.  An input column named `media` is replaced.
+    Null text is empty; equal texts give equal media, repeated rows one each.  Very long texts take
+    memory for a few copies of their bytes.  An empty table gives no rows; an input column named
+    `media` is replaced.
     """
     docs = without(docs, "media", "__text")
     schema = T.StructType([*docs.schema.fields, T.StructField("media", T.BinaryType())])
@@ -356,7 +403,8 @@ def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
 def with_features(rows: DataFrame, media: str = "media") -> DataFrame:
     """`rows` with `width`, `height`, `thumbnail_hash`, and `payload`: the bytes stored as coefficients, where a comment says how many.
 
-    Media that are null or no baseline JPEG give nulls.  Input columns named like an output are replaced.
+    Media that are null or no baseline JPEG give nulls.  Long scans with restart markers are decoded
+    in runs.  An empty table gives no rows; input columns named like an output are replaced.
     """
     rows = without(rows, "width", "height", "thumbnail_hash", "payload", "__media")
     new = [T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("thumbnail_hash", T.StringType()), T.StructField("payload", T.BinaryType())]

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -116,3 +117,27 @@ def test_damaged_and_missing(spark):
     assert rows[1].payload[:4] == b"fine" and rows[6].width == 8 and rows[6].payload is None
     assert all(rows[k].width is None and rows[k].thumbnail_hash is None for k in (2, 3, 4, 5))
     assert J.with_media(df.limit(0).selectExpr("string(k) text")).collect() == []
+
+
+def test_long_payloads_in_runs(monkeypatch):
+    rng = np.random.default_rng(6)
+    text = " ".join("".join(chr(c) for c in rng.integers(97, 123, rng.integers(2, 9))) for _ in range(60_000)).encode()
+    payloads = [J.payload_of(x) for x in (text, b"short", text[:70_000] + bytes(range(256)) * 40, b"")]
+    whole = J.encode(payloads)
+    monkeypatch.setattr(J, "RUN", 128)
+    assert J.encode(payloads) == whole
+    monkeypatch.setattr(J, "LANES", 5)
+    for p, (_, blocks) in zip(payloads, J.decode(whole), strict=True):
+        assert blocks.ravel()[:len(p)].astype(np.uint8).tobytes() == p
+
+
+def test_memory_of_a_long_text():
+    text = J.payload_of(b"some long text with words, " * 400_000)  # 11 MB
+    tracemalloc.start()
+    [file] = J.encode([text])
+    assert tracemalloc.get_traced_memory()[1] < 8 * len(text)
+    tracemalloc.reset_peak()
+    [(_, blocks)] = J.decode([file])
+    assert tracemalloc.get_traced_memory()[1] < 8 * len(text)
+    tracemalloc.stop()
+    assert blocks.ravel()[:len(text)].astype(np.uint8).tobytes() == text
