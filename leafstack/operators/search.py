@@ -217,9 +217,10 @@ def date_ranges(ranges: DataFrame, since: str = "since", until: str = "until", t
 def match_date_ranges(items: DataFrame, ranges: DataFrame, column: str = "create") -> DataFrame:
     """Items x ranges where the date lies in the range, joined on month slots.
 
-    Each range is expanded to month prefixes, so the join is an equi-join on
-    (month) with the exact bounds as a residual filter.  Long and open ranges are
-    matched on coarser slots, so that no range expands to more than about 600 keys.
+    Months are the leaves of a tree with BRANCH children a node.  A range is the union of the few
+    largest nodes inside it, at most two runs of under BRANCH on each of LEVELS levels; an item has
+    one node on each level.  So the join is an equi-join, with the exact bounds as a residual filter,
+    and no item meets a range twice.
     """
     def month_key(date):
         # 13 slots a year: never decreasing in the text order of the dates, whatever their month digits.  What
@@ -231,18 +232,43 @@ def match_date_ranges(items: DataFrame, ranges: DataFrame, column: str = "create
 
     ids = items.filter(F.coalesce(F.col(column), F.lit("")) != "")
     spread = (ranges.withColumn("__a", month_key("lo")).withColumn("__b", month_key("hi"))
-              .filter(F.col("__a") <= F.col("__b"))
-              .withColumn("__width", F.when(F.col("__b") - F.col("__a") <= 600, 1)
-                          .when(F.col("__b") - F.col("__a") <= 7200, 12).otherwise(1200))
-              .withColumn("__key", F.explode(F.sequence(F.floor(F.col("__a") / F.col("__width")),
-                                                        F.floor(F.col("__b") / F.col("__width"))))))
+              .filter(F.col("__a") <= F.col("__b")).withColumn("__node", F.explode(range_nodes(F.col("__a"), F.col("__b")))))
+    spread = spread.select(*ranges.columns, F.col("__node.level").alias("__level"), F.col("__node.key").alias("__key"))
     month = month_key(column)
-    occur = [r["__width"] for r in spread.select("__width").distinct().collect()] or [1]  # three at most
-    keyed = (ids.withColumn("__width", F.explode(F.array(*[F.lit(w) for w in sorted(occur)])))
-             .withColumn("__key", F.floor(month / F.col("__width"))))
-    joined = keyed.join(spread, ["__width", "__key"])
-    return (joined.filter(F.col(column).between(F.col("lo"), F.col("hi")))
-            .drop("__width", "__key", "__a", "__b"))
+    own = F.array(*[_node(level, F.call_function("div", month, F.lit(BRANCH**level))) for level in range(LEVELS)])
+    keyed = ids.withColumn("__node", F.explode(own)).withColumn("__level", F.col("__node.level")).withColumn("__key", F.col("__node.key")).drop("__node")
+    joined = keyed.join(spread, ["__level", "__key"])
+    return joined.filter(F.col(column).between(F.col("lo"), F.col("hi"))).drop("__level", "__key")
+
+
+# children of a node and levels of the tree over months; 10,000 years have 130,000 of them
+BRANCH, LEVELS = 16, 5
+
+
+def _node(level: int, key: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), key.cast("long").alias("key"))
+
+
+def range_nodes(first: Column, last: Column) -> Column:
+    """Array of the largest nodes of the tree over months that together make the months ``first`` to ``last``."""
+    def whole(level):
+        """Nodes of a level that lie within the range: from the first to before the second."""
+        width = BRANCH**level
+        return F.call_function("div", first + (width - 1), F.lit(width)), F.call_function("div", last + 1, F.lit(width))
+
+    def nodes(level, lo, hi):
+        none = F.array().cast("array<struct<level:int,key:bigint>>")
+        return F.when(lo < hi, F.transform(F.sequence(lo, hi - 1), lambda k: _node(level, k))).otherwise(none)
+
+    parts = []
+    for level in range(LEVELS):
+        lo, hi = whole(level)
+        if level + 1 == LEVELS:
+            parts.append(nodes(level, lo, hi))
+            continue
+        up_lo, up_hi = whole(level + 1)
+        parts.append(F.when(up_lo < up_hi, F.concat(nodes(level, lo, BRANCH * up_lo), nodes(level, BRANCH * up_hi, hi))).otherwise(nodes(level, lo, hi)))
+    return F.concat(*parts)
 
 
 # -- the search itself ----------------------------------------------------------

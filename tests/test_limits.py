@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafstack import scale
 from leafstack.functions import datauri
 from leafstack.functions.scalars import postit_text
-from leafstack.operators.search import date_ranges, match_date_ranges
+from leafstack.operators.search import date_ranges, match_date_ranges, range_nodes
 from leafstack.scale import claim_slots
 from leafstack.sources import catalogue as cat
 from leafstack.sources.archives import list_members
@@ -51,6 +51,16 @@ def test_short_and_odd_dates_match(spark):
     assert got == sorted((r, k) for r, (lo, hi) in bounds.items() for k, d in enumerate(dates) if d and lo <= d <= hi)
 
 
+def test_a_range_is_few_nodes(spark):
+    rng = random.Random(2)
+    pairs = [(0, 0), (0, 129_999), (15, 16), (5, 4), (0, 65_535), (1, 65_536)] + [tuple(sorted((rng.randrange(130_000), rng.randrange(130_000)))) for _ in range(60)]
+    for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", range_nodes(F.col("a"), F.col("b")).alias("n")).collect():
+        spans = sorted((x.key * 16**x.level, (x.key + 1) * 16**x.level) for x in r.n)
+        assert len(r.n) <= 2 * 15 * 5
+        # side by side, and nothing twice
+        assert [s for s, _ in spans[1:]] == [e for _, e in spans[:-1]] and (not spans or (spans[0][0], spans[-1][1]) == (r.a, r.b + 1)) and bool(spans) == (r.a <= r.b)
+
+
 def test_ties_take_slots_in_order(spark):
     rows = spark.createDataFrame([("b", i, 1000) for i in range(300)], "book_id string, ord int, base long")
     taken = spark.createDataFrame([("b", 1000 + 2 * i) for i in range(50)], "book_id string, slot long")
