@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cropped, safe_filename, ts_of_item_id
+from ..functions.scalars import cropped, icon_file, safe_filename, ts_of_item_id
 from ..runtime import stage
 from ..scale import rank_rows
 from ..schema import RECYCLE, ROOT, SPECIAL_IDS
@@ -54,10 +54,21 @@ def number_occurrences(rows: DataFrame, order, base_id: str, singleton: bool = F
 
 def export_manifest(items: DataFrame, edges: DataFrame, base_id: str, ids: DataFrame | None = None,
                     recursive: bool = False, singleton: bool = False, tz_offset: int = 0) -> DataFrame:
-    """One record per exported occurrence, in tree order, with the titled path and the item as JSON."""
-    dense = stage(dense_positions(edges))
-    pool = export_pool(items, dense, ids, recursive)
-    rows = preorder(dense, SPECIAL_IDS).join(pool, KEY, "left_semi")
+    """One record per exported occurrence, in tree order, with the titled path and the item as JSON.
+
+    With ``ids``, paths are expanded only through the ancestors of what is exported, found by walking
+    back from it; other branches of the book are not touched.
+    """
+    if ids is not None:
+        pool = stage(export_pool(items, edges, ids, recursive))
+        above = stage(ancestors(edges, pool))
+        # an ancestor's whole list counts its positions, but only ancestors are expanded
+        own = edges.join(above.withColumnRenamed("item_id", "parent_id"), ["book_id", "parent_id"], "left_semi")
+        rows = preorder(stage(dense_positions(own)), SPECIAL_IDS, above).join(pool, KEY, "left_semi")
+    else:
+        dense = stage(dense_positions(edges))
+        pool = export_pool(items, dense, ids, recursive)
+        rows = preorder(dense, SPECIAL_IDS).join(pool, KEY, "left_semi")
     numbered = stage(number_occurrences(rows, ["addr"], base_id, singleton))
     ups = numbered.select("book_id", "n", F.posexplode("path").alias("d", "item_id"))
     titles = items.select(*KEY, value("title").alias("title"))
@@ -72,6 +83,39 @@ def export_manifest(items: DataFrame, edges: DataFrame, base_id: str, ids: DataF
                     "item_id", F.col("titled_path").alias("path"), "pos", "meta"))
 
 
+def ancestors(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids`` and all ids from which they can be reached, (book_id, item_id)."""
+    back = edges.select("book_id", F.col("child_id").alias("parent_id"), F.col("parent_id").alias("child_id"))
+    return reachable(back, ids)
+
+
+def export_payloads(manifest: DataFrame, items: DataFrame, files: DataFrame, icons: DataFrame, data_dir: str = "data", tree_dir: str = "tree"):
+    """What an export holds besides its records: (entries, store).
+
+    ``files`` (book_id, path, content) lie under the data folder, ``icons`` likewise, by book path, in
+    the icon cache.  An occurrence takes its index file, or the folder of an ``index.html`` with all
+    in it, and its cached icon.  ``entries``: book_id, n, item_id, name (in the archive), digest; they
+    move no bytes.  ``store``: digest, content, size, each content once however often it is used.
+    """
+    index = value("index")
+    source = F.when(index.endswith("/index.html"), F.regexp_replace(index, "/index.html$", "")).when(index != "", index)
+    taken = manifest.select(*KEY, "n", "ets").join(items.select(*KEY, source.alias("source"), icon_file("icon", "index", data_dir).alias("icon")), KEY)
+    segments = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.array_join(F.slice(segments, F.lit(1), k), "/"))
+    marked = files.select("book_id", "path", F.sha1("content").alias("digest"))
+    inside = marked.withColumn("source", F.explode(folders))  # as many rows as the path is deep
+    name = F.concat("ets", F.lit("/data/"), F.regexp_extract("source", "([^/]*)$", 1), F.expr("substring(path, length(source) + 1)"))
+    data = taken.filter("source is not null").join(inside, ["book_id", "source"]).select("book_id", "n", "item_id", name.alias("name"), "digest")
+    cached = icons.select("book_id", F.col("path").alias("icon"), F.sha1("content").alias("digest")).filter(F.col("icon").startswith(f"{tree_dir}/favicon/"))
+    icon = taken.join(cached, ["book_id", "icon"]).select(
+        "book_id", "n", "item_id", F.concat("ets", F.lit("/favicon/"), F.regexp_extract("icon", "([^/]*)$", 1)).alias("name"), "digest")
+    entries = stage(data.unionByName(icon))
+    both = files.select("content").unionByName(icons.select("content")).withColumn("digest", F.sha1("content"))
+    used = both.join(entries.select("digest").distinct(), "digest", "left_semi")
+    store = used.groupBy("digest").agg(F.first("content").alias("content")).withColumn("size", F.octet_length("content").cast("long"))
+    return entries, store
+
+
 def export_files_v1(manifest: DataFrame, items: DataFrame) -> DataFrame:
     """File name per record of a version 1 export: ``ets-title`` made safe, cut to 128, unique."""
     titles = items.select(*KEY, value("title").alias("__t"))

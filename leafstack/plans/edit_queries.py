@@ -230,6 +230,47 @@ def a13(spark, sf):
     return m.select("n", "item_id", "ets", "pos", F.array_join(F.transform("path", lambda s: F.concat(s["id"], F.lit("="), s["title"])), "/").alias("path"))
 
 
+PAYLOADS = ctes("items", "edges", "files") + """,
+uses AS (SELECT book_id, child_id AS item_id, count(*) AS uses FROM edges GROUP BY 1, 2),
+asked AS (SELECT i.*, uses, CASE WHEN index LIKE '%/index.html' THEN substr(index, 1, len(index) - 11) ELSE index END AS src, CAST(substr(item_id, 2) AS BIGINT) AS doc_id
+  FROM items i JOIN uses USING (book_id, item_id) WHERE item_id LIKE 'D%' AND CAST(substr(item_id, 2) AS BIGINT) % 5 = 0),
+held AS (SELECT f.book_id, f.path, d.text AS content FROM files f JOIN documents d ON d.doc_id = try_cast(regexp_extract(f.path, '^D([0-9]+)', 1) AS BIGINT)),
+entries AS (SELECT a.book_id, a.item_id, 'data/' || h.path AS name, h.content, uses FROM asked a JOIN held h ON h.book_id = a.book_id AND (h.path = a.src OR starts_with(h.path, a.src || '/')) WHERE a.index <> ''
+  UNION ALL SELECT a.book_id, a.item_id, 'favicon/' || md5(d.source) || '.png', d.source, uses FROM asked a JOIN documents d USING (doc_id) WHERE a.icon LIKE '../tree/favicon/%' AND a.index NOT LIKE '%/%')
+"""
+
+
+def payloads(spark, sf):
+    """Every fifth document's item with its files, which hold the documents' texts, and its icon."""
+    items, edges = fx.items(spark, sf), fx.edges(spark, sf)
+    d = table(spark, sf, "documents")
+    files = (fx.files(spark, sf).withColumn("doc_id", F.regexp_extract("path", "^D([0-9]+)", 1).try_cast("long"))
+             .join(d.select("doc_id", "text"), "doc_id").select("book_id", "path", F.encode("text", "UTF-8").alias("content")))
+    icons = d.select(F.col("lang").alias("book_id"), F.concat(F.lit("tree/favicon/"), F.md5("source"), F.lit(".png")).alias("path"), F.encode("source", "UTF-8").alias("content")).distinct()
+    ids = items.filter("item_id like 'D%' and cast(substring(item_id, 2) as bigint) % 5 = 0").select("book_id", "item_id")
+    return tf.export_payloads(tf.export_manifest(items, edges, "20240201000000000", ids), items, files, icons)
+
+
+@query("A13_payload_entries", PAYLOADS + "SELECT book_id, item_id, name, sha1(content) AS digest, uses FROM entries")
+def a13p(spark, sf):
+    rows = payloads(spark, sf)[0].withColumn("name", F.expr("substring(name, 19)"))
+    return rows.groupBy("book_id", "item_id", "name", "digest").agg(F.count(F.lit(1)).alias("uses"))
+
+
+@query("A13_payload_store", PAYLOADS + "SELECT DISTINCT sha1(content) AS digest, content, CAST(octet_length(encode(content)) AS BIGINT) AS size FROM entries")
+def a13s(spark, sf):
+    return payloads(spark, sf)[1].withColumn("content", F.decode("content", "UTF-8"))
+
+
+@query("A13_export_some", ctes("items", "edges") + """, dense AS (SELECT *, row_number() OVER (PARTITION BY book_id, parent_id ORDER BY pos, child_id) - 1 AS p FROM edges)
+SELECT a.book_id, a.child_id AS item_id, a.p AS pos, CASE WHEN b.parent_id IS NULL THEN a.parent_id ELSE b.parent_id || '/' || a.parent_id END AS path
+FROM dense a LEFT JOIN dense b ON b.book_id = a.book_id AND b.child_id = a.parent_id WHERE a.child_id LIKE 'D%' AND CAST(substr(a.child_id, 2) AS BIGINT) % 50 = 7""")
+def a13o(spark, sf):
+    ids = fx.items(spark, sf).filter("item_id like 'D%' and cast(substring(item_id, 2) as bigint) % 50 = 7").select("book_id", "item_id")
+    m = tf.export_manifest(fx.items(spark, sf), fx.edges(spark, sf), "20240201000000000", ids)
+    return m.select("book_id", "item_id", "pos", F.array_join(F.transform("path", lambda s: s["id"]), "/").alias("path"))
+
+
 @query("A14_export_files_v1", EXPORT + f""", named AS (SELECT n, {STAMP.format('n')} || '-' || title AS t FROM occ JOIN talk_items USING (item_id))
 SELECT n, regexp_replace(regexp_replace(regexp_replace(t, '[\\t\\n\\f\\r]+', ' ', 'g'), '[:"?*\\\\/|<>]', '_', 'g'), '[. ]+$', '') || '.wsba' AS file FROM named""")
 def a14(spark, sf):
