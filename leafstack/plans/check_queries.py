@@ -105,21 +105,28 @@ def c10(spark, sf):
     return show(ck.check_icon_urls(fx.items(spark, sf)))
 
 
-@query("C10_icon_files", ctes("items") + """, ic AS (SELECT book_id, item_id, CASE WHEN icon LIKE '../tree/%' THEN CASE WHEN index LIKE '%/index.html' THEN 'data/' || substr(icon, 4) ELSE substr(icon, 4) END
-  WHEN icon = 'favicon.ico' THEN CASE WHEN index LIKE '%/index.html' THEN 'data/' || item_id || '/favicon.ico' ELSE 'data/favicon.ico' END END AS path FROM items),
+ICON_CTES = """, ic AS (SELECT book_id, item_id, CASE WHEN icon LIKE '../tree/%' THEN CASE WHEN index LIKE '%/index.html' THEN 'data/' || substr(icon, 4) ELSE substr(icon, 4) END
+  WHEN icon = 'favicon.ico' THEN CASE WHEN index LIKE '%/index.html' THEN 'data/' || replace(index, '/index.html', '/favicon.ico') ELSE 'data/favicon.ico' END END AS path FROM {items}),
 have AS (SELECT DISTINCT lang AS book_id, 'tree/favicon/' || md5(source) || '.png' AS path FROM documents UNION SELECT lang, 'data/favicon.ico' FROM documents WHERE lang = 'en'
-  UNION SELECT DISTINCT lang, 'tree/favicon/' || md5(CAST(doc_id AS VARCHAR)) || '.png' FROM documents WHERE doc_id % 40 = 0)
-SELECT book_id, item_id, path, 'error' AS severity, 'missing_icon_file' AS code FROM ic WHERE path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM have h WHERE h.book_id = ic.book_id AND h.path = ic.path)
-UNION ALL SELECT book_id, NULL, path, 'warn', 'unused_icon' FROM have h WHERE path LIKE 'tree/favicon/%' AND NOT EXISTS (SELECT 1 FROM ic WHERE ic.book_id = h.book_id AND ic.path = h.path)""")
-def c10b(spark, sf):
+  UNION SELECT DISTINCT lang, 'tree/favicon/' || md5(CAST(doc_id AS VARCHAR)) || '.png' FROM documents WHERE doc_id % 40 = 0)"""
+ICON_SQL = """SELECT book_id, item_id, path, 'error' AS severity, 'missing_icon_file' AS code FROM ic WHERE path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM have h WHERE h.book_id = ic.book_id AND h.path = ic.path)
+UNION ALL SELECT book_id, NULL, path, 'warn', 'unused_icon' FROM have h WHERE path LIKE 'tree/favicon/%' AND NOT EXISTS (SELECT 1 FROM ic WHERE ic.book_id = h.book_id AND ic.path = h.path)"""
+
+
+def icon_files(spark, sf):
+    """A cached icon per source, one in forty that nobody uses, and a plain icon in one book."""
     d = table(spark, sf, "documents")
 
     def have(df, *path):
         return df.select(F.col("lang").alias("book_id"), F.concat(*path).alias("path")).distinct()
     png = F.lit(".png")
-    files = (have(d, F.lit("tree/favicon/"), F.md5("source"), png).unionByName(have(d.filter("lang = 'en'"), F.lit("data/favicon.ico")))
-             .unionByName(have(d.filter("doc_id % 40 = 0"), F.lit("tree/favicon/"), F.md5(F.col("doc_id").cast("string")), png)))
-    it = fx.items(spark, sf)
+    return (have(d, F.lit("tree/favicon/"), F.md5("source"), png).unionByName(have(d.filter("lang = 'en'"), F.lit("data/favicon.ico")))
+            .unionByName(have(d.filter("doc_id % 40 = 0"), F.lit("tree/favicon/"), F.md5(F.col("doc_id").cast("string")), png)))
+
+
+@query("C10_icon_files", ctes("items") + ICON_CTES.replace("{items}", "items") + ICON_SQL)
+def c10b(spark, sf):
+    it, files = fx.items(spark, sf), icon_files(spark, sf)
     return show(ck.check_icon_files(it, files).unionByName(ck.check_unused_icons(it, files)))
 
 
@@ -143,14 +150,31 @@ def m2(spark, sf):
     return show(ck.check_older_modify(fx.items(spark, sf), fx.files(spark, sf)))
 
 
-@query("M3_empty_lists", """
-SELECT lang AS book_id, 'D' || doc_id AS item_id, 'warn' AS severity, 'empty_toc_list' AS code FROM documents WHERE length(text) - length(replace(text, chr(10), '')) = 0""")
-def m3(spark, sf):
-    d = table(spark, sf, "documents")
+LISTS_SQL = """SELECT lang AS book_id, 'D' || doc_id AS item_id, CAST(NULL AS VARCHAR) AS path, 'warn' AS severity, 'empty_toc_list' AS code FROM documents
+WHERE length(text) - length(replace(text, chr(10), '')) = 0"""
+
+
+def toc_lists(spark, sf):
+    """A document's lines but the first as its list of children."""
     parts = F.split("text", "\n")
     lines = F.slice(parts, F.lit(2), F.size(parts))
-    lists = d.select(F.col("lang").alias("book_id"), F.concat(F.lit("D"), "doc_id").alias("parent_id"), lines.alias("children"))
-    return ck.check_empty_lists(lists).select("book_id", "item_id", "severity", "code")
+    return table(spark, sf, "documents").select(F.col("lang").alias("book_id"), F.concat(F.lit("D"), "doc_id").alias("parent_id"), lines.alias("children"))
+
+
+@query("M3_empty_lists", LISTS_SQL)
+def m3(spark, sf):
+    return show(ck.check_empty_lists(toc_lists(spark, sf)))
+
+
+def archive_health(spark, sf):
+    """What a scan of the items' archives would tell."""
+    k = F.col("ord")
+    return fx.items(spark, sf).filter("index like '%.htz' or index like '%.maff'").select(
+        "book_id", F.col("index").alias("path"), F.when(k % 20 == 9, "bad archive").alias("error"), (k % 3 != 0).alias("has_index"), (k % 8).cast("int").alias("n_pages"))
+
+
+ARCHIVES_SQL = """SELECT b.book_id, b.item_id, b.index AS path, 'error' AS severity, CASE WHEN i.ord % 20 = 9 THEN 'corrupted_archive' WHEN b.index LIKE '%.htz' THEN 'missing_archive_index' ELSE 'no_archive_page' END AS code
+FROM bad_items b JOIN items i ON i.book_id = b.book_id AND i.index = b.index WHERE b.index LIKE '%.htz' AND (i.ord % 20 = 9 OR i.ord % 3 = 0) OR b.index LIKE '%.maff' AND (i.ord % 20 = 9 OR i.ord % 8 = 0)"""
 
 
 ALL_SQL = ("SELECT * FROM (" + C4_SQL + ") UNION ALL " + C6_SQL + " UNION ALL " + C7_SQL + " UNION ALL " + M1_SQL.format(t="bad_items") + " UNION ALL " + M2_SQL + """
@@ -161,13 +185,13 @@ UNION ALL SELECT book_id, item_id, icon, CASE WHEN icon LIKE 'https:%' THEN 'war
   FROM bad_items WHERE icon LIKE 'https:%' OR icon LIKE '/%'""")
 
 
-ALL_SQL += " UNION ALL " + C8_SQL
-ALL_CTES = ctes("items", "edges", "files") + BAD_SQL + ", " + C8_CTES.replace("{items}", "bad_items")
+ALL_SQL += " UNION ALL " + C8_SQL + " UNION ALL " + LISTS_SQL + " UNION ALL " + ARCHIVES_SQL + " UNION ALL " + ICON_SQL
+ALL_CTES = ctes("items", "edges", "files") + BAD_SQL + ", " + C8_CTES.replace("{items}", "bad_items") + ICON_CTES.replace("{items}", "bad_items")
 
 
 def findings(spark, sf):
-    """Every finding of the checks over items, tree and files."""
-    return ck.run_checks(bad_items(spark, sf), bad_edges(spark, sf), fx.files(spark, sf))
+    """Every finding of the checks over items, tree, files, lists, archives and icons."""
+    return ck.run_checks(bad_items(spark, sf), bad_edges(spark, sf), fx.files(spark, sf), toc_lists(spark, sf), archive_health(spark, sf), icon_files(spark, sf))
 
 
 @query("L11_all_checks", ALL_CTES + " " + ALL_SQL)
