@@ -53,3 +53,15 @@ def test_written_shards(spark, tmp_path):
     assert back.count() == 300 and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
     sizes = [r.b for r in back.groupBy("shard").agg({"text": "count"}).selectExpr("`count(text)` b").collect()]
     assert sum(sizes) == 300
+
+
+def test_plan_is_that_of_plain_prefix_sums(spark):
+    sizes = [(i * i * 7919) % 1000 + (20_000 if i % 211 == 0 else 0) for i in range(1500)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "doc_id long, size long").repartition(7)
+    total, before, want, slots = sum(sizes), 0, [], [0] * 16
+    for i, s in enumerate(sizes):
+        k = min((2 * before + s) * 16 // (2 * total), 15)  # where the row's middle lies
+        want.append((i, k, slots[k]))
+        slots[k] += 1
+        before += s
+    assert sorted((r.doc_id, r.shard, r.slot) for r in assign_shards(df).collect()) == want
