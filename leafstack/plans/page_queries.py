@@ -13,6 +13,7 @@ from ..operators import check as ck
 from ..operators import index as ix
 from ..operators import legacy as lg
 from ..operators import pages as pg
+from ..operators.ingest import ingest_pages
 from ..operators.search import Rule, SearchSpec, Term
 from ..runtime import ensure_checkpoint_dir
 from ..sources import archives as ar
@@ -140,12 +141,15 @@ def saved_pages(spark, sf):
     return pages(spark, sf).select("page_id", F.concat(html, F.lit("<body>"), body(F.col("html")), F.lit("</body></html>")).alias("html"))
 
 
-@query("J6_page_metadata", r"""
+META_SQL = r"""
 WITH t AS (SELECT page_id, 'https://site.example.com/p/' || page_id AS src, regexp_replace(html, '[^A-Za-z ]+', '', 'g') AS title FROM pages)
 SELECT page_id, CASE WHEN page_id % 5 = 4 THEN '2024010100000' || lpad(CAST(page_id % 10000 AS VARCHAR), 4, '0') END AS given_id, CASE page_id % 5 WHEN 4 THEN 'note' ELSE '' END AS type,
   CASE page_id % 5 WHEN 2 THEN 'T' || page_id WHEN 3 THEN CAST(page_id AS VARCHAR) WHEN 4 THEN 'N & ' || page_id ELSE title END AS title,
   CASE page_id % 5 WHEN 1 THEN '20240102022030000' WHEN 2 THEN '20240103060203000' ELSE '' END AS "create", CASE WHEN page_id % 5 <> 4 THEN src END AS source,
-  CASE page_id % 5 WHEN 3 THEN 'i.png' END AS icon FROM t""")
+  CASE page_id % 5 WHEN 3 THEN 'i.png' END AS icon FROM t"""
+
+
+@query("J6_page_metadata", META_SQL)
 def j6(spark, sf):
     meta = pg.page_metadata(pg.page_marks(saved_pages(spark, sf), ["page_id"]))
     return meta.select("page_id", "given_id", "type", "title", "create", "source", "icon")
@@ -441,8 +445,29 @@ def a6(spark, sf):
     return fl.directory_listing(f, recursive=True, by=["book_id"]).select("book_id", "name", "type")
 
 
-@query("A20_directory_ingest")
+@query("A20_directory_ingest", "WITH m AS (" + META_SQL + """),
+a AS (SELECT 'd' || k AS path, 'd' || k AS title, 'folder' AS type, '' AS index, '' AS "create", '' AS source, '' AS icon, NULL AS given, NULL AS stem, 'root' AS up FROM range(3) r(k) WHERE k IN (SELECT page_id % 3 FROM pages)
+  UNION ALL SELECT f || '/' || name, title, type, f || '/' || name || CASE WHEN dated THEN '/index.html' ELSE '' END, "create", coalesce(source, ''), coalesce(icon, ''), given_id, CASE WHEN dated THEN name END, f FROM (
+    SELECT *, 'd' || (page_id % 3) AS f, page_id % 4 = 1 AS dated, CASE WHEN page_id % 4 = 1 THEN '20230101000' || lpad(CAST(page_id AS VARCHAR), 6, '0') ELSE 'p' || lpad(CAST(page_id AS VARCHAR), 6, '0') || '.html' END AS name FROM m)),
+w AS (SELECT *, coalesce(given, stem) AS want, row_number() OVER (PARTITION BY coalesce(given, stem) IS NULL ORDER BY encode(path)) - 1 AS k FROM a),
+i AS (SELECT *, coalesce(want, strftime(TIMESTAMP '2024-02-01 00:00:00' + to_milliseconds(k), '%Y%m%d%H%M%S%g')) AS item_id FROM w)
+SELECT i.item_id, i.title, i.type, i.index, CASE WHEN i."create" = '' THEN '20240201000000000' ELSE i."create" END AS "create", CASE WHEN i.type = 'folder' THEN '20240201000000000' ELSE '20240115000000000' END AS modify, i.source, i.icon,
+  coalesce(u.item_id, 'root') AS parent_id, row_number() OVER (PARTITION BY i.up ORDER BY encode(i.path)) - 1 AS pos FROM i LEFT JOIN i u ON u.path = i.up""")
 def a20(spark, sf):
+    """Saved pages in three folders, some as a folder of their own with a dated name."""
+    k = number()
+    name = F.when(k % 4 == 1, F.concat(F.lit("20230101000"), F.lpad(k.cast("string"), 6, "0"), F.lit("/index.html"))).otherwise(F.concat(F.lit("p"), F.lpad(k.cast("string"), 6, "0"), F.lit(".html")))
+    content = F.encode("html", "UTF-8")
+    files = saved_pages(spark, sf).select(
+        F.lit("b").alias("book_id"), F.concat(F.lit("d"), k % 3, F.lit("/"), name).alias("path"), F.lit("file").alias("type"), F.octet_length(content).cast("long").alias("size"),
+        F.lit("2024-01-15 00:00:00").cast("timestamp").alias("mtime"), content.alias("content"))
+    items, edges, _ = ingest_pages(files, fx.items(spark, sf), "20240201000000000")
+    rows = items.select("book_id", "item_id", "title", "type", "index", "create", "modify", "source", "icon")
+    return rows.join(edges.withColumnRenamed("child_id", "item_id"), ["book_id", "item_id"]).drop("book_id")
+
+
+@query("A20_files_and_folders")
+def a20f(spark, sf):
     f = fx.files(spark, sf).withColumn("type", F.lit("file")).dropDuplicates(["book_id", "path"])
     items, edges, _ = fl.ingest_directory(f, "20240201000000000")
     return edges.join(items.select("book_id", F.col("item_id").alias("child_id"), "title", "type", "index"), ["book_id", "child_id"])
