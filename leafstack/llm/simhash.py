@@ -10,7 +10,7 @@ as soon as the bits exceed the budget.
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -316,8 +316,8 @@ def similar_links(nodes: DataFrame) -> DataFrame:
     """`nodes` (node, bands, sketch, size, shingles) -> edges (a, b) that connect just what similar pairs connect.
 
     Candidates share a band, and their sizes and sketches do not rule them out.  First each node is
-    compared with the smallest one of its bands, which settles a dense group by one comparison per
-    node; then all pairs of a band that are not yet connected.
+    compared with the smallest one of its bands, which settles most of a dense group by one comparison
+    per node.  Nodes of bands that are not yet connected then meet by `prefix_pairs`, not band by band.
     """
     sketch = [f"s{k}" for k in range(SKETCH)]
     tags = written(nodes.select("node", "size", *[F.col("sketch")[k].alias(n) for k, n in enumerate(sketch)]), "tags")
@@ -339,12 +339,38 @@ def similar_links(nodes: DataFrame) -> DataFrame:
     placed = written(shared.select("cell", "node").join(rooted, "node"), "placed")
     # two rows are a star's one pair
     split = placed.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most and n > 2").select("cell")
-    mixed = written(placed.join(split, "cell", "left_semi"), "mixed")
-    x, y = (mixed.select("cell", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "size", *sketch, "root")]) for s in ("x", "y"))
-    rest = x.join(y, "cell").filter(f"x_root < y_root and {possible('x_', 'y_')}").select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    mixed = placed.join(split, "cell", "left_semi").select("node", "root", "size", *sketch).distinct()
+    rest = prefix_pairs(written(mixed, "mixed"), nodes, possible("x_", "y_"))
     return links.unionByName(alike(written(rest, "rest"), nodes))
 
 
+def prefix_pairs(members: DataFrame, nodes: DataFrame, possible: str) -> DataFrame:
+    """Pairs (a, b) of `members` (node, root, size and what `possible` asks of x_ and y_) with different roots; none that is similar is left out.
+
+    With the shingles of each set in one order, rare ones first, two similar sets share one within the
+    first size - ceil(0.8 size) + 1 of both, and the first that they share has enough behind it on both
+    sides for the overlap that they need.  So copies that differ in places of their own do not meet.
+    """
+    def spread_out(batches):
+        for batch in batches:
+            for node, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = unpacked(data.as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own)], names=["node", "shingle"])
+
+    own = nodes.select("node", "shingles").join(beside(members.select("node"), 16), "node", "left_semi")
+    rows = written(own.mapInArrow(spread_out, "node long, shingle long"), "shingles")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("node").orderBy("n", "shingle")  # the shingles of one text
+    placed = rows.join(often, "shingle").withColumn("place", F.row_number().over(order)).filter("n > 1")
+    least = f"cast(ceil({BOTH} * size / {COMMON}) as int)"
+    prefix = written(placed.join(members, "node").filter(f"place <= size - {least} + 1"), "prefix")
+    x, y = (prefix.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in (*members.columns, "place")]) for s in ("x", "y"))
+    # similarity s of sets of x and y shingles needs s (x + y) / (1 + s) in common
+    enough = f"least(x_size - x_place, y_size - y_place) + 1 >= {BOTH} * (x_size + y_size) / {BOTH + COMMON}"
+    return (x.join(y, "shingle").filter(f"x_root < y_root and {enough} and {possible}")
+            .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
+
+
 def _components(marked: DataFrame) -> DataFrame:
     """`marked` (label, set_key and the other columns of shingle_sets) -> (label, component_id)."""
     nodes = written(marked.groupBy("set_key").agg(F.min("label").alias("node")), "nodes")
