@@ -316,8 +316,10 @@ def similar_links(nodes: DataFrame) -> DataFrame:
     """`nodes` (node, bands, sketch, size, shingles) -> edges (a, b) that connect just what similar pairs connect.
 
     Candidates share a band, and their sizes and sketches do not rule them out.  First each node is
-    compared with the smallest one of its bands, which settles most of a dense group by one comparison
-    per node.  Nodes of bands that are not yet connected then meet by `prefix_pairs`, not band by band.
+    compared with the smallest one of its bands, then, where bands are not yet connected, with the one
+    whose shingles are the most common there: in a group of copies that is one near their origin.  That
+    settles most of a dense group by two comparisons per node.  What is still apart meets by
+    `prefix_pairs`, not band by band.
     """
     sketch = [f"s{k}" for k in range(SKETCH)]
     tags = written(nodes.select("node", "size", *[F.col("sketch")[k].alias(n) for k, n in enumerate(sketch)]), "tags")
@@ -334,23 +336,32 @@ def similar_links(nodes: DataFrame) -> DataFrame:
     star = (star.join(sides[0], F.col("a") == F.col("x_node")).join(sides[1], F.col("b") == F.col("y_node"))
             .filter(possible("x_", "y_")).select("a", "b"))
     links = written(alike(written(star, "star"), nodes), "star_links")
-    roots = components(links)
-    rooted = tags.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = written(shared.select("cell", "node").join(rooted, "node"), "placed")
-    # two rows are a star's one pair
-    split = placed.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most and n > 2").select("cell")
-    mixed = placed.join(split, "cell", "left_semi").select("node", "root", "size", *sketch).distinct()
-    rest = prefix_pairs(written(mixed, "mixed"), nodes, possible("x_", "y_"))
-    return links.unionByName(alike(written(rest, "rest"), nodes))
 
+    def apart(links):
+        """Nodes with their roots, by cell, of all cells with several roots."""
+        rooted = tags.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = written(shared.select("cell", "node").join(rooted, "node"), "placed")
+        # two rows are a star's one pair
+        split = placed.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).filter("least < most and n > 2").select("cell")
+        return written(placed.join(split, "cell", "left_semi"), "apart")
+
+    placed = apart(links)
+    members = written(placed.select("node").distinct(), "members")
+    shingles = written(common_shingles(members, nodes), "shingles")
+    weight = shingles.groupBy("node").agg((F.sum("n") / F.count(F.lit(1))).alias("weight"))
+    weighed = written(placed.join(weight, "node"), "weighed")
+    center = weighed.groupBy("cell").agg(F.max_by(F.struct("node", "size", "root", *sketch), F.struct("weight", "node")).alias("c"))
+    again = (weighed.select("cell", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "root", *sketch)])
+             .join(center.select("cell", *[F.col(f"c.{c}").alias(f"y_{c}") for c in ("node", "size", "root", *sketch)]), "cell")
+             .filter(f"x_root <> y_root and {possible('x_', 'y_')}").select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
+    links = written(links.unionByName(alike(written(again, "again"), nodes)), "center_links")
+    members = written(apart(links).select("node", "root", "size", *sketch).distinct(), "mixed")
+    rest = prefix_pairs(members, shingles, possible("x_", "y_"))
+    return links.unionByName(alike(written(rest, "rest"), nodes))
 
-def prefix_pairs(members: DataFrame, nodes: DataFrame, possible: str) -> DataFrame:
-    """Pairs (a, b) of `members` (node, root, size and what `possible` asks of x_ and y_) with different roots; none that is similar is left out.
 
-    With the shingles of each set in one order, rare ones first, two similar sets share one within the
-    first size - ceil(0.8 size) + 1 of both, and the first that they share has enough behind it on both
-    sides for the overlap that they need.  So copies that differ in places of their own do not meet.
-    """
+def common_shingles(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingle, n): the shingles of `members` (node), by `nodes` (node, shingles), and how many of them have each."""
     def spread_out(batches):
         for batch in batches:
             for node, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -358,10 +369,20 @@ def prefix_pairs(members: DataFrame, nodes: DataFrame, possible: str) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own)], names=["node", "shingle"])
 
     own = nodes.select("node", "shingles").join(beside(members.select("node"), 16), "node", "left_semi")
-    rows = written(own.mapInArrow(spread_out, "node long, shingle long"), "shingles")
-    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    rows = written(own.mapInArrow(spread_out, "node long, shingle long"), "spread")
+    return rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle").select("node", "shingle", "n")
+
+
+def prefix_pairs(members: DataFrame, shingles: DataFrame, possible: str) -> DataFrame:
+    """Pairs (a, b) of `members` (node, root, size and what `possible` asks of x_ and y_) with different roots; none that is similar is left out.
+
+    With the shingles (node, shingle, n) of each set in one order, rare ones first, two similar sets
+    share one within the first size - ceil(0.8 size) + 1 of both, and the first that they share has
+    enough behind it on both sides for the overlap that they need.  So copies that differ in places of
+    their own do not meet.
+    """
     order = Window.partitionBy("node").orderBy("n", "shingle")  # the shingles of one text
-    placed = rows.join(often, "shingle").withColumn("place", F.row_number().over(order)).filter("n > 1")
+    placed = shingles.withColumn("place", F.row_number().over(order)).filter("n > 1")
     least = f"cast(ceil({BOTH} * size / {COMMON}) as int)"
     prefix = written(placed.join(members, "node").filter(f"place <= size - {least} + 1"), "prefix")
     x, y = (prefix.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in (*members.columns, "place")]) for s in ("x", "y"))
