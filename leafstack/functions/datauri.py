@@ -7,8 +7,6 @@ from urllib.parse import unquote_to_bytes
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_JAVA_FORM = r"(?i)^data:([^,]*?)(;base64)?,([^#]*)"
-
 
 def parse(uri: str):
     """(bytes, mime, parameters); None when malformed.  Of a repeated parameter the last one holds."""
@@ -49,18 +47,20 @@ def _base64_bytes(data: Column) -> Column:
 def columns(uri) -> dict:
     """``mime``, ``params`` (map), ``is_base64``, ``payload`` (null when malformed) and ``ok``."""
     uri = F.col(uri) if isinstance(uri, str) else uri
-    media = F.regexp_extract(uri, _JAVA_FORM, 1)
-    b64 = F.regexp_extract(uri, _JAVA_FORM, 2) != ""
-    data = F.regexp_extract(uri, _JAVA_FORM, 3)
-    form = uri.rlike(_JAVA_FORM)
-    fields = F.split(media, ";")
-    pairs = F.transform(F.filter(F.slice(fields, F.lit(2), F.size(fields)), lambda p: p.contains("=")), lambda p: F.struct(
-        F.lower(F.substring_index(p, "=", 1)).alias("k"), F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1).alias("v")))
+    # scheme and media type end at the first comma, the data at the first number sign after it
+    head = F.substring_index(uri, ",", 1)
+    form = uri.contains(",") & (F.lower(F.substring(head, 1, 5)) == "data:")
+    data = F.substring_index(F.substr(uri, F.length(head) + 2), "#", 1)
+    fields = F.split(F.substr(head, F.lit(6)), ";")
+    b64 = (F.size(fields) > 1) & (F.lower(F.element_at(fields, -1)) == "base64")
+    named = F.slice(fields, F.lit(2), F.size(fields) - F.when(b64, 2).otherwise(1))
+    pairs = F.transform(F.filter(named, lambda p: p.contains("=")), lambda p: F.struct(
+        F.lower(F.substring_index(p, "=", 1)).alias("k"), F.substr(p, F.length(F.substring_index(p, "=", 1)) + 2).alias("v")))
     # the last of a repeated parameter holds
     params = F.map_from_entries(F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"])))
     payload = F.when(form, F.when(b64, _base64_bytes(data)).otherwise(_percent_bytes(data)))
     return {
-        "mime": F.when(form, F.get(F.split(media, ";"), F.lit(0))),
+        "mime": F.when(form, F.get(fields, F.lit(0))),
         "params": F.when(form, params),
         "is_base64": form & b64,
         "payload": payload,
