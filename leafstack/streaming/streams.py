@@ -155,7 +155,9 @@ def refresh_feed(changes: DataFrame, snapshot, target: str, checkpoint: str):
 
 
 def read_actions(spark: SparkSession, target: str) -> DataFrame:
-    """(book_id, item_id, path, action, reason, batch) by the last batch that an item changed in."""
+    """(book_id, item_id, path, action, reason, batch) by the last batch that an item changed in; no rows before the first one."""
+    if not _folders(spark, target, "batch"):
+        return spark.createDataFrame([], "book_id string, item_id string, path string, action string, reason string, batch int")
     rows = spark.read.option("basePath", target).parquet(target)
     last = rows.groupBy(*KEY).agg(F.max("batch").alias("batch"))
     return rows.join(last, [*KEY, "batch"], "left_semi")

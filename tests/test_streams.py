@@ -3,6 +3,7 @@
 import datetime as dt
 from pathlib import Path
 
+from leafstack.plans import page_queries
 from leafstack.streaming import streams as st
 
 SCHEMA = "book_id string, item_id string, path string, mtime timestamp, content binary"
@@ -51,3 +52,18 @@ def test_actions_of_the_last_batch(spark, tmp_path):
     for batch, lines in ((0, [("x", "a", "extract"), ("x", "b", "extract"), ("y", "a", "skip")]), (1, [("x", "a", "purge_path")])):
         spark.createDataFrame([("b", i, p, a, "") for i, p, a in lines], "book_id string, item_id string, path string, action string, reason string").write.parquet(f"{target}/batch={batch}")
     assert sorted((r.item_id, r.path, r.action) for r in st.read_actions(spark, target).collect()) == [("x", "a", "purge_path"), ("y", "a", "skip")]
+
+
+def test_tables_arrive_from_files_and_folders(spark, tmp_path):
+    spark.range(40).repartition(3).write.parquet(str(tmp_path / "folder" / "numbers.parquet"))
+    spark.range(40).coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("*.parquet")).rename(tmp_path / "file" / "numbers.parquet")
+    for kind in ("folder", "file"):
+        rows = page_queries._run_stream(page_queries.arriving(spark, str(tmp_path / kind), "numbers"), str(tmp_path / "run" / kind))
+        assert sorted(r.id for r in rows.collect()) == list(range(40))
+
+
+def test_no_actions_yet(spark, tmp_path):
+    got = st.read_actions(spark, str(tmp_path / "none"))
+    assert got.collect() == [] and got.columns == ["book_id", "item_id", "path", "action", "reason", "batch"]
