@@ -7,7 +7,7 @@ after parsing is a table.
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import stage
+from ..runtime import broadcast_if_small, stage
 from ..scale import rank_rows, running_sum
 from ..schema import FLAG_PROPS, META_SHARD, TEXT_PROPS, TEXT_SHARD, TOC_SHARD
 
@@ -34,9 +34,14 @@ def shard_rows(raw: DataFrame, name: str) -> DataFrame:
             .select(F.regexp_extract("file", rx, 1).alias("book_id"),
                     F.coalesce(F.regexp_extract("file", rx, 2).try_cast("int"), F.lit(0)).alias("shard"),
                     F.col("value").alias("text"), "file"))
-    # shard numbers per book are few: one row per file
-    w = Window.partitionBy("book_id").orderBy("shard")
-    return rows.withColumn("__n", F.row_number().over(w) - 1).filter("__n = shard").drop("__n")
+    # which shards follow each other is told from their numbers alone, one row per shard; texts stay where they are
+    earlier = Window.partitionBy("book_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    numbers = rows.groupBy("book_id", "shard").agg(F.count(F.lit(1)).alias("__files"))
+    placed = numbers.withColumn("__n", F.coalesce(F.sum("__files").over(earlier), F.lit(0))).filter("__n = shard").drop("__n")
+    found = rows.join(broadcast_if_small(placed), ["book_id", "shard"])
+    # of files that share a number any one is read
+    twins = found.filter("__files > 1").dropDuplicates(["book_id", "shard"])
+    return found.filter("__files = 1").unionByName(twins).select(*rows.columns)
 
 
 def parse_shards(shards: DataFrame) -> DataFrame:

@@ -133,3 +133,21 @@ def test_page_text_stays_on_its_side(spark):
     assert joins and out.count() == 5
     top = plan[plan.index("GlobalLimit"):]
     assert not any("content#" in line and ("Join" in line or "Sort" in line) for line in top.splitlines())
+
+
+def windows(node):
+    """Columns that the windows of a plan hold."""
+    own = [node.output().mkString(" ")] if node.nodeName() == "Window" else []
+    return own + [w for k in range(node.children().size()) for w in windows(node.children().apply(k))]
+
+
+def test_shards_in_a_row(spark):
+    """Shards after a gap are left out, one file of each number is read, and no window holds the texts of a book."""
+    names = ["a/tree/meta.js", "a/tree/meta1.js", "a/tree/meta2.js", "a/tree/meta4.js", "b/tree/meta1.js", "x/c/tree/meta.js", "y/c/tree/meta.js", "a/tree/toc.js"]
+    found = cat.shard_rows(spark.createDataFrame([(f"/{n}", f"text of {n}") for n in names], "file string, value string"), "meta")
+    assert found.columns == ["book_id", "shard", "text", "file"]
+    rows = found.collect()
+    assert sorted((r.book_id, r.shard) for r in rows) == [("a", 0), ("a", 1), ("a", 2), ("c", 0)]
+    assert all(r.text == f"text of {r.file[1:]}" for r in rows)
+    held = windows(found._jdf.queryExecution().optimizedPlan())
+    assert held and not any("text" in h or "value" in h for h in held)
