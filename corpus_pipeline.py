@@ -41,12 +41,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays: the one with the smallest id (null ids last; of rows equal in id and text any one).
 
-    Links are similarities of 0.8 or more of five-word shingle sets.  Fingerprints of 64 bits cannot tell
-    that threshold, so candidates share bands of least hashes and are decided by their whole sets; the
-    trie join of fingerprints is op10's.  Documents without words are one class.
+    SimHash fingerprints of three-word shingles link at 3 or fewer differing bits, by the trie join of
+    op10.  As 64 bits miss near copies with more edits, similarities of 0.8 or more of five-word shingle
+    sets link too: candidates share bands of least hashes and are decided by their whole sets.  The
+    classes are those of all links together.  Documents without words are one class.
     """
     prepare(spark)
-    return one_of_each(docs)
+    return one_of_each(docs, budget=3)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

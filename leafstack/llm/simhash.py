@@ -25,6 +25,8 @@ PAIRS, LEAF = 1 << 21, 64
 TASK_ROWS = 200_000
 # Bits of a block, and bits that fingerprints are dealt by where a block may differ.
 BLOCK, DEAL = 16, 8
+# Words of a fingerprint's shingles.
+FINGERPRINT_WORDS = 3
 # For similar texts: bands of least hashes and hashes of a band.  Sets of similarity s share a band
 # with probability 1 - (1 - s^4)^24, at 0.8 all but 3 of a million.
 BANDS, BAND = 24, 4
@@ -101,25 +103,29 @@ def sketch_of(least: np.ndarray) -> list[int]:
     return np.packbits(np.concatenate((two & 1, two >> 1 & 1))).view("<i8").tolist()
 
 
-def shingle_sets(docs: DataFrame, text: str, words: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, text: str, words: int, fingerprint_words: int | None = None) -> DataFrame:
     """`docs` without its text, with each document's distinct shingles of `words` words.
 
     These are `set_key` (16 bytes, equal for equal sets), `bands` and `sketch` of the least hashes,
-    `size`, their number, and `shingles`, their hashes cut to 40 bits, in order.
+    `size`, their number, and `shingles`, their hashes cut to 40 bits, in order; and, if asked for, the
+    `fingerprint` of shingles of `fingerprint_words` words, as `fingerprints` makes it.
     """
     kept = [c for c in docs.columns if c != text]
     schema = T.StructType([docs.schema[c] for c in kept] + [
         T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())),
-        T.StructField("size", T.IntegerType()), T.StructField("shingles", T.BinaryType())])
-    types = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+        T.StructField("size", T.IntegerType()), T.StructField("shingles", T.BinaryType()),
+        *([T.StructField("fingerprint", T.LongType())] if fingerprint_words else [])])
+    types = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), *([pa.int64()] if fingerprint_words else [])]
 
     def add(batches):
         for group, batch in text_groups(batches):
             rows = []
             for data in group:
-                h = np.unique(shingle_hashes(words_in(data), words))
+                parts = words_in(data)
+                h = np.unique(shingle_hashes(parts, words))
                 least, cut = least_hashes(h), np.unique(h >> np.uint64(24))
-                rows.append((xxhash.xxh3_128_digest(h.tobytes()), bands_of(least), sketch_of(least), len(cut), packed(cut)))
+                bits = [np.uint64(majority(shingle_hashes(parts, fingerprint_words))).view(np.int64)] if fingerprint_words else []
+                rows.append((xxhash.xxh3_128_digest(h.tobytes()), bands_of(least), sketch_of(least), len(cut), packed(cut), *bits))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=schema.names)
 
     return docs.select(*[F.col(f"`{c}`") for c in [*kept, text]]).mapInArrow(add, schema)
@@ -392,11 +398,15 @@ def prefix_pairs(members: DataFrame, shingles: DataFrame, possible: str) -> Data
             .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
 
 
-def _components(marked: DataFrame) -> DataFrame:
-    """`marked` (label, set_key and the other columns of shingle_sets) -> (label, component_id)."""
+def _components(marked: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """`marked` (label, set_key and the other columns of shingle_sets) -> (label, component_id).
+
+    `more`: further links (a, b) of sets, by their smallest labels.
+    """
     nodes = written(marked.groupBy("set_key").agg(F.min("label").alias("node")), "nodes")
     sets = (marked.select(F.col("label").alias("node"), "bands", "sketch", "size", "shingles").join(beside(nodes.select("node"), 16), "node", "left_semi"))
-    roots = written(components(similar_links(sets)), "roots")
+    links = similar_links(sets)
+    roots = written(components(links if more is None else links.unionByName(more)), "roots")
     rooted = written(nodes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id")), "rooted")
     return marked.select("label", "set_key").join(rooted, "set_key").select("label", "component_id")
 
@@ -412,9 +422,26 @@ def similar_documents(docs: DataFrame, label: str = "label", text: str = "text",
     return _components(written(shingle_sets(asked, "text", words), "signatures"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
+def fingerprint_links(marked: DataFrame, budget: int = 3) -> DataFrame:
+    """`marked` (label, set_key, fingerprint) -> edges (a, b) of the sets' smallest labels.
+
+    They connect just the sets that texts of equal fingerprints, or of fingerprints within `budget` bits, connect.
+    """
+    sets = written(marked.groupBy("set_key").agg(F.min("label").alias("node")), "fingerprint_sets")
+    held = written(marked.select("set_key", "fingerprint").distinct().join(sets, "set_key").select("node", "fingerprint"), "fingerprint_nodes")
+    # a fingerprint's smallest set stands for it; one set may have several fingerprints, and one fingerprint several sets
+    heads = written(held.groupBy("fingerprint").agg(F.min("node").alias("head")), "fingerprint_heads")
+    near = near_links(heads.select(F.col("fingerprint").alias("node"), "fingerprint", F.lit(None).cast("binary").alias("proof")), budget)
+    left, right = (heads.select(F.col("fingerprint").alias(c), F.col("head").alias(f"__{c}")) for c in ("a", "b"))
+    apart = near.join(left, "a").join(right, "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))
+    return held.join(heads, "fingerprint").select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(apart)
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, budget: int | None = None) -> DataFrame:
     """`docs` with one document of each class of `similar_documents`: that with the smallest id (null ids last).
 
+    With a `budget` texts also link whose SimHash fingerprints, those of `near_duplicates`, differ in at
+    most that many bits, by its trie join; the classes are those of all links together.
     Rows are told apart by id and text, so `docs` may come in any order and partitioning at each
     reading; of rows that have both in common any one stays.  Null, empty and wordless texts are one
     class.  An empty table gives no rows.  Texts are not shuffled while the rows to drop are few
@@ -425,8 +452,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     keyed = docs.select(*[F.col(f"`{c}`") for c in own], F.unhex(F.md5(told.cast("binary"))).alias("__told"))
     # the labels are written with the signatures, and the texts are not labelled again
     asked = keyed.select(F.monotonically_increasing_id().alias("label"), F.col(f"`{doc_id}`").alias("id"), F.col("__told").alias("told"), F.col(f"`{text}`").alias("text"))
-    marked = written(shingle_sets(asked, "text", words), "signatures")
-    classes = written(marked.select("label", "id", "told").join(_components(marked), "label"), "near")
+    if budget is None:
+        marked, more = written(shingle_sets(asked, "text", words), "signatures"), None
+    else:
+        marked = written(shingle_sets(asked, "text", words, FINGERPRINT_WORDS), "signatures")
+        more = fingerprint_links(marked, budget)
+    classes = written(marked.select("label", "id", "told").join(_components(marked, more), "label"), "near")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("label"))
     best = classes.groupBy("component_id").agg(F.min_by("told", order).alias("best"))
     judged = written(classes.join(best, "component_id").groupBy("told").agg(F.max(F.col("told") == F.col("best")).alias("stays"), F.count(F.lit(1)).alias("n"))

@@ -217,3 +217,24 @@ def test_small_sets_are_compared_too(spark):
     alone = [k for k in range(2, 360, 3) if found[k] == k]
     near = [k for k in range(2, 360, 3) if not any(j != k and 5 * len(sets[k] & sets[j]) >= 4 * len(sets[k] | sets[j]) for j in range(2, 360, 3))]
     assert set(near) <= set(alone)
+
+
+def test_one_of_each_links_fingerprints(spark):
+    """Texts of one fingerprint and unlike shingle sets are one class, as `near_duplicates` has it, and join classes of similar sets."""
+    line = "the same seven words come once more " * 200
+    tails = [" ".join(f"w{k}x{i}" for i in range(10)) for k in range(3)]
+    texts = [line + tails[0], line + tails[1], "quite another text of some other words", line + tails[1] + " end"]
+    sets = shingle_sets(texts)
+    assert len(sets[0] & sets[1]) < 0.5 * len(sets[0] | sets[1])
+    df = spark.createDataFrame([*enumerate(texts), (9, None), (8, "")], "doc_id long, text string")
+    classes = {r.doc_id: r.component_id for r in near_duplicates(df).collect()}
+    assert classes[1] == 0 and classes[2] == 2
+    assert sorted(r.doc_id for r in one_of_each(df, budget=3).collect()) == sorted(set(classes.values())) == [0, 2, 8]
+    assert 1 in {r.doc_id for r in one_of_each(df).collect()}
+
+
+def test_pipeline_stage_links_fingerprints(spark):
+    import corpus_pipeline
+    line = "the same seven words come once more " * 200
+    df = spark.createDataFrame([(k, line + " ".join(f"w{k}x{i}" for i in range(10)), "en", "s", 1) for k in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()] == [0]
