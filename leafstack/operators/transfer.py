@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cropped, icon_file, safe_filename, ts_of_item_id
-from ..runtime import stage
+from ..runtime import broadcast_if_small, stage
 from ..scale import rank_rows
 from ..schema import RECYCLE, ROOT, SPECIAL_IDS
 from .edits import append_edges, assign_ids
@@ -96,22 +96,24 @@ def export_payloads(manifest: DataFrame, items: DataFrame, files: DataFrame, ico
     the icon cache.  An occurrence takes its index file, or the folder of an ``index.html`` with all
     in it, and its cached icon.  ``entries``: book_id, n, item_id, name (in the archive), digest; they
     move no bytes.  ``store``: digest, content, size, each content once however often it is used.
+    ``files`` and ``icons`` that bring a ``digest``, the SHA-1 of the content, are not read for it.
     """
+    files, icons = (t if "digest" in t.columns else t.withColumn("digest", F.sha1("content")) for t in (files, icons))
     index = value("index")
     source = F.when(index.endswith("/index.html"), F.regexp_replace(index, "/index.html$", "")).when(index != "", index)
     taken = manifest.select(*KEY, "n", "ets").join(items.select(*KEY, source.alias("source"), icon_file("icon", "index", data_dir).alias("icon")), KEY)
     segments = F.split("path", "/")
     folders = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.array_join(F.slice(segments, F.lit(1), k), "/"))
-    marked = files.select("book_id", "path", F.sha1("content").alias("digest"))
+    marked = files.select("book_id", "path", "digest")
     inside = marked.withColumn("source", F.explode(folders))  # as many rows as the path is deep
     name = F.concat("ets", F.lit("/data/"), F.regexp_extract("source", "([^/]*)$", 1), F.expr("substring(path, length(source) + 1)"))
     data = taken.filter("source is not null").join(inside, ["book_id", "source"]).select("book_id", "n", "item_id", name.alias("name"), "digest")
-    cached = icons.select("book_id", F.col("path").alias("icon"), F.sha1("content").alias("digest")).filter(F.col("icon").startswith(f"{tree_dir}/favicon/"))
+    cached = icons.select("book_id", F.col("path").alias("icon"), "digest").filter(F.col("icon").startswith(f"{tree_dir}/favicon/"))
     icon = taken.join(cached, ["book_id", "icon"]).select(
         "book_id", "n", "item_id", F.concat("ets", F.lit("/favicon/"), F.regexp_extract("icon", "([^/]*)$", 1)).alias("name"), "digest")
     entries = stage(data.unionByName(icon))
-    both = files.select("content").unionByName(icons.select("content")).withColumn("digest", F.sha1("content"))
-    used = both.join(entries.select("digest").distinct(), "digest", "left_semi")
+    both = files.select("digest", "content").unionByName(icons.select("digest", "content"))
+    used = both.join(broadcast_if_small(entries.select("digest").distinct()), "digest", "left_semi")
     store = used.groupBy("digest").agg(F.first("content").alias("content")).withColumn("size", F.octet_length("content").cast("long"))
     return entries, store
 

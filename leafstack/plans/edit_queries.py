@@ -245,7 +245,7 @@ def payloads(spark, sf):
     items, edges = fx.items(spark, sf), fx.edges(spark, sf)
     d = table(spark, sf, "documents")
     files = (fx.files(spark, sf).withColumn("doc_id", F.regexp_extract("path", "^D([0-9]+)", 1).try_cast("long"))
-             .join(d.select("doc_id", "text"), "doc_id").select("book_id", "path", F.encode("text", "UTF-8").alias("content")))
+             .join(d.select("doc_id", "text", F.sha1(F.encode("text", "UTF-8")).alias("digest")), "doc_id").select("book_id", "path", F.encode("text", "UTF-8").alias("content"), "digest"))
     icons = d.select(F.col("lang").alias("book_id"), F.concat(F.lit("tree/favicon/"), F.md5("source"), F.lit(".png")).alias("path"), F.encode("source", "UTF-8").alias("content")).distinct()
     ids = items.filter("item_id like 'D%' and cast(substring(item_id, 2) as bigint) % 5 = 0").select("book_id", "item_id")
     return tf.export_payloads(tf.export_manifest(items, edges, "20240201000000000", ids), items, files, icons)

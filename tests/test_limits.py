@@ -9,6 +9,7 @@ from leafstack import scale
 from leafstack.functions import datauri
 from leafstack.functions.scalars import postit_text
 from leafstack.operators.search import date_ranges, match_date_ranges, range_nodes
+from leafstack.operators.transfer import export_payloads
 from leafstack.runtime import ship
 from leafstack.scale import claim_slots
 from leafstack.sources import catalogue as cat
@@ -162,3 +163,16 @@ def test_batches_of_python_workers_are_bounded(spark):
         rows = session.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("t"))
         held = rows.mapInPandas(lambda batches: (b.t.str.len().agg(["sum"]).to_frame("n") for b in batches), "n long").collect()
         assert sum(r.n for r in held) == 12_000_000 and max(r.n for r in held) <= most
+
+
+def test_payloads_keep_given_digests(spark):
+    """Files and icons that bring a digest are not hashed again; others are."""
+    key, one = "book_id string, item_id string", ("b", "i")
+    manifest = spark.createDataFrame([(*one, 0, "20240101000000000")], f"{key}, n long, ets string")
+    items = spark.createDataFrame([(*one, "i.html", "")], f"{key}, index string, icon string")
+    files = spark.createDataFrame([("b", "i.html", bytearray(b"page")), ("b", "other.html", bytearray(b"no"))], "book_id string, path string, content binary")
+    for given in (files, files.withColumn("digest", F.concat(F.lit("given "), "path"))):
+        want = [r.digest for r in given.withColumn("digest", F.sha1("content") if given is files else F.col("digest")).filter("path = 'i.html'").collect()]
+        entries, store = export_payloads(manifest, items, given, files.limit(0))
+        assert [r.digest for r in entries.collect()] == want
+        assert [(r.digest, bytes(r.content), r.size) for r in store.collect()] == [(want[0], b"page", 4)]
