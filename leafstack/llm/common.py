@@ -62,6 +62,34 @@ def beside(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if small(df, row_bytes) else df
 
 
+# Longs of a row of marks, and the numbers that it tells about, one bit each.
+MARKS, MARKED = 8, 512
+
+
+def marks(numbers: DataFrame, name: str = "marks") -> DataFrame:
+    """The longs of the one column of `numbers` as a written table of bits: a row for MARKED numbers in a row, if any is there."""
+    n = F.col(f"`{numbers.columns[0]}`")
+    place, bit = F.shiftright(n, 6).bitwiseAND(F.lit(MARKS - 1)), F.expr(f"shiftleft(1L, cast(`{numbers.columns[0]}` & 63 as int))")
+    return written(numbers.filter(n.isNotNull()).groupBy(F.shiftright(n, 9).alias("__page"))
+                   .agg(*[F.coalesce(F.bit_or(F.when(place == k, bit)), F.lit(0)).alias(f"__m{k}") for k in range(MARKS)]), name)
+
+
+def among(df: DataFrame, column: str, numbers: DataFrame, marked: DataFrame | None = None) -> DataFrame:
+    """The rows of `df` whose long `column` is one of `numbers` (one column); `marked`: their marks, if they are at hand.
+
+    Numbers handed out in a row take some two bits each when broadcast, so that wide rows stay where
+    they are up to tens of millions of numbers; only beyond, or if the numbers are too scattered, they are shuffled.
+    """
+    marked = marks(numbers) if marked is None else marked
+    if not small(marked, 96):
+        return df.join(numbers.toDF(column).distinct(), column, "left_semi")
+    longs = F.array(*[F.col(f"__m{k}") for k in range(MARKS)])
+    held = F.get(longs, F.shiftright(column, 6).bitwiseAND(F.lit(MARKS - 1)).cast("int"))
+    there = F.expr(f"cast(`{column}` & 63 as int)")
+    return (df.join(F.broadcast(marked), F.shiftright(column, 9) == F.col("__page"))
+            .filter(F.call_function("getbit", held, there) == 1).select(*[F.col(f"`{c}`") for c in df.columns]))
+
+
 def text_key(text: Column) -> Column:
     """16 bytes that tell texts apart, null as empty: the same on every reading, unlike a row's number."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import beside, text_groups, text_key, without, written
+from .common import TABLES, among, beside, marks, removed, text_groups, text_key, without, written
 from .components import components
 
 # Hashes counted at once.
@@ -301,8 +301,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The `pairs` (a, b) whose sets of shingles, by `sets` (node, shingles), are similar; every pair is compared whole."""
-    both = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = sets.select("node", "shingles").join(beside(both, 16), "node", "left_semi")
+    needed = among(sets.select("node", "shingles"), "node", pairs.select(F.explode(F.array("a", "b")).alias("node")))
     left, right = (needed.select(F.col("node").alias(c), F.col("shingles").alias(f"__{c}")) for c in ("a", "b"))
 
     def compare(batches):
@@ -374,7 +373,7 @@ def common_shingles(members: DataFrame, nodes: DataFrame) -> DataFrame:
                 own = unpacked(data.as_py()).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own)], names=["node", "shingle"])
 
-    own = nodes.select("node", "shingles").join(beside(members.select("node"), 16), "node", "left_semi")
+    own = among(nodes.select("node", "shingles"), "node", members.select("node"))
     rows = written(own.mapInArrow(spread_out, "node long, shingle long"), "spread")
     return rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle").select("node", "shingle", "n")
 
@@ -404,8 +403,9 @@ def _components(marked: DataFrame, more: DataFrame | None = None) -> DataFrame:
     `more`: further links (a, b) of sets, by their smallest labels.
     """
     nodes = written(marked.groupBy("set_key").agg(F.min("label").alias("node")), "nodes")
-    sets = (marked.select(F.col("label").alias("node"), "bands", "sketch", "size", "shingles").join(beside(nodes.select("node"), 16), "node", "left_semi"))
-    links = similar_links(sets)
+    # the sets are read several times, and wide: no reading shuffles them
+    sets = marked.select(F.col("label").alias("node"), "bands", "sketch", "size", "shingles")
+    links = similar_links(among(sets, "node", nodes.select("node"), marks(nodes.select("node"))))
     roots = written(components(links if more is None else links.unionByName(more)), "roots")
     rooted = written(nodes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id")), "rooted")
     return marked.select("label", "set_key").join(rooted, "set_key").select("label", "component_id")
@@ -447,7 +447,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     class.  An empty table gives no rows.  Texts are not shuffled while the rows to drop are few
     enough to be broadcast; but rows with id and text in common are grouped.
     """
-    own = without(docs, "__told").columns
+    own, start = without(docs, "__told").columns, len(TABLES)
     told = F.concat_ws("\x00", F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), F.col(f"`{doc_id}`").isNull().cast("string"), F.hex(text_key(F.col(f"`{text}`"))))
     keyed = docs.select(*[F.col(f"`{c}`") for c in own], F.unhex(F.md5(told.cast("binary"))).alias("__told"))
     # the labels are written with the signatures, and the texts are not labelled again
@@ -462,6 +462,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     best = classes.groupBy("component_id").agg(F.min_by("told", order).alias("best"))
     judged = written(classes.join(best, "component_id").groupBy("told").agg(F.max(F.col("told") == F.col("best")).alias("stays"), F.count(F.lit(1)).alias("n"))
                      .filter("not stays or n > 1"), "judged")
+    removed(docs.sparkSession, TABLES[start:-1])  # the signatures are nearly as large as the texts
     one = beside(judged.filter("stays").select(F.col("told").alias("__told")), 48)
     twins = keyed.join(one, "__told", "left_semi").groupBy("__told").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in own])).alias("__r")).select("__r.*")
     return keyed.join(beside(judged.select(F.col("told").alias("__told")), 48), "__told", "left_anti").select(*[F.col(f"`{c}`") for c in own]).unionByName(twins)

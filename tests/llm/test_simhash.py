@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from leafstack.llm import common, simhash
+from leafstack.llm.common import among, written
 from leafstack.llm.components import components
 from leafstack.llm.queries.simhash import op10_simhash_near_dedup
 from leafstack.llm.simhash import fingerprint_of, near_duplicates, near_links, one_of_each, similar_documents, spanning, trie_links
@@ -238,3 +240,32 @@ def test_pipeline_stage_links_fingerprints(spark):
     line = "the same seven words come once more " * 200
     df = spark.createDataFrame([(k, line + " ".join(f"w{k}x{i}" for i in range(10)), "en", "s", 1) for k in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, df, "").collect()] == [0]
+
+
+@pytest.mark.parametrize("most", [200_000, 5])
+def test_among_odd_numbers(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    asked = [0, -1, -513, 63, 64, 511, 512, 2**33, 2**33 + 5, 2**62, -2**63, 2**63 - 1, 7, 7]
+    rows = sorted({*asked, *range(-600, 600), 2**33 + 1, 2**63 - 2})
+    found = among(spark.createDataFrame([(n, "x") for n in rows], "n long, t string"), "n", spark.createDataFrame([(n,) for n in [*asked, None]], "a long"))
+    assert found.columns == ["n", "t"] and sorted(r.n for r in found.collect()) == sorted(set(asked))
+
+
+def test_signatures_stay_where_they_are(spark, monkeypatch):
+    """More sets than a broadcast may have rows: their numbers are broadcast as bits, and no wide row is shuffled."""
+    rng, plans = random.Random(11), {}
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 100)
+
+    def traced(df, name, *more):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name, *more)
+
+    monkeypatch.setattr(simhash, "written", traced)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(80)) for _ in range(200)]
+    texts += [f"{t} end" for t in texts]
+    found = {r.label: r.component_id for r in similar_documents(session.createDataFrame(list(enumerate(texts)), "label long, text string")).collect()}
+    assert found == {i: i % 200 for i in range(400)}
+    for name in ("tags", "cells", "spread"):
+        assert "hashpartitioning" not in plans[name], name
