@@ -112,24 +112,43 @@ def classify_members(probes: DataFrame, rows: DataFrame) -> DataFrame:
 
 def maff_pages(archives: DataFrame) -> DataFrame:
     """Pages of MAFF archives from each top folder's index.rdf, else its ``index.*`` members."""
-    inner = members(archives, content=True, pattern=r"^[^/]+/index\.[^/]*$").filter("type = 'file'")
+    import re
+    names, wanted = ["archive", "member", *MAFF_FIELDS], re.compile(r"^[^/]+/index\.[^/]*$")
 
-    @F.pandas_udf("title string, originalurl string, archivetime string, indexfilename string, charset string")
-    def rdf(content: pd.Series) -> pd.DataFrame:
-        def one(data):
-            try:
-                node = ElementTree.fromstring(bytes(data)).find(f"{{{RDF_NS}}}Description")
-                got = [node.find(f"{{{MAF_NS}}}{f}") for f in MAFF_FIELDS]
-                return [None if g is None else g.get(f"{{{RDF_NS}}}resource") for g in got]
-            except (ElementTree.ParseError, AttributeError, TypeError):
-                return [None] * len(MAFF_FIELDS)
-        return pd.DataFrame([one(d) for d in content], columns=list(MAFF_FIELDS))
-
-    top = F.regexp_extract("member", r"^([^/]+)/", 1)
-    tagged = inner.withColumn("top", top)
-    meta = tagged.filter(F.col("member").endswith("/index.rdf")).withColumn("m", rdf("content")).filter("m.indexfilename is not null")
-    named = meta.select("archive", "top", "m.title", "m.originalurl", "m.archivetime",
-                        F.concat("top", F.lit("/"), "m.indexfilename").alias("indexfilename"), "m.charset")
+    def fields(data):
+        try:
+            node = ElementTree.fromstring(data).find(f"{{{RDF_NS}}}Description")
+            got = [node.find(f"{{{MAF_NS}}}{f}") for f in MAFF_FIELDS]
+            return [None if g is None else g.get(f"{{{RDF_NS}}}resource") for g in got]
+        except (ElementTree.ParseError, AttributeError, TypeError):
+            return [None] * len(MAFF_FIELDS)
+
+    def run(batches):
+        for pdf in batches:
+            for name, data in zip(pdf["archive"], pdf["content"]):
+                rows = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(bytes(data))) as zh:
+                        for info in zh.infolist():
+                            if not wanted.search(info.filename):
+                                continue
+                            if info.filename.endswith("/index.rdf"):
+                                rows.append([name, info.filename, *fields(zh.read(info))])
+                                continue
+                            with zh.open(info) as member:  # read to its end, for its check sum
+                                while member.read(1 << 16):
+                                    pass
+                            rows.append([name, info.filename, *[None] * len(MAFF_FIELDS)])
+                except (zipfile.BadZipFile, OSError, TypeError):
+                    rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+    # indexes are parsed where the archive is read: no second worker beside it, and no contents leave it
+    inner = archives.select("archive", "content").mapInPandas(run, ", ".join(f"{n} string" for n in names))
+    tagged = inner.withColumn("top", F.regexp_extract("member", r"^([^/]+)/", 1))
+    named = (tagged.filter(F.col("member").endswith("/index.rdf") & F.col("indexfilename").isNotNull())
+             .select("archive", "top", "title", "originalurl", "archivetime", F.concat("top", F.lit("/"), "indexfilename").alias("indexfilename"), "charset"))
     rest = tagged.filter(~F.col("member").endswith("/index.rdf")).join(named.select("archive", "top"), ["archive", "top"], "left_anti")
     none = F.lit(None).cast("string")
     return named.unionByName(rest.select("archive", "top", none.alias("title"), none.alias("originalurl"), none.alias("archivetime"),

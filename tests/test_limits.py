@@ -1,6 +1,8 @@
 """Inputs beyond limits that earlier versions had."""
 
+import io
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from leafstack.operators.transfer import export_payloads
 from leafstack.runtime import ship
 from leafstack.scale import claim_slots
 from leafstack.sources import catalogue as cat
-from leafstack.sources.archives import list_members
+from leafstack.sources.archives import list_members, maff_pages
 from leafstack.sources.files import directory_listing
 
 
@@ -176,3 +178,26 @@ def test_payloads_keep_given_digests(spark):
         entries, store = export_payloads(manifest, items, given, files.limit(0))
         assert [r.digest for r in entries.collect()] == want
         assert [(r.digest, bytes(r.content), r.size) for r in store.collect()] == [(want[0], b"page", 4)]
+
+
+def test_maff_pages_need_one_worker(spark):
+    def archive(*files):
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w") as zh:
+            for name, text in files:
+                zh.writestr(name, text)
+        return buf.getvalue()
+
+    def rdf(body):
+        return ('<RDF:RDF xmlns:MAF="http://maf.mozdev.org/metadata/rdf#" xmlns:RDF="http://www.w3.org/1999/02/22-rdf-syntax-ns#">'
+                f'<RDF:Description RDF:about="urn:root">{body}</RDF:Description></RDF:RDF>')
+
+    named = rdf('<MAF:title RDF:resource="T"/><MAF:indexfilename RDF:resource="main.html"/>')
+    broken = archive(("t/index.html", "some text"), ("u/index.html", "more")).replace(b"some text", b"same text", 1)
+    rows = [("a", archive(("t/index.rdf", named), ("t/index.html", "x"), ("u/index.html", "y"), ("u/deep/index.html", "z"), ("v/index.rdf", "<no"), ("v/index.htm", "w"))),
+            ("b", broken), ("c", b"not a zip"), ("d", None), ("e", archive(("t/index.rdf", rdf("")), ("index.html", "x")))]
+    found = maff_pages(spark.createDataFrame(rows, "archive string, content binary"))
+    assert sorted((r.archive, r.top, r.title, r.indexfilename) for r in found.collect()) == [
+        ("a", "t", "T", "t/main.html"), ("a", "u", None, "u/index.html"), ("a", "v", None, "v/index.htm")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "EvalPython" not in plan
