@@ -259,6 +259,8 @@ def decode(files: list[bytes]) -> list[tuple[Image, np.ndarray]]:
         for k in [k for k in own if restart and images[k].scan[1] - images[k].scan[0] > LANES * RESTART * 64]:
             own.remove(k)
             out[k] = (images[k], _long_scan(files[k][slice(*images[k].scan)], int(np.prod(images[k].mcus())), layout, restart))
+        if not own:
+            continue
         for k, blocks in zip(own, _scans([files[k][slice(*images[k].scan)] for k in own], [int(np.prod(images[k].mcus())) for k in own], layout, restart), strict=True):
             out[k] = (images[k], blocks)
     return out
